@@ -173,3 +173,18 @@ def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     joined = own.join(bitmaps.select(F.col("doc_id").alias("_id"), "bitmap"), "_id", "left").select("_id", "_text", "bitmap")
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def cleaned(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the text that stays, all columns in place."""
+    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(bitmaps.select(F.col("doc_id").alias("_id"), F.col("bitmap").alias("_bitmap")), "_id", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_bitmap")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else t if m is None else kept_text(t.encode(), m)[2].decode("utf-8", "replace") for t, m in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

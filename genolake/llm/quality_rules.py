@@ -84,6 +84,20 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: Mapping[int, float]
     return out
 
 
+def verdicts(m: Mapping[str, np.ndarray], limits: Mapping[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each document fails the base, and whether it is kept."""
+    failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    kept = ~failed & (m["line_cover"] <= line_limit)
+    for n, most in limits.items():
+        kept &= m[f"cover_{n}"] <= most
+    return failed, kept
+
+
+def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    return shared.filtered(docs, text_col, lambda data, offsets: verdicts(measure(data, offsets))[1])
+
+
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, limits: Mapping[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row: doc_id, the counts, base_failed, kept, and the measured shares.
 
@@ -98,11 +112,8 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in textbatch.chunks(batches, "_text"):
             m = measure(data, offsets, limits)
-            failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-            fine = m["line_cover"] <= line_limit
-            for n, most in limits.items():
-                fine &= m[f"cover_{n}"] <= most
-            yield shared.rows(schema, batch.column(0), *(m[c] for c in _COLUMNS), failed, ~failed & fine, *(m[c] for c in shares))
+            failed, kept = verdicts(m, limits, line_limit, min_words)
+            yield shared.rows(schema, batch.column(0), *(m[c] for c in _COLUMNS), failed, kept, *(m[c] for c in shares))
 
     kinds = ", ".join([f"{c} long" for c in _COLUMNS] + ["base_failed boolean", "kept boolean"] + [f"{c} double" for c in shares])
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id long, {kinds}")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, packing, quality_rules, shared, textbatch, token_files, topk
+from . import byte_bpe, host_reputation, line_dedup, near_dedup, packing, quality_qda, quality_rules, quote_links, shared, token_files, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,63 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(token_files.read(spark, path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, in reply order."""
+    linked = quote_links.linked(table(spark, sf_dir, "conversations"))
+    return linked.select(
+        F.col("thread.conv_id").alias("thread_conv"), F.col("thread.turn").alias("thread_turn"), F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["conv_id"], p["turn"])), "/").alias("path"),
+        "conv_id", "turn", "role", "body", "n_passages", F.col("max_level").cast("long").alias("max_level"), "n_linked", "reply_conv", "reply_turn")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of each twentieth vector by integer inner product."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.topk(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_line_dedup, op5_token_files, op7_topk)}
-SQL = {"op4_line_dedup": OP4_SQL}
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; a labelled page (labels by page_id = doc_id) is bad with quality 0 or if toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    return host_reputation.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
+
+
+def _op8_sql() -> str:
+    level = """
+{name}_u AS (SELECT {level}, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM {table} GROUP BY {level}),
+{name}_r AS (SELECT least(greatest(coalesce((sum((bad - n * m) * (bad - n * m)) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.0), 0.001), 0.999) AS r FROM {name}_u),
+{name} AS (SELECT t.host, t.suffix, t.domain, t.n, t.bad, (u.m * ((1 - r) / r) + u.bad) / ((1 - r) / r + u.n) AS m, (1 - r) / r + u.n AS weight
+  FROM {table} t JOIN {name}_u u ON t.{level} = u.{level} CROSS JOIN {name}_r)"""
+    levels, last = [], "start"
+    for name in host_reputation.LEVELS:
+        levels.append(level.format(name=f"by_{name}", level=name, table=last))
+        last = f"by_{name}"
+    fits = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(RULES, key=lambda r: -len(r[1])))
+    verdicts = " ".join(f"WHEN '{r}' THEN '{how}'" for how, r in RULES)
+    return f"""
+WITH page AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{host_reputation.UPPER}', '{host_reputation.LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+outcome AS (SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM labels),
+hosts AS (SELECT host, string_split(host, '.') AS p, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM page LEFT JOIN outcome ON page_id = doc_id GROUP BY host),
+start AS (SELECT host, p[-1] AS suffix, array_to_string(p[greatest(len(p) - 1, 1):], '.') AS domain, n, bad, (sum(bad) OVER () + 1) / (sum(n) OVER () + 2) AS m FROM hosts),{','.join(levels)},
+judged AS (SELECT host, CASE WHEN m - {host_reputation.DEVIATIONS} * sqrt(m * (1 - m) / (weight + 1)) > {host_reputation.LIMIT} THEN 'block' ELSE 'allow' END AS judged FROM by_host),
+ruled AS (SELECT *, CASE {fits} END AS rule FROM page)
+SELECT page_id, ruled.host, path, rule, coalesce(CASE rule {verdicts} END, judged) AS verdict FROM ruled JOIN judged ON ruled.host = judged.host
+"""
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from the labels that aren't held out."""
+    return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_line_dedup, op5_token_files, op6_quote_links, op7_topk, op8_host_reputation, op9_near_dedup, op10_quality_qda)}
+SQL = {"op4_line_dedup": OP4_SQL, "op8_host_reputation": _op8_sql()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filtered(docs: DataFrame, text_col: str, keep: Callable) -> DataFrame:
+    """The rows for which ``keep``, given a chunk's bytes and offsets, says so; all columns, where they lie."""
+    from . import textbatch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in textbatch.chunks(batches, text_col):
+            yield batch.filter(pa.array(keep(data, offsets)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
