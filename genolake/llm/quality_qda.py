@@ -22,6 +22,8 @@ FEATURES = (
     "log_words", "log_word_length", "capitals", "digits", "symbols", "bars", "calls", "stops", "other_marks",
     "same_word", "repeat_words", "distinct_words", "log_line_words", "single_points", "loud_words",
 )
+#: Words (and a fifth of the code points) that every document is taken to have besides its own, so that shares of short texts are near 0.
+SHRINK = 50
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -47,24 +49,25 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7)
     word = textbatch.word_hashes(data, starts, ends)
     words = np.bincount(doc, minlength=docs).astype(float)
-    per_word = lambda flags: np.bincount(doc[flags], minlength=docs) / np.maximum(words, 1)
+    per_word = lambda flags: np.bincount(doc[flags], minlength=docs) / (words + SHRINK)
     same = np.zeros(len(word), bool)
     same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     _, _, first = textbatch.distinct(textbatch._mixed(word + doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
     at, h = quality_rules._windows(word, doc, 3)
-    codes, values, _ = textbatch.distinct(h)
-    again = quality_rules._covered(at[np.bincount(codes, minlength=len(values))[codes] > 1], 3, len(word))
+    later = np.ones(len(at), bool)
+    later[textbatch.distinct(h)[2]] = False
+    again = quality_rules._covered(at[later], 3, len(word))
     loud_letters = np.append(0, np.cumsum(capital))
     small_letters = np.append(0, np.cumsum(small))
     loud = (loud_letters[ends] - loud_letters[starts] >= 2) & (small_letters[ends] == small_letters[starts])
-    solid = np.maximum(np.bincount(doc, length, docs), 1)
-    letters = np.maximum(marked(capital) + marked(small), 1)
+    solid = np.bincount(doc, length, docs) + 5 * SHRINK
+    letters = marked(capital) + marked(small) + 5 * SHRINK
     lines = marked(data == 0x0A) + 1
     share = lambda p: np.arcsin(np.sqrt(np.clip(p, 0, 1)))
     unique = np.zeros(len(word), bool)
     unique[first] = True
     return np.stack([
-        np.log1p(words), np.log1p(solid / np.maximum(words, 1)), share(marked(capital) / letters), share(marked(kinds(b"0123456789")) / solid),
+        np.log1p(words), np.log1p(np.bincount(doc, length, docs) / np.maximum(words, 1)), share(marked(capital) / letters), share(marked(kinds(b"0123456789")) / solid),
         share(marked(kinds(b"#*$%&<>")) / solid), share(marked(kinds(b"|")) / solid), share(marked(kinds(b"!?")) / solid), share(marked(kinds(b".,;:")) / solid),
         share(marked(kinds(b"\"'()[]{}/\\_-+=~^@`")) / solid), share(per_word(same)), share(per_word(again)), share(per_word(unique)), np.log1p(words / lines),
         share(per_word(length == 1)), share(per_word(loud)),
@@ -116,7 +119,7 @@ def solve(n: np.ndarray, total: np.ndarray, square: np.ndarray, *, to_pooled: fl
     return Discriminant(mean, np.stack(factor), np.array(log_det), float(np.log(n[1] + 1) - np.log(n[0] + 1)))
 
 
-def fit(features_: DataFrame, labels: DataFrame, *, to_pooled: float = 0.05, to_diagonal: float = 0.1, floor: float = 1e-4) -> Discriminant:
+def fit(features_: DataFrame, labels: DataFrame, *, to_pooled: float = 0.3, to_diagonal: float = 0.1, floor: float = 3e-3) -> Discriminant:
     """Fits to (doc_id, x) and (doc_id, label 0 or 1), over all labelled rows: each task sends a sum for each class."""
     d = len(FEATURES)
 
