@@ -185,7 +185,7 @@ def ploidy(segments: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     mean = segments.agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("m")).scalar()
     x = F.col("value") / mean * F.col("ploidy")
-    scored = segments.join(F.broadcast(candidates)).groupBy("ploidy").agg(F.sum(F.col("n") * (x - F.round(x)) * (x - F.round(x))).alias("error"))
+    scored = segments.join(F.broadcast(candidates)).groupBy("ploidy").agg(F.round(F.sum(F.col("n") * (x - F.round(x)) * (x - F.round(x))), 9).alias("error"))
     return scored.agg(F.min_by("ploidy", F.struct("error", "ploidy")).alias("ploidy"), F.min("error").alias("error"))
 
 

@@ -46,7 +46,7 @@ def gc_group(spark, sf_dir):
     return aggs.gc_groups(b).select(r6("gc"), r6("mean"), "n")
 
 
-@query(f"WITH {duck('bins')}, s AS (SELECT chr AS seg, median(cnt)::DOUBLE AS value, count(*) AS n FROM bins_v GROUP BY chr), m AS (SELECT sum(value * n) / sum(n) AS m FROM s), e AS (SELECT p / 20.0::DOUBLE AS ploidy, sum(n * pow(value / m * (p / 20.0::DOUBLE) - round(value / m * (p / 20.0::DOUBLE)), 2)) AS error FROM s, m, range(30, 121) t(p) GROUP BY p) SELECT round(arg_min(ploidy, error), 6) AS ploidy, round(min(error), 6) AS error FROM e")
+@query(f"WITH {duck('bins')}, s AS (SELECT chr AS seg, median(cnt)::DOUBLE AS value, count(*) AS n FROM bins_v GROUP BY chr), m AS (SELECT sum(value * n) / sum(n) AS m FROM s), e AS (SELECT p / 20.0::DOUBLE AS ploidy, sum(n * pow(value / m * (p / 20.0::DOUBLE) - round(value / m * (p / 20.0::DOUBLE)), 2)) AS error FROM s, m, range(30, 121) t(p) GROUP BY p) SELECT round(ploidy, 6) AS ploidy, round(error, 6) AS error FROM e ORDER BY round(error, 9), ploidy LIMIT 1")
 def ginkgo_ploidy(spark, sf_dir):
     """The ploidy of least distance to whole copy numbers."""
     segments = view(spark, sf_dir, "bins").groupBy(F.col("chr").alias("seg")).agg(F.median("cnt").alias("value"), F.count("*").alias("n"))
@@ -224,10 +224,10 @@ def param_grid(spark, sf_dir):
     return small.join(F.broadcast(grid)).groupBy("min_sc_dp", "max_bulk_alt").agg(F.sum(passed).alias("n"))
 
 
-@query("WITH c AS (SELECT l_shipmode AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'snv' ELSE 'indel' END AS muttype, count(*)::DOUBLE AS calls, sum(l_quantity) * 1e5 AS bp FROM lineitem GROUP BY 1, 2), w AS (SELECT *, least(calls, bp / 1e6 * CASE muttype WHEN 'snv' THEN 0.01313788 ELSE 0.0007298824 END) AS fps FROM c) SELECT sample, muttype, 'calls' AS metric, round(calls, 6) AS value FROM w UNION ALL SELECT sample, muttype, 'fps', round(fps, 6) FROM w UNION ALL SELECT sample, muttype, 'fdr', round(fps / nullif(calls, 0), 6) FROM w")
+@query("WITH c AS (SELECT concat(l_returnflag, l_linestatus) AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'snv' ELSE 'indel' END AS muttype, count(*)::DOUBLE AS calls, sum(l_quantity) * 1e5 AS bp FROM lineitem GROUP BY 1, 2), w AS (SELECT *, least(calls, bp / 1e6 * CASE muttype WHEN 'snv' THEN 0.01313788 ELSE 0.0007298824 END) AS fps FROM c) SELECT sample, muttype, 'calls' AS metric, round(calls, 6) AS value FROM w UNION ALL SELECT sample, muttype, 'fps', round(fps, 6) FROM w UNION ALL SELECT sample, muttype, 'fdr', round(fps / nullif(calls, 0), 6) FROM w")
 def callstats_long(spark, sf_dir):
     """Calls and expected false positives of each sample, one metric a row."""
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipmode").alias("sample"), F.when(F.col("l_linenumber") % 2 == 0, "snv").otherwise("indel").alias("muttype")).agg(F.count("*").alias("calls"), (F.sum("l_quantity").cast("double") * 1e5).alias("bp"))
+    c = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("sample"), F.when(F.col("l_linenumber") % 2 == 0, "snv").otherwise("indel").alias("muttype")).agg(F.count("*").alias("calls"), (F.sum("l_quantity").cast("double") * 1e5).alias("bp"))
     return aggs.call_statistics(c, {"snv": 0.01313788, "indel": 0.0007298824}).withColumn("value", F.round("value", 6))
 
 
@@ -284,7 +284,7 @@ def cigar_tail(spark, sf_dir):
     return tails.dominance(scored(spark, sf_dir).where("training_site").select(r6("id_score", "x"), r6("hs_score", "y")), "x", "y").select("x", "y", r6("tail"))
 
 
-@query(f"""WITH {_CALLED} SELECT concat_ws(chr(9), chr, pos::VARCHAR, '.', refnt, altnt, '.', 'PASS', concat('TYPE=', muttype), 'GT:DP:AD:AF', concat('0/1:', dp, ':', scref, ',', scalt, ':', printf('%.4f', af))) AS line FROM called WHERE pass""")
+@query(f"""WITH {_CALLED} SELECT concat_ws(chr(9), chr, pos::VARCHAR, '.', refnt, altnt, '.', 'PASS', concat('TYPE=', muttype), 'GT:DP:AD:AF', concat('0/1:', dp, ':', scref, ',', scalt, ':', round(af, 4)::VARCHAR)) AS line FROM called WHERE pass""")
 def vcf_lines(spark, sf_dir):
     """Calls as lines of a VCF."""
     called = filters.call(tested(spark, sf_dir)).where("pass")

@@ -21,7 +21,7 @@ def record() -> Column:
     """The line of a call (chr, pos, refnt, altnt, muttype, dp, scref, scalt, af); what is missing is a dot."""
     dot = F.lit(".")
     text = lambda c: F.coalesce(F.col(c).cast("string"), dot)
-    sample = F.concat(F.lit("0/1:"), text("dp"), F.lit(":"), text("scref"), F.lit(","), text("scalt"), F.lit(":"), F.when(F.col("af").isNull(), dot).otherwise(F.format_string("%.4f", "af")))
+    sample = F.concat(F.lit("0/1:"), text("dp"), F.lit(":"), text("scref"), F.lit(","), text("scalt"), F.lit(":"), F.coalesce(F.round("af", 4).cast("string"), dot))
     return F.concat_ws("\t", text("chr"), text("pos"), dot, text("refnt"), text("altnt"), dot, F.lit("PASS"), F.concat(F.lit("TYPE="), text("muttype")), F.lit("GT:DP:AD:AF"), sample)
 
 
