@@ -24,6 +24,8 @@ from . import shared, textbatch
 
 #: The map is dealt over lists of so many small maps, as Spark looks a key up one by one.
 BUCKETS = 16384
+#: Stands for a pair that doesn't merge.
+NO_RANK = 2**30
 #: Most frequent words that are encoded once and sent to every executor; the others are encoded in each batch.
 FREQUENT = 1 << 20
 #: Longer words (in bytes) are encoded by tiktoken: the fold takes the square of the length.
@@ -46,33 +48,42 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def folded(word: Column, table: Column) -> Column:
-    """The ids of a word, by merges."""
-    rank = lambda piece: F.element_at(F.element_at(table, (F.crc32(piece) % BUCKETS + 1).cast("int")), F.hex(piece))
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    pair = lambda pieces, k: rank(F.concat(F.element_at(pieces, k), F.element_at(pieces, k + 1)))
-
-    def upto(n: Column) -> Column:
-        return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-    def merged(state: Column, place: Column) -> Column:
-        pieces, ranks = state["pieces"], state["ranks"]
-        one = F.concat(F.element_at(pieces, place), F.element_at(pieces, place + 1))
-        left = F.when(place > 1, F.array(rank(F.concat(F.element_at(pieces, F.greatest(place - 1, F.lit(1))), one)))).otherwise(F.array().cast("array<int>"))
-        right = F.when(place + 1 < F.size(pieces), F.array(rank(F.concat(one, F.element_at(pieces, F.least(place + 2, F.size(pieces))))))).otherwise(F.array().cast("array<int>"))
-        rest = F.size(pieces)
-        return F.struct(
-            F.concat(F.slice(pieces, 1, place - 1), F.array(one), F.slice(pieces, place + 2, rest)).alias("pieces"),
-            F.concat(F.slice(ranks, 1, F.greatest(place - 2, F.lit(0))), left, right, F.slice(ranks, place + 2, rest)).alias("ranks"),
-        )
+    """The ids of a word, by merges over its bytes.
 
-    def step(state: Column, _: Column) -> Column:
-        low = F.array_min(state["ranks"])
-        return F.when(low.isNull(), state).otherwise(let(F.array_position(state["ranks"], low).cast("int"), lambda place: merged(state, place)))
-
-    single = F.transform(upto(F.length(word)), lambda k: F.substring(word, k, F.lit(1)))
-    start = let(single, lambda pieces: F.struct(pieces.alias("pieces"), F.transform(upto(F.size(pieces) - 1), lambda k: pair(pieces, k)).alias("ranks")))
-    end = F.aggregate(upto(F.length(word) - 1), start, step, lambda state: F.transform(state["pieces"], rank))
-    return let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(end))
+    A piece is a span of the word's byte array, written as one number: the rank
+    of the piece joined with its successor (NO_RANK if they don't merge), its
+    place and its length.  The smallest number is the pair of lowest rank, the
+    first of them.  The fold alternates between finding that pair and merging it.
+    """
+    rank = lambda piece: F.element_at(F.element_at(table, (F.crc32(piece) % BUCKETS + 1).cast("int")), F.hex(piece))
+    ranked = lambda at, size: F.coalesce(rank(F.substring(word, at, size)).cast("bigint"), F.lit(NO_RANK))
+    piece = lambda r, at, size: r * F.lit(1 << 32) + at * F.lit(1 << 16) + size
+    place = lambda x: F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    size = lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int")
+    none, n = F.lit(NO_RANK), F.length(word)
+
+    def found(acc: Column) -> Column:
+        low = F.array_min(acc["pieces"])
+        k = F.when(low >= F.lit(NO_RANK << 32), -1).otherwise(F.array_position(acc["pieces"], low).cast("int"))
+        return F.struct(acc["pieces"].alias("pieces"), k.alias("k"))
+
+    def merged(acc: Column) -> Column:
+        pieces, k = acc["pieces"], acc["k"]
+        before, low, second, after = (F.try_element_at(pieces, k + d) if d != -1 else F.element_at(pieces, F.greatest(k - 1, F.lit(1))) for d in (-1, 0, 1, 2))
+        grown = size(low) + size(second)
+        here = piece(F.when(after.isNull(), none).otherwise(ranked(place(low), grown + size(after))), place(low), grown)
+        left = piece(ranked(place(before), size(before) + grown), place(before), size(before))
+        rest = F.slice(pieces, k + 2, n)
+        joined = F.when(k > 1, F.concat(F.slice(pieces, 1, k - 2), F.array(left, here), rest)).otherwise(F.concat(F.array(here), rest))
+        return F.struct(joined.alias("pieces"), F.lit(0).alias("k"))
+
+    def step(acc: Column, i: Column) -> Column:
+        return F.when(acc["k"] < 0, acc).when(acc["k"] == 0, found(acc)).otherwise(merged(acc))
+
+    start = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: piece(F.when(k < n, ranked(k, F.lit(2))).otherwise(none), k, F.lit(1)))
+    steps = F.when(n > 1, F.sequence(F.lit(2), 2 * n - 1)).otherwise(F.array().cast("array<int>"))
+    end = F.aggregate(steps, F.struct(start.alias("pieces"), F.lit(0).alias("k")), step, lambda acc: F.transform(acc["pieces"], lambda x: rank(F.substring(word, place(x), size(x)))))
+    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(end)
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -80,7 +91,7 @@ def _words(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in textbatch.chunks(batches, "_text", 32 << 20):
+        for _, data, offsets in textbatch.chunks(batches, "_text"):
             starts, ends, _ = textbatch.pattern_tokens(data, offsets)
             codes, values, first = textbatch.distinct(textbatch.word_hashes(data, starts, ends))
             count = np.bincount(codes, minlength=len(values))
@@ -131,7 +142,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sent.value[0]
-        for batch, data, offsets in textbatch.chunks(batches, "_text"):
+        for batch, data, offsets in textbatch.chunks(batches, "_text", 4 << 20):
             starts, ends, doc = textbatch.pattern_tokens(data, offsets)
             codes, values, first = textbatch.distinct(textbatch.word_hashes(data, starts, ends))
             at = np.minimum(np.searchsorted(hashes, values), max(0, len(hashes) - 1))

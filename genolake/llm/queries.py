@@ -25,8 +25,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         import numpy as np
 
+        decimal = [str(k) for k in range(1 << 16)].__getitem__
         for batch in batches:
-            ids = [hashlib.sha256(",".join(map(str, np.frombuffer(x, "<i4").tolist())).encode()).hexdigest() for x in batch.column(2).to_pylist()]
+            ids = [hashlib.sha256(",".join(map(decimal, np.frombuffer(x, "<i4").tolist())).encode()).hexdigest() for x in batch.column(2).to_pylist()]
             text = [hashlib.sha256(x).hexdigest() for x in batch.column(3).to_pylist()]
             yield shared.rows(schema, batch.column(0), batch.column(1), ids, text)
 
