@@ -10,9 +10,9 @@ verified by the Jaccard similarity of their shingle sets.
 
 Exact copies (the same words) are one representative from the start.  In a band's
 bucket the member that shares most buckets leads, and all others are verified
-against it; members left outside the leader's class are verified against one
-leader of their own and then against every member of another class, so that no
-link between classes is lost while pairs inside a class are never made.
+against it.  Buckets that hold more than the leader's class are joined by the
+rarest shingles of their members, across classes, which is exact: no link
+between classes is lost, and pairs inside a class are never made.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from . import shared, textbatch
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 #: Members verified against one copy of their leader's shingles.
 SPLIT = 1024
+#: Size of the table of shingle frequencies.
+COUNTERS = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,23 +217,65 @@ def _linked(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame |
     pairs = ranked.join(lead, "bucket").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = shared.written(verified(pairs, sets, threshold), "found")
     labels = components(links)
-    for last in (False, True):
-        known = ranked.join(labels.withColumnRenamed("_id", "rep"), "rep", "left").select("bucket", "rep", "order", F.coalesce("label", "rep").alias("label"))
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(F.struct("rep", "label"), "order").alias("lead")).where("low <> high").select("bucket", "lead")
-        known = shared.written(known.join(mixed, "bucket"), "mixed")
-        rest = known.where("label <> lead.label")
-        if not rest.limit(1).count():
-            break
-        left = rest.select("bucket", F.col("rep").alias("r"), F.col("label").alias("r_label"), F.col("order").alias("r_order"))
-        if not last:
-            left = left.groupBy("bucket").agg(F.max_by("r", "r_order").alias("r"), F.max_by("r_label", "r_order").alias("r_label"))
-        pairs = known.join(left, "bucket").where("label <> r_label and rep <> r and r <> lead.rep and rep <> lead.rep")
-        pairs = pairs.select(F.greatest("r", "rep").alias("a"), F.least("r", "rep").alias("b")) if last else pairs.select(F.col("r").alias("a"), F.col("rep").alias("b"))
-        found = shared.written(verified(pairs, sets, threshold), "found")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-    return labels
+    # what a bucket holds besides its leader's class is joined exactly, by the rarest shingles
+    known = ranked.join(labels.withColumnRenamed("_id", "rep"), "rep", "left").select("bucket", "rep", "order", F.coalesce("label", "rep").alias("label"))
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", "order").alias("led")).where("low <> high").select("bucket", "led")
+    family = known.join(mixed, "bucket").groupBy(F.col("rep").alias("_id")).agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("led")).alias("rest"))
+    family = shared.written(family.join(sets, "_id"), "family")
+    if not family.limit(1).count():
+        return labels
+    rare = prefixes(family, threshold)
+    left = rare.where("rest").select("h", F.col("_id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("left").alias("a_left"))
+    # what two sets have in common is at most what is left of each from their first common shingle on
+    least = (F.col("n") + F.col("a_n")) * (threshold / (1 + threshold)) - 1e-6
+    close = (F.col("label") != F.col("a_label")) & (F.least("left", "a_left") >= least) & (F.least("n", "a_n") >= F.greatest("n", "a_n") * threshold - 1e-6)
+    pairs = rare.join(left, "h").where(close).select("a", F.col("_id").alias("b"))
+    found = shared.written(verified(pairs, sets, threshold), "found")
+    return components(links.unionByName(found)) if found.limit(1).count() else labels
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (textbatch._mixed(s.astype(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def prefixes(family: DataFrame, threshold: float) -> DataFrame:
+    """(_id, label, rest, h, n, left): each document's rarest shingles, of which two documents with the similarity share one,
+    with the number of its shingles and of those from here on in the order.
+
+    For any order of all shingles, sets of n with a Jaccard similarity t share
+    one of their first n - ceil(t n) + 1.  The order is by frequency in the
+    family, counted in a table of fixed size, so that copies meet by their
+    common edits and not by the text that the whole family shares.
+    """
+    schema = pa.schema([("_id", pa.int64()), ("label", pa.int64()), ("rest", pa.bool_()), *((c, pa.int64()) for c in ("h", "n", "left"))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                seen[_slots(np.frombuffer(packed, "<u4"))] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
+
+    counted = family.select("s").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").cast("int").alias("n")).toArrow()  # COUNTERS rows at most
+    table = np.zeros(COUNTERS, np.int32)
+    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    sent = family.sparkSession.sparkContext.broadcast(table)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked, sizes = [], []
+            for packed in batch.column(3).to_pylist():
+                s = np.frombuffer(packed, "<u4")
+                s = s[np.lexsort((s, sent.value[_slots(s)]))]
+                picked.append(s[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1])
+                sizes.append(len(s))
+            length = np.array([len(x) for x in picked])
+            at, n = np.repeat(np.arange(batch.num_rows), length), np.repeat(sizes, length)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+            yield shared.rows(schema, *(batch.column(k).take(pa.array(at)) for k in range(3)), np.concatenate(picked).astype(np.int64), n, n - place)
+
+    return family.select("_id", "label", "rest", "s").mapInArrow(first, "_id long, label long, rest boolean, h long, n long, left long")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
