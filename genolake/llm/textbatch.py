@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: ASCII white space: blank and \x09-\x0D.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -201,12 +201,16 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]
     return [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def ragged_spans(values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of an array, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - size), size)]
+
+
 def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The picked rows of a ragged array, one after the other, and their lengths."""
     size = offsets[pick + 1] - offsets[pick]
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(offsets[pick] - (ends - size), size)], size
+    return ragged_spans(values, offsets[pick], size), size
 
 
 def bounds(counts_by: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
@@ -215,27 +219,42 @@ def bounds(counts_by: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndar
 
 
 class SpanEncoder:
-    """Encodes chunks through their distinct spans; a bounded cache keeps what a worker has encoded.
+    """Encodes chunks through their distinct spans; a bounded table by hash keeps what a worker has encoded.
 
     ``encode`` turns a list of spans into a list of their ids, each as packed 32-bit integers.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 700_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 1_500_000):
+        self.encode, self.most = encode, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.start, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        packed = self.encode(words)
+        size = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+        start = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(packed), np.int32)])
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.start, self.size = (np.insert(old, at, new[order]) for old, new in ((self.hashes, hashes), (self.start, start), (self.size, size)))
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all spans, one after the other, and how many each has."""
         if not len(starts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        codes, _, first = distinct(word_hashes(data, starts, ends))
-        words = spans(data, starts[first], ends[first])
-        if len(self.known) > self.most:
-            self.known.clear()
-        if new := [w for w in words if w not in self.known]:
-            self.known.update(zip(new, self.encode(new), strict=True))
-        packed = [self.known[w] for w in words]
-        offsets = np.append(0, np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4))
-        return ragged(np.frombuffer(b"".join(packed), np.int32), offsets, codes)
+        codes, values, first = distinct(word_hashes(data, starts, ends))
+        if len(self.hashes) > self.most:
+            self.clear()
+        at = np.searchsorted(self.hashes, values)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == values if len(self.hashes) else np.zeros(len(values), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            self.learn(values[new], spans(data, starts[first[new]], ends[first[new]]))
+            at = np.searchsorted(self.hashes, values)
+        size = self.size[at][codes].astype(np.int64)
+        return ragged_spans(self.flat, self.start[at][codes].astype(np.int64), size), size
 
 
 @functools.cache
