@@ -288,14 +288,11 @@ def callable_runs(spark, sf_dir):
     return intervals.runs(deep.select(F.concat(F.lit("chr"), (F.col("l_suppkey") % 3).cast("string")).alias("chr"), F.col("l_orderkey").cast("int").alias("pos")))
 
 
-_HITS = {"n": F.lit(True), "n_major": F.col("scalt") * 2 >= F.col("dp")}
-
-
 @query(f"WITH {duck('site')}, {_TILES} SELECT t.chr, start, end_, count(pos) AS n, count(pos) FILTER (scalt * 2 >= dp) AS n_major FROM tile t LEFT JOIN site_v s ON t.chr = s.chr AND s.pos BETWEEN start AND end_ GROUP BY t.chr, start, end_")
 def overlap_counts(spark, sf_dir):
     """Sites in each tile, all and those mostly of the variant."""
     tiles = intervals.fixed_tiles(intervals.contigs(spark, _CONTIGS), 100_000)
-    return intervals.overlap_counts(tiles, view(spark, sf_dir, "site"), _HITS)
+    return intervals.overlap_counts(tiles, view(spark, sf_dir, "site"), {"n": F.lit(True), "n_major": F.col("scalt") * 2 >= F.col("dp")})
 
 
 @query(f"WITH {duck('interval')}, {_TILES} SELECT i.chr, i.start, i.end_ FROM interval_v i WHERE NOT EXISTS (SELECT 1 FROM tile t WHERE t.chr = i.chr AND i.start >= t.start AND i.end_ <= t.end_)")
