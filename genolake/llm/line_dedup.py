@@ -177,7 +177,9 @@ def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col:
 
 def cleaned(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the text that stays, all columns in place."""
-    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(bitmaps.select(F.col("doc_id").alias("_id"), F.col("bitmap").alias("_bitmap")), "_id", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_bitmap")
+    key, mark = shared.unused(docs, "_key"), shared.unused(docs, "_bitmap")
+    marked = docs.withColumn(key, F.col(id_col).cast("long")).join(bitmaps.select(F.col("doc_id").alias(key), F.col("bitmap").alias(mark)), key, "left")
+    joined = marked.select(*(F.col(f"`{c}`") for c in docs.columns), mark)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

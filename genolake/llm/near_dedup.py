@@ -280,5 +280,6 @@ def prefixes(family: DataFrame, threshold: float) -> DataFrame:
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents without those that have a smaller id in their class; all columns.  Rows without an id stay."""
-    others = classes(docs, id_col, text_col, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs[id_col].cast("long") == others["_other"], "left_anti")
+    other = shared.unused(docs, "_other")
+    others = classes(docs, id_col, text_col, **how).where("doc_id <> class_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(others, F.col(id_col).cast("long") == F.col(other), "left_anti")

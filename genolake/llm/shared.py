@@ -27,6 +27,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this that the table doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def filtered(docs: DataFrame, text_col: str, keep: Callable) -> DataFrame:
     """The rows for which ``keep``, given a chunk's bytes and offsets, says so; all columns, where they lie."""
     from . import textbatch
