@@ -32,6 +32,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 SPLIT = 1024
 #: Size of the table of shingle frequencies.
 COUNTERS = 1 << 20
+#: Bits of the filter of candidates' ids.
+FILTER = 1 << 24
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +98,7 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     schema = pa.schema([("_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in textbatch.chunks(batches, "_text", 4 << 20):
+        for batch, data, offsets in textbatch.chunks(batches, "_text"):
             n = batch.num_rows
             of, h, count = shingles(data, offsets)
             hashes = band_hashes(signatures(of, h, 1 + np.log(count), n, bands * rows), bands, rows)
@@ -109,19 +111,54 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, f1 long, f2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(_id, s) of (_id, _text): the sorted 32-bit hashes of the shingles."""
+def _bits(ids: np.ndarray) -> list[np.ndarray]:
+    """Three places of each id in a filter of FILTER bits."""
+    return [(textbatch._mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(FILTER)).astype(np.int64) for k in (1, 2, 3)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of (_id), of fixed size however many ids there are: with too many it lets all rows pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(FILTER, bool)
+        for batch in batches:
+            for places in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
+                flags[places] = True
+        words = np.packbits(flags, bitorder="little").view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["place", "word"])
+
+    found = ids.select("_id").mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()  # FILTER / 64 rows at most
+    words = np.zeros(FILTER // 64, "<i8")
+    words[found.column("place").to_numpy()] = found.column("word").to_numpy()
+    return words.view(np.uint8)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_id, s) of those of (_id, _text) whose _id is wanted: the sorted 32-bit hashes of the shingles.
+
+    Texts are not moved: a filter of fixed size leaves few of the other rows, and the sets are joined with the ids.
+    """
     schema = pa.schema([("_id", pa.int64()), ("s", pa.binary())])
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = np.ones(batch.num_rows, bool)
+            for places in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
+                fine &= (sent.value[places >> 3] >> (places & 7)) & 1 == 1
+            yield batch.filter(pa.array(fine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in textbatch.chunks(batches, "_text", 4 << 20):
+        for batch, data, offsets in textbatch.chunks(passed(batches), "_text"):
             of, h, _ = shingles(data, offsets)
             h = (h >> np.uint64(32)).astype("<u4")
             order = np.lexsort((h, of))
             place = np.append(0, np.cumsum(np.bincount(of, minlength=batch.num_rows)))
             yield shared.rows(schema, batch.column(0), shared.binary_rows(h[order], 4 * place))
 
-    return docs.mapInArrow(run, "_id long, s binary")
+    sets = docs.select("_id", "_text").where("_id is not null").mapInArrow(run, "_id long, s binary")
+    return sets.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -212,7 +249,7 @@ def _linked(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame |
     """Labels of the representatives that links join."""
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = shared.written(members.join(degree, "rep").select("bucket", "rep", F.struct("degree", (-F.col("rep")).alias("o")).alias("order")), "ranked")
-    sets = shared.written(shingle_sets(own.join(ranked.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"])), "shingles")
+    sets = shared.written(shingle_sets(own, ranked.select(F.col("rep").alias("_id")).distinct()), "shingles")
     lead = ranked.groupBy("bucket").agg(F.max_by("rep", "order").alias("leader"))
     pairs = ranked.join(lead, "bucket").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = shared.written(verified(pairs, sets, threshold), "found")
