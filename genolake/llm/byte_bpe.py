@@ -27,7 +27,7 @@ BUCKETS = 16384
 #: Stands for a pair that doesn't merge.
 NO_RANK = 2**30
 #: Most frequent words that are encoded once and sent to every executor; the others are encoded in each batch.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 21
 #: Longer words (in bytes) are encoded by tiktoken: the fold takes the square of the length.
 LONG_WORD = 256
 
@@ -101,8 +101,11 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, table: Column, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, offsets and ids of at most ``most`` words: those above a count that so many reach."""
+def frequent_words(docs: DataFrame, table: Column, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of at most ``most`` words, those above a count that so many reach; where their ids begin, how many they are, and the ids.
+
+    Tasks send what they have found packed, a row for each batch.
+    """
     words = shared.written(_words(docs), "words")
     tiers = words.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("tier")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("tier")).collect()  # a few hundred rows
     total, least = 0, None
@@ -111,16 +114,25 @@ def frequent_words(docs: DataFrame, table: Column, most: int) -> tuple[np.ndarra
         if total > most:
             break
         least = tier["least"]
+    none = (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32))
     if least is None:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int32)
-    known = words.where(F.col("n") >= least).select("word", folded(F.col("word"), table).alias("ids")).toArrow().combine_chunks()
-    data, at = textbatch.text_buffers(known.column("word").combine_chunks() if known.num_rows else pa.array([], pa.binary()))
-    ids = known.column("ids").combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-    hashes = textbatch.word_hashes(data, at[:-1], at[1:])
+        return none
+    schema = pa.schema([(c, pa.binary()) for c in ("hashes", "sizes", "ids")])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = textbatch.text_buffers(batch.column(0))
+            ids = batch.column(1)
+            size = ids.value_lengths().to_numpy(zero_copy_only=False).astype("<i4")
+            yield shared.rows(schema, [textbatch.word_hashes(data, at[:-1], at[1:]).tobytes()], [size.tobytes()], [ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()])
+
+    found = words.where(F.col("n") >= least).select("word", folded(F.col("word"), table).alias("ids")).mapInArrow(packed, "hashes binary, sizes binary, ids binary").toArrow()
+    if not found.num_rows:
+        return none
+    hashes, size, flat = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(c)]) for c, kind in (("hashes", np.uint64), ("sizes", "<i4"), ("ids", "<i4")))
+    start = (np.cumsum(size) - size).astype(np.int32)
     order = np.argsort(hashes)
-    offsets = ids.offsets.to_numpy().astype(np.int64)
-    flat, size = textbatch.ragged(ids.values.to_numpy().astype(np.int32), offsets, order)
-    return hashes[order], np.append(0, np.cumsum(size)), flat
+    return hashes[order], start[order], size[order], flat
 
 
 _CHUNK = "doc_ids array<long>, doc_words binary, codes binary, known binary, rare array<binary>"
@@ -153,7 +165,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
             yield shared.rows(_CHUNK_SCHEMA, names, [textbatch.bounds(doc, None, batch.num_rows).astype("<i8").tobytes()], [codes.astype("<i4").tobytes()], [known.tobytes()], [rare])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, known_at, known_ids = sent.value
+        _, known_start, known_size, known_ids = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
                 names = batch.column(0)[k].values
@@ -162,11 +174,14 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
                 if rare.null_count:
                     filled = iter(_by_tiktoken(rank_path, batch.column(5)[k].as_py()))
                     rare = pa.array([next(filled) if x is None else x for x in rare.to_pylist()], pa.list_(pa.int32()))
-                size = rare.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                rare_size = rare.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                start, size = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
+                new = known < 0
+                start[~new], size[~new] = known_start[known[~new]], known_size[known[~new]]
+                start[new], size[new] = len(known_ids) + np.cumsum(rare_size) - rare_size, rare_size
                 flat = np.concatenate([known_ids, rare.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-                pick = known.copy()
-                pick[known < 0] = len(known_at) - 1 + np.arange(len(size))
-                ids, count = textbatch.ragged(flat, np.append(known_at, known_at[-1] + np.cumsum(size)), pick[codes])
+                count = size[codes]
+                ids = textbatch.ragged_spans(flat, start[codes], count)
                 ends = np.append(0, np.cumsum(count))[place]
                 yield shared.rows(_IDS, names, np.diff(ends), shared.binary_rows(ids.astype("<i4"), 4 * ends))
 
