@@ -32,6 +32,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 SPLIT = 1024
 #: Size of the table of shingle frequencies.
 COUNTERS = 1 << 20
+#: Bits of a document's shingle parities.
+PARITY = 512
 #: Bits of the filter of candidates' ids.
 FILTER = 1 << 24
 
@@ -262,10 +264,13 @@ def _linked(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame |
     if not family.limit(1).count():
         return labels
     rare = prefixes(family, threshold)
-    left = rare.where("rest").select("h", F.col("_id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("left").alias("a_left"))
+    left = rare.where("rest").select("h", F.col("_id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("left").alias("a_left"), F.col("parity").alias("a_parity"))
     # what two sets have in common is at most what is left of each from their first common shingle on
     least = (F.col("n") + F.col("a_n")) * (threshold / (1 + threshold)) - 1e-6
     close = (F.col("label") != F.col("a_label")) & (F.least("left", "a_left") >= least) & (F.least("n", "a_n") >= F.greatest("n", "a_n") * threshold - 1e-6)
+    # each shingle that one of two sets lacks turns one bit of their parities
+    apart = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("a_parity")[k])) for k in range(PARITY // 64)), F.lit(0))
+    close &= (apart <= (F.col("n") + F.col("a_n")) * ((1 - threshold) / (1 + threshold)) + 1e-6) & (~F.col("rest") | (F.col("_id") < F.col("a")))
     pairs = rare.join(left, "h").where(close).select("a", F.col("_id").alias("b"))
     found = shared.written(verified(pairs, sets, threshold), "found")
     return components(links.unionByName(found)) if found.limit(1).count() else labels
@@ -277,20 +282,20 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 def prefixes(family: DataFrame, threshold: float) -> DataFrame:
     """(_id, label, rest, h, n, left): each document's rarest shingles, of which two documents with the similarity share one,
-    with the number of its shingles and of those from here on in the order.
+    with the number of its shingles and of those from here on in the order, and the parities of its shingles over PARITY bits.
 
     For any order of all shingles, sets of n with a Jaccard similarity t share
     one of their first n - ceil(t n) + 1.  The order is by frequency in the
     family, counted in a table of fixed size, so that copies meet by their
     common edits and not by the text that the whole family shares.
     """
-    schema = pa.schema([("_id", pa.int64()), ("label", pa.int64()), ("rest", pa.bool_()), *((c, pa.int64()) for c in ("h", "n", "left"))])
+    schema = pa.schema([("_id", pa.int64()), ("label", pa.int64()), ("rest", pa.bool_()), *((c, pa.int64()) for c in ("h", "n", "left")), ("parity", pa.list_(pa.int64()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                seen[_slots(np.frombuffer(packed, "<u4"))] += 1
+                seen[_slots(np.unique(np.frombuffer(packed, "<u4")))] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
 
@@ -301,18 +306,19 @@ def prefixes(family: DataFrame, threshold: float) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked, sizes = [], []
+            picked, sizes, parities = [], [], []
             for packed in batch.column(3).to_pylist():
-                s = np.frombuffer(packed, "<u4")
+                s = np.unique(np.frombuffer(packed, "<u4"))
+                parities.append(np.packbits((np.bincount(s % PARITY, minlength=PARITY) & 1).astype(np.uint8), bitorder="little").view("<i8"))
                 s = s[np.lexsort((s, sent.value[_slots(s)]))]
                 picked.append(s[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1])
                 sizes.append(len(s))
             length = np.array([len(x) for x in picked])
             at, n = np.repeat(np.arange(batch.num_rows), length), np.repeat(sizes, length)
             place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-            yield shared.rows(schema, *(batch.column(k).take(pa.array(at)) for k in range(3)), np.concatenate(picked).astype(np.int64), n, n - place)
+            yield shared.rows(schema, *(batch.column(k).take(pa.array(at)) for k in range(3)), np.concatenate(picked).astype(np.int64), n, n - place, pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * (PARITY // 64), pa.array(np.stack(parities)[at].ravel())))
 
-    return family.select("_id", "label", "rest", "s").mapInArrow(first, "_id long, label long, rest boolean, h long, n long, left long")
+    return family.select("_id", "label", "rest", "s").mapInArrow(first, "_id long, label long, rest boolean, h long, n long, left long, parity array<long>")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
