@@ -1,8 +1,10 @@
 """Operator 3: packing by lexical retrieval.
 
-Documents are hashed to shards of a few million ids.  A shard is one task: it
-holds a BM25 inverted index of its documents, by token id, with the corpus's
-document frequencies.  A seed document queries the index; its unused neighbours,
+Documents are dealt to shards of a few million ids, similar ones together: by
+clusters of projected term vectors and a tree over the clusters, both fitted on
+a sample.  A shard
+is one task: it holds a BM25 inverted index of its documents, by token id, with
+the corpus's document frequencies.  A seed document queries the index; its unused neighbours,
 best first, fill the window, and the document that crosses the window's end is
 the next seed.  A shard's documents so form one stream, cut every ``window`` ids;
 its last, partial window is cut at powers of two, which need no padding.
@@ -62,6 +64,142 @@ def document_frequencies(ids: DataFrame, kind: str, vocabulary: int) -> np.ndarr
     return out
 
 
+DIMENSIONS, DIRECTIONS, SAMPLE, LEAF_SAMPLE, SALTS = 128, 8, 20_000, 32, 1 << 20
+
+
+def projection(idf: np.ndarray) -> np.ndarray:
+    """A row of random signs times its weight for each id of the vocabulary."""
+    signs = np.random.default_rng(7).integers(0, 2, (len(idf), DIMENSIONS), np.int8)
+    return (2 * signs.astype(np.float32) - 1) * idf.astype(np.float32)[:, None]
+
+
+def term_vectors(rows: list, kind: str, projected: np.ndarray) -> np.ndarray:
+    """The projected term vector of each document, of length 256, in whole numbers: products of them are exact in any order."""
+    out = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for k, row in enumerate(rows):
+        terms, counts = np.unique(np.frombuffer(row, kind), return_counts=True)
+        out[k] = (counts / (counts + K1)).astype(np.float32) @ projected[terms]
+    return np.rint(256 * out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def clustered(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Cluster centres by spherical k-means, in whole numbers as the vectors."""
+    centres = vectors[np.random.default_rng(11).choice(len(vectors), count, replace=False)]
+    for _ in range(rounds):
+        near = nearest(vectors, centres)
+        sums = np.zeros((count, DIMENSIONS))
+        np.add.at(sums, near, vectors)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, np.rint(256 * sums / np.maximum(size, 1e-9)), centres).astype(np.float32)
+    return centres
+
+
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *((vectors[k : k + 1024] @ centres.T).argmax(axis=1) for k in range(0, len(vectors), 1024))])
+
+
+def halves(vectors: np.ndarray, seed: int) -> np.ndarray:
+    """Directions between two means, from several starts."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(DIRECTIONS):
+        way = vectors[rng.integers(len(vectors))] - vectors[rng.integers(len(vectors))]
+        for _ in range(4):
+            place = vectors @ way
+            high = place > np.median(place)
+            if high.any() and not high.all():
+                way = vectors[high].mean(axis=0) - vectors[~high].mean(axis=0)
+        out.append(way / max(1e-9, float(np.linalg.norm(way))))
+    return np.array(out)
+
+
+def grown(vectors: np.ndarray, salt: np.ndarray, weight: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree with a leaf for each shard: directions, bounds (projection, salt) and children; a child below 0 is leaf -1 - child.
+
+    A node cuts its sample across one of the widest directions, where the gap
+    near the middle is largest.  Equal vectors are told apart by their salt, so that a
+    large group of copies spreads over as many leaves as its ids need.
+    """
+    direction, bound, child = np.zeros((shards - 1, DIMENSIONS), np.float32), np.zeros((shards - 1, 2)), np.zeros((shards - 1, 2), np.int64)
+    todo, nodes, leaves = [(np.arange(len(salt)), shards, -1, 0)], 0, 0
+    while todo:
+        at, k, parent, side = todo.pop()
+        if k == 1:
+            child[parent, side] = -1 - leaves
+            leaves += 1
+            continue
+        node, nodes = nodes, nodes + 1
+        if parent >= 0:
+            child[parent, side] = node
+        first = k // 2
+        bound[node] = 0, SALTS * first / k
+        left = salt[at] < bound[node, 1]
+        if len(at) >= 8:
+            options = np.concatenate([np.linalg.eigh(np.cov(vectors[at].T.astype(float)))[1][:, : -DIRECTIONS - 1 : -1].T, halves(vectors[at], node)])
+            gap, cut, sums = -1.0, 0, np.zeros(0)
+            for option in np.rint(256 * options).astype(np.float32):
+                place = vectors[at] @ option
+                order = np.lexsort((salt[at], place))
+                total = np.cumsum(weight[at][order]) / weight[at].sum()
+                cuts = np.flatnonzero((total[:-1] >= 0.35) & (total[:-1] <= 0.65)) + 1
+                if not len(cuts):
+                    cuts = np.array([min(max(1, int(np.searchsorted(total, 0.5))), len(at) - 1)])
+                near = max(1, len(at) // 200)
+                gaps = place[order][np.minimum(cuts + near - 1, len(at) - 1)] - place[order][np.maximum(cuts - near, 0)]
+                best = cuts[gaps == gaps.max()]
+                if gaps.max() > gap:
+                    gap, cut, sums = gaps.max(), int(best[np.argmin(np.abs(total[best - 1] - 0.5))]), total
+                    direction[node], bound[node] = option, (place[order[cut]], salt[at][order[cut]])
+            place = vectors[at] @ direction[node]
+            left = (place < bound[node, 0]) | ((place == bound[node, 0]) & (salt[at] < bound[node, 1]))
+            first = min(max(1, round(k * float(sums[cut - 1]))), k - 1)
+        todo += [(at[~left], k - first, node, 1), (at[left], first, node, 0)]
+    return direction, bound, child
+
+
+def leaf_of(tree: tuple[np.ndarray, np.ndarray, np.ndarray], vectors: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    direction, bound, child = tree
+    node = np.zeros(len(vectors), np.int64)
+    while len(go := np.flatnonzero(node >= 0)):
+        at = node[go]
+        place = np.einsum("ij,ij->i", vectors[go], direction[at])
+        left = (place < bound[at, 0]) | ((place == bound[at, 0]) & (salt[go] < bound[at, 1]))
+        node[go] = child[at, np.where(left, 0, 1)]
+    return -1 - node
+
+
+def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) -> DataFrame:
+    """Adds the shard of each document: its cluster's leaf.
+
+    Clusters, four or more for a shard, and tree are fitted on a sample by
+    hashed doc_id, of some 20,000 documents or 32 a shard.
+    """
+    if shards == 1:
+        return ids.withColumn("shard", F.lit(0).cast("long"))
+    projected = ids.sparkSession.sparkContext.broadcast(projection(idf))
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SALTS)))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = term_vectors(batch.column("ids").to_pylist(), kind, projected.value).astype("<i2")
+            yield pa.RecordBatch.from_arrays([batch.column("salt"), batch.column("n"), pa.array([v.tobytes() for v in found], pa.binary())], ["salt", "n", "vector"])
+
+    share = max(SAMPLE, LEAF_SAMPLE * shards) / max(1, rows)
+    sample = salted.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SALTS)) < share * SALTS).mapInArrow(vectors, "salt long, n long, vector binary").toPandas().sort_values(["salt", "n", "vector"])
+    fitted = np.frombuffer(b"".join(sample["vector"]), "<i2").reshape(-1, DIMENSIONS).astype(np.float32)
+    centres = clustered(fitted, max(1, min(max(256, 4 * shards), len(fitted) // 8))) if len(fitted) else np.zeros((1, DIMENSIONS), np.float32)
+    tree = grown(centres[nearest(fitted, centres)], sample["salt"].to_numpy(np.int64), sample["n"].to_numpy(float), shards)
+    model = ids.sparkSession.sparkContext.broadcast((centres, tree))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = term_vectors(batch.column("ids").to_pylist(), kind, projected.value)
+            centres, tree = model.value
+            leaf = leaf_of(tree, centres[nearest(found, centres)], batch.column("salt").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n", "ids")] + [pa.array(leaf)], ["doc_id", "n", "ids", "shard"])
+
+    return salted.mapInArrow(run, "doc_id long, n long, ids binary, shard long")
+
+
 def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms: int) -> list[int]:
     """The order in which a shard's documents enter its stream."""
     docs = len(lists)
@@ -150,7 +288,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW,
     ids = shared.written(encoded(docs, tokenizer, end_id, id_col, text_col), "packing")
     total, rows = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     seen = document_frequencies(ids, kind, vocabulary)
-    idf = spark.sparkContext.broadcast(np.log1p((rows - seen + 0.5) / (seen + 0.5)))  # a number for each id of the vocabulary
+    weights = np.log1p((rows - seen + 0.5) / (seen + 0.5))
+    idf = spark.sparkContext.broadcast(weights)  # a number for each id of the vocabulary
     shards = max(1, round(total / shard_ids))
 
     def shard(table: pa.Table) -> pa.Table:
@@ -164,5 +303,4 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW,
         crc = [zlib.crc32(lists[order[d]][a : a + n].astype("<u4").tobytes()) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         return pa.table([pa.array([names[order[d]] for d in doc.tolist()], pa.int64()), *(pa.array(c, pa.int64()) for c in (start, length, crc, size[doc], sequence + (number << 32), offset))], schema=_PIECE)
 
-    dealt = ids.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(shard, PIECE)
+    return dealt(ids, kind, weights, rows, shards).repartition(shards, "shard").groupBy("shard").applyInArrow(shard, PIECE)

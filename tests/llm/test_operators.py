@@ -123,6 +123,34 @@ def test_packing_retrieves_neighbours():
     assert sum(a % 4 == b % 4 for a, b in zip(order, order[1:], strict=False)) >= 30
 
 
+def bm25_tops(lists, seeds, idf, k):
+    """The k best documents of the whole corpus for each seed, with all of its ids."""
+    mean = np.mean([len(x) for x in lists])
+    impacts = [{int(t): idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t, c in zip(*np.unique(x, return_counts=True), strict=True)} for x in lists]
+    return {s: sorted((d for d in range(len(lists)) if d != s), key=lambda d: (-sum(impacts[d].get(int(t), 0) for t in np.unique(lists[s])), d))[:k] for s in seeds}
+
+
+def test_packing_shards_keep_neighbours(spark):
+    rng = np.random.default_rng(3)
+    topic = rng.integers(0, 40, 800)
+    lists = [np.append(np.where(rng.random(120) < 0.5, rng.integers(1000, 1400, 120), 2000 + 100 * t + rng.integers(0, 60, 120)), 1).astype("<u2") for t in topic.tolist()]
+    df = np.bincount(np.concatenate([np.unique(x) for x in lists]), minlength=8000)
+    idf = np.log1p((800 - df + 0.5) / (df + 0.5))
+    ids = spark.createDataFrame([(k, len(x), x.tobytes()) for k, x in enumerate(lists)], "doc_id long, n long, ids binary").repartition(6)
+    shard = {r["doc_id"]: r["shard"] for r in packing.dealt(ids, "<u2", idf, 800, 8).collect()}
+    sizes = Counter(shard.values())
+    assert len(shard) == 800 and set(sizes) == set(range(8)) and max(sizes.values()) <= 200
+    tops = bm25_tops(lists, range(0, 800, 40), idf, 10)
+    recall = np.mean([shard[s] == shard[d] for s, best in tops.items() for d in best])
+    assert recall >= 0.9, recall
+
+
+def test_packing_splits_copies(spark):
+    ids = spark.createDataFrame([(k, 50, np.arange(50, dtype="<u2").tobytes()) for k in range(800)], "doc_id long, n long, ids binary")
+    sizes = Counter(r["shard"] for r in packing.dealt(ids, "<u2", np.ones(60), 800, 8).collect())
+    assert len(sizes) == 8 and max(sizes.values()) <= 200
+
+
 def brute_lines(texts, min_docs=3):
     keys = {}
     for k, t in enumerate(texts):
