@@ -200,8 +200,8 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
     return salted.mapInArrow(run, "doc_id long, n long, ids binary, shard long")
 
 
-def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms: int) -> list[int]:
-    """The order in which a shard's documents enter its stream."""
+def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms: int | None = None) -> list[int]:
+    """The order in which a shard's documents enter its stream; a seed asks with all its terms, or the strongest ``query_terms``."""
     docs = len(lists)
     size = np.array([len(x) for x in lists])
     mean = max(1.0, size.mean())
@@ -216,6 +216,13 @@ def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms:
     values, begins = np.unique(term_of[by_term], return_index=True)
     stops = np.append(begins[1:], len(by_term))
     own = np.append(0, np.cumsum(length))
+    # ids that many documents have get a row with a place for each document: at most 8 numbers for each posting
+    common = np.flatnonzero(stops - begins >= max(8, docs / 8))
+    dense = np.zeros((len(common), docs))
+    for k, c in enumerate(common.tolist()):
+        dense[k, post_doc[begins[c] : stops[c]]] = post_impact[begins[c] : stops[c]]
+    row_of = np.full(len(values), -1)
+    row_of[common] = np.arange(len(common))
     unused = np.ones(docs, bool)
     order: list[int] = []
     fill, seed, free = 0, None, 0
@@ -232,10 +239,13 @@ def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms:
             seed = None
             continue
         a, b = own[seed], own[seed + 1]
-        best = a + (np.argpartition(-impact[a:b], query_terms)[:query_terms] if b - a > query_terms else np.arange(b - a))
+        best = a + (np.argpartition(-impact[a:b], query_terms)[:query_terms] if query_terms and b - a > query_terms else np.arange(b - a))
         at = np.searchsorted(values, term_of[best])
-        spans = [slice(x, y) for x, y in zip(begins[at].tolist(), stops[at].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([post_doc[s] for s in spans]), np.concatenate([post_impact[s] for s in spans]), docs)
+        score = dense[row_of[at[row_of[at] >= 0]]].sum(axis=0)
+        at = at[(row_of[at] < 0) & (stops[at] - begins[at] > 1)]  # an id of the seed alone adds to no other document
+        if len(at):
+            spans = [slice(x, y) for x, y in zip(begins[at].tolist(), stops[at].tolist(), strict=True)]
+            score += np.bincount(np.concatenate([post_doc[s] for s in spans]), np.concatenate([post_impact[s] for s in spans]), docs)
         score[~unused] = -1
         near = 16
         chosen: list[int] = []
@@ -275,7 +285,7 @@ def stream_pieces(size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return doc, begin - (ends - size)[doc], stop - begin, sequence, begin - cuts[sequence]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW, shard_ids: int = 1 << 21, query_terms: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW, shard_ids: int = 1 << 21, query_terms: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone.  Each row of the input is a

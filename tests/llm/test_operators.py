@@ -151,6 +151,14 @@ def test_packing_splits_copies(spark):
     assert len(sizes) == 8 and max(sizes.values()) <= 200
 
 
+def test_packing_asks_with_all_terms():
+    shared_ids = np.arange(10, 20)
+    seed = np.concatenate([np.arange(1000, 1100), shared_ids])  # a hundred ids that only the seed has, and ten of its neighbour
+    lists = [x.astype("<u2") for x in (seed, *(np.arange(2000 + 100 * k, 2050 + 100 * k) for k in range(20)), np.concatenate([shared_ids, np.arange(5000, 5040)]))]
+    df = np.bincount(np.concatenate(lists), minlength=6000)
+    assert packing.ordered(lists, np.log1p((len(lists) - df + 0.5) / (df + 0.5)), 512)[:2] == [0, 21]
+
+
 def brute_lines(texts, min_docs=3):
     keys = {}
     for k, t in enumerate(texts):
