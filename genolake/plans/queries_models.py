@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..models import allele_balance, gauss_hermite, priors, regression, sampling, segments
+from ..models import allele_balance, gauss_hermite, offsets, priors, regression, sampling, segments
 from ..operators import intervals
 from .adapters import scored, view
 from .queries import SITE_KEY, query, r6
@@ -67,15 +67,18 @@ def cbs_segments(spark, sf_dir):
     return segments.segment(corrected.where("lr is not null"), "lr")
 
 
+SETS = 1000  # as the reference's desired.perms
+
+
 @query()
 def permuted_sites(spark, sf_dir):
     """Sets of random sites inside callable intervals, with the spectrum of the real ones."""
     calls = scored(spark, sf_dir).where("muttype = 'snv' and scalt >= 30")
     spectrum = calls.groupBy("channel").agg(F.count("*").alias("n"))
-    drawn = sampling.positions(spark, view(spark, sf_dir, "interval"), 20_000, 7)
-    names = [(r["channel"], float(r["n"])) for r in spectrum.orderBy("channel").collect()]  # a row for each channel
-    marked = drawn.withColumn("channel", sampling.pick(exprs.uniform(8, F.col("i")), names)) if names else drawn.withColumn("channel", F.lit(None).cast("string"))
-    return sampling.permutations(marked, spectrum)
+    counts = [(r["channel"], r["n"]) for r in spectrum.orderBy("channel").collect()]  # a row for each channel
+    drawn = sampling.draws(spark, counts, SETS, 8)
+    placed = offsets.place(view(spark, sf_dir, "interval"), drawn.select("i", exprs.uniform(7, F.col("i")).alias("u"), "channel"), keep=("channel",))
+    return sampling.permutations(placed, spectrum, SETS)
 
 
 @query()

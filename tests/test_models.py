@@ -5,8 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from genolake.models import allele_balance, gauss_hermite, priors, regression, sampling, segments, tails
+from genolake.plans import queries_models
+from genolake.plans.adapters import scored
 
 
 def test_read_probabilities():
@@ -86,6 +89,15 @@ def test_sampling(spark):
     assert abs(sampling.correlation_effect(0.9, 10)) < 0.9 and sampling.corrected_correlation(sampling.correlation_effect(0.6, 30), 30) == pytest.approx(0.6, abs=0.1)
 
 
+def test_permutations_solve_all_sets(spark, sf_dir):
+    many = [("a", 30_000), ("b", 1), ("c", 700)]
+    got = {r["channel"]: r["n"] for r in sampling.draws(spark, many, 3, 8).groupBy("channel").agg(F.count("*").alias("n")).collect()}
+    assert all(got[c] >= 3 * n for c, n in many) and sampling.draws(spark, [], 3, 8).count() == 0
+    calls = scored(spark, sf_dir).where("muttype = 'snv' and scalt >= 30").count()
+    found = queries_models.permuted_sites(spark, sf_dir).groupBy("perm_id").agg(F.count("*").alias("n")).collect()
+    assert len(found) == queries_models.SETS == 1000 and {r["n"] for r in found} == {calls}
+
+
 def test_dominance(spark):
     pts = [(0.1, 0.2), (0.1, 0.2), (0.5, 0.1), (0.9, 0.9), (None, 1.0)]
     got = {(r["x"], r["y"]): r["tail"] for r in tails.dominance(spark.createDataFrame(pts, "x double, y double"), "x", "y").collect()}
