@@ -26,8 +26,8 @@ def _training(spark, sf_dir):
 
 @query()
 def ab_fit(spark, sf_dir):
-    """Allele-balance parameters of each chromosome by a small random search over a bounded sample of tiles."""
-    return allele_balance.fit(_training(spark, sf_dir), steps=2, samples=64, best=16, tiles=2, tile=50)
+    """Allele-balance parameters of each chromosome by a random search of 4 steps of 20,000 draws over up to 250 tiles of 100 sites."""
+    return allele_balance.fit(_training(spark, sf_dir))
 
 
 @query()

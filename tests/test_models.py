@@ -98,6 +98,16 @@ def test_permutations_solve_all_sets(spark, sf_dir):
     assert len(found) == queries_models.SETS == 1000 and {r["n"] for r in found} == {calls}
 
 
+def test_ab_fit_runs_the_whole_search(spark, sf_dir, monkeypatch):
+    import inspect
+
+    asked = {k: p.default for k, p in inspect.signature(allele_balance.fit).parameters.items() if k != "training"}
+    whole = dict(asked)
+    monkeypatch.setattr(allele_balance, "fit", lambda training, **options: asked.update(options))
+    queries_models.ab_fit(spark, sf_dir)
+    assert asked == whole and (whole["steps"], whole["samples"], whole["tiles"], whole["tile"]) == (4, 20_000, 250, 100)
+
+
 def test_dominance(spark):
     pts = [(0.1, 0.2), (0.1, 0.2), (0.5, 0.1), (0.9, 0.9), (None, 1.0)]
     got = {(r["x"], r["y"]): r["tail"] for r in tails.dominance(spark.createDataFrame(pts, "x double, y double"), "x", "y").collect()}
