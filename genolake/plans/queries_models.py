@@ -32,10 +32,10 @@ def ab_fit(spark, sf_dir):
 
 @query()
 def gp_predict(spark, sf_dir):
-    """Mean and deviation of the allele balance at all other sites, with fixed parameters."""
+    """Mean and deviation of the allele balance at all sites, with fixed parameters; a training site's own reads are left out."""
     s = scored(spark, sf_dir)
     fits = s.select("chr").distinct().select("chr", F.lit(-1.0).alias("a"), F.lit(1000.0).alias("b"), F.lit(-1.0).alias("c"), F.lit(20000.0).alias("d"))
-    return allele_balance.estimates(s.where("scalt >= 20 and not training_site"), _training(spark, sf_dir), fits)
+    return allele_balance.estimates(s, _training(spark, sf_dir), fits)
 
 
 @query()

@@ -108,6 +108,12 @@ def test_ab_fit_runs_the_whole_search(spark, sf_dir, monkeypatch):
     assert asked == whole and (whole["steps"], whole["samples"], whole["tiles"], whole["tile"]) == (4, 20_000, 250, 100)
 
 
+def test_gp_predict_estimates_all_sites(spark, sf_dir):
+    got = queries_models.gp_predict(spark, sf_dir).select("chr", "pos")
+    asked = scored(spark, sf_dir).select("chr", "pos").distinct()
+    assert got.count() == asked.count() and asked.exceptAll(got).count() == 0
+
+
 def test_dominance(spark):
     pts = [(0.1, 0.2), (0.1, 0.2), (0.5, 0.1), (0.9, 0.9), (None, 1.0)]
     got = {(r["x"], r["y"]): r["tail"] for r in tails.dominance(spark.createDataFrame(pts, "x double, y double"), "x", "y").collect()}
