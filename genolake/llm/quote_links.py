@@ -2,9 +2,11 @@
 
 Lines with > marks are quotes; lines of one level in a row are a passage.
 Passages are normalised and hashed and joined to the messages in which the
-passage is own text: the whole body, a paragraph or a line.  The quoting message
-is a reply to the message that its first linked passage comes from, and a
-conversation is the tree of replies below a message without a link.
+passage is own text: the whole body, a paragraph or a line.  A passage that no
+message has as such is looked up by its paragraphs, and then by its lines.  The
+quoting message is a reply to the message that its first linked passage comes
+from, and a conversation is the tree of replies below a message without a link;
+of links in a circle, that of the smallest message is dropped.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def _hash(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, body, own, passages): body without quotes, hashes of own text, quoted passages (level, hash)."""
+    """(conv_id, turn, role, body, own, passages): body without quotes, hashes of own text, quoted passages (level, parts: unit, hash)."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), "[^>]", ""))
     marked = F.transform(lines, lambda line: F.struct(level(line).alias("level"), F.regexp_replace(line, MARKS + r"[ \t]?", "").alias("content")))
@@ -39,12 +41,15 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     def passage(start: Column, k: Column) -> Column:
         stop = F.coalesce(F.try_element_at("starts", k + 2), F.size("lines") + 1)
-        text = F.array_join(F.transform(F.slice("lines", start, stop - start), lambda x: x["content"]), " ")
-        return F.struct(at(start)["level"].alias("level"), normalised(text).alias("text"))
+        text = F.array_join(F.transform(F.slice("lines", start, stop - start), lambda x: x["content"]), "\n")
+        units = [F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, "\n")]  # passage, paragraphs, lines
+        part = lambda unit: lambda x: F.struct(F.lit(unit).alias("unit"), normalised(x).alias("text"))
+        parts = F.concat(*[F.transform(u, part(unit)) for unit, u in enumerate(units)])
+        return F.struct(at(start)["level"].alias("level"), F.filter(parts, lambda x: x["text"] != "").alias("parts"))
 
-    quoted = F.filter(F.transform("starts", passage), lambda p: (p["level"] > 0) & (p["text"] != ""))
+    quoted = F.filter(F.transform("starts", passage), lambda p: (p["level"] > 0) & (F.size(p["parts"]) > 0))
     body = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n")
-    base = base.select("conv_id", "turn", "role", body.alias("body"), F.transform(quoted, lambda p: F.struct(p["level"].alias("level"), _hash(p["text"]).alias("hash"))).alias("passages"))
+    base = base.select("conv_id", "turn", "role", body.alias("body"), F.transform(quoted, lambda p: F.struct(p["level"].alias("level"), F.transform(p["parts"], lambda x: F.struct(x["unit"].alias("unit"), _hash(x["text"]).alias("hash"))).alias("parts"))).alias("passages"))
     pieces = F.transform(F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n")), normalised)
     own = F.transform(F.array_distinct(F.filter(pieces, lambda p: p != "")), _hash)
     return base.withColumn("own", own)
@@ -56,14 +61,15 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     Columns: thread (the first message's conv_id and turn), path (turns from it to
     the message), conv_id, turn, role, body, n_passages, max_level, n_linked,
     reply_conv, reply_turn.  A passage links to the first message (by conv_id and
-    turn) of the same conversation that has it as own text, else of all; only to
-    one before the quoting message in this order.  Null texts are empty; rows
+    turn) of the same conversation that has it as own text, if that is before the
+    quoting message, else to that of the first other conversation that has it (the
+    last one, where the quoting conversation is the first), whatever its order.  Null texts are empty; rows
     that repeat (conv_id, turn) or lack one of them are kept without links of their own.
     Order by thread and path gives each conversation depth first.
     """
     known = parsed(messages, conv_col, turn_col, role_col, text_col)
     quotes = known.where((F.size("passages") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quotes = shared.written(quotes.dropDuplicates(["conv_id", "turn"]).select("conv_id", "turn", F.posexplode("passages").alias("k", "p")).select("conv_id", "turn", "k", F.col("p.level").alias("level"), F.col("p.hash").alias("hash")), "quotes")
+    quotes = shared.written(quotes.dropDuplicates(["conv_id", "turn"]).select("conv_id", "turn", F.posexplode("passages").alias("k", "p")).select("conv_id", "turn", "k", F.col("p.level").alias("level"), F.posexplode("p.parts").alias("j", "part")).select("conv_id", "turn", "k", "level", "j", F.col("part.hash").alias("hash")), "quotes")
     if not quotes.limit(1).count():
         return known.select(
             F.struct("conv_id", "turn").alias("thread"), F.array(F.struct("conv_id", "turn")).alias("path"), "conv_id", "turn", "role", "body", F.size("passages").cast("long").alias("n_passages"),
@@ -73,21 +79,35 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     asked = quotes.select("hash").distinct()
     sources = known.select("conv_id", "turn", F.explode("own").alias("hash")).where("conv_id is not null and turn is not null").join(asked, "hash")
     near = sources.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
-    far = sources.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    other = F.struct("conv_id", F.col("near_turn").alias("turn"))
+    far = near.groupBy("hash").agg(F.min(other).alias("first"), F.max(other).alias("last"))
     found = quotes.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
-    origin = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn"))).when(F.col("far") < me, F.col("far"))
-    replies = found.withColumn("origin", origin).groupBy("conv_id", "turn").agg(
+    far_origin = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("last.conv_id") != F.col("conv_id"), F.col("last"))
+    origin = F.when(F.col("near_turn") < F.col("turn"), other).otherwise(far_origin)
+    # parts of a passage go from the whole to its paragraphs and lines: the first with an origin counts
+    found = found.withColumn("origin", origin).groupBy("conv_id", "turn", "k").agg(F.first("level").alias("level"), F.min_by("origin", F.when(F.col("origin").isNotNull(), F.col("j"))).alias("origin"))
+    replies = found.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_passages"), F.max("level").alias("max_level"), F.count("origin").alias("n_linked"),
         F.min_by("origin", F.when(F.col("origin").isNotNull(), F.struct("level", "k"))).alias("parent"))
     replies = shared.written(replies, "replies")
-    tree = replies.where("parent is not null").select(me.alias("node"), F.array("parent", me).alias("path"))
-    open_paths = 1
-    while open_paths:  # paths double in each round
+    edges = replies.where("parent is not null").select(me.alias("node"), "parent")
+    start = lambda: edges.select("node", F.array("parent", "node").alias("path"))
+    tree, open_paths = start(), 1
+    back = F.reverse("path")
+    again = F.array_position(F.slice(back, 2, F.size("path") - 1), F.col("node")).cast("int")
+    while open_paths:  # paths double in each round; one that returns to its message is a circle
         heads = tree.select(F.col("node").alias("head"), F.col("path").alias("before"))
-        tree = shared.written(tree.withColumn("head", F.element_at("path", 1)).join(heads, "head", "left").select("node", F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", F.slice("path", 2, F.size("path")))).alias("path"), F.col("before").isNotNull().alias("grown")), "paths")
+        tree = tree.withColumn("head", F.element_at("path", 1)).join(heads, "head", "left").select("node", F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", F.slice("path", 2, F.size("path")))).alias("path"), F.col("before").isNotNull().alias("grown"))
+        tree = shared.written(tree.withColumn("cut", F.when(again > 0, F.array_min(F.slice(back, 1, again)) == F.col("node")).otherwise(False)), "paths")
+        if tree.where("cut").limit(1).count():
+            edges = shared.written(edges.join(tree.where("cut").select("node"), "node", "left_anti"), "edges")
+            tree = start()
+            continue
         open_paths = tree.where("grown").limit(1).count()
         tree = tree.select("node", "path")
     paths = tree.select("node.conv_id", "node.turn", "path")
+    replies = replies.drop("parent")
+    paths = paths.withColumn("parent", F.element_at("path", -2))
     out = known.join(replies, ["conv_id", "turn"], "left").join(paths, ["conv_id", "turn"], "left")
     path = F.coalesce("path", F.array(me))
     return out.select(

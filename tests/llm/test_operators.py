@@ -252,6 +252,17 @@ def test_quotes(spark):
     assert plain.first()["path"][0]["turn"] == 3 and quote_links.linked(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_partial_quotes_and_later_conversations(spark):
+    rows = [(1, 0, "u", "one a\ntwo b\nthree c\n\npara two\n\npara three"), (1, 1, "a", "> two b\n> three c\nhm"), (1, 2, "a", "> one a two b three c\n>\n> para two\nok"),
+            (3, 0, "u", "> from the later one\nearly words"), (9, 0, "u", "from the later one"), (9, 1, "u", "> early words\nx"),
+            (5, 0, "u", "> pong ball\nping ball"), (6, 0, "u", "> ping ball\npong ball"), (7, 0, "u", "> pong ball\nz"), (8, 0, "u", "> nowhere\n> at all")]
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.linked(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    reply = {k: (r["reply_conv"], r["reply_turn"]) for k, r in got.items() if r["reply_conv"] is not None}
+    assert reply == {(1, 1): (1, 0), (1, 2): (1, 0), (3, 0): (9, 0), (9, 1): (3, 0), (6, 0): (5, 0), (7, 0): (6, 0)}  # 5 and 6 quote each other
+    assert [p["conv_id"] for p in got[7, 0]["path"]] == [5, 6, 7] and [p["conv_id"] for p in got[9, 1]["path"]] == [9, 3, 9] and len(got) == 10
+    assert got[1, 2]["n_passages"] == 1 and got[8, 0]["n_linked"] == 0
+
+
 def test_topk(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(0, 1, (300, 8)).round(1)
