@@ -1,8 +1,9 @@
 """Operator 7: exact top-k by a bit-sliced index.
 
-Vectors are quantised to floor(scale * x) and dealt into blocks of rows.  A
-block's index is bitmaps: bit b of attribute d of all its rows, and of the
-complement for negative query components.  An integer inner product is the sum
+Vectors are quantised to floor(scale * x) and dealt into blocks of rows, queries
+into parts; a task has one block and one part, so that a block's rows are sent
+once for each part.  A block's index is bitmaps: bit b of attribute d of all its
+rows, complemented for negative query components.  An integer inner product is the sum
 of bitmaps with weights of powers of two; carry-save adders reduce the bitmaps
 of each weight, which leaves the scores as slices.  The best rows are selected
 from the most significant slice downward; the rows at the boundary all have
@@ -11,8 +12,6 @@ one score, and the smallest ids among them complete the result exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,41 +20,41 @@ from pyspark.sql.window import Window
 
 from . import shared
 
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 15, 64
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 15, 1 << 10
 
 
-def slices(q: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Bitmaps [sign, attribute, bit, word] of integer rows [row, attribute], their lowest value and number of bits."""
+def slices(q: np.ndarray) -> np.ndarray:
+    """Bitmaps [attribute, bit, word] of integer rows [row, attribute], raised by their lowest value."""
     low = int(q.min()) if q.size else 0
-    raised = (q - low).astype(np.uint64)
+    raised = (q.astype(np.int64) - low).astype(np.uint64)
     bits = max(1, int(raised.max()).bit_length()) if q.size else 1
     rows, dims = q.shape
     words = -(-rows // 64)
-    out = np.zeros((2, dims, bits, words * 8), np.uint8)
+    out = np.zeros((dims, bits, words * 8), np.uint8)
     for b in range(bits):
-        flags = ((raised >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T
-        for sign in (0, 1):
-            packed = np.packbits(flags ^ sign, axis=1, bitorder="little")
-            out[sign, :, b, : packed.shape[1]] = packed
-    return out.view(np.uint64), low, bits
+        packed = np.packbits(((raised >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
+        out[:, b, : packed.shape[1]] = packed
+    return out.view(np.uint64)
 
 
 def score_slices(index: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
     """The scores, raised by a constant of the query, as slices from the least significant."""
-    _, dims, bits, words = index.shape
-    flat = index.reshape(2 * dims * bits, words)
-    size = np.abs(query)
+    dims, bits, words = index.shape
+    flat = index.reshape(dims * bits, words)
+    size, turned = np.abs(query), np.repeat(np.where(query < 0, ~np.uint64(0), np.uint64(0)), bits)
     columns: list[list[np.ndarray]] = []
     for j in range(int(size.max()).bit_length() if len(size) else 0):
-        d = np.flatnonzero((size >> j) & 1)
-        row = ((query[d] < 0) * dims + d) * bits
+        row = np.flatnonzero((size >> j) & 1) * bits
         for b in range(bits):
             while len(columns) <= j + b:
                 columns.append([])
             columns[j + b].append(row + b)
     out, carried, w = [], np.empty((0, words), np.uint64), 0
     while w < len(columns) or len(carried):
-        own = flat[np.concatenate(columns[w])] if w < len(columns) and columns[w] else np.empty((0, words), np.uint64)
+        own = np.empty((0, words), np.uint64)
+        if w < len(columns) and columns[w]:
+            at = np.concatenate(columns[w])
+            own = flat[at] ^ turned[at, None]
         stack, carries = np.concatenate([carried, own]), []
         while len(stack) > 2:
             n = len(stack) // 3
@@ -94,65 +93,60 @@ def select(scores: list[np.ndarray], live: np.ndarray, k: int) -> np.ndarray:
 _BEST = pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")])
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _values(table: pa.Table) -> np.ndarray:
+    column = table.column("_q").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, table.column("_n")[0].as_py())
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", *, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k vectors of the highest integer inner product, its own id apart.
 
     Ties go to the smaller vec_id.  Vectors that are null, that hold a null or a
     component that isn't finite, or that have no id, take no part, as queries
-    neither.  Vectors are compared with queries of the same length.  Rows that
-    repeat an id are each a candidate; repeated queries count once.
+    neither; nor do those with a component of |floor(scale * x)| above
+    sqrt(2^62 / length), whose products might not fit a long.  Vectors are compared
+    with queries of the same length; empty ones score 0.  Rows that repeat an id are
+    each a candidate; queries that repeat an id count once, with the smallest vector.
     """
+
     def whole(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
-        fine = F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
-        return df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(fine).select("_id", F.transform("_v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("_q"), F.size("_v").alias("_n"))
-
-    own = whole(vectors)
-    groups = own.groupBy("_n").count().collect()  # a row for each length of vector
-    sizes = {r["_n"]: max(1, -(-r["count"] // block_rows)) for r in groups}
-    blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    asked = whole(queries).dropDuplicates(["_id"])
-    # each query goes to every block of its length, in groups; rows go to one block
-    rows = own.select("_n", F.pmod(F.xxhash64("_id"), blocks[F.col("_n")]).cast("int").alias("_b"), "_id", "_q", F.lit(0).alias("_g"))
-    dealt = asked.where(F.col("_n").isin(list(sizes))).select("_n", F.explode(F.sequence(F.lit(0), blocks[F.col("_n")] - 1)).alias("_b"), "_id", "_q", F.pmod(F.xxhash64("_id"), F.lit(1 << 20)).cast("int").alias("_g"))
-    index = rows.groupBy("_n", "_b").applyInArrow(_index, "_n int, _b int, ids binary, dims int, rows int, bits int, low long, index binary, vectors binary")
-    groups_of = dealt.groupBy("_n", "_b", (F.col("_g") % _query_groups(asked)).alias("_g")).agg(F.collect_list("_id").alias("q_ids"), F.flatten(F.collect_list("_q")).alias("q_values"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                ids = np.frombuffer(r["ids"], "<i8")
-                dims, n = r["dims"], r["rows"]
-                bitmaps = np.frombuffer(r["index"], np.uint64).reshape(2, dims, r["bits"], -1)
-                values = np.frombuffer(r["vectors"], "<i8").reshape(n, dims)
-                everyone = np.packbits(np.ones(n, bool), bitorder="little")
-                everyone = np.pad(everyone, (0, bitmaps.shape[3] * 8 - len(everyone))).view(np.uint64)
-                out: list[tuple[int, np.ndarray, np.ndarray]] = []
-                for name, query in zip(r["q_ids"], np.array(r["q_values"], np.int64).reshape(len(r["q_ids"]), dims), strict=True):
-                    live = everyone.copy()
-                    for at in range(int(np.searchsorted(ids, name)), int(np.searchsorted(ids, name, "right"))):
-                        live[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
-                    best = select(score_slices(bitmaps, query), live, k)
-                    out.append((name, ids[best], values[best] @ query))
-                yield shared.rows(_BEST, np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out]))
-
-    best = index.join(groups_of, ["_n", "_b"]).mapInArrow(compare, "query_id long, vec_id long, score long")
+        fine = F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < F.sqrt(F.lit(2.0**62) / F.size(v)) - 1)), F.lit(False))
+        return df.where(fine).select(F.col(id_col).cast("long").alias("_id"), F.size(v).alias("_n"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("_q"))
+
+    # of equal rows with one id no more than k can be among the best
+    own = shared.written(whole(vectors).groupBy("_n", "_id", "_q").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("_copies")), "vectors")
+    asked = whole(queries).groupBy("_id").agg(F.min(F.struct("_q", "_n")).alias("_m")).select("_m._n", "_id", "_m._q")
+    asked = shared.written(asked, "queries")
+    blocks = lambda c, size: F.ceil(F.sum(c) / size).cast("int")
+    sizes = shared.written(own.groupBy("_n").agg(blocks("_copies", block_rows).alias("_blocks")).join(asked.groupBy("_n").agg(blocks(F.lit(1), block_queries).alias("_parts")), "_n"), "sizes")
+    tasks = sizes.agg(F.sum(F.col("_blocks") * F.col("_parts"))).first()[0] or 1
+    largest = max(df.agg(F.max(F.array_max(F.transform("_q", F.abs)))).first()[0] or 0 for df in (own, asked))
+    narrow = next(kind for kind, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if largest < 1 << bits)
+    key = ["_n", "_b", "_p"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("_id", "_q"), F.col(n)).cast("int")
+    rows = own.join(sizes, "_n").select("_n", place("_blocks").alias("_b"), "_parts", "_id", "_q", F.explode(F.sequence(F.lit(1), "_copies"))).select("_n", "_b", each("_parts").alias("_p"), "_id", F.col("_q").cast(f"array<{narrow}>").alias("_q"))
+    dealt = asked.join(sizes, "_n").select("_n", each("_blocks").alias("_b"), place("_parts").alias("_p"), "_id", F.col("_q").cast(f"array<{narrow}>").alias("_q"))
+
+    def compare(block: pa.Table, part: pa.Table) -> pa.Table:
+        if not block.num_rows or not part.num_rows:
+            return _BEST.empty_table()
+        block = block.sort_by("_id")
+        ids, values = block.column("_id").to_numpy(), _values(block)
+        bitmaps = slices(values)
+        everyone = np.packbits(np.ones(len(ids), bool), bitorder="little")
+        everyone = np.pad(everyone, (0, bitmaps.shape[2] * 8 - len(everyone))).view(np.uint64)
+        names, wanted, best = part.column("_id").to_numpy(), _values(part).astype(np.int64), []
+        for name, query in zip(names.tolist(), wanted, strict=True):
+            live = everyone.copy()
+            for at in range(int(np.searchsorted(ids, name)), int(np.searchsorted(ids, name, "right"))):
+                live[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
+            best.append(select(score_slices(bitmaps, query), live, k))
+        scores = [values[at].astype(np.int64) @ query for at, query in zip(best, wanted, strict=True)]
+        return pa.table([np.repeat(names, [len(at) for at in best]), ids[np.concatenate(best)], np.concatenate(scores)], schema=_BEST)
+
+    spread = min(4 * tasks, tasks + 2000)  # groups are hashed: with few of them, more partitions than groups
+    best = rows.repartition(spread, *key).groupBy(*key).cogroup(dealt.repartition(spread, *key).groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _query_groups(asked: DataFrame) -> int:
-    return max(1, -(-asked.count() // BLOCK_QUERIES))
-
-
-_INDEX = pa.schema([("_n", pa.int32()), ("_b", pa.int32()), ("ids", pa.binary()), ("dims", pa.int32()), ("rows", pa.int32()), ("bits", pa.int32()), ("low", pa.int64()), ("index", pa.binary()), ("vectors", pa.binary())])
-
-
-def _index(table: pa.Table) -> pa.Table:
-    """One block: its rows by ascending id, as bitmaps."""
-    table = table.sort_by("_id")
-    n, dims = table.num_rows, table.column("_n")[0].as_py()
-    values = np.asarray(table.column("_q").combine_chunks().flatten(), np.int64).reshape(n, dims)
-    bitmaps, low, bits = slices(values)
-    columns = ([dims], [table.column("_b")[0].as_py()], [table.column("_id").to_numpy().astype("<i8").tobytes()], [dims], [n], [bits], [low], [bitmaps.tobytes()], [values.astype("<i8").tobytes()])
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _INDEX, strict=True)], schema=_INDEX)

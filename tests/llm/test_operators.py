@@ -192,31 +192,42 @@ def test_line_dedup(spark, empty):
     assert line_dedup.apply(empty, line_dedup.keep_bitmaps(empty)).count() == 0
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    line = "a line that three documents share"
+    rows = [(1, line), (1, "other text\nx"), (1, None), (2, line), (3, f"y\n{line}"), (None, line), (2, line)]
+    docs_ = spark.createDataFrame([(k, t, "en", 7, 1) for k, t in rows], "doc_id long, text string, _row string, _key int, _bitmap int")
+    bitmaps = line_dedup.keep_bitmaps(docs_)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.apply(docs_, bitmaps).collect())
+    assert got == Counter([(1, 1, 1, ""), (1, 2, 0, "other text\nx"), (1, 1, 0, None), (2, 1, 1, ""), (2, 1, 1, ""), (3, 2, 0, f"y\n{line}"), (None, 1, 0, line)])
+    cleaned = line_dedup.cleaned(docs_, bitmaps)
+    assert cleaned.columns == docs_.columns and Counter((r["doc_id"], r["text"]) for r in cleaned.collect()) == Counter((k, t) for k, _, _, t in got.elements())
+
+
 @pytest.mark.parametrize("batch", [1, 3, 1000])
 @pytest.mark.parametrize("parts", [1, 2, 5])
 def test_runs_over_partitions(batch, parts):
     rnd = random.Random(batch * 10 + parts)
-    rows = sorted({(rnd.choice([1, 1, 1, 2, 3, 4]), 0, rnd.randrange(15), rnd.randrange(3)) for _ in range(70)}, key=lambda r: (r[0], -r[2], r[3]))
+    rows = sorted({(rnd.choice([1, 1, 1, 2, 3, 4]), 0, rnd.randrange(15), rnd.randrange(2), rnd.randrange(3)) for _ in range(70)}, key=lambda r: (r[0], -r[2], r[3], r[4]))
     groups = sorted({(r[0], r[2]) for r in rows}, key=lambda g: (g[0], -g[1]))
     part_of = {g: k * parts // len(groups) for k, g in enumerate(groups)}  # a document's lines of one hash stay together
     drops, pending, ends = set(), [], {}
     for p in range(parts):
         mine = [r for r in rows if part_of[r[0], r[2]] == p]
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*mine[k : k + batch], strict=True)], ["h1", "h2", "doc_id", "line"]) for k in range(0, len(mine), batch)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*mine[k : k + batch], strict=True)], ["h1", "h2", "doc_id", "row", "line"]) for k in range(0, len(mine), batch)]
         for out in line_dedup.stream_runs(iter(batches)):
             for r in out.to_pylist():
                 if r["kind"] == line_dedup.DROP:
-                    drops.add((r["h1"], r["doc_id"], r["line"]))
+                    drops.add((r["h1"], r["doc_id"], r["row"], r["line"]))
                 elif r["kind"] == line_dedup.PENDING:
                     pending.append(r)
                 else:
                     n, keeper = ends.get(r["h1"], (0, -1))
                     ends[r["h1"]] = (n + r["line"], max(keeper, r["doc_id"]))
-    drops |= {(r["h1"], r["doc_id"], r["line"]) for r in pending if ends[r["h1"]][0] >= 3 and ends[r["h1"]][1] != r["doc_id"]}
+    drops |= {(r["h1"], r["doc_id"], r["row"], r["line"]) for r in pending if ends[r["h1"]][0] >= 3 and ends[r["h1"]][1] != r["doc_id"]}
     by = {}
     for r in rows:
         by.setdefault(r[0], set()).add(r[2])
-    assert drops == {(r[0], r[2], r[3]) for r in rows if len(by[r[0]]) >= 3 and max(by[r[0]]) != r[2]}
+    assert drops == {(r[0], r[2], r[3], r[4]) for r in rows if len(by[r[0]]) >= 3 and max(by[r[0]]) != r[2]}
 
 
 @pytest.mark.parametrize("bits", [1, 7, 16, 17])
@@ -267,19 +278,33 @@ def test_topk(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(0, 1, (300, 8)).round(1)
     v[10] = v[11] = v[12]
-    rows = [(k, x.tolist(), 1) for k, x in enumerate(v)] + [(900, None, 1), (901, [float("nan")] * 8, 1), (902, [None] * 8, 1), (903, [float("inf")] * 8, 1), (904, [0.0] * 8, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = topk.topk(df, df.where("vec_id % 10 = 0"), 5, block_rows=64).toPandas()
+    odd = [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (903, [float("inf")] * 8), (904, [0.0] * 8), (905, [1e30] * 8), (906, [1.0] * 7 + [-1e30]), (907, []), (910, []), (920, []), (None, [1.0] * 8)]
+    rows = [(k, x.tolist(), 1, 2) for k, x in enumerate(v)] + [(*r, 1, 2) for r in odd] + [(30, v[30].tolist(), 3, 4)] * 7 + [(77, v[5].tolist(), 3, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, _n int, _id int")
+    got = topk.topk(df, df.where("vec_id % 10 = 0"), 5, block_rows=64, block_queries=8).toPandas()
     q = np.vstack([np.floor(64 * v.astype(np.float32).astype(float)), np.zeros(8)]).astype(int)
-    ids = np.append(np.arange(300), 904)
-    assert sorted(got["query_id"].unique()) == list(range(0, 300, 10))
+    ids, q = np.array([*range(300), 904, *[30] * 7, 77]), np.vstack([q, *[q[30]] * 7, q[5]])
+    assert sorted(got["query_id"].unique()) == [*range(0, 300, 10), 910, 920]  # 900 and others take no part
     for name, part in got.sort_values("rank").groupby("query_id"):
+        if name > 300:  # empty vectors score 0 with each other
+            assert part["vec_id"].tolist() == [x for x in (907, 910, 920) if x != name] and not part["score"].any()
+            continue
         s = q @ q[name]
         best = [k for k in np.lexsort((ids, -s)) if ids[k] != name][:5]
         assert part["vec_id"].tolist() == ids[best].tolist() and part["score"].tolist() == s[best].tolist()
     assert topk.topk(df.where("vec_id < 3"), df.where("vec_id = 0"), 20).count() == 2 and topk.topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_wide_values(spark):
+    rows = [(k, [float(x), -float(x), 1.0]) for k, x in enumerate([2**20, 2**21 + 1, -(2**22), 3, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.topk(df, df, 4).collect()}
+    q = np.array([[64 * x for x in r[1]] for r in rows], object)
+    for a in range(5):
+        scores = sorted(((-int(q[a].astype(int) @ q[b].astype(int)), b) for b in range(5) if b != a))
+        assert [got[a, k + 1] for k in range(4)] == [(b, -s) for s, b in scores]
+
+
 def test_hosts(spark):
     urls = [None, "no scheme", "HTTP://A.Example.ORG/es/1?x", "http://example.org/en/12", "x://example.org#f/en/1", "http://b.com/fr/", "http://b.com/de", "http://b.com/de/x", "http://spam.net/q", "http://notorg/", "s://good.net?://y/z"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + k, f"http://spam.net/{k}") for k in range(60)] + [(200 + k, f"http://h{k % 9}.net/") for k in range(90)], "page_id long, url string")
@@ -364,11 +389,49 @@ def test_queries_match_sql(spark, sf_dir):
 
 
 def test_digests(spark, sf_dir):
-    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, sf_dir, "documents").collect()}
-    for r in queries.op1_byte_bpe(spark, sf_dir).collect():
-        assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
-    tokens = queries.op5_token_files(spark, sf_dir).toPandas().sort_values("doc_id")
-    assert tokens["start"].tolist() == [0, *tokens["n_tokens"].cumsum()[:-1]]
+    import tiktoken
+
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, sf_dir, "documents").collect()}
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = queries.op1_byte_bpe(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = e.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    library, at = textbatch.library_tokenizer(P.path("byte_bpe_50k.json")), 0
+    for r in sorted(queries.op5_token_files(spark, sf_dir).collect(), key=lambda r: r["doc_id"]):
+        ids = [*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_long_words_merge_by_heap():
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    e = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rnd = random.Random(4)
+    for n in (1, 2, 40, 700, 5000):
+        for alphabet in ("ab", "etaoin shrdlu", "xé中😀"):
+            word = "".join(rnd.choice(alphabet) for _ in range(n)).encode()
+            assert byte_bpe.merged_by_heap(word, path) == e.encode_ordinary(word.decode())
+
+
+def test_spans_that_share_a_hash(monkeypatch):
+    """With a hash of three values, words still have ids of their own."""
+    true = textbatch.word_hashes
+    weak = lambda data, starts, ends, salt=0: true(data, starts, ends, salt) % np.uint64(3) if salt == 0 else true(data, starts, ends, salt)
+    monkeypatch.setattr(textbatch, "word_hashes", weak)
+    words = [f"{k} some word of over sixteen bytes".encode() if k % 3 else str(k).encode() for k in range(50)] * 2
+    data, offsets = textbatch.text_buffers(pa.array(words, pa.binary()))
+    codes, values, first = textbatch.distinct_spans(data, offsets[:-1], offsets[1:])
+    assert len(first) == len(values) == 50 and (codes[:50] == codes[50:]).all() and len(set(codes.tolist())) == 50
+    coder = textbatch.SpanEncoder(lambda spans: [np.frombuffer(w.ljust(-(-len(w) // 4) * 4), np.int32).tobytes() for w in spans])
+    for _ in range(2):
+        ids, size = coder.ids(data, offsets[:-1], offsets[1:])
+        assert [x.tobytes().rstrip() for x in np.split(ids, np.cumsum(size)[:-1])] == words
 
 
 def test_pipeline(spark, sf_dir):
