@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document by byte-level BPE; digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    decoded = byte_bpe.decoder(path)
 
     def digests(batches):
         import hashlib
@@ -26,12 +26,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         import numpy as np
 
         decimal = [str(k) for k in range(1 << 16)].__getitem__
-        for batch in batches:
-            ids = [hashlib.sha256(",".join(map(decimal, np.frombuffer(x, "<i4").tolist())).encode()).hexdigest() for x in batch.column(2).to_pylist()]
-            text = [hashlib.sha256(x).hexdigest() for x in batch.column(3).to_pylist()]
+        for batch in decoded(batches):
+            ids = [hashlib.sha256(",".join(map(decimal, np.frombuffer(x.as_buffer(), "<i4").tolist())).encode()).hexdigest() for x in batch.column(2)]
+            text = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(3)]
             yield shared.rows(schema, batch.column(0), batch.column(1), ids, text)
 
-    return decoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), path, then=digests, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,7 @@ FROM marked GROUP BY doc_id
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all ids to bit-packed files in document order and reads them back."""
-    import uuid
-
-    path = f"{shared.shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    path = shared.new_path(spark, "ids")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.documents(token_files.read(spark, path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +21,55 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that are still there, oldest first: their session and folder.
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: what is computed twice, or must outlive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """The same rows, read back from a table in the shared folder: what is computed twice, or must outlive lost executors.
+
+    Tables are deleted at the end of the driver's process, if not before by ``drop`` or ``forget``.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.unregister(forget)
+        atexit.register(forget)
+    _TABLES.append((spark, path))
+    return path
+
+
+def forget(since: int = 0, but: str | None = None) -> None:
+    """Deletes the tables from the place ``since`` on, but for that of the path ``but``."""
+    kept = []
+    for spark, path in _TABLES[since:]:
+        if but is not None and path == but:
+            kept.append((spark, path))
+            continue
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception as error:  # the driver may be shutting down; a table that stays does no harm
+            print(f"{path} stays: {type(error).__name__}")
+    _TABLES[since:] = kept
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    files = df.inputFiles()
+    for k in range(len(_TABLES) - 1, -1, -1):
+        if files and _TABLES[k][1].rsplit("/", 1)[-1] in files[0]:
+            mine = _TABLES.pop(k)
+            _TABLES.append(mine)
+            forget(len(_TABLES) - 1)
+            return
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -180,20 +180,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from its 8-byte blocks and its length."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span, from its 8-byte blocks, its length and the salt."""
     if not len(starts):
         return np.empty(0, np.uint64)
     padded = np.append(data, np.zeros(8, np.uint8))
     blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     length = ends - starts
     keep = np.append((np.uint64(1) << (8 * np.arange(8, dtype=np.uint64))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
-    out = _mixed((blocks[starts] & keep[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = _mixed((blocks[starts] & keep[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0xA0761D6478BD642F))
     long = np.flatnonzero(length > 1024)
     if len(long):
         import xxhash
 
-        out[long] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes(), salt) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
     more = np.flatnonzero((length > 8) & (length <= 1024))
     at = 8
     while len(more):
@@ -212,15 +212,50 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, values, first
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the spans, the distinct hashes, and where each comes first.
+
+    Spans of one code are compared by their first and last 8 bytes and their
+    length, which are the whole of up to 16 bytes, and longer ones by a second
+    hash: two that only share the first hash get codes of their own.
+    """
+    codes, values, first = distinct(word_hashes(data, starts, ends))
+    if not len(starts):
+        return codes, values, first
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    short = np.uint64(8) * (np.uint64(8) - np.minimum(length, 8).astype(np.uint64))
+    head, tail = blocks[starts + 8] << short, blocks[ends] >> short
+    like = first[codes]
+    odd = (length != length[like]) | (head != head[like]) | (tail != tail[like])
+    long = np.flatnonzero(length > 16)
+    if len(long):
+        second = np.zeros(len(starts), np.uint64)
+        second[long] = word_hashes(data, starts[long], ends[long], 1)
+        odd |= second != second[like]
+    if odd.any():  # a collision: by bytes
+        table: dict[bytes, int] = {}
+        codes = np.array([table.setdefault(w, len(table)) for w in spans(data, starts, ends)])
+        first = np.unique(codes, return_index=True)[1]
+        values = word_hashes(data, starts[first], ends[first])
+    return codes, values, first
+
+
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     whole = data.tobytes()
     return [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def ragged_places(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans of an array, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - size), size)
+
+
 def ragged_spans(values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The spans of an array, one after the other."""
-    ends = np.cumsum(size)
-    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - size), size)]
+    return values[ragged_places(starts, size)]
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,30 +280,43 @@ class SpanEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.start, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.hashes, self.check, self.start, self.size, self.flat = (np.empty(0, kind) for kind in (np.uint64, np.uint64, np.int32, np.int32, np.int32))
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def learn(self, hashes: np.ndarray, check: np.ndarray, words: list[bytes]) -> None:
         packed = self.encode(words)
         size = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
         start = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(packed), np.int32)])
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
-        self.hashes, self.start, self.size = (np.insert(old, at, new[order]) for old, new in ((self.hashes, hashes), (self.start, start), (self.size, size)))
+        self.hashes, self.check, self.start, self.size = (np.insert(old, at, new[order]) for old, new in ((self.hashes, hashes), (self.check, check), (self.start, start), (self.size, size)))
+
+    def place(self, hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where spans are in the table, by two hashes, and whether they are there."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return at, np.zeros(len(hashes), bool)
+        at = np.minimum(at, len(self.hashes) - 1)
+        return at, (self.hashes[at] == hashes) & (self.check[at] == check)
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all spans, one after the other, and how many each has."""
         if not len(starts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        codes, values, first = distinct(word_hashes(data, starts, ends))
+        codes, values, first = distinct_spans(data, starts, ends)
+        check = word_hashes(data, starts[first], ends[first], 1)
         if len(self.hashes) > self.most:
             self.clear()
-        at = np.searchsorted(self.hashes, values)
-        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == values if len(self.hashes) else np.zeros(len(values), bool)
+        at, known = self.place(values, check)
         new = np.flatnonzero(~known)
         if len(new):
-            self.learn(values[new], spans(data, starts[first[new]], ends[first[new]]))
-            at = np.searchsorted(self.hashes, values)
+            self.learn(values[new], check[new], spans(data, starts[first[new]], ends[first[new]]))
+            at, known = self.place(values, check)
+            if not known.all():  # two spans share a hash: without the table
+                packed = self.encode(spans(data, starts[first], ends[first]))
+                size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                start = np.cumsum(size) - size
+                return ragged_spans(np.frombuffer(b"".join(packed), np.int32), start[codes], size[codes]), size[codes]
         size = self.size[at][codes].astype(np.int64)
         return ragged_spans(self.flat, self.start[at][codes].astype(np.int64), size), size
 
