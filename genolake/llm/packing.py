@@ -176,7 +176,7 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
     if shards == 1:
         return ids.withColumn("shard", F.lit(0).cast("long"))
     projected = ids.sparkSession.sparkContext.broadcast(projection(idf))
-    salted = ids.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SALTS)))
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), F.coalesce("doc_id", F.xxhash64("ids"))), F.lit(SALTS)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -120,7 +120,7 @@ def solve(n: np.ndarray, total: np.ndarray, square: np.ndarray, *, to_pooled: fl
 
 
 def fit(features_: DataFrame, labels: DataFrame, *, to_pooled: float = 0.3, to_diagonal: float = 0.1, floor: float = 3e-3) -> Discriminant:
-    """Fits to (doc_id, x) and (doc_id, label 0 or 1), over all labelled rows: each task sends a sum for each class."""
+    """Fits to (doc_id, x) and (doc_id, label 0 or 1), over all labelled rows: each task has a row of sums, and Spark adds them place by place."""
     d = len(FEATURES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +134,13 @@ def fit(features_: DataFrame, labels: DataFrame, *, to_pooled: float = 0.3, to_d
                 total[k] += one.sum(axis=0)
                 square[k] += one.T @ one
         if n.sum():
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([n, total.ravel(), square.ravel()])])], ["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 + 2 * d + 2 * d * d)), pa.array(np.concatenate([n, total.ravel(), square.ravel()]))], ["place", "sum"])
 
     labelled = features_.join(labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)"), "doc_id").select("x", "label")
-    parts = [np.array(r[0]) for r in labelled.mapInArrow(sums, "sums array<double>").collect()]  # a row for each task
-    whole = np.sum(parts, axis=0) if parts else np.zeros(2 + 2 * d + 2 * d * d)
+    found = labelled.mapInArrow(sums, "place long, sum double").groupBy("place").agg(F.sum("sum").alias("sum")).collect()  # 2 + 2 d + 2 d^2 rows
+    whole = np.zeros(2 + 2 * d + 2 * d * d)
+    for r in found:
+        whole[r["place"]] = r["sum"]
     return solve(whole[:2], whole[2 : 2 + 2 * d].reshape(2, d), whole[2 + 2 * d :].reshape(2, d, d), to_pooled=to_pooled, to_diagonal=to_diagonal, floor=floor)
 
 
