@@ -22,30 +22,32 @@ def _log_choose(d: int) -> np.ndarray:
     return np.array([math.lgamma(d + 1) - math.lgamma(y + 1) - math.lgamma(d - y + 1) for y in range(d + 1)])
 
 
-def read_probabilities(d: int, mu: float, sd: float, factor: float = 1.0) -> np.ndarray:
-    """P(Y = y) for y = 0..d where Y ~ Bin(d, 1 / (factor (1 + exp(-b)))) and b ~ N(mu, sd)."""
+def read_probabilities(d: int, mu, sd, factor: float = 1.0) -> np.ndarray:
+    """P(Y = y) for y = 0..d where Y ~ Bin(d, 1 / (factor (1 + exp(-b)))) and b ~ N(mu, sd); a row for each mu and sd."""
     x, w = nodes()
-    b = math.sqrt(2) * sd * x + mu
+    mu, sd = np.atleast_1d(np.asarray(mu, float)), np.atleast_1d(np.asarray(sd, float))
+    b = math.sqrt(2) * sd[:, None] * x + mu[:, None]
     log_p = -np.logaddexp(0, -b) - math.log(factor)
     log_q = np.log1p(-np.exp(np.minimum(log_p, -1e-300)))
-    y = np.arange(d + 1)[:, None]
-    return (np.exp(_log_choose(d)[:, None] + y * log_p + (d - y) * log_q) * w).sum(axis=1) / math.sqrt(math.pi)
+    y = np.arange(d + 1)[None, :, None]
+    return (np.exp(_log_choose(d)[None, :, None] + y * log_p[:, None, :] + (d - y) * log_q[:, None, :]) @ w) / math.sqrt(math.pi)
 
 
-def tables(d: int, mu: float, sd: float) -> dict[str, np.ndarray]:
+def tables(d: int, mu, sd) -> dict[str, np.ndarray]:
     """Of a mutation, of a change before amplification (half the reads) and of one in amplification (a quarter)."""
-    half = lambda factor: (read_probabilities(d, mu, sd, factor) + read_probabilities(d, -mu, sd, factor)) / 2
+    half = lambda factor: (read_probabilities(d, mu, sd, factor) + read_probabilities(d, -np.asarray(mu, float), sd, factor)) / 2
     return {"mut": read_probabilities(d, mu, sd), "lysis": half(2.0), "mda": half(4.0)}
 
 
-def tests(alt: int, d: int, mu: float, sd: float) -> dict[str, float]:
-    """For each model the probability of outcomes no likelier than the one seen, and what a mutation has of them."""
+def tests(alt, d: int, mu, sd) -> dict[str, np.ndarray]:
+    """For each model the probability of outcomes no likelier than the one seen, and what a mutation has of them; a number for each row."""
     t = tables(d, mu, sd)
+    alt = np.atleast_1d(np.asarray(alt, int))
     out = {}
     for name, p in t.items():
-        reject = p <= p[alt] * (1 + 1e-12)
-        out[name] = float(min(1.0, p[reject].sum()))
-        out[f"{name}_beta"] = float(min(1.0, t["mut"][reject].sum()))
+        reject = p <= np.take_along_axis(p, alt[:, None], axis=1) * (1 + 1e-12)
+        out[name] = np.minimum(1.0, (p * reject).sum(axis=1))
+        out[f"{name}_beta"] = np.minimum(1.0, (t["mut"] * reject).sum(axis=1))
     return {"abc_pv": out["mut"], "lysis_pv": out["lysis"], "lysis_beta": out["lysis_beta"], "mda_pv": out["mda"], "mda_beta": out["mda_beta"]}
 
 
@@ -53,14 +55,21 @@ COLUMNS = ("abc_pv", "lysis_pv", "lysis_beta", "mda_pv", "mda_beta")
 
 
 def models(sites: DataFrame) -> DataFrame:
-    """(scalt, dp, mu, sd) with the five columns; sites with equal values are computed once.  NULL inputs give NULL."""
+    """(scalt, dp, mu, sd) with the five columns; sites with equal values are computed once, those of one depth together.  NULL inputs give NULL."""
     keys = ["scalt", "dp", "mu", "sd"]
     unique = sites.select(*keys).distinct().where("scalt is not null and dp is not null and mu is not null and sd is not null and scalt between 0 and dp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            got = pd.DataFrame([tests(int(a), int(d), m, s) for a, d, m, s in zip(*(part[k] for k in keys), strict=True)], columns=list(COLUMNS))
-            yield pd.concat([part.reset_index(drop=True), got], axis=1)
+            alt, depth, mu, sd = (part[k].to_numpy() for k in keys)
+            got = np.empty((len(part), len(COLUMNS)))
+            for d in np.unique(depth).tolist():
+                at = np.flatnonzero(depth == d)
+                step = max(1, (1 << 20) // (128 * (d + 1)))  # a few MB at a time
+                for k in range(0, len(at), step):
+                    some = at[k : k + step]
+                    got[some] = np.stack(list(tests(alt[some], int(d), mu[some], sd[some]).values()), axis=1)
+            yield pd.concat([part.reset_index(drop=True), pd.DataFrame(got, columns=list(COLUMNS))], axis=1)
 
     schema = "scalt int, dp int, mu double, sd double, " + ", ".join(f"{c} double" for c in COLUMNS)
     typed = unique.select(F.col("scalt").cast("int"), F.col("dp").cast("int"), F.col("mu").cast("double"), F.col("sd").cast("double"))

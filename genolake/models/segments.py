@@ -1,20 +1,65 @@
-"""Copy-number segments of coverage bins by binary segmentation."""
+"""Copy-number segments of coverage bins by circular binary segmentation."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def best_arc(x: np.ndarray) -> tuple[float, int, int]:
-    """The arc i..j whose mean differs most from the rest's: statistic, i and j."""
+@dataclass(frozen=True)
+class Preset:
+    alpha: float
+    permutations: int
+    undo_sd: float
+    seed: int
+    least: int = 5
+
+
+#: The parameters of three published procedures.
+PRESETS = {"baslan": Preset(0.05, 1000, 1.0, 25), "baslan_mod": Preset(0.02, 1000, 1.0, 25), "garvin": Preset(0.01, 10_000, 3.0, 1)}
+
+
+def trimmed_sd(x: np.ndarray, trim: float = 0.025) -> float:
+    """The deviation of noise by the differences of neighbours without the largest, put right for a normal distribution."""
+    steps = np.sort(np.abs(np.diff(x)))
+    keep = round((1 - 2 * trim) * len(steps))
+    if not keep:
+        return 0.0
+    a = NormalDist().inv_cdf(1 - trim)
+    lost = 1 - 2 * a * NormalDist().pdf(a) / (1 - 2 * trim)
+    return float(np.sqrt((steps[:keep] ** 2).sum() / (2 * keep) / lost))
+
+
+def smooth(x: np.ndarray, reach: int = 10, outlier: float = 4.0, to: float = 2.0) -> np.ndarray:
+    """Bins that stand out from all of their neighbours by ``outlier`` deviations are set ``to`` deviations from the median around."""
+    sd = trimmed_sd(x)
+    if len(x) < 3 or sd == 0:
+        return x.copy()
+    wide = np.pad(x, reach, constant_values=np.nan)
+    around = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1)
+    others = np.delete(around, reach, axis=1)
+    middle, top, low = np.nanmedian(around, axis=1), np.nanmax(others, axis=1), np.nanmin(others, axis=1)
+    return np.where(x > top + outlier * sd, middle + to * sd, np.where(x < low - outlier * sd, middle - to * sd, x))
+
+
+def best_arc(x: np.ndarray, least: int = 1) -> tuple[float, int, int]:
+    """The arc i..j whose mean differs most from the rest's: statistic, i and j.
+
+    All lengths are tried.  An arc over the ends of the chromosome is the rest of one that isn't, with the same statistic.
+    """
     n = len(x)
     total = np.append(0, np.cumsum(x - x.mean()))
     sd = x.std() or 1.0
     best = (0.0, 0, n)
-    for length in np.unique(np.geomspace(1, n - 1, min(n - 1, 64)).astype(int)):
+    for length in range(least, n - least + 1):
         s = np.abs(total[length:] - total[:-length])
+        if least > 1:  # what is left at an end is none or long enough
+            s[1:least] = 0
+            s[max(0, len(s) - least) : len(s) - 1] = 0
         k = int(s.argmax())
         z = s[k] / (sd * np.sqrt(length * (n - length) / n))
         if z > best[0]:
@@ -22,51 +67,57 @@ def best_arc(x: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
-def split(x: np.ndarray, *, alpha: float = 0.01, permutations: int = 200, least: int = 5, seed: int = 1) -> list[int]:
+def split(x: np.ndarray, *, alpha: float = 0.05, permutations: int = 1000, least: int = 5, seed: int = 25) -> list[int]:
     """Starts of the segments of one chromosome: an arc is cut out if few permutations have one as good."""
     rng, out, todo = np.random.default_rng(seed), {0}, [(0, len(x))]
     while todo:
         a, b = todo.pop()
         if b - a < 2 * least:
             continue
-        z, i, j = best_arc(x[a:b])
+        z, i, j = best_arc(x[a:b], least)
         worse, limit = 0, alpha * permutations
-        for _ in range(permutations):
-            worse += best_arc(rng.permutation(x[a:b]))[0] >= z
+        for _ in range(permutations if z > 0 else 0):
+            worse += best_arc(rng.permutation(x[a:b]), least)[0] >= z
             if worse > limit:
                 break
-        cuts = sorted({a, a + i, a + j, b})
-        if worse > limit or min(np.diff(cuts)) < least:
+        if z <= 0 or worse > limit:
             continue
+        cuts = sorted({a, a + i, a + j, b})
         out.update(cuts[:-1])
         todo += list(zip(cuts, cuts[1:], strict=False))
     return sorted(out)
 
 
-def segment(bins: DataFrame, value: str, *, alpha: float = 0.01, undo_sd: float = 1.0) -> DataFrame:
-    """Adds seg and seg_mean to (chr, start, end_, value): bins of a chromosome are a bounded group; steps below ``undo_sd`` deviations are undone."""
+def undone(x: np.ndarray, starts: list[int], deviations: float) -> list[int]:
+    """Starts without the smallest steps between neighbours' means, one after the other, while they are below so many deviations of the noise."""
+    starts, limit = list(starts), deviations * trimmed_sd(x)
+    while len(starts) > 1:
+        means = np.add.reduceat(x, starts) / np.diff([*starts, len(x)])
+        steps = np.abs(np.diff(means))
+        if steps.min() >= limit:
+            break
+        starts.pop(int(steps.argmin()) + 1)
+    return starts
+
+
+def segment(bins: DataFrame, value: str, preset: Preset | str = "baslan") -> DataFrame:
+    """Adds seg and seg_mean to (chr, start, end_, value): outliers are smoothed, chromosomes cut, and small steps undone.
+
+    A chromosome is a task: its bins are a bounded group.  Bins without a finite value have neither.
+    """
+    how = PRESETS[preset] if isinstance(preset, str) else preset
     schema = f"chr string, start int, end_ int, {value} double, seg int, seg_mean double"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("start").reset_index(drop=True)
         x = part[value].to_numpy(float)
         fine = np.isfinite(x)
-        y = x[fine]
-        starts = split(y, alpha=alpha) if len(y) else [0]
-        noise = np.median(np.abs(np.diff(y))) / 0.9539 if len(y) > 1 else 0.0
-        k = 1
-        while k < len(starts):
-            edges = [*starts, len(y)]
-            step = abs(y[edges[k - 1] : edges[k]].mean() - y[edges[k] : edges[k + 1]].mean())
-            if step < undo_sd * noise:
-                starts.pop(k)
-                k = 1
-            else:
-                k += 1
+        y = smooth(x[fine])
+        starts = undone(y, split(y, alpha=how.alpha, permutations=how.permutations, least=how.least, seed=how.seed), how.undo_sd) if len(y) else [0]
         seg = np.searchsorted(starts, np.arange(len(y)), "right")
         part["seg"], part["seg_mean"] = pd.array([None] * len(part), "Int32"), np.nan
         part.loc[fine, "seg"] = seg
         part.loc[fine, "seg_mean"] = pd.Series(y).groupby(seg).transform("mean").to_numpy()
-        return part[["chr", "start", "end_", value, "seg", "seg_mean"]].assign(seg_mean=part["seg_mean"].where(part["seg_mean"].notna(), None))
+        return part[["chr", "start", "end_", value, "seg", "seg_mean"]].assign(seg_mean=part["seg_mean"].astype(object).where(part["seg_mean"].notna(), None))
 
     return bins.select("chr", "start", "end_", value).groupBy("chr").applyInPandas(run, schema)

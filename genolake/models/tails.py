@@ -1,23 +1,113 @@
-"""Empirical tails."""
+"""Empirical tails of two scores, without pairs of points."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import exprs
+from ..operators import blocks
+
+#: Blocks of values, for each unit of a score.
+BANDS = 4096
+
+
+def running(points: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
+    """(by, value, <w>, <w>_below): for each distinct value the weight of its points and of those with a smaller value.
+
+    Points are added up by value first; sums before a block of values come from a row for each block.
+    """
+    each = points.groupBy(*by, value).agg(*[F.sum(w).alias(w) for w in weights])
+    cut = each.withColumn(blocks.BLOCK, F.floor(F.col(value) * BANDS).cast("long"))
+    cut = blocks.carried(cut, list(by), before={f"{w}_done": (F.sum(w), "sum") for w in weights})
+    before = blocks.inside(by, value).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.select(*by, value, *weights, *[(F.coalesce(f"{w}_done", F.lit(0)) + F.coalesce(F.sum(w).over(before), F.lit(0))).alias(f"{w}_below") for w in weights])
+
+
+def at_least(points: DataFrame, asked: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, x, y, n): for each distinct pair asked the number of points with both coordinates at least as large.
+
+    Values of x are ranked; a point belongs to one interval of 2^k ranks for each
+    k, and the ranks from a pair's own on are the union of its rank and of at most
+    one such interval for each k.  In an interval, points are counted by y in one
+    running sum.  So n points and m pairs make (n + m) log n rows, and no group is
+    larger than the number of distinct values of y.  NULL coordinates are left out.
+    """
+    by = list(by)
+    fine = F.col(x).isNotNull() & F.col(y).isNotNull()
+    p = points.where(fine).groupBy(*by, x, y).agg(F.count("*").alias("w"))
+    q = asked.where(fine).select(*by, x, y).distinct()
+    values = p.select(*by, x).distinct().withColumn("one", F.lit(1))
+    ranks = running(values.unionByName(q.select(*by, x).distinct().withColumn("one", F.lit(0))), by, x, ["one"]).select(*by, x, F.col("one_below").alias("rank"))
+    most = values.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).scalar()
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
+    up = lambda c: F.call_function("shiftright", F.col(c), F.col("k"))
+    of_points = p.join(ranks, [*by, x]).select(*by, "rank", y, "w", F.explode(levels).alias("k")).select(*by, "k", up("rank").alias("i"), (-F.col(y)).alias("v"), "w")
+    wide = q.join(ranks, [*by, x]).select(*by, x, y, "rank", F.explode(levels).alias("k"))
+    siblings = wide.where(up("rank").bitwiseAND(F.lit(1)) == 0).select(*by, x, y, "k", (up("rank") + 1).alias("i"), (-F.col(y)).alias("v"))
+    of_pairs = siblings.unionByName(wide.where("k = 0").select(*by, x, y, "k", F.col("rank").alias("i"), (-F.col(y)).alias("v")))
+    key = [*by, "k", "i"]
+    counted = running(of_points.unionByName(of_pairs.select(*key, "v", F.lit(0).cast("long").alias("w"))), key, "v", ["w"])
+    return of_pairs.join(counted, [*key, "v"]).groupBy(*by, x, y).agg(F.sum(F.col("w") + F.col("w_below")).alias("n"))
+
 
 def dominance(points: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, y, tail): for each distinct point the share of points with both coordinates at least as large.
+    """(x, y, tail): for each distinct point the share of points with both coordinates at least as large; NULLs are left out."""
+    total = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("t")).scalar()
+    return at_least(points, points, x, y).select(x, y, (F.col("n") / total).alias("tail"))
+
+
+def cigar_rates(sites: DataFrame) -> DataFrame:
+    """Adds id_x, id_y, hs_x and hs_y: insertions and deletions, and clippings, a read of the bulk (x) and the cell (y), from id_n, hs_n, cigar_dp and their _bulk."""
+    rate = lambda n, dp: exprs.div(F.col(n).cast("double"), F.col(dp))
+    return sites.withColumns({f"{kind}_{axis}": rate(f"{kind}_n{of}", f"cigar_dp{of}") for kind in ("id", "hs") for axis, of in (("x", "_bulk"), ("y", ""))})
+
+
+def excess_scores(sites: DataFrame, null: DataFrame, by: Sequence[str] = ("muttype",), *, zero_depth: bool = False) -> DataFrame:
+    """Adds id_score and hs_score to sites with the rates: the share of the null sites of their type with both rates at least as large.
 
-    Counts over the grid of distinct values of x and y, summed along both axes:
-    windows over histograms, not pairs of points.  NULL coordinates are left out.
+    A comparison with a NULL rate is unknown unless the other rate decides it: a
+    null site counts if its known rate is smaller, else it is left out; so a site
+    that lacks one rate has the score 0, or NULL if no null site is smaller in the
+    other, and one that lacks both has NULL.  With ``zero_depth`` sites without
+    reads of the cell or the bulk have 0.
     """
-    counts = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
-    ys = counts.agg(F.sort_array(F.collect_set(y)).alias("ys"))  # scores are rounded: a bounded grid
-    rows = counts.groupBy(x).agg(F.map_from_entries(F.collect_list(F.struct(y, "n"))).alias("by_y"))
-    grid = rows.select(x, F.explode(ys.scalar()).alias(y), "by_y").select(x, y, F.coalesce(F.try_element_at("by_y", F.col(y)), F.lit(0)).alias("n"))
-    along = grid.withColumn("n", F.sum("n").over(Window.partitionBy(x).orderBy(F.desc(y))))
-    both = along.withColumn("n", F.sum("n").over(Window.partitionBy(y).orderBy(F.desc(x))))
-    total = counts.agg(F.sum("n").alias("t")).scalar()
-    return both.join(counts.select(x, y), [x, y], "left_semi").select(x, y, (F.col("n") / total).alias("tail"))
+    by, out = list(by), sites
+    for kind in ("id", "hs"):
+        x, y = f"{kind}_x", f"{kind}_y"
+        points, pairs = null.select(*by, x, y), sites.select(*by, x, y).distinct()
+        total = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("_all"))
+
+        def smaller(value: str, other: str) -> DataFrame:
+            """Null sites with a smaller value: all, and those without the other rate."""
+            own = points.where(F.col(value).isNotNull()).select(*by, value, F.lit(1).alias("_w"), F.col(other).isNull().cast("int").alias("_lone"))
+            asked = pairs.where(F.col(value).isNotNull()).select(*by, value, F.lit(0).alias("_w"), F.lit(0).alias("_lone"))
+            found = running(own.unionByName(asked), by, value, ["_w", "_lone"])
+            return found.select(*by, value, F.col("_w_below").alias(f"_{value}"), F.col("_lone_below").alias(f"_{value}_lone"))
+
+        got = pairs.join(at_least(points, pairs, x, y, by), [*by, x, y], "left").join(smaller(x, y), [*by, x], "left").join(smaller(y, x), [*by, y], "left").join(total, by, "left")
+        known = F.coalesce("_all", F.lit(0)) + F.coalesce(f"_{x}_lone", F.lit(0)) + F.coalesce(f"_{y}_lone", F.lit(0))
+        one = F.coalesce(f"_{x}", f"_{y}", F.lit(0))
+        score = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), exprs.div(F.coalesce("n", F.lit(0)).cast("double"), known)).when(one > 0, F.lit(0.0))
+        got = got.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, x, y)], score.alias(f"{kind}_score"))
+        same = F.lit(True)
+        for c in (*by, x, y):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        out = out.join(got, same, "left").drop(*[f"_k_{c}" for c in (*by, x, y)])
+    if zero_depth:
+        none = (F.col("cigar_dp") == 0) | (F.col("cigar_dp_bulk") == 0)
+        out = out.withColumns({f"{kind}_score": F.when(none, 0.0).otherwise(F.col(f"{kind}_score")) for kind in ("id", "hs")})
+    return out
+
+
+def score_cutoffs(null_scored: DataFrame, quantiles: dict[str, tuple[float, float]]) -> dict[str, tuple[float, float]]:
+    """For each type the quantiles of the null sites' id and hs scores; a type without null sites isn't there."""
+    out = {}
+    for muttype, (low_id, low_hs) in quantiles.items():
+        row = null_scored.where(F.col("muttype") == muttype).agg(F.percentile("id_score", low_id).alias("id"), F.percentile("hs_score", low_hs).alias("hs")).first()
+        if row["id"] is not None and row["hs"] is not None:
+            out[muttype] = (row["id"], row["hs"])
+    return out

@@ -115,34 +115,44 @@ def mean_burden(strata_: DataFrame, sensitivity_: str = "stratum") -> DataFrame:
     return strata_.agg(exprs.div(F.sum("hits").cast("double"), F.sum(F.col("n") * F.col(sensitivity_))).alias("burden"))
 
 
-def mutation_burden(germline: DataFrame, somatic: DataFrame, depth: DataFrame, *, min_bulk_dp: int, gbp: float, copies: int = 2, least: int = 100) -> DataFrame:
-    """Burden by strata 1, 2 (the middle half) and 4 of the germline's depth quartiles.
+def mutation_burden(sites: DataFrame, depth: DataFrame, *, min_bulk_dp: int, gbp: float, copies: int = 2, least: int = 100) -> DataFrame:
+    """Burden by strata 1, 2 (the middle half) and 4 of the training sites' depth quartiles.
 
-    germline: dp, bulk_dp, training_pass; somatic: dp, pass; depth: sc_dp,
-    bulk_dp, n.  Fewer than ``least`` germline rows or quartiles that coincide
-    give NULL and the reason.
+    sites: dp, bulk_dp, training_site, training_pass, pass, read once for the
+    quartiles (one row) and once for the strata; depth: sc_dp, bulk_dp, n.  Fewer
+    than ``least`` training sites or quartiles that coincide give NULL and the reason.
     """
-    edges = germline.agg(F.count("dp").alias("rows"), F.percentile("dp", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
-    edges = edges.select("rows", *[F.element_at("q", k + 1).alias(f"q{k}") for k in range(5)])
-    edges = edges.withColumn("reason", F.when(F.col("rows") < least, "few germline sites").when((F.col("q0") >= F.col("q1")) | (F.col("q1") >= F.col("q2")) | (F.col("q2") >= F.col("q3")) | (F.col("q3") >= F.col("q4")), "quartiles coincide"))
-    q = {k: edges.select(f"q{k}").scalar() for k in range(5)}
+    edges = sites.where("training_site").agg(F.count("dp").alias("rows"), F.percentile("dp", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
+    flat = F.exists(F.sequence(F.lit(1), F.lit(4)), lambda k: F.get("q", k - 1) >= F.get("q", k))
+    reason = F.when(F.col("rows") < least, "few germline sites").when(flat, "quartiles coincide")
+    one = edges.agg(F.first(F.struct(reason.alias("reason"), "q")).alias("e")).scalar()
 
-    def stratum(dp: Column) -> Column:
-        return F.when((dp < q[0]) | (dp > q[4]), F.lit(None).cast("int")).when(dp <= q[1], 1).when(dp <= q[3], 2).otherwise(4)
+    def strata_of(df: DataFrame, dp: str) -> DataFrame:
+        d, q = F.col(dp), lambda k: F.get("_e.q", F.lit(k))
+        inner = F.when(d <= q(1), 1).when(d <= q(3), 2).otherwise(4)
+        return df.withColumn("_e", one).withColumn("stratum", F.when((d >= q(0)) & (d <= q(4)), inner)).drop("_e")
 
     deep = F.coalesce(F.col("bulk_dp") >= min_bulk_dp, F.lit(False))
-    sens = germline.withColumn("stratum", stratum(F.col("dp"))).groupBy("stratum").agg(F.avg(F.when(deep, F.coalesce("training_pass", F.lit(False)).cast("double"))).alias("sens"))
-    calls = somatic.withColumn("stratum", stratum(F.col("dp"))).groupBy("stratum").agg(F.count_if(F.col("pass")).alias("ncalls"))
-    bases = depth.where(F.col("bulk_dp") >= min_bulk_dp).withColumn("stratum", stratum(F.col("sc_dp"))).groupBy("stratum").agg(F.sum("n").alias("callable_bp"))
-    out = edges.select("reason", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("stratum"))
-    for part in (calls, sens, bases):
-        out = out.join(F.broadcast(part), "stratum", "left")
+    got = strata_of(sites, "dp").groupBy("stratum").agg(
+        F.avg(F.when(F.col("training_site") & deep, F.coalesce("training_pass", F.lit(False)).cast("double"))).alias("sens"), F.count_if(~F.col("training_site") & F.col("pass")).alias("ncalls"))
+    bases = strata_of(depth.where(F.col("bulk_dp") >= min_bulk_dp), "sc_dp").groupBy("stratum").agg(F.sum("n").alias("callable_bp"))
+    out = sites.sparkSession.range(1).select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("stratum"), one["reason"].alias("reason"))
+    out = out.join(got, "stratum", "left").join(bases, "stratum", "left")
     ok = F.col("reason").isNull()
     ncalls = F.coalesce("ncalls", F.lit(0))
     rate = exprs.div(exprs.div(ncalls.cast("double"), F.col("sens")), F.col("callable_bp"))
     return out.select("stratum", "reason", F.when(ok, ncalls).alias("ncalls"), F.when(ok, F.col("sens")).alias("sens"), F.when(ok, F.coalesce("callable_bp", F.lit(0))).alias("callable_bp"), F.when(ok, rate * 1e9 / copies * gbp).alias("burden"))
 
 
+def reported_burden(strata_: DataFrame, muttype: str, panel: DataFrame | None = None) -> DataFrame:
+    """(burden) of the middle stratum; NULL for indels if the panel (unique_donors, unique_cells) has two cells or one donor at most."""
+    middle = strata_.where("stratum = 2").select("burden")
+    if muttype == "snv" or panel is None:
+        return middle
+    few = panel.agg((F.coalesce(F.max("unique_cells") <= 2, F.lit(True)) | F.coalesce(F.max("unique_donors") <= 1, F.lit(True))).alias("x")).scalar()
+    return middle.select(F.when(~few, F.col("burden")).alias("burden"))
+
+
 def shared_ways(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of sites called in more than one sample, with the number and names of samples; one row for each member."""
     ways = calls.groupBy(*keys).agg(F.count("*").alias("n_way"), F.array_join(F.array_sort(F.collect_list("sample")), "&").alias("samples")).where("n_way > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +32,10 @@ class Params:
     panel_max_donors: int = 1
     panel_max_out: int = 2
 
+    def __post_init__(self) -> None:
+        if self.min_sc_alt < 0 or self.min_sc_dp < 0 or self.min_bulk_dp < 0:
+            raise ValueError("depths and reads can't be below 0")
+
 
 DEFAULTS = {"snv": Params(), "indel": Params(use_panel=True)}
 
@@ -61,7 +65,10 @@ def candidate(params: dict[str, Params] = DEFAULTS) -> Column:
 
 
 def static_tests(df: DataFrame, params: dict[str, Params] = DEFAULTS, quantiles: dict[str, tuple[float, float]] | None = None, amplified: bool = True) -> DataFrame:
-    """Adds the twelve tests and static_filter, all of them; NULL where a test has nothing to judge by."""
+    """Adds the twelve tests and static_filter, all of them; NULL where a test has nothing to judge by.
+
+    ``quantiles`` are the least scores of each type; without them the two score tests hold.
+    """
     p = lambda value: _by_type(params, value)
     yes = F.lit(True)
     id_cut, hs_cut = F.lit(None).cast("double"), F.lit(None).cast("double")
@@ -69,20 +76,20 @@ def static_tests(df: DataFrame, params: dict[str, Params] = DEFAULTS, quantiles:
         id_cut = F.when(F.col("muttype") == muttype, F.lit(low_id)).otherwise(id_cut)
         hs_cut = F.when(F.col("muttype") == muttype, F.lit(low_hs)).otherwise(hs_cut)
     donors = F.col("unique_donors")
-    panel = ~p(lambda x: x.use_panel) | (donors.isNull() & p(lambda x: x.panel_allow_missing)) | F.coalesce((donors <= p(lambda x: x.panel_max_donors)) | (F.col("max_out") <= p(lambda x: x.panel_max_out)), F.lit(False))
+    panel = ~p(lambda x: x.use_panel) | (donors.isNull() & p(lambda x: x.panel_allow_missing)) | (donors <= p(lambda x: x.panel_max_donors)) | (F.col("max_out") <= p(lambda x: x.panel_max_out))
     tests = {
         "id_test": F.col("id_score") >= id_cut if quantiles else yes,
         "hs_test": F.col("hs_score") >= hs_cut if quantiles else yes,
         "lowmq_test": F.coalesce(F.col("balt_lowmq") <= p(lambda x: x.max_bulk_alt), yes),
+        "dp_test": (F.col("dp") >= p(lambda x: x.min_sc_dp)) & (F.col("bulk_dp") >= p(lambda x: x.min_bulk_dp)),
         "abc_test": F.col("abc_pv") > 0.05,
         "sc_alt_test": F.col("scalt") >= p(lambda x: x.min_sc_alt),
-        "sc_dp_test": F.col("dp") >= p(lambda x: x.min_sc_dp),
         "bulk_alt_test": F.col("balt") <= p(lambda x: x.max_bulk_alt),
-        "bulk_af_test": F.coalesce(F.col("bulk_af") <= p(lambda x: x.max_bulk_af), yes),
-        "bulk_binom_test": F.coalesce(F.col("bulk_binom_prob") <= p(lambda x: x.max_bulk_binom_prob), yes),
-        "bulk_dp_test": F.col("bulk_dp") >= p(lambda x: x.min_bulk_dp),
+        "bulk_af_test": p(lambda x: x.max_bulk_af).isNull() | (F.col("bulk_af") <= p(lambda x: x.max_bulk_af)),
+        "bulk_binom_test": p(lambda x: x.max_bulk_binom_prob).isNull() | (F.col("bulk_binom_prob") <= p(lambda x: x.max_bulk_binom_prob)),
         "dbsnp_test": ~p(lambda x: x.exclude_dbsnp) | (F.col("dbsnp") == "."),
-        "panel_test": panel & (~F.coalesce(F.col("mutsig").isin(*AMPLIFICATION_INDELS), F.lit(False)) if amplified else yes),
+        "panel_test": panel,
+        "artifact_test": ~F.coalesce(F.col("mutsig").isin(*AMPLIFICATION_INDELS), F.lit(False)) if amplified else yes,
     }
     every = yes
     for test in tests.values():
@@ -90,16 +97,24 @@ def static_tests(df: DataFrame, params: dict[str, Params] = DEFAULTS, quantiles:
     return df.withColumns(tests).withColumn("static_filter", every)
 
 
-TESTS = ("id_test", "hs_test", "lowmq_test", "abc_test", "sc_alt_test", "sc_dp_test", "bulk_alt_test", "bulk_af_test", "bulk_binom_test", "bulk_dp_test", "dbsnp_test", "panel_test")
+TESTS = ("id_test", "hs_test", "lowmq_test", "dp_test", "abc_test", "sc_alt_test", "bulk_alt_test", "bulk_af_test", "bulk_binom_test", "dbsnp_test", "panel_test", "artifact_test")
+#: The labels of failed tests, in the order in which they are listed.
+LABELS = {"abc_test": "abc", "id_test": "cigar.id", "hs_test": "cigar.hs", "lowmq_test": "bulk.lowmq", "dp_test": "min.dp", "sc_alt_test": "min.sc.alt", "bulk_alt_test": "max.bulk.alt", "bulk_af_test": "max.bulk.af", "bulk_binom_test": "max.bulk.binom.prob", "panel_test": "cross.sample.filter", "dbsnp_test": "dbsnp"}
+
 
+def call(df: DataFrame, target_fdr: float | Column = 0.01, panel: DataFrame | None = None) -> DataFrame:
+    """Adds pass and training_pass.
 
-def call(df: DataFrame, target_fdr: float | Column = 0.01) -> DataFrame:
-    """Adds pass and training_pass; types without support in the panel are suppressed (scalar subqueries over the whole table)."""
+    Indels need support in the panel: with two cells at most (bulks count) in the
+    whole ``panel`` (unique_donors, unique_cells; the table itself by default) none is
+    called, and with one donor only those of one cell.  The two maxima are one row.
+    """
     target = target_fdr if isinstance(target_fdr, Column) else F.lit(target_fdr)
-    one_donor = df.agg(F.coalesce(F.max("unique_donors") == 1, F.lit(False)).alias("x")).scalar()
+    limits = (df if panel is None else panel).agg(F.struct(F.coalesce(F.max("unique_donors") == 1, F.lit(False)).alias("one_donor"), F.coalesce(F.max("unique_cells") <= 2, F.lit(True)).alias("few_cells")).alias("x")).scalar()
     low = (F.col("lysis_fdr") <= target) & (F.col("mda_fdr") <= target)
-    called = F.col("somatic_candidate") & F.col("static_filter") & ((F.col("muttype") == "snv") | ~one_donor) & low
-    trained = F.col("training_site") & F.col("sc_alt_test") & F.col("sc_dp_test") & F.col("id_test") & F.col("hs_test") & F.col("abc_test") & low
+    supported = (F.col("muttype") == "snv") | (~limits["few_cells"] & (~limits["one_donor"] | (F.col("unique_cells") == 1)))
+    called = F.col("somatic_candidate") & F.col("static_filter") & supported & low
+    trained = F.col("training_site") & F.col("sc_alt_test") & F.col("dp_test") & F.col("id_test") & F.col("hs_test") & F.col("abc_test") & low
     return df.withColumn("pass", F.coalesce(called, F.lit(False))).withColumn("training_pass", F.when(F.col("training_site"), F.coalesce(trained, F.lit(False))))
 
 
@@ -108,20 +123,29 @@ def fdr(pv: Column, beta: Column, nt: Column, na: Column) -> Column:
     return exprs.div(pv * na, pv * na + beta * nt)
 
 
-def reasons(target_fdr: float = 0.01, labels: Sequence[tuple[str, str]] | None = None) -> Column:
-    """The tests that a row fails, joined by ;.  NULL tests are left out."""
-    parts = [F.when(~F.col(test), label) for test, label in labels or [(t, t.removesuffix("_test")) for t in TESTS]]
-    parts += [F.when(F.col("lysis_fdr") > target_fdr, "pre.amplification.artifact"), F.when(F.col("mda_fdr") > target_fdr, "amplification.artifact")]
-    return F.concat_ws(";", *parts)
+def reasons(target_fdr: float = 0.01, rescue: bool = False) -> Column:
+    """PASS, the tests that a called row fails, and RESCUE, joined by ;.
+
+    A NULL test has no label, but a NULL rate counts as too high.
+    """
+    high = lambda rate: ~F.coalesce(F.col(rate) <= target_fdr, F.lit(False))
+    parts = [F.when(F.col("pass"), "PASS"), F.when(high("lysis_fdr"), "pre.amplification.artifact"), F.when(high("mda_fdr"), "amplification.artifact")]
+    parts += [F.when(~F.col(test), label) for test, label in LABELS.items()]
+    return F.concat_ws(";", *parts, *([F.when(F.col("rescue"), "RESCUE")] if rescue else []))
 
 
-def first_reason(target_fdr: float = 0.01) -> Column:
-    """The first of the reasons in order of weight, or PASS."""
-    out = F.lit("PASS")
-    order = [("amplification.artifact", F.col("mda_fdr") > target_fdr), ("pre.amplification.artifact", F.col("lysis_fdr") > target_fdr)] + [(t.removesuffix("_test"), ~F.col(t)) for t in TESTS]
-    for label, failed in reversed(order):
-        out = F.when(F.coalesce(failed, F.lit(False)), label).otherwise(out)
-    return out
+def first_reason(target_fdr: float = 0.01, rescue: bool = False) -> Column:
+    """One label: PASS, RESCUE, cross.sample.filter, hard.filters (any other static test), pre.amplification.artifact, or amplification.artifact.
+
+    NULL tests and a NULL first rate count as failed.  What is left is told from
+    unknown by its second rate alone: amplification.artifact whatever that is, NULL without one.
+    """
+    no = F.lit(False)
+    out = F.when(F.coalesce("pass", no), "PASS")
+    if rescue:
+        out = out.when(F.coalesce("rescue", no), "RESCUE")
+    out = out.when(~F.coalesce("panel_test", no), "cross.sample.filter").when(~F.coalesce("static_filter", no), "hard.filters")
+    return out.when(~F.coalesce(F.col("lysis_fdr") <= target_fdr, no), "pre.amplification.artifact").when(F.col("mda_fdr").isNotNull(), "amplification.artifact")
 
 
 def reduced(df: DataFrame, most: float = 0.5) -> DataFrame:
@@ -154,9 +178,10 @@ def rescued(df: DataFrame, weights: DataFrame, target_fdr: float, rescue_fdr: fl
     return joined.withColumn("rescue_fdr", F.when(only, rate)).withColumn("rescue", F.coalesce(only & (rate <= rescue_fdr), F.lit(False)))
 
 
-def potentially_shared(binom_limit: float = 0.25, cells: int = 1) -> Column:
-    """Candidates and mosaic sites of low bulk probability that more than one cell has."""
-    return F.coalesce((F.col("somatic_candidate") | (F.col("bulk_binom_prob") <= binom_limit)) & (F.col("tcells") > cells), F.lit(False))
+def potentially_shared(binom_limit: float = 1e-6, af_limit: float = 0.25, cells: int = 1) -> Column:
+    """Candidates, and mosaic sites of low bulk probability and fraction, that more than one cell has; indels must pass the panel test."""
+    mosaic = (F.col("bulk_binom_prob") <= binom_limit) & (F.col("bulk_af") < af_limit)
+    return F.coalesce((F.col("somatic_candidate") | mosaic) & ((F.col("muttype") == "snv") | F.col("panel_test")) & (F.col("tcells") > cells), F.lit(False))
 
 
 def passing(kind: str = "pass", muttypes: Sequence[str] = ("snv", "indel")) -> Column:
@@ -168,3 +193,24 @@ def passing(kind: str = "pass", muttypes: Sequence[str] = ("snv", "indel")) -> C
 def changed(params: dict[str, Params], **new) -> dict[str, Params]:
     """Parameters with some thresholds replaced, for all types."""
     return {k: replace(p, **new) for k, p in params.items()}
+
+
+def sweep(df: DataFrame, values: Sequence, change: Callable[[DataFrame, object], DataFrame], name: str = "value") -> DataFrame:
+    """The rows that ``change`` makes of the table for each of a few values, with the value, in ascending order without repeats."""
+    out = None
+    for value in sorted(set(values)):
+        one = change(df, value).withColumn(name, F.lit(value))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no values to try")
+    return out
+
+
+def by_type_and_allele(tiles: DataFrame, muttype: str, allele: str = "both") -> DataFrame:
+    """(held_out, pred, npass, ntotal, ncalls) of tiles (.., pred_<type>_<allele>, <type>_npass_<allele>, ..); both alleles: the mean prediction and the sums."""
+    if allele not in ("both", "maj", "min"):
+        raise ValueError("allele is both, maj or min")
+    parts = ("maj", "min") if allele == "both" else (allele,)
+    mean = sum((F.col(f"pred_{muttype}_{a}") for a in parts), F.lit(0.0)) / len(parts)
+    total = lambda c: sum((F.col(f"{muttype}_{c}_{a}") for a in parts), F.lit(0))
+    return tiles.select("held_out", mean.alias("pred"), *[total(c).alias(c) for c in ("npass", "ntotal", "ncalls")])

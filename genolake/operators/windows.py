@@ -57,11 +57,12 @@ def flip_phase(sites: DataFrame, cutoff: int = 10_000, by: Sequence[str] = ("chr
     before = F.coalesce(F.lag(F.struct(F.col("pos").alias("pos"), F.col("af").alias("af"))).over(w), "_last")
     df = df.withColumn("_b", before).drop("_last", blocks.BLOCK)
     joins = (F.col("pos") - F.col("_b.pos") < cutoff) & F.col("af").isNotNull() & F.col("_b.af").isNotNull() & (F.col("_b.af") != 0.5)
-    df = islands(df, ~F.coalesce(joins, F.lit(False)), by, order).drop("_b")
-    first = df.groupBy(*by, "island").agg(F.min_by("af", F.struct(*order)).alias("_first"))
-    df = df.join(first, [*by, "island"], "left")
-    flip = F.signum(F.col("af") - 0.5) * F.signum(F.col("_first") - 0.5) < 0
-    return df.withColumn("flipped_af", F.when(flip, 1 - F.col("af")).otherwise(F.col("af"))).drop("_first", "island")
+    df = blocks.blocked(df.withColumn("_start", F.when(~F.coalesce(joins, F.lit(False)), F.struct("af"))).drop("_b"))
+    last = F.max_by("_start", F.when(F.col("_start").isNotNull(), F.struct(*order)))
+    df = blocks.carried(df, list(by), before={"_run": (last, "last")})
+    first = F.coalesce(F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_run")["af"]
+    flip = F.signum(F.col("af") - 0.5) * F.signum(first - 0.5) < 0
+    return df.withColumn("flipped_af", F.when(flip, 1 - F.col("af")).otherwise(F.col("af"))).drop("_run", "_start", blocks.BLOCK)
 
 
 def run_lengths(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ("chr",), pos: str = "pos") -> DataFrame:

@@ -14,7 +14,7 @@ DUCK_SECS = "date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts)"
 SITE = """
 SELECT chr, pos, refnt, altnt, max(dp) AS dp, least(max(scalt), max(dp)) AS scalt, max(bulk_dp) AS bulk_dp,
        least(max(balt), max(bulk_dp)) AS balt, min(dbsnp) AS dbsnp, max(phased_gt) AS phased_gt,
-       max(unique_donors) AS unique_donors, max(max_out) AS max_out
+       max(unique_donors) AS unique_donors, max(unique_cells) AS unique_cells, max(max_out) AS max_out
 FROM (SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr,
          CAST(l_orderkey*100 + l_linenumber*10 + l_partkey % 10 AS INT) AS pos,
          substr('ACGT', CAST(l_partkey % 4 + 1 AS INT), 1) AS refnt,
@@ -27,7 +27,7 @@ FROM (SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr,
          CASE WHEN l_suppkey % 10 = 0 THEN concat('rs', CAST(l_partkey AS STRING)) ELSE '.' END AS dbsnp,
          CASE WHEN l_returnflag='R' THEN CASE WHEN l_orderkey % 2 = 0 THEN '0|1' ELSE '1|0' END
               WHEN l_returnflag='A' THEN './.' END AS phased_gt,
-         nullif(CAST(l_suppkey % 4 AS INT), 0) AS unique_donors,
+         nullif(CAST(l_suppkey % 4 AS INT), 0) AS unique_donors, CAST(l_linenumber % 4 AS INT) AS unique_cells,
          CAST(l_linenumber AS INT) AS max_out
   FROM lineitem) b
 GROUP BY chr, pos, refnt, altnt"""
@@ -64,9 +64,10 @@ def duck(*names: str) -> str:
 
 #: Site rows with the columns of later stages, filled by arithmetic of the counts.
 SCORED = """
-SELECT chr, pos, refnt, altnt, dp, scalt, dp - scalt AS scref, bulk_dp, balt, dbsnp, phased_gt, unique_donors, max_out,
+SELECT chr, pos, refnt, altnt, dp, scalt, dp - scalt AS scref, bulk_dp, balt, bulk_dp - balt AS bref, dbsnp, phased_gt, unique_donors, unique_cells, max_out,
        CASE WHEN length(refnt) = 1 AND length(altnt) = 1 THEN 'snv' ELSE 'indel' END AS muttype,
-       concat(refnt, '>', altnt) AS channel, CAST(NULL AS STRING) AS mutsig,
+       concat(refnt, '>', altnt) AS channel, CASE WHEN length(altnt) = 2 THEN CASE pos % 11 WHEN 0 THEN '1:Ins:C:3' WHEN 1 THEN '1:Ins:T:5' WHEN 2 THEN '2:Ins:R:2' WHEN 3 THEN '1:Ins:C:2' END END AS mutsig,
+       CAST(pos % 4 AS INT) AS id_n, CAST(pos % 3 AS INT) AS hs_n, dp AS cigar_dp, balt AS id_n_bulk, CAST(pos % 2 AS INT) AS hs_n_bulk, bulk_dp AS cigar_dp_bulk,
        scalt / nullif(CAST(dp AS DOUBLE), 0) AS af, balt / nullif(CAST(bulk_dp AS DOUBLE), 0) AS bulk_af,
        CASE WHEN bulk_dp > 0 THEN (balt + 1) / CAST(bulk_dp + 1 AS DOUBLE) END AS bulk_binom_prob,
        CASE WHEN pos % 3 = 0 THEN balt END AS balt_lowmq, CASE WHEN balt = 0 THEN '0/0' ELSE '0/1' END AS bulk_gt,
@@ -79,6 +80,11 @@ SELECT chr, pos, refnt, altnt, dp, scalt, dp - scalt AS scref, bulk_dp, balt, db
 FROM site_v"""
 
 
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel columns of all sites, before alleles are put together: enough for their maxima."""
+    return table(spark, sf_dir, "lineitem").selectExpr("nullif(cast(l_suppkey % 4 as int), 0) as unique_donors", "cast(l_linenumber % 4 as int) as unique_cells")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCORED.replace("FROM site_v", "FROM {site}"), site=view(spark, sf_dir, "site"))
 

@@ -1,4 +1,4 @@
-"""From raw counts to calls, summaries and sweeps; every step is a lazy DataFrame."""
+"""From raw counts to calls, burdens, summaries and sweeps."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import exprs
-from ..models import allele_balance, gauss_hermite, priors
+from .. import __version__
+from ..models import allele_balance, gauss_hermite, priors, regression, segments, tails
 from ..operators import aggs, filters, joins
+from ..sources import stored
 
 KEY = ["chr", "pos", "refnt", "altnt"]
 
@@ -37,9 +39,11 @@ def integrate(counts: DataFrame, config: Config, *, lowmq: DataFrame | None = No
     sites = joins.update_join(sites, lowmq, KEY, ["balt_lowmq"], ["balt_lowmq"]) if lowmq is not None else sites.withColumn("balt_lowmq", none("int"))
     sites = joins.update_join(sites, phased, KEY, ["phased_gt"], ["phased_gt"]) if phased is not None else sites.withColumn("phased_gt", none("string"))
     if panel is not None:
-        sites = joins.update_join(sites, panel, ["chr", "pos"], ["unique_donors", "max_out"], ["max_out", "unique_donors"])
+        sites = joins.update_join(sites, panel, ["chr", "pos"], ["unique_donors", "unique_cells", "max_out"], ["max_out", "unique_donors", "unique_cells"])
     else:
-        sites = sites.withColumn("unique_donors", F.lit(0)).withColumn("max_out", F.lit(0))
+        sites = sites.withColumns({c: F.lit(0) for c in ("unique_donors", "unique_cells", "max_out")})
+    known = F.col("phased_gt").isNull() | F.col("phased_gt").isin("0|1", "1|0", "1|1", "./.")
+    sites = sites.withColumn("phased_gt", F.when(known, F.col("phased_gt")).otherwise(F.raise_error(F.concat(F.lit("unknown genotype "), "phased_gt"))))
     haploid = F.col("chr").isin(*config.haploid()) if config.haploid() else F.lit(False)
     sites = sites.withColumn("training_site", filters.training_site(F.col("phased_gt"), F.col("bulk_gt"), haploid))
     return sites.withColumn("somatic_candidate", filters.candidate(config.params))
@@ -54,9 +58,14 @@ def for_cell(sites: DataFrame, counts: DataFrame, cell: str) -> DataFrame:
     return joined.withColumns({"dp": dp, "af": exprs.div(F.col("scalt").cast("double"), dp), "hap1": one, "hap2": two})
 
 
-def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, max_dp: int = 100, stages: Sequence[str] = ("ab", "models", "filters", "fdr", "calls")) -> DataFrame:
-    """Allele balance, models, filters, rates and calls of one cell's sites; ``stages`` may stop earlier."""
-    out = cell
+def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, max_dp: int = 100, stages: Sequence[str] = ("ab", "models", "cigars", "filters", "fdr", "calls")) -> DataFrame:
+    """Allele balance, models, read-operation scores, filters, rates and calls of one cell's sites; ``stages`` may stop earlier.
+
+    Scores need the columns of ``tails.cigar_rates``; their null sites are the
+    training sites, resampled ones where the table tells (resampled_training_site),
+    and two cut-offs of each type come to the driver.
+    """
+    out, cutoffs = cell, None
     if "ab" in stages:
         train = cell.where("training_site and muttype = 'snv'").select("chr", "pos", "hap1", "dp")
         gp = allele_balance.estimates(cell, train, fits)
@@ -64,17 +73,47 @@ def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, max_dp: int = 1
     if "models" in stages:
         mu = F.round(exprs.match_ab(F.col("af"), F.col("gp_mu")), 3)
         out = gauss_hermite.models(out.withColumn("mu", mu).withColumn("sd", F.round("gp_sd", 3))).drop("mu", "sd")
+    if "cigars" in stages and "cigar_dp" in cell.columns:
+        null = tails.cigar_rates(cell.where("resampled_training_site" if "resampled_training_site" in cell.columns else "training_site"))
+        null = stored.written(null.select("muttype", "id_x", "id_y", "hs_x", "hs_y"), "null-sites")
+        cutoffs = tails.score_cutoffs(tails.excess_scores(null, null), {k: (v.cigar_id_quantile, v.cigar_hs_quantile) for k, v in config.params.items()})
+        out = tails.excess_scores(tails.cigar_rates(out), null)
     if "filters" in stages:
         missing = {c: F.lit(None).cast(t) for c, t in (("id_score", "double"), ("hs_score", "double"), ("mutsig", "string")) if c not in out.columns}
-        out = filters.static_tests(out.withColumns(missing), config.params)
+        out = filters.static_tests(out.withColumns(missing), config.params, cutoffs)
     if "fdr" in stages:
         keys = ["muttype", "dp_idx", "bin"]
         out = out.withColumn("dp_idx", exprs.depth_index(F.col("dp"), max_dp)).withColumn("bin", exprs.vaf_bin(F.col("af"), F.col("dp")))
-        histograms = out.groupBy(*keys).agg(F.count_if("training_site").alias("g"), F.count_if("somatic_candidate").alias("s"))
+        histograms = cell.withColumn("dp_idx", exprs.depth_index(F.col("dp"), max_dp)).withColumn("bin", exprs.vaf_bin(F.col("af"), F.col("dp")))
+        histograms = histograms.groupBy(*keys).agg(F.count_if("training_site").alias("g"), F.count_if("somatic_candidate").alias("s"))
         out = joins.lookup(out, priors.priors(histograms).select(*keys, "nt", "na"), keys)
         for kind in ("lysis", "mda"):
             out = out.withColumn(f"{kind}_fdr", filters.fdr(F.col(f"{kind}_pv"), F.col(f"{kind}_beta"), F.col("nt"), F.col("na")))
-    return filters.call(out, config.target_fdr) if "calls" in stages else out
+    return filters.call(out, config.target_fdr, panel=cell) if "calls" in stages else out
+
+
+def burdens(called: DataFrame, depth: DataFrame, config: Config, gbp: float, copies: int = 2) -> DataFrame:
+    """(muttype, stratum, ..) of ``aggs.mutation_burden`` for each type; depth: sc_dp, bulk_dp, n."""
+    out = None
+    for muttype, p in sorted(config.params.items()):
+        one = aggs.mutation_burden(called.where(F.col("muttype") == muttype), depth, min_bulk_dp=p.min_bulk_dp, gbp=gbp, copies=copies)
+        one = one.select(F.lit(muttype).alias("muttype"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def run_cell(cell: DataFrame, fits: DataFrame, depth: DataFrame, config: Config, gbp: float, *, bins: DataFrame | None = None, tiles: DataFrame | None = None, covariates: Sequence[str] = (), preset: str = "baslan") -> dict[str, DataFrame]:
+    """All results of one cell by name: called sites (a written table, as the others read it), burden, depth, coverage and the
+    summaries; with bins also corrected bins, mapd and segments, and with tiles their predicted sensitivity."""
+    called = stored.written(analyse(cell, fits, config), "called")
+    table = aggs.depth_table(depth)
+    out = {"called": called, "burden": burdens(called, table, config, gbp), **summaries(called, depth)}
+    if bins is not None:
+        corrected = regression.gc_correct(bins)
+        out |= {"bins": corrected, "mapd": aggs.mapd(corrected, "ratio_gcnorm"), "segments": segments.segment(corrected.withColumn("lr", F.log2("ratio_gcnorm")).where("lr is not null"), "lr", preset)}
+    if tiles is not None:
+        out["sensitivity"] = regression.sensitivity_model(tiles, covariates)[0]
+    return out
 
 
 def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -94,9 +133,9 @@ def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, Da
 
 
 def write_summaries(tables: dict[str, DataFrame], folder: str, sample: str) -> None:
-    """A Parquet table for each summary, by sample."""
+    """A Parquet table for each summary, by sample, with the version that made it."""
     for name, df in tables.items():
-        df.withColumn("sample", F.lit(sample)).write.mode("append").partitionBy("sample").parquet(f"{folder}/{name}")
+        df.withColumn("sample", F.lit(sample)).withColumn("version", F.lit(__version__)).write.mode("append").partitionBy("sample").parquet(f"{folder}/{name}")
 
 
 def report(called: DataFrame) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import aggs, filters, intervals, joins, windows
-from .adapters import duck, duck_scored, scored, table, view
+from ..sources import stored
+from .adapters import duck, duck_scored, panel, scored, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,15 +76,16 @@ def candidate_filter(spark, sf_dir):
 
 
 _TESTS_SQL = """id_score >= CASE muttype WHEN 'snv' THEN 0.05 ELSE 0.1 END AS id_test, hs_score >= CASE muttype WHEN 'snv' THEN 0.05 ELSE 0.1 END AS hs_test,
-  coalesce(balt_lowmq <= 0, true) AS lowmq_test, abc_pv > 0.05 AS abc_test, scalt >= 2 AS sc_alt_test, dp >= 6 AS sc_dp_test, balt <= 0 AS bulk_alt_test, coalesce(bulk_af <= 1, true) AS bulk_af_test,
-  coalesce(bulk_binom_prob <= 1, true) AS bulk_binom_test, bulk_dp >= 11 AS bulk_dp_test, dbsnp = '.' AS dbsnp_test,
-  muttype = 'snv' OR unique_donors IS NULL OR coalesce(unique_donors <= 1 OR max_out <= 2, false) AS panel_test"""
+  coalesce(balt_lowmq <= 0, true) AS lowmq_test, dp >= 6 AND bulk_dp >= 11 AS dp_test, abc_pv > 0.05 AS abc_test, scalt >= 2 AS sc_alt_test, balt <= 0 AS bulk_alt_test, bulk_af <= 1 AS bulk_af_test,
+  bulk_binom_prob <= 1 AS bulk_binom_test, dbsnp = '.' AS dbsnp_test, muttype = 'snv' OR unique_donors IS NULL OR unique_donors <= 1 OR max_out <= 2 AS panel_test,
+  coalesce(mutsig NOT IN ('1:Ins:C:3', '1:Ins:C:4', '1:Ins:C:5', '1:Ins:T:3', '1:Ins:T:4', '1:Ins:T:5', '2:Ins:R:2', '2:Ins:R:3', '2:Ins:R:4', '2:Ins:R:5'), true) AS artifact_test"""
 _ALL_TESTS = " AND ".join(filters.TESTS)
 _FDR_SQL = "lysis_pv * na / nullif(lysis_pv * na + lysis_beta * nt, 0) AS lysis_fdr, mda_pv * na / nullif(mda_pv * na + mda_beta * nt, 0) AS mda_fdr"
 _CALLED = f"""{duck_scored()}, tested AS (SELECT *, {_TESTS_SQL}, {_FDR_SQL}, {_CANDIDATE} AS somatic_candidate FROM scored),
  filtered AS (SELECT *, {_ALL_TESTS} AS static_filter FROM tested),
- called AS (SELECT *, coalesce(somatic_candidate AND static_filter AND (muttype = 'snv' OR NOT (SELECT coalesce(max(unique_donors) = 1, false) FROM filtered)) AND lysis_fdr <= 0.01 AND mda_fdr <= 0.01, false) AS pass,
-   CASE WHEN training_site THEN coalesce(sc_alt_test AND sc_dp_test AND id_test AND hs_test AND abc_test AND lysis_fdr <= 0.01 AND mda_fdr <= 0.01, false) END AS training_pass FROM filtered)"""
+ limits AS (SELECT coalesce(max(unique_donors) = 1, false) AS one_donor, coalesce(max(unique_cells) <= 2, true) AS few_cells FROM filtered),
+ called AS (SELECT filtered.*, coalesce(somatic_candidate AND static_filter AND (muttype = 'snv' OR (NOT few_cells AND (NOT one_donor OR unique_cells = 1))) AND lysis_fdr <= 0.01 AND mda_fdr <= 0.01, false) AS pass,
+   CASE WHEN training_site THEN coalesce(sc_alt_test AND dp_test AND id_test AND hs_test AND abc_test AND lysis_fdr <= 0.01 AND mda_fdr <= 0.01, false) END AS training_pass FROM filtered, limits)"""
 QUANTILES = {"snv": (0.05, 0.05), "indel": (0.1, 0.1)}
 
 
@@ -94,6 +96,10 @@ def tested(spark, sf_dir) -> DataFrame:
     return s.withColumn("lysis_fdr", rate("lysis")).withColumn("mda_fdr", rate("mda"))
 
 
+def called_sites(spark, sf_dir) -> DataFrame:
+    return filters.call(tested(spark, sf_dir), panel=panel(spark, sf_dir))
+
+
 @query(f"WITH {_CALLED} SELECT chr, pos, refnt, altnt, {', '.join(filters.TESTS)}, static_filter FROM filtered")
 def static_filters(spark, sf_dir):
     """The twelve static tests and their conjunction."""
@@ -103,23 +109,26 @@ def static_filters(spark, sf_dir):
 @query(f"WITH {_CALLED} SELECT chr, pos, refnt, altnt, muttype, round(lysis_fdr, 6) AS lysis_fdr, round(mda_fdr, 6) AS mda_fdr, pass, training_pass FROM called")
 def call_pass(spark, sf_dir):
     """False-discovery rates, calls, and training sites that would be called."""
-    return filters.call(tested(spark, sf_dir)).select(*SITE_KEY, "muttype", r6("lysis_fdr"), r6("mda_fdr"), "pass", "training_pass")
+    return called_sites(spark, sf_dir).select(*SITE_KEY, "muttype", r6("lysis_fdr"), r6("mda_fdr"), "pass", "training_pass")
 
 
-_REASONS = ", ".join(f"CASE WHEN NOT {t} THEN '{t.removesuffix('_test')}' END" for t in filters.TESTS) + ", CASE WHEN lysis_fdr > 0.01 THEN 'pre.amplification.artifact' END, CASE WHEN mda_fdr > 0.01 THEN 'amplification.artifact' END"
+_REASONS = """CASE WHEN pass THEN 'PASS' END, CASE WHEN lysis_fdr IS NOT NULL AND lysis_fdr <= 0.01 THEN NULL ELSE 'pre.amplification.artifact' END, CASE WHEN mda_fdr IS NOT NULL AND mda_fdr <= 0.01 THEN NULL ELSE 'amplification.artifact' END,
+  CASE WHEN NOT abc_test THEN 'abc' END, CASE WHEN NOT id_test THEN 'cigar.id' END, CASE WHEN NOT hs_test THEN 'cigar.hs' END, CASE WHEN NOT lowmq_test THEN 'bulk.lowmq' END, CASE WHEN NOT dp_test THEN 'min.dp' END,
+  CASE WHEN NOT sc_alt_test THEN 'min.sc.alt' END, CASE WHEN NOT bulk_alt_test THEN 'max.bulk.alt' END, CASE WHEN NOT bulk_af_test THEN 'max.bulk.af' END, CASE WHEN NOT bulk_binom_test THEN 'max.bulk.binom.prob' END,
+  CASE WHEN NOT panel_test THEN 'cross.sample.filter' END, CASE WHEN NOT dbsnp_test THEN 'dbsnp' END"""
 
 
 @query(f"WITH {_CALLED} SELECT chr, pos, refnt, altnt, concat_ws(';', {_REASONS}) AS reasons FROM called")
 def filter_reasons_full(spark, sf_dir):
-    """All failed tests of each site as one string."""
-    return tested(spark, sf_dir).select(*SITE_KEY, filters.reasons().alias("reasons"))
+    """PASS or all failed tests of each site as one string."""
+    return called_sites(spark, sf_dir).select(*SITE_KEY, filters.reasons().alias("reasons"))
 
 
-@query(f"""WITH {_CALLED} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN mda_fdr > 0.01 THEN 'amplification.artifact' WHEN lysis_fdr > 0.01 THEN 'pre.amplification.artifact'
-  {' '.join(f"WHEN NOT {t} THEN '{t.removesuffix('_test')}'" for t in filters.TESTS)} ELSE 'PASS' END AS reason FROM called) x GROUP BY reason""")
+@query(f"""WITH {_CALLED} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN pass THEN 'PASS' WHEN panel_test IS NULL OR NOT panel_test THEN 'cross.sample.filter' WHEN static_filter IS NULL OR NOT static_filter THEN 'hard.filters'
+  WHEN lysis_fdr IS NULL OR lysis_fdr > 0.01 THEN 'pre.amplification.artifact' WHEN mda_fdr IS NOT NULL THEN 'amplification.artifact' END AS reason FROM called) x GROUP BY reason""")
 def filter_reasons_simple(spark, sf_dir):
     """Sites by their first reason."""
-    return tested(spark, sf_dir).groupBy(filters.first_reason().alias("reason")).agg(F.count("*").alias("n"))
+    return called_sites(spark, sf_dir).groupBy(filters.first_reason().alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_CALLED} SELECT muttype, static_filter, count(*) AS n FROM called GROUP BY muttype, static_filter")
@@ -128,10 +137,10 @@ def static_filter_summary(spark, sf_dir):
     return tested(spark, sf_dir).groupBy("muttype", "static_filter").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_CALLED} SELECT chr, pos, refnt, altnt FROM called WHERE coalesce((somatic_candidate OR bulk_binom_prob <= 0.25) AND tcells > 1, false)")
+@query(f"WITH {_CALLED} SELECT chr, pos, refnt, altnt FROM called WHERE coalesce((somatic_candidate OR (bulk_binom_prob <= 0.1 AND bulk_af < 0.25)) AND (muttype = 'snv' OR panel_test) AND tcells > 1, false)")
 def potentially_shared(spark, sf_dir):
     """Sites that several cells may share."""
-    return tested(spark, sf_dir).where(filters.potentially_shared()).select(*SITE_KEY)
+    return tested(spark, sf_dir).where(filters.potentially_shared(0.1)).select(*SITE_KEY)
 
 
 @query(f"WITH {_CALLED} SELECT chr, pos, refnt, altnt, muttype, phased_gt FROM called WHERE training_site AND muttype = 'snv'")
@@ -245,7 +254,7 @@ _CONTIG_SQL = "contig AS (SELECT 'chr' || k AS chr, 7000000 - 100000 * k AS leng
 SELECT chr, pos, refnt, altnt, CASE WHEN r IS NULL THEN NULL WHEN l IS NULL THEN r WHEN pos - l <= r - pos THEN l ELSE r END AS nearest FROM l JOIN r USING (chr, pos, refnt, altnt)""")
 def nearest_both(spark, sf_dir):
     """The nearest training position of each other site, ties to the left, NULL right of the last."""
-    s = scored(spark, sf_dir)
+    s = stored.written(scored(spark, sf_dir).select(*SITE_KEY, "training_site"), "sites")  # read three times
     return joins.nearest(s.where("not training_site").select(*SITE_KEY), s.where("training_site"))
 
 
@@ -400,8 +409,8 @@ _FRACTIONS = f"""{_CALLED}, {_CHANNEL_SQL}, c AS (SELECT channel, count(*) AS n
  weights AS (SELECT channel, true_sig * w1 / nullif(artifact_sig * w2, 0) AS weight FROM f, w)"""
 
 
-def _weights(spark, sf_dir) -> DataFrame:
-    calls = tested(spark, sf_dir).where("lysis_fdr <= 0.05")
+def _weights(spark, calls: DataFrame) -> DataFrame:
+    calls = calls.where("lysis_fdr <= 0.05")
     f = aggs.spectrum(calls, _channels(spark), (), 0.001)
     return filters.rescue_weights(f.select("channel", "share", ((1 + F.ascii("channel") % 5) / 100.0).alias("true_sig"), ((1 + F.length("channel") * 2) / 100.0).alias("artifact_sig")))
 
@@ -409,14 +418,17 @@ def _weights(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_FRACTIONS} SELECT channel, round(weight, 6) AS weight FROM weights")
 def sig_nnls(spark, sf_dir):
     """Weights of channels by non-negative least squares on two signatures."""
-    return _weights(spark, sf_dir).select("channel", r6("weight"))
+    return _weights(spark, tested(spark, sf_dir)).select("channel", r6("weight"))
+
+
+RESCUE_COLUMNS = [*SITE_KEY, "channel", "dp", "af", "lysis_pv", "lysis_beta", "nt", "na", "lysis_fdr", "mda_fdr", "static_filter", "pass", *filters.LABELS]
 
 
 @query(f"WITH {_FRACTIONS}, r AS (SELECT called.*, weight, concat_ws(';', {_REASONS}) = 'pre.amplification.artifact' AND NOT pass AS only_pre, lysis_pv / nullif(lysis_pv + lysis_beta * weight * (nt / na), 0) AS rate FROM called LEFT JOIN weights USING (channel)) SELECT chr, pos, refnt, altnt, CASE WHEN only_pre THEN round(rate, 6) END AS rescue_fdr, coalesce(only_pre AND rate <= 0.05, false) AS rescue FROM r WHERE static_filter AND lysis_fdr <= 0.5 AND mda_fdr <= 0.5")
 def rescue_fdr(spark, sf_dir):
     """Rescue of sites whose only fault is the first rate."""
-    called = filters.reduced(filters.call(tested(spark, sf_dir)))
-    return filters.rescued(called, _weights(spark, sf_dir), 0.01, 0.05).select(*SITE_KEY, r6("rescue_fdr"), "rescue")
+    sites = stored.written(called_sites(spark, sf_dir).select(*RESCUE_COLUMNS), "called")  # read for weights and sites
+    return filters.rescued(filters.reduced(sites), _weights(spark, sites), 0.01, 0.05).select(*SITE_KEY, r6("rescue_fdr"), "rescue")
 
 
 @query(f"WITH {duck_scored()} SELECT refnt, altnt, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY refnt), 6) AS share FROM scored WHERE muttype = 'snv' GROUP BY refnt, altnt")

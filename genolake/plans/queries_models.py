@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..config import Config
 from ..models import allele_balance, gauss_hermite, offsets, priors, regression, sampling, segments
-from ..operators import intervals
-from .adapters import scored, view
-from .queries import SITE_KEY, query, r6
+from ..operators import filters, intervals
+from . import pipeline
+from .adapters import duck, scored, view
+from .queries import _MERGED, SITE_KEY, query, r6
 
 
 @query()
@@ -30,12 +32,29 @@ def ab_fit(spark, sf_dir):
     return allele_balance.fit(_training(spark, sf_dir))
 
 
+def _fits(spark):
+    return spark.createDataFrame([(f"chr{k}", -1.0, 1000.0, -1.0, 20000.0) for k in range(1, 23)], "chr string, a double, b double, c double, d double")
+
+
+def cell_sites(spark, sf_dir):
+    """The site view as one cell's table: counts and panel alone, without the views' scores and rates."""
+    s = scored(spark, sf_dir).drop("abc_pv", "id_score", "hs_score", "lysis_pv", "lysis_beta", "mda_pv", "mda_beta", "nt", "na")
+    one, two = exprs.haplotypes(F.col("phased_gt"), F.col("scref"), F.col("scalt"))
+    return s.withColumns({"hap1": one, "hap2": two, "somatic_candidate": filters.candidate()})
+
+
+@query()
+def cell_burden(spark, sf_dir):
+    """One cell from counts to burden in a row: allele balance, models, read-operation scores, filters, priors, rates, calls and strata."""
+    results = pipeline.run_cell(cell_sites(spark, sf_dir), _fits(spark), view(spark, sf_dir, "depth"), Config("bulk", ("cell",)), 5.845001134)
+    return results["burden"].select("muttype", "stratum", "reason", "ncalls", r6("sens"), "callable_bp", F.round("burden", 4).alias("burden"))
+
+
 @query()
 def gp_predict(spark, sf_dir):
     """Mean and deviation of the allele balance at all sites, with fixed parameters; a training site's own reads are left out."""
     s = scored(spark, sf_dir)
-    fits = s.select("chr").distinct().select("chr", F.lit(-1.0).alias("a"), F.lit(1000.0).alias("b"), F.lit(-1.0).alias("c"), F.lit(20000.0).alias("d"))
-    return allele_balance.estimates(s, _training(spark, sf_dir), fits)
+    return allele_balance.estimates(s, _training(spark, sf_dir), _fits(spark))
 
 
 @query()
@@ -97,7 +116,7 @@ def spectrum_homogeneity(spark, sf_dir):
     return sampling.by_sample(sample.groupBy("sample", "channel").agg(F.count("*").alias("n")), expected)
 
 
-@query()
+@query(f"WITH {duck('interval')}, {_MERGED} SELECT chr, (start + i * (end_ - start + 1) // n)::INT AS start, (start + (i + 1) * (end_ - start + 1) // n - 1)::INT AS end_ FROM (SELECT chr, start::BIGINT AS start, end_, ceil((end_ - start + 1) / 1000.0)::BIGINT AS n, unnest(range(0, ceil((end_ - start + 1) / 1000.0)::BIGINT)) AS i FROM merged) x")
 def spread_intervals(spark, sf_dir):
     """Callable intervals after merging, extension and tiling."""
     return intervals.equal_tiles(intervals.merge(view(spark, sf_dir, "interval")), 1000)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..models import allele_balance, tails
 from ..operators import aggs, filters, joins, windows
-from ..sources import vcf
+from ..sources import stored, vcf
 from .adapters import duck, duck_scored, scored, table, view
-from .queries import _CALLED, SITE_KEY, query, r6, tested
+from .queries import _CALLED, _REASONS, SITE_KEY, called_sites, query, r6, tested
 
 # ---- coverage bins
 
@@ -33,7 +34,8 @@ def mapd(spark, sf_dir):
     return aggs.mapd(_ratios(spark, sf_dir), "r").select(r6("mapd"))
 
 
-@query()
+@query(f"""WITH {duck('bins')}, n AS (SELECT unnest([1, 2, 4, 8, 16])::INT AS n_bins), b AS (SELECT chr, cnt, row_number() OVER (PARTITION BY chr ORDER BY start) - 1 AS i FROM bins_v), l AS (SELECT n_bins, chr, i // n_bins AS g, sum(cnt) AS cnt FROM b, n GROUP BY ALL),
+ r AS (SELECT n_bins, chr, g, (cnt + 1) / median(cnt) OVER (PARTITION BY n_bins) AS r FROM l), s AS (SELECT n_bins, abs(log2(r) - lag(log2(r)) OVER (PARTITION BY n_bins, chr ORDER BY g)) AS step FROM r) SELECT n_bins, round(median(step), 6) AS mapd FROM s GROUP BY n_bins""")
 def mapd_curve(spark, sf_dir):
     """The same over bins of 1, 2, 4, 8 and 16, each from the last."""
     return aggs.mapd_curve(view(spark, sf_dir, "bins"), (1, 2, 4, 8, 16)).select("n_bins", r6("mapd"))
@@ -77,7 +79,7 @@ def rolling_nbhd(spark, sf_dir):
 SELECT chr, pos, refnt, altnt, round(CASE WHEN sign(af - 0.5) * sign(first_value(af) OVER (PARTITION BY chr, island ORDER BY pos, refnt, altnt) - 0.5) < 0 THEN 1 - af ELSE af END, 6) AS flipped_af FROM i""")
 def phase_flip(spark, sf_dir):
     """Allele fractions of each run on the side of its first site."""
-    t = scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af")
+    t = stored.written(scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af"), "training")  # blocks read it again
     return windows.flip_phase(t, tie=["refnt", "altnt"]).select(*SITE_KEY, r6("flipped_af"))
 
 
@@ -95,6 +97,7 @@ def mnv_islands(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("sample"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 3).cast("string")).alias("chr"), key.cast("int").alias("pos"),
         base("ACGT").alias("refnt"), base("CGTA").alias("altnt"), (key % 5).cast("int").alias("scalt"), (key % 3 + 10).cast("int").alias("scref")).distinct()
+    c = stored.written(c, "calls")  # blocks read it again
     return windows.merge_neighbours(c).select("sample", "chr", "pos", "refnt", "altnt", "n", "muttype")
 
 
@@ -136,7 +139,7 @@ def standardise(spark, sf_dir):
 SELECT chr, bin, count(*) AS n, round(avg(dist), 6) AS mean_dist, max(dist) AS max_dist, round(CASE WHEN count(*) FILTER (af IS NOT NULL AND af2 IS NOT NULL) >= 3 THEN greatest(least(CASE WHEN isnan(corr(af, af2)) THEN NULL ELSE corr(af, af2) END, 0.99), -0.99) END, 5) AS r, floor(avg((dp + dp2) / 2.0))::INT AS mean_dp FROM b WHERE bin IS NOT NULL GROUP BY chr, bin""")
 def adjacent_cor(spark, sf_dir):
     """Correlation of neighbouring allele fractions by distance."""
-    t = scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af", "dp")
+    t = stored.written(scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af", "dp"), "training")
     # the next site of a chromosome, through blocks
     from ..operators import blocks
 
@@ -195,9 +198,9 @@ SELECT st.stratum, coalesce(ncalls, 0) AS ncalls, round(sens, 6) AS sens, coales
 FROM st LEFT JOIN gs ON gs.stratum = st.stratum LEFT JOIN cs ON cs.stratum = st.stratum LEFT JOIN bs ON bs.stratum = st.stratum""")
 def mutburden(spark, sf_dir):
     """Mutation burden by depth strata."""
-    called = filters.call(tested(spark, sf_dir))
+    called = called_sites(spark, sf_dir).select("dp", "bulk_dp", "training_site", "training_pass", "pass")
     depth = aggs.depth_table(view(spark, sf_dir, "depth"))
-    out = aggs.mutation_burden(called.where("training_site"), called.where("not training_site"), depth, min_bulk_dp=11, gbp=5.845001134)
+    out = aggs.mutation_burden(called, depth, min_bulk_dp=11, gbp=5.845001134)
     return out.select("stratum", "ncalls", r6("sens"), "callable_bp", F.round("burden", 4).alias("burden"))
 
 
@@ -268,10 +271,10 @@ def group_head(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.row_number().over(w).alias("rn")).where("rn <= 5").drop("rn")
 
 
-@query(f"WITH {duck_scored()}, n AS (SELECT CASE WHEN scalt >= 25 THEN 1 ELSE 0 END AS x, id_score, hs_score FROM scored WHERE pos % 97 = 0) SELECT round(id_score, 6) AS id_score, round(hs_score, 6) AS hs_score, count(*) AS n FROM n GROUP BY 1, 2")
+@query(f"WITH {duck_scored()} SELECT round(id_score, 6) AS id_score, round(hs_score, 6) AS hs_score, count(*) AS n FROM scored WHERE training_site GROUP BY 1, 2")
 def cigar_points(spark, sf_dir):
-    """Null points of the two scores."""
-    s = scored(spark, sf_dir).where("pos % 97 = 0")
+    """Null points of the two scores: the training sites."""
+    s = scored(spark, sf_dir).where("training_site")
     return s.groupBy(r6("id_score"), r6("hs_score")).agg(F.count("*").alias("n"))
 
 
@@ -279,16 +282,64 @@ def cigar_points(spark, sf_dir):
 SELECT a.x, a.y, round(sum(CASE WHEN b.x >= a.x AND b.y >= a.y THEN b.m ELSE 0 END) / any_value(t), 6) AS tail FROM p a, p b, t GROUP BY a.x, a.y""")
 def cigar_tail(spark, sf_dir):
     """The empirical tail of two scores over all training sites, by sums over the grid of their values."""
-    from ..models import tails
-
     return tails.dominance(scored(spark, sf_dir).where("training_site").select(r6("id_score", "x"), r6("hs_score", "y")), "x", "y").select("x", "y", r6("tail"))
 
 
-@query(f"""WITH {_CALLED} SELECT concat_ws(chr(9), chr, pos::VARCHAR, '.', refnt, altnt, '.', 'PASS', concat('TYPE=', muttype), 'GT:DP:AD:AF', concat('0/1:', dp, ':', scref, ',', scalt, ':', round(af, 4)::VARCHAR)) AS line FROM called WHERE pass""")
+_RATES = "{d}, c AS (SELECT *, id_n_bulk / nullif(cigar_dp_bulk::DOUBLE, 0) AS id_x, id_n / nullif(cigar_dp::DOUBLE, 0) AS id_y, hs_n_bulk / nullif(cigar_dp_bulk::DOUBLE, 0) AS hs_x, hs_n / nullif(cigar_dp::DOUBLE, 0) AS hs_y FROM scored)".format(d=duck_scored())
+
+
+@query(f"WITH {_RATES} SELECT chr, pos, refnt, altnt, round(id_x, 6) AS id_x, round(id_y, 6) AS id_y, round(hs_x, 6) AS hs_x, round(hs_y, 6) AS hs_y FROM c")
+def cigar_rates(spark, sf_dir):
+    """Read operations a read of the cell and the bulk."""
+    return tails.cigar_rates(scored(spark, sf_dir)).select(*SITE_KEY, r6("id_x"), r6("id_y"), r6("hs_x"), r6("hs_y"))
+
+
+_EXCESS = ", ".join(
+    f"""{k}_n AS (SELECT muttype, {k}_x AS x, {k}_y AS y, count(*) AS m FROM c WHERE training_site GROUP BY ALL), {k}_a AS (SELECT DISTINCT muttype, {k}_x AS x, {k}_y AS y FROM c),
+ {k}_s AS (SELECT a.muttype, a.x, a.y, sum(CASE WHEN n.x >= a.x AND n.y >= a.y THEN m ELSE 0 END) / nullif(sum(CASE WHEN (n.x >= a.x AND n.y >= a.y) IS NOT NULL THEN m ELSE 0 END), 0) AS s FROM {k}_a a JOIN {k}_n n ON a.muttype = n.muttype GROUP BY a.muttype, a.x, a.y)"""
+    for k in ("id", "hs")
+)
+
+
+@query(f"WITH {_RATES}, {_EXCESS} SELECT chr, pos, refnt, altnt, round(i.s, 6) AS id_score, round(h.s, 6) AS hs_score FROM c LEFT JOIN id_s i ON c.muttype = i.muttype AND id_x IS NOT DISTINCT FROM i.x AND id_y IS NOT DISTINCT FROM i.y LEFT JOIN hs_s h ON c.muttype = h.muttype AND hs_x IS NOT DISTINCT FROM h.x AND hs_y IS NOT DISTINCT FROM h.y")
+def cigar_excess(spark, sf_dir):
+    """The share of training sites of the type with as many read operations in cell and bulk."""
+    s = stored.written(tails.cigar_rates(scored(spark, sf_dir)).select(*SITE_KEY, "muttype", "training_site", "id_x", "id_y", "hs_x", "hs_y"), "rates")
+    return tails.excess_scores(s, s.where("training_site")).select(*SITE_KEY, r6("id_score"), r6("hs_score"))
+
+
+_NUMBER = "CASE WHEN {c} IS NULL THEN '.' WHEN isinf({c}) THEN 'Inf' ELSE printf('%.4f', round({c}, 4)) END"
+_LOG = "CASE WHEN {c} = 0 THEN 'inf'::DOUBLE ELSE -log10({c}) END"
+
+
+def _n(c: str) -> str:
+    return _NUMBER.format(c=c)
+
+
+@query(f"""WITH {_CALLED}, x AS (SELECT *, concat_ws(';', {_REASONS}) AS why, CASE WHEN dp % 5 > 0 THEN (dp % 20 + 1) / 21.0::DOUBLE END AS ab, (dp % 7) / 10.0::DOUBLE AS gp_sd, {_LOG.format(c='abc_pv')} AS abc, {_LOG.format(c='lysis_fdr')} AS paa, {_LOG.format(c='mda_fdr')} AS aa FROM called)
+SELECT concat_ws(chr(9), chr, pos::VARCHAR, dbsnp, refnt, altnt, '.', CASE WHEN why = '' THEN '.' ELSE why END, concat('MSC=', coalesce(mutsig, '.'), ';BALT_LOWMQ=', coalesce(balt_lowmq::VARCHAR, '.'), CASE WHEN dbsnp <> '.' THEN ';DB' ELSE '' END, CASE WHEN training_site THEN ';TS' ELSE '' END),
+ 'GT:DP:AD:AF:AB:ABSD:ABC:PAA:AA:GQ:SC', concat_ws(':', CASE WHEN pass THEN '0/1' ELSE './.' END, dp, concat(scref, ',', scalt), {_n('af')}, {_n('ab')}, {_n('gp_sd')}, {_n('abc')}, {_n('paa')}, {_n('aa')}, CASE WHEN paa IS NULL OR aa IS NULL THEN '.' ELSE {_n('least(paa, aa)')} END, somatic_candidate::INT),
+ concat_ws(':', coalesce(phased_gt, bulk_gt), bulk_dp, concat(bref, ',', balt), {_n('bulk_af')}, '.:.:.:.:.:.:.')) AS line FROM x""")
 def vcf_lines(spark, sf_dir):
-    """Calls as lines of a VCF."""
-    called = filters.call(tested(spark, sf_dir)).where("pass")
-    return vcf.lines(called)
+    """All sites as lines of a VCF, with reasons, INFO and the fields of cell and bulk."""
+    ab = F.when(F.col("dp") % 5 > 0, (F.col("dp") % 20 + 1) / F.lit(21.0))
+    return vcf.lines(called_sites(spark, sf_dir).withColumns({"ab": ab, "gp_sd": (F.col("dp") % 7) / F.lit(10.0)}))
+
+
+@query(f"WITH {duck('site')} SELECT chr, pos, refnt, altnt, round(1 / (1 + exp(-((dp - 25) / 10.0::DOUBLE))), 6) AS ab, round(1 / (1 + exp(-((dp - 25) / 10.0::DOUBLE - 2 * (bulk_dp / 40.0::DOUBLE)))), 6) AS ab_low, round(1 / (1 + exp(-((dp - 25) / 10.0::DOUBLE + 2 * (bulk_dp / 40.0::DOUBLE)))), 6) AS ab_high FROM site_v")
+def balance_tube(spark, sf_dir):
+    """The allele balance with two deviations on either side."""
+    s = view(spark, sf_dir, "site").withColumns({"gp_mu": (F.col("dp") - 25) / F.lit(10.0), "gp_sd": F.col("bulk_dp") / F.lit(40.0)})
+    return s.select(*SITE_KEY, *[F.round(c, 6).alias(n) for c, n in zip(allele_balance.tube(), ("ab", "ab_low", "ab_high"), strict=True)])
+
+
+@query(f"WITH {duck('bins')}, t AS (SELECT (cnt * 37) % 100 / 100.0::DOUBLE AS a, (cnt * 17) % 100 / 100.0::DOUBLE AS b, cnt % 5 AS p, cnt % 3 AS q, cnt % 2 = 0 AS h FROM bins_v) SELECT h AS held_out, round((a + b) / 2, 6) AS pred, p + q AS npass, p + q + 2 AS ntotal, q AS ncalls FROM t")
+def type_allele_tiles(spark, sf_dir):
+    """Tiles of one type with both alleles put together."""
+    cnt = F.col("cnt")
+    wide = {"pred_snv_maj": (cnt * 37) % 100 / F.lit(100.0), "pred_snv_min": (cnt * 17) % 100 / F.lit(100.0), "snv_npass_maj": cnt % 5, "snv_npass_min": cnt % 3, "snv_ntotal_maj": cnt % 5 + 1, "snv_ntotal_min": cnt % 3 + 1, "snv_ncalls_maj": cnt % 3, "snv_ncalls_min": F.lit(0), "held_out": cnt % 2 == 0}
+    got = filters.by_type_and_allele(view(spark, sf_dir, "bins").withColumns(wide), "snv")
+    return got.select("held_out", r6("pred"), "npass", "ntotal", "ncalls")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 25 = 22 THEN 'X' WHEN s_suppkey % 25 > 22 THEN NULL ELSE CAST(s_suppkey % 25 + 1 AS VARCHAR) END AS contig, CASE WHEN s_suppkey % 25 > 22 THEN NULL ELSE (s_suppkey % 25 + 1)::INT END AS ord FROM supplier")
@@ -297,4 +348,4 @@ def contig_order(spark, sf_dir):
     names = [(str(k), k) for k in range(1, 23)] + [("X", 23)]
     order = spark.createDataFrame(names, "contig string, ord int")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25 + 1).cast("int").alias("ord"))
-    return s.join(F.broadcast(order), "ord", "left").select("s_suppkey", "contig", F.when(F.col("contig").isNotNull(), F.col("ord")).alias("ord"))
+    return s.join(F.broadcast(order), "ord", "left").select("s_suppkey", "contig", F.when(F.col("contig").isNotNull(), F.col("ord")).alias("ord")).orderBy("ord", "s_suppkey")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import filters, intervals, windows
+from ..sources import stored
 from .adapters import duck, duck_scored, scored, table, view
-from .queries import _CALLED, _CONTIGS, _FRACTIONS, _REASONS, _TILES, SITE_KEY, _weights, query, r6, tested
+from .queries import _CALLED, _CONTIGS, _FRACTIONS, _REASONS, _TILES, RESCUE_COLUMNS, SITE_KEY, _weights, called_sites, query, r6
 
 
 @query("SELECT p_partkey, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM (SELECT p_partkey, concat(substr('ACGT', (p_partkey % 4 + 1)::INT, 1), substr('GATC', (p_partkey % 3 + 1)::INT, 1), substr('TCAG', (p_partkey % 4 + 1)::INT, 1)) AS seq FROM part) x")
@@ -58,8 +59,8 @@ _OUTCOME = "CASE WHEN pass THEN 'pass' WHEN rescue THEN 'rescue' ELSE 'rejected'
 @query(f"WITH {_FRACTIONS}, r AS (SELECT called.*, coalesce(concat_ws(';', {_REASONS}) = 'pre.amplification.artifact' AND NOT pass AND lysis_pv / nullif(lysis_pv + lysis_beta * weight * (nt / na), 0) <= 0.05, false) AS rescue FROM called LEFT JOIN weights USING (channel)) SELECT {_OUTCOME} AS outcome, CASE WHEN dp = 0 OR af IS NULL OR af = 0 THEN 1 ELSE ceil(af * 20)::INT END AS bin, count(*) AS n FROM r WHERE static_filter AND lysis_fdr <= 0.5 AND mda_fdr <= 0.5 GROUP BY ALL")
 def outcome_histogram(spark, sf_dir):
     """Allele fractions of called, rescued and rejected sites."""
-    called = filters.reduced(filters.call(tested(spark, sf_dir)))
-    r = filters.rescued(called, _weights(spark, sf_dir), 0.01, 0.05)
+    sites = stored.written(called_sites(spark, sf_dir).select(*RESCUE_COLUMNS), "called")
+    r = filters.rescued(filters.reduced(sites), _weights(spark, sites), 0.01, 0.05)
     outcome = F.when(F.col("pass"), "pass").when(F.col("rescue"), "rescue").otherwise("rejected")
     return r.groupBy(outcome.alias("outcome"), exprs.vaf_bin(F.col("af"), F.col("dp")).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -67,7 +68,7 @@ def outcome_histogram(spark, sf_dir):
 @query(f"WITH {_CALLED} SELECT chr, pos, refnt, altnt, muttype FROM called WHERE pass AND muttype = 'snv'")
 def passing_snvs(spark, sf_dir):
     """Called sites of one type."""
-    called = filters.call(tested(spark, sf_dir)).withColumn("rescue", F.lit(False))
+    called = called_sites(spark, sf_dir).withColumn("rescue", F.lit(False))
     return called.where(filters.passing("any", ["snv"])).select(*SITE_KEY, "muttype")
 
 

@@ -103,11 +103,17 @@ def test_rolling_edges(spark):
 
 
 def test_burden_needs_rows(spark):
-    germ = spark.createDataFrame([(k, 20, True) for k in range(50)], "dp int, bulk_dp int, training_pass boolean")
-    som = spark.createDataFrame([(5, True)], "dp int, pass boolean")
+    sites = spark.createDataFrame([(k, 20, True, True, False) for k in range(50)] + [(5, 20, False, None, True)], "dp int, bulk_dp int, training_site boolean, training_pass boolean, pass boolean")
     depth = spark.createDataFrame([(5, 20, 100)], "sc_dp int, bulk_dp int, n long")
-    out = aggs.mutation_burden(germ, som, depth, min_bulk_dp=11, gbp=5.8).collect()
+    out = aggs.mutation_burden(sites, depth, min_bulk_dp=11, gbp=5.8).collect()
     assert len(out) == 3 and all(r["burden"] is None and r["reason"] == "few germline sites" for r in out)
+    out = {r["stratum"]: r for r in aggs.mutation_burden(sites, depth, min_bulk_dp=11, gbp=5.8, least=10).collect()}
+    assert out[1]["ncalls"] == 1 and out[1]["sens"] == 1 and out[1]["callable_bp"] == 100 and out[1]["burden"] == pytest.approx(1 / 100 * 1e9 / 2 * 5.8) and out[2]["ncalls"] == 0
+    flat = aggs.mutation_burden(sites.withColumn("dp", F.lit(7)), depth, min_bulk_dp=11, gbp=5.8, least=10).collect()
+    assert all(r["reason"] == "quartiles coincide" for r in flat)
+    strata = aggs.mutation_burden(sites, depth, min_bulk_dp=11, gbp=5.8, least=10)
+    panel = spark.createDataFrame([(3, 2), (1, 1)], "unique_donors int, unique_cells int")
+    assert aggs.reported_burden(strata, "indel", panel).first()["burden"] is None and aggs.reported_burden(strata.withColumn("burden", F.lit(3.5)), "snv", panel).first()["burden"] == 3.5
 
 
 def test_empty_spectrum(spark):
@@ -146,11 +152,82 @@ def test_text_sources(spark, tmp_path):
     assert tabular.duplicates(long, ["chr", "pos"]).count() == 2
 
 
+def site(**own):
+    """A called SNV with all that filters and VCF need."""
+    tests = dict.fromkeys(filters.TESTS, True)
+    return tests | dict(chr="1", pos=9, refnt="A", altnt="C", dbsnp=".", muttype="snv", mutsig=None, balt_lowmq=None, training_site=False, somatic_candidate=True, dp=10, scref=5, scalt=5, af=0.5, ab=None, gp_sd=0.25, abc_pv=0.1, lysis_fdr=0.001, mda_fdr=0.0,
+                        phased_gt=None, bulk_gt="0/0", bulk_dp=20, bref=20, balt=0, bulk_af=0.0, unique_donors=2, unique_cells=3, static_filter=True, **{"pass": True}) | own
+
+
+SITE = "chr string, pos int, refnt string, altnt string, dbsnp string, muttype string, mutsig string, balt_lowmq int, training_site boolean, somatic_candidate boolean, dp int, scref int, scalt int, af double, ab double, gp_sd double, abc_pv double, lysis_fdr double, mda_fdr double, phased_gt string, bulk_gt string, bulk_dp int, bref int, balt int, bulk_af double, unique_donors int, unique_cells int, static_filter boolean, pass boolean, rescue boolean, " + ", ".join(f"{t} boolean" for t in filters.TESTS)
+
+
+def sites(spark, *rows):
+    names = [c.split()[0] for c in SITE.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], SITE)
+
+
 def test_vcf(spark, tmp_path):
-    calls = spark.createDataFrame([("2", 5, "A", "C", "snv", 10, 5, 5, 0.5), ("1", 9, "A", "C", "snv", 0, 0, 0, None)], "chr string, pos int, refnt string, altnt string, muttype string, dp int, scref int, scalt int, af double")
-    vcf.write(calls, str(tmp_path / "v"), [("1", 100), ("2", 100)], "cell")
+    (tmp_path / "g.fai").write_text("2\t100\t3\t60\t61\n1\t200\t9\t60\t61\n")
+    contigs = vcf.contigs(spark, str(tmp_path / "g.fai"))
+    assert contigs == [("2", 100), ("1", 200)]
+    rows = sites(spark, site(), site(chr="2", pos=5, dbsnp="rs1", training_site=True, mutsig="ACA:C>A", balt_lowmq=3, dp=0, scref=0, scalt=0, af=None, lysis_fdr=None, phased_gt="0|1", bulk_af=None, abc_test=False, panel_test=None, **{"pass": False}))
+    vcf.write(rows, str(tmp_path / "v"), contigs, "cell")
     lines = [line for f in sorted((tmp_path / "v").glob("part-*")) for line in f.read_text().splitlines()]
-    assert lines[0] == "##fileformat=VCFv4.2" and [x.split("\t")[0] for x in lines[-2:]] == ["1", "2"] and lines[-2].endswith("0/1:0:0,0:.")
+    assert lines[0] == "##fileformat=VCFv4.4" and "##contig=<ID=2,length=100>" in lines and lines[-3].startswith("#CHROM\tPOS")
+    assert lines[-2] == "2\t5\trs1\tA\tC\t.\tpre.amplification.artifact;abc\tMSC=ACA:C>A;BALT_LOWMQ=3;DB;TS\tGT:DP:AD:AF:AB:ABSD:ABC:PAA:AA:GQ:SC\t./.:0:0,0:.:.:0.2500:1.0000:.:Inf:.:1\t0|1:20:20,0:.:.:.:.:.:.:.:."
+    assert lines[-1] == "1\t9\t.\tA\tC\t.\tPASS\tMSC=.;BALT_LOWMQ=.\tGT:DP:AD:AF:AB:ABSD:ABC:PAA:AA:GQ:SC\t0/1:10:5,5:0.5000:.:0.2500:1.0000:3.0000:Inf:3.0000:1\t0/0:20:20,0:0.0000:.:.:.:.:.:.:."
+    with pytest.raises(Exception, match="exists"):
+        vcf.write(rows, str(tmp_path / "v"), contigs, "cell")
+
+
+def test_reasons(spark):
+    no = {"pass": False}
+    rows = [site(), site(**no, rescue=True, lysis_fdr=0.5), site(**no, panel_test=None), site(**no, static_filter=None), site(**no, lysis_fdr=None, mda_fdr=None), site(**no, abc_test=False), site(**no, mda_fdr=None), site(**no, id_test=False, dbsnp_test=False, mda_fdr=0.9, artifact_test=False)]
+    df = sites(spark, *rows)
+    got = df.select(filters.first_reason(rescue=True).alias("one"), filters.reasons(rescue=True).alias("all")).collect()
+    assert [r["one"] for r in got] == ["PASS", "RESCUE", "cross.sample.filter", "hard.filters", "pre.amplification.artifact", "amplification.artifact", None, "amplification.artifact"]
+    assert [r["all"] for r in got] == ["PASS", "pre.amplification.artifact;RESCUE", "", "", "pre.amplification.artifact;amplification.artifact", "abc", "amplification.artifact", "amplification.artifact;cigar.id;dbsnp"]
+
+
+def test_indels_need_cells(spark):
+    rows = lambda donors, cells: [site(muttype="indel", unique_donors=donors, unique_cells=c, pos=k) for k, c in enumerate(cells)]
+    called = lambda *r: [x["pass"] for x in filters.call(sites(spark, *r)).orderBy("pos").collect()]
+    assert called(*rows(2, [1, 3])) == [True, True] and called(*rows(1, [1, 3])) == [True, False]
+    assert called(*rows(2, [1, 2])) == [False, False] and called(*rows(None, [None])) == [False] and called(site(unique_donors=None, unique_cells=None)) == [True]
+    df = sites(spark, site(mutsig="1:Ins:C:3"), site(mutsig="1:Ins:C:2"), site(bulk_dp=0, bulk_af=None)).withColumns({"bulk_binom_prob": F.lit(0.5), "max_out": F.lit(None).cast("int"), "id_score": F.lit(1.0), "hs_score": F.lit(1.0)})
+    got = filters.static_tests(df).collect()
+    assert [r["artifact_test"] for r in got] == [False, True, True] and got[2]["dp_test"] is False and got[2]["bulk_af_test"] is None
+    assert filters.sweep(df, [3, 1, 3], lambda d, v: d.where(F.col("dp") > v), "least").select("least").distinct().count() == 2
+
+
+def test_inputs(spark, tmp_path):
+    from genolake.sources import inputs
+
+    fixed = [c.split()[0] for c in inputs.INTEGRATED.split(", ")]
+    values = dict.fromkeys(fixed, "NA") | dict(chr="1", pos="5", refnt="A", altnt="C", dbsnp=".", muttype="snv", phased_gt="0|1", training_site="true")
+    path = tmp_path / "i.tab"
+    path.write_text("#" + "\t".join([*fixed, "S1", "ref", "alt", "S2", "ref", "alt"]) + "\n" + "\t".join([values[c] for c in fixed] + ["0/1", "3", "4", "0/0", "9", "1"]) + "\n")
+    r = inputs.integrated(spark, str(path), "S2").first()
+    assert (r["scref"], r["scalt"], r["dp"], r["hap1"], r["hap2"]) == (9, 1, 10, 9, 1) and inputs.training(spark, str(path), "S1").count() == 1
+    with pytest.raises(ValueError, match="no sample"):
+        inputs.integrated(spark, str(path), "S3")
+    (tmp_path / "d.tab").write_text("#chr\tpos\tA\tB\n1\t7\t3\t8\n")
+    assert inputs.depths(spark, str(tmp_path / "d.tab"), "B", "A", coordinates=True).first().asDict() == {"chr": "1", "pos": 7, "sc_dp": 8, "bulk_dp": 3}
+    a = spark.createDataFrame([("1", 1, "A", "C"), ("1", 2, "A", "C")], "chr string, pos int, refnt string, altnt string")
+    b = a.withColumn("score", F.lit(0.5))
+    assert inputs.precomputed(a, b, ["score"]).count() == 2
+    for x, y in ((a, b.limit(1)), (a.limit(1), b)):
+        with pytest.raises(ValueError, match="not among"):
+            inputs.precomputed(x, y, ["score"]).count()
+    with pytest.raises(ValueError, match="repeated"):
+        inputs.once(a.union(a))
+    assert inputs.together([b, b], ["score"]).count() == 4
+    with pytest.raises(ValueError, match="differ in score"):
+        inputs.together([b, b.withColumn("score", F.lit(0.7))], ["score"])
+    cig = spark.createDataFrame([("1", 1, 9, 1, 2, 0, 10)], "chr string, pos int, m int, id int, hs int, other int, dp int")
+    got = inputs.with_cigars(a, cig, cig).orderBy("pos").collect()
+    assert (got[0]["id_n"], got[0]["hs_n_bulk"], got[0]["cigar_dp"], got[1]["id_n"]) == (1, 2, 10, None)
 
 
 def test_config():

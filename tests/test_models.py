@@ -15,6 +15,7 @@ from genolake.plans.adapters import scored
 def test_read_probabilities():
     for d, mu, sd, factor in ((0, 0.0, 1.0, 1), (12, 0.3, 0.8, 1), (30, -1.0, 0.5, 2)):
         p = gauss_hermite.read_probabilities(d, mu, sd, factor)
+        p = p[0]
         assert p.sum() == pytest.approx(1)
         b = np.linspace(mu - 10 * sd, mu + 10 * sd, 20001)
         w = np.exp(-0.5 * ((b - mu) / sd) ** 2)
@@ -32,6 +33,20 @@ def test_p_values(spark):
     assert gauss_hermite.legacy_fdr(0.1, np.array([0.05, 0.2]), np.array([0.5, 0.9]), 1.0, 1.0) == pytest.approx(0.2 / 1.1)
 
 
+def one_prediction(at, pos, y, d, fit):
+    """Newton's method on one window, written out."""
+    cov = lambda u, v: np.exp(fit[0] - (u[:, None] - v[None]) ** 2 / fit[1] ** 2) + np.exp(fit[2] - (u[:, None] - v[None]) ** 2 / fit[3] ** 2)
+    k, f = cov(pos, pos), np.zeros(len(pos))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-f))
+        w = d * p * (1 - p)
+        f = k @ np.linalg.solve(np.eye(len(pos)) + w[:, None] * k, w * f + y - d * p)
+    p = 1 / (1 + np.exp(-f))
+    w = d * p * (1 - p)
+    near = cov(pos, np.array([at]))[:, 0]
+    return near @ (y - d * p), math.sqrt(math.exp(fit[0]) + math.exp(fit[2]) - near @ np.linalg.solve(k + np.diag(1 / w), near))
+
+
 def test_laplace_recovers_balance():
     rng = np.random.default_rng(3)
     pos = np.sort(rng.choice(50_000, 120, replace=False)).astype(float)
@@ -39,10 +54,20 @@ def test_laplace_recovers_balance():
     d = np.full(120, 60.0)
     y = rng.binomial(60, 1 / (1 + np.exp(-truth))).astype(float)
     fit = (0.0, 3000.0, 0.0, 9000.0)
-    k = allele_balance.window(pos[60], pos)
-    assert 60 not in k
-    mu, sd = allele_balance.predict(pos[60], pos[k], y[k], d[k], fit)
+    mu, sd = allele_balance.predict(pos[60], pos, y, d, fit)
     assert abs(mu - truth[60]) < 4 * max(sd, 0.1)
+    at = np.sort(np.concatenate([pos[::7], pos[:-1:5] + 0.5, [pos[-1] + 2e5, pos[0] - 10]]))
+    low, high = allele_balance.window(at, pos, flank=4000, most=9)
+    means, deviations = allele_balance.predictions(at, low, high, pos, y, d, fit)
+    for j, x in enumerate(at.tolist()):
+        k = [i for i in range(120) if abs(pos[i] - x) <= 4000 and pos[i] != x]
+        k = [i for i in k if pos[i] < x][-9:] + [i for i in k if pos[i] > x][:9]
+        if not k:
+            assert math.isnan(means[j])
+            continue
+        assert (means[j], deviations[j]) == pytest.approx(one_prediction(x, pos[k], y[k], d[k], fit), rel=1e-4)
+    many = allele_balance.log_evidence(pos, y, d, (np.array([0.0, -1.0]), np.array([3000.0, 500.0]), np.array([0.0, -2.0]), np.array([9000.0, 4000.0])))
+    assert many[0] == pytest.approx(allele_balance.log_evidence(pos, y, d, fit)[0]) and many[1] == pytest.approx(allele_balance.log_evidence(pos, y, d, (-1.0, 500.0, -2.0, 4000.0))[0])
     assert allele_balance.log_evidence(pos, y, d, fit) > allele_balance.log_evidence(pos, y, d, (-7.0, 100.0, -7.0, 200.0))
 
 
@@ -63,9 +88,22 @@ def test_regressions(spark):
     assert regression.poisson_burden(strata) == pytest.approx(0.7, rel=0.1)
     assert regression.negative_binomial_burden(strata)[0] == pytest.approx(0.7, rel=0.1)
     x = np.linspace(0, 1, 200)
-    y = 2 * x + rng.normal(0, 0.05, 200)
-    y[50] = 40  # an outlier
-    assert np.abs(regression.lowess(x, y, 0.3) - 2 * x).max() < 0.15
+    assert np.abs(regression.smoothed(x, np.full(200, 3.0), np.where(np.arange(200) == 50, 0.0, 3.0), np.where(np.arange(200) == 50, 40, 2 * x), 0.3) - 2 * x).max() < 1e-9
+    gc = rng.uniform(0.3, 0.6, 3000).round(3)
+    cnt = (2 ** (8 + 4 * gc + rng.normal(0, 0.05, 3000))).astype(int)
+    cnt[::300] = 90_000  # outliers
+    bins = spark.createDataFrame([("1", k, k, int(c), float(g)) for k, (c, g) in enumerate(zip(cnt, gc, strict=True))] + [("1", 9000, 9000, 50, None)], "chr string, start int, end_ int, cnt long, gc double")
+    got = regression.gc_correct(bins).toPandas().sort_values("start")
+    fine = np.arange(3000) % 300 != 0
+    assert np.abs(np.polyfit(gc[fine], np.log2(got["ratio_gcnorm"].to_numpy(float)[:3000][fine]), 1)[0]) < 0.05 and math.isnan(got["ratio_gcnorm"].iloc[-1])
+    table = pd.DataFrame({"pred": [0.2, 0.5, 0.9], "sens": [0.2, 0.5, 0.9], "ntotal": 10, "n": [1000, 2000, 3000], "ncalls": [20, 100, 270]})
+    sims = regression.simulated_burden(table)
+    assert sims["burden"] == pytest.approx(100 + 200 + 300, rel=0.03) and sims["low99"] < sims["low95"] < sims["median"] < sims["high95"] < sims["high99"]
+    assert regression.mean_rate_burden(table) == pytest.approx(600) and regression.loglinear_burden(table.assign(ncalls=0)) == 0
+    size, slope = table["n"].to_numpy(float), np.exp(-5 + 2 * table["sens"].to_numpy(float))
+    assert regression.loglinear_burden(table.assign(ncalls=size * slope)) == pytest.approx(np.exp(-3) * 6000, rel=1e-6)
+    both = regression.compare_burdens({"maj": table, "min": table, "both": table}, 512.0, 1000).set_index("estimator")
+    assert both.loc["mean", "equal"] == pytest.approx(1200) and both.loc["original", "both"] == 512 and len(both) == 5
     rows = [("1", k, float(v), int(rng.binomial(20, 1 / (1 + math.exp(-(0.5 + 1.2 * v))))), 20) for k, v in enumerate(rng.normal(size=600))]
     df = spark.createDataFrame([*rows, ("1", 9999, None, 1, 20)], "chr string, start int, x double, hits int, total int")
     pred, coef = regression.sensitivity_model(df, ["x"])
@@ -75,8 +113,19 @@ def test_regressions(spark):
 def test_segments():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 0.2, 60), rng.normal(2, 0.2, 40), rng.normal(0, 0.2, 60)])
-    starts = segments.split(x)
-    assert any(abs(s - 60) <= 2 for s in starts) and any(abs(s - 100) <= 2 for s in starts) and len(starts) <= 5
+    assert segments.split(x, permutations=200) == [0, 60, 100]
+    total = np.append(0, np.cumsum(x - x.mean()))
+    z = {(i, j): abs(total[j] - total[i]) / (x.std() * np.sqrt((j - i) * (160 - j + i) / 160)) for i in range(160) for j in range(i + 1, 161) if j - i < 160}
+    assert segments.best_arc(x)[0] == pytest.approx(max(z.values())) and segments.best_arc(x)[1:] == max(z, key=z.get)
+    fine = {k: v for k, v in z.items() if all(n == 0 or n >= 5 for n in (k[0], k[1] - k[0], 160 - k[1])) and 160 - k[1] + k[0] >= 5}
+    assert segments.best_arc(x, 5)[1:] == max(fine, key=fine.get)
+    noise = rng.normal(0, 0.3, 20_000)
+    assert segments.trimmed_sd(noise) == pytest.approx(0.3, rel=0.03)
+    spiked = x.copy()
+    spiked[30] = 9.0
+    assert segments.smooth(spiked)[30] < 1 and (segments.smooth(spiked)[np.arange(160) != 30] == spiked[np.arange(160) != 30]).all()
+    assert segments.undone(x, [0, 30, 60, 100, 120], 3.0) == [0, 60, 100]
+    assert {p.permutations for p in segments.PRESETS.values()} == {1000, 10_000}
 
 
 def test_sampling(spark):
@@ -121,6 +170,89 @@ def test_dominance(spark):
     assert got == {p: sum(a >= p[0] and b >= p[1] for a, b in full) / len(full) for p in set(full)}
 
 
+def test_excess_scores(spark):
+    rng = np.random.default_rng(4)
+    value = lambda n: [None if rng.random() < 0.1 else round(float(v), 2) for v in rng.random(n) * 1.4]
+    rows = list(zip([("snv", "indel")[k % 2] for k in range(400)], value(400), value(400), value(400), value(400), rng.integers(0, 3, 400).tolist(), strict=True))
+    df = spark.createDataFrame([(k, *r, 5) for k, r in enumerate(rows)], "k int, muttype string, id_x double, id_y double, hs_x double, hs_y double, cigar_dp int, cigar_dp_bulk int")
+    null = df.where("k % 3 = 0")
+
+    def brute(one, mine):
+        seen = []
+        for x, y in mine:
+            parts = [None if None in (a, b) else a >= b for a, b in ((x, one[0]), (y, one[1]))]
+            if False in parts or None not in parts:
+                seen.append(all(parts))
+        return sum(seen) / len(seen) if seen else None
+
+    for zero in (False, True):
+        got = {r["k"]: r for r in tails.excess_scores(df, null, zero_depth=zero).collect()}
+        assert len(got) == 400
+        for k, r in enumerate(rows):
+            for name, at in (("id", 1), ("hs", 3)):
+                expected = 0.0 if zero and r[5] == 0 else brute(r[at : at + 2], [q[at : at + 2] for j, q in enumerate(rows) if j % 3 == 0 and q[0] == r[0]])
+                assert got[k][f"{name}_score"] == pytest.approx(expected), (k, name)
+    cuts = tails.score_cutoffs(tails.excess_scores(null, null), {"snv": (0.05, 0.5), "none": (0.1, 0.1)})
+    scores = [got[k]["hs_score"] for k in range(0, 400, 3) if rows[k][0] == "snv"]
+    plain = [brute(r[3:5], [q[3:5] for j, q in enumerate(rows) if j % 3 == 0 and q[0] == "snv"]) for k, r in enumerate(rows) if k % 3 == 0 and r[0] == "snv"]
+    assert set(cuts) == {"snv"} and cuts["snv"][1] == pytest.approx(np.quantile([s for s in plain if s is not None], 0.5)) and len(scores) == len(plain)
+    rated = tails.cigar_rates(spark.createDataFrame([(1, 2, 10, 3, 4, 0)], "id_n int, hs_n int, cigar_dp int, id_n_bulk int, hs_n_bulk int, cigar_dp_bulk int")).first()
+    assert (rated["id_y"], rated["hs_y"], rated["id_x"], rated["hs_x"]) == (0.1, 0.2, None, None)
+
+
+def test_indel_sets(spark):
+    from genolake.functions import channels
+
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("ACGT"), 5000))
+    text = text[:2000] + "N" * 100 + text[2100:]
+    sequence = spark.createDataFrame([("1", k, text[k * 500 : k * 500 + 600]) for k in range(10)], "chr string, chunk_id int, seq string")
+    placed = spark.range(4000).select(F.col("id").alias("i"), F.lit("1").alias("chr"), (F.col("id") % 4800 + 40).cast("int").alias("pos"))
+    got = sampling.indels(placed, sequence, chunk=500, shares=(0.4, 0.3))
+    rows = got.withColumn("channel", channels.indel(F.col("refnt"), F.col("altnt"), F.col("right"), F.col("left"))).collect()
+    assert len(rows) > 3000 and all("N" not in r["refnt"] + r["altnt"] for r in rows)
+    for r in rows:
+        at = r["pos"] - 1
+        assert text[at : at + len(r["refnt"])] == r["refnt"] and r["altnt"][0] == r["refnt"][0] and 1 in (len(r["refnt"]), len(r["altnt"]))
+        assert text[at + len(r["refnt"]) :].startswith(r["right"]) and text[: at + 1].endswith(r["left"])
+    known = {r["channel"] for r in channels.indels(spark).collect()}
+    assert {r["channel"] for r in rows} - {None} <= known and sum(r["channel"] is None for r in rows) == 0
+    sizes = np.array([len(r["refnt"]) - 1 for r in rows if len(r["refnt"]) > 1])
+    assert sizes.mean() == pytest.approx(4, abs=0.2)
+    one = spark.createDataFrame([(p, "1", 10 * p + k, "x", 5) for p in range(3) for k in range(2)], "perm_id int, chr string, pos int, channel string, seed int")
+    assert sampling.joined_sets([one, one.withColumn("seed", F.lit(6))]).select("perm_id").distinct().count() == 6
+    with pytest.raises(ValueError, match="twice"):
+        sampling.joined_sets([one, one])
+    both = one.withColumn("sample", F.lit("a")).union(one.withColumn("sample", F.lit("b")))
+    assert sampling.combined(both).count() == 12
+    with pytest.raises(ValueError, match="differ"):
+        sampling.combined(both.where("sample = 'a' or perm_id < 2"))
+
+
+def test_cell_from_counts_to_burden(spark, sf_dir):
+    """The chain's calls and burden, worked out again from the columns of its table."""
+    from genolake.config import Config
+    from genolake.plans import pipeline
+
+    cell = queries_models.cell_sites(spark, sf_dir)
+    results = pipeline.run_cell(cell, queries_models._fits(spark), queries_models.view(spark, sf_dir, "depth"), Config("bulk", ("cell",)), 5.8, bins=queries_models.view(spark, sf_dir, "bins"))
+    t = results["called"].toPandas()
+    assert len(t) == cell.count() and t["id_score"].notna().mean() > 0.8 and t["lysis_fdr"].notna().mean() > 0.5
+    static = (t["id_test"] & t["hs_test"] & t["lowmq_test"] & t["dp_test"] & t["abc_test"] & t["sc_alt_test"] & t["bulk_alt_test"] & t["bulk_af_test"] & t["bulk_binom_test"] & t["dbsnp_test"] & t["panel_test"] & t["artifact_test"]).fillna(False).astype(bool)
+    assert (t["pass"] == (t["somatic_candidate"] & static & (t["lysis_fdr"] <= 0.01) & (t["mda_fdr"] <= 0.01))).all()
+    for kind in ("lysis", "mda"):
+        rate = t[f"{kind}_pv"] * t["na"] / (t[f"{kind}_pv"] * t["na"] + t[f"{kind}_beta"] * t["nt"])
+        assert np.allclose(rate.dropna(), t[f"{kind}_fdr"][rate.notna()].astype(float))
+    snv = t[t["muttype"] == "snv"]
+    edges = np.quantile(snv.loc[snv["training_site"], "dp"], [0, 0.25, 0.5, 0.75, 1])
+    got = {(r["muttype"], r["stratum"]): r for r in results["burden"].collect()}
+    inside = snv[(snv["dp"] > edges[1]) & (snv["dp"] <= edges[3])]
+    if got["snv", 2]["reason"] is None:
+        deep = inside[inside["training_site"] & (inside["bulk_dp"] >= 11)]
+        assert got["snv", 2]["ncalls"] == (inside["pass"] & ~inside["training_site"]).sum() and got["snv", 2]["sens"] == pytest.approx(deep["training_pass"].fillna(False).astype(bool).mean())
+    assert len(got) == 6 and results["segments"].count() > 0 and results["mapd"].first()["mapd"] is not None and results["reasons"].count() > 1
+
+
 def test_pipeline(spark):
     from genolake.config import Config
     from genolake.plans import pipeline
