@@ -5,14 +5,17 @@ are a Poisson process of that rate, seeded by its hash, and each arrival falls o
 one register.  A register keeps its first arrival, so that two documents agree in
 a register with the probability Jaccard similarity of their weighted shingles.
 An element ends once its next arrival comes after all registers of its document.
-Registers form bands; documents that share a band are candidates and are
-verified by the Jaccard similarity of their shingle sets.
+Registers form bands; documents that share a band are candidates.  A link is
+then a matter of the shingles as sets, whose Jaccard similarity (of 64-bit hashes)
+has to reach the threshold: weights only say which documents are compared, so that
+a text that repeats itself finds others that do, and no link rests on an estimate.
 
 Exact copies (the same words) are one representative from the start.  In a band's
 bucket the member that shares most buckets leads, and all others are verified
 against it.  Buckets that hold more than the leader's class are joined by the
-rarest shingles of their members, across classes, which is exact: no link
-between classes is lost, and pairs inside a class are never made.
+rarest shingles of their members, across classes: of a bucket's members no link
+between classes is lost, and pairs inside a class are never made.  Buckets and
+shingles with many members are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -137,7 +140,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_id, s) of those of (_id, _text) whose _id is wanted: the sorted 32-bit hashes of the shingles.
+    """(_id, s) of those of (_id, _text) whose _id is wanted: the sorted 64-bit hashes of the shingles.
 
     Texts are not moved: a filter of fixed size leaves few of the other rows, and the sets are joined with the ids.
     """
@@ -154,10 +157,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in textbatch.chunks(passed(batches), "_text"):
             of, h, _ = shingles(data, offsets)
-            h = (h >> np.uint64(32)).astype("<u4")
             order = np.lexsort((h, of))
             place = np.append(0, np.cumsum(np.bincount(of, minlength=batch.num_rows)))
-            yield shared.rows(schema, batch.column(0), shared.binary_rows(h[order], 4 * place))
+            yield shared.rows(schema, batch.column(0), shared.binary_rows(h[order].astype("<u8"), 8 * place))
 
     sets = docs.select("_id", "_text").where("_id is not null").mapInArrow(run, "_id long, s binary")
     return sets.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
@@ -179,12 +181,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, own = None, np.empty(0, np.uint32)
+        leader, own = None, np.empty(0, np.uint64)
         for batch in batches:
             a, rank, b, s = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "rank", "b", "s"))
             out = []
             for x, r, y, packed in zip(a.to_pylist(), rank.to_pylist(), b.to_pylist(), s, strict=True):
-                mine = np.frombuffer(packed.as_buffer(), "<u4")
+                mine = np.frombuffer(packed.as_buffer(), "<u8")
                 if r == 0:
                     leader, own = x, mine
                     continue
@@ -192,8 +194,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     raise ValueError("a leader's shingles are missing")
                 low, high = sorted((len(own), len(mine)))
                 if low >= threshold * high - 1e-9:
-                    both = len(np.intersect1d(own, mine, assume_unique=False))
-                    if both >= threshold * (len(np.union1d(own, mine))) - 1e-9:
+                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    if both >= threshold * (len(own) + len(mine) - both) - 1e-9:
                         out.append((x, y))
             yield shared.rows(schema, [o[0] for o in out], [o[1] for o in out])
 
@@ -233,11 +235,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     full = sketch.where("f1 is not null and _id is not null")
     copies = shared.written(full.groupBy("f1", "f2").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")), "copies")
     exploded = copies.select("rep", F.explode("bands").alias("bucket"))
-    crowded = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = shared.written(exploded.join(crowded, "bucket"), "members")
+    crowded = shared.written(exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     labels = None
-    if members.limit(1).count():
-        labels = _linked(own, members, threshold)
+    if crowded.limit(1).count():
+        members = shared.written(shared.spread_join(exploded, crowded, ["bucket"], crowded, ["rep"]), "members")
+        labels = _linked(own, members, crowded, threshold)
     # exact copies of one text may be a third of all rows: only (hash, id) moves, and skewed joins are split
     named = copies.select("f1", "f2", "rep")
     if labels is not None:
@@ -247,23 +249,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return sketch.select("_id", "f1", "f2").join(named, ["f1", "f2"], "left").select(F.col("_id").alias("doc_id"), F.when(F.col("_id").isNotNull(), F.coalesce("class_id", "_id")).alias("class_id"))
 
 
-def _linked(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
-    """Labels of the representatives that links join."""
+def _linked(own: DataFrame, members: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
+    """Labels of the representatives that links join, from (rep, bucket, n) and the sizes (bucket, n); a large bucket is dealt over tasks."""
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = shared.written(members.join(degree, "rep").select("bucket", "rep", F.struct("degree", (-F.col("rep")).alias("o")).alias("order")), "ranked")
     sets = shared.written(shingle_sets(own, ranked.select(F.col("rep").alias("_id")).distinct()), "shingles")
     lead = ranked.groupBy("bucket").agg(F.max_by("rep", "order").alias("leader"))
-    pairs = ranked.join(lead, "bucket").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    pairs = shared.spread_join(ranked, lead, ["bucket"], crowded, ["rep"]).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = shared.written(verified(pairs, sets, threshold), "found")
     labels = components(links)
     # what a bucket holds besides its leader's class is joined exactly, by the rarest shingles
     known = ranked.join(labels.withColumnRenamed("_id", "rep"), "rep", "left").select("bucket", "rep", "order", F.coalesce("label", "rep").alias("label"))
     mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", "order").alias("led")).where("low <> high").select("bucket", "led")
-    family = known.join(mixed, "bucket").groupBy(F.col("rep").alias("_id")).agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("led")).alias("rest"))
+    family = shared.spread_join(known, mixed, ["bucket"], crowded, ["rep"]).groupBy(F.col("rep").alias("_id")).agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("led")).alias("rest"))
     family = shared.written(family.join(sets, "_id"), "family")
     if not family.limit(1).count():
         return labels
-    rare = prefixes(family, threshold)
+    rare = shared.written(prefixes(family, threshold), "prefixes")
+    uses = rare.groupBy("h").agg(F.count("*").alias("n"))
     left = rare.where("rest").select("h", F.col("_id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("left").alias("a_left"), F.col("parity").alias("a_parity"))
     # what two sets have in common is at most what is left of each from their first common shingle on
     least = (F.col("n") + F.col("a_n")) * (threshold / (1 + threshold)) - 1e-6
@@ -271,13 +274,13 @@ def _linked(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame |
     # each shingle that one of two sets lacks turns one bit of their parities
     apart = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("a_parity")[k])) for k in range(PARITY // 64)), F.lit(0))
     close &= (apart <= (F.col("n") + F.col("a_n")) * ((1 - threshold) / (1 + threshold)) + 1e-6) & (~F.col("rest") | (F.col("_id") < F.col("a")))
-    pairs = rare.join(left, "h").where(close).select("a", F.col("_id").alias("b"))
+    pairs = shared.spread_join(rare, left, ["h"], uses, ["_id"]).where(close).select("a", F.col("_id").alias("b"))
     found = shared.written(verified(pairs, sets, threshold), "found")
     return components(links.unionByName(found)) if found.limit(1).count() else labels
 
 
 def _slots(s: np.ndarray) -> np.ndarray:
-    return (textbatch._mixed(s.astype(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
+    return (textbatch._mixed(s) % np.uint64(COUNTERS)).astype(np.int64)
 
 
 def prefixes(family: DataFrame, threshold: float) -> DataFrame:
@@ -295,7 +298,7 @@ def prefixes(family: DataFrame, threshold: float) -> DataFrame:
         seen = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                seen[_slots(np.unique(np.frombuffer(packed, "<u4")))] += 1
+                np.add.at(seen, _slots(np.frombuffer(packed, "<u8")), 1)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
 
@@ -308,15 +311,17 @@ def prefixes(family: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             picked, sizes, parities = [], [], []
             for packed in batch.column(3).to_pylist():
-                s = np.unique(np.frombuffer(packed, "<u4"))
-                parities.append(np.packbits((np.bincount(s % PARITY, minlength=PARITY) & 1).astype(np.uint8), bitorder="little").view("<i8"))
+                s = np.frombuffer(packed, "<u8")
+                parities.append(np.packbits((np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8), bitorder="little").view("<i8"))
                 s = s[np.lexsort((s, sent.value[_slots(s)]))]
                 picked.append(s[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1])
                 sizes.append(len(s))
+            if not picked:
+                continue
             length = np.array([len(x) for x in picked])
             at, n = np.repeat(np.arange(batch.num_rows), length), np.repeat(sizes, length)
             place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-            yield shared.rows(schema, *(batch.column(k).take(pa.array(at)) for k in range(3)), np.concatenate(picked).astype(np.int64), n, n - place, pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * (PARITY // 64), pa.array(np.stack(parities)[at].ravel())))
+            yield shared.rows(schema, *(batch.column(k).take(pa.array(at)) for k in range(3)), np.concatenate(picked).view(np.int64), n, n - place, pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * (PARITY // 64), pa.array(np.stack(parities)[at].ravel())))
 
     return family.select("_id", "label", "rest", "s").mapInArrow(first, "_id long, label long, rest boolean, h long, n long, left long, parity array<long>")
 

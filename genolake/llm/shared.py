@@ -1,75 +1,34 @@
-"""Tables written to the folder that the cluster shares, and small helpers for the operators' results."""
+"""What the operators share: tables written to the cluster's folder, joins of uneven keys, and batches of results."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..sources.stored import drop, forget, mark, new_path, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; in local mode without it, a temporary one that becomes the setting."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="genolake-"))
-    return folder
+__all__ = ["binary_rows", "drop", "filtered", "forget", "mark", "new_path", "rows", "shared_folder", "spread_join", "unused", "written"]
 
+#: A key with more than one row in so many is dealt over several tasks; there are no more such keys than this.
+HEAVY = 2048
 
-#: Tables that are still there, oldest first: their session and folder.
-_TABLES: list[tuple[SparkSession, str]] = []
 
+def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], counts: DataFrame, salt: Sequence[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` by keys that may be very uneven in ``big``; ``counts`` are its rows by key (keys, n).
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: what is computed twice, or must outlive lost executors.
-
-    Tables are deleted at the end of the driver's process, if not before by ``drop`` or ``forget``.
+    Rows of a key that holds more than 1 / HEAVY of them are dealt over parts by a hash of the columns ``salt``, and the
+    rows of ``small`` go to all parts.  The heavy keys, HEAVY at most, are broadcast.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _TABLES:
-        atexit.unregister(forget)
-        atexit.register(forget)
-    _TABLES.append((spark, path))
-    return path
-
-
-def forget(since: int = 0, but: str | None = None) -> None:
-    """Deletes the tables from the place ``since`` on, but for that of the path ``but``."""
-    kept = []
-    for spark, path in _TABLES[since:]:
-        if but is not None and path == but:
-            kept.append((spark, path))
-            continue
-        try:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        except Exception as error:  # the driver may be shutting down; a table that stays does no harm
-            print(f"{path} stays: {type(error).__name__}")
-    _TABLES[since:] = kept
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing reads any more."""
-    files = df.inputFiles()
-    for k in range(len(_TABLES) - 1, -1, -1):
-        if files and _TABLES[k][1].rsplit("/", 1)[-1] in files[0]:
-            mine = _TABLES.pop(k)
-            _TABLES.append(mine)
-            forget(len(_TABLES) - 1)
-            return
+    keys = list(keys)
+    total = counts.agg(F.sum("n").alias("t")).scalar()
+    heavy = counts.where(F.col("n") * HEAVY > total).select(*keys, F.ceil(F.col("n") * HEAVY / total).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = big.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt), parts).cast("int")).drop("_parts")
+    copied = small.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def unused(df: DataFrame, name: str) -> str:
