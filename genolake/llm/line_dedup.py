@@ -5,8 +5,7 @@ and sorted there, so that the first document of a hash is the one that keeps it.
 Each partition is streamed once; a hot line may spread over many partitions, as
 the document is part of the range.  What a partition can't decide alone, its
 first run and a short last one, is resolved by a summary of two rows for each
-partition.  The bitmaps are a written table: where it is small, Spark sends it
-to the texts, and else joins by a shuffle.
+partition.  Texts aren't moved until the bitmaps are applied.
 """
 
 from __future__ import annotations
@@ -147,7 +146,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 packed.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes()))
             yield shared.rows(schema, batch.column(0), batch.column(1), sizes, packed)
 
-    return shared.written(by_doc.mapInArrow(bitmaps, "doc_id long, row long, n_dropped long, bitmap binary"), "bitmaps")
+    return by_doc.mapInArrow(bitmaps, "doc_id long, row long, n_dropped long, bitmap binary")
 
 
 def kept_text(text: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
