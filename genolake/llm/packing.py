@@ -218,7 +218,7 @@ def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms:
     own = np.append(0, np.cumsum(length))
     # ids that many documents have get a row with a place for each document: at most 8 numbers for each posting
     common = np.flatnonzero(stops - begins >= max(8, docs / 8))
-    dense = np.zeros((len(common), docs))
+    dense = np.zeros((len(common), docs), np.float32)
     for k, c in enumerate(common.tolist()):
         dense[k, post_doc[begins[c] : stops[c]]] = post_impact[begins[c] : stops[c]]
     row_of = np.full(len(values), -1)
@@ -241,7 +241,9 @@ def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms:
         a, b = own[seed], own[seed + 1]
         best = a + (np.argpartition(-impact[a:b], query_terms)[:query_terms] if query_terms and b - a > query_terms else np.arange(b - a))
         at = np.searchsorted(values, term_of[best])
-        score = dense[row_of[at[row_of[at] >= 0]]].sum(axis=0)
+        asked = np.zeros(len(common), np.float32)
+        asked[row_of[at[row_of[at] >= 0]]] = 1
+        score = (asked @ dense).astype(np.float64)
         at = at[(row_of[at] < 0) & (stops[at] - begins[at] > 1)]  # an id of the seed alone adds to no other document
         if len(at):
             spans = [slice(x, y) for x, y in zip(begins[at].tolist(), stops[at].tolist(), strict=True)]

@@ -215,26 +215,29 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the spans, the distinct hashes, and where each comes first.
 
-    Spans of one code are compared by their first and last 8 bytes and their
-    length, which are the whole of up to 16 bytes, and longer ones by a second
-    hash: two that only share the first hash get codes of their own.
+    The hash tells spans of up to 8 bytes and one length apart.  Longer spans of
+    one code are compared by length and last 8 bytes, and those over 16 bytes by a
+    second hash: two that only share the first hash get codes of their own.
     """
     codes, values, first = distinct(word_hashes(data, starts, ends))
-    if not len(starts):
+    long = np.flatnonzero(ends - starts > 8)
+    if not len(long):
         return codes, values, first
-    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
-    blocks = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
-    length = ends - starts
-    short = np.uint64(8) * (np.uint64(8) - np.minimum(length, 8).astype(np.uint64))
-    head, tail = blocks[starts + 8] << short, blocks[ends] >> short
-    like = first[codes]
-    odd = (length != length[like]) | (head != head[like]) | (tail != tail[like])
-    long = np.flatnonzero(length > 16)
-    if len(long):
-        second = np.zeros(len(starts), np.uint64)
-        second[long] = word_hashes(data, starts[long], ends[long], 1)
-        odd |= second != second[like]
-    if odd.any():  # a collision: by bytes
+    blocks = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    end, like = ends[long], first[codes[long]]
+    length = end - starts[long]
+    same = length == ends[like] - starts[like]
+    odd = ~same.all()
+    if not odd:
+        odd = (blocks[end - 8] != blocks[ends[like] - 8]).any()
+        wide = np.flatnonzero(length > 16)
+        if not odd and len(wide):
+            at = long[wide]
+            again = np.zeros(len(values), np.uint64)
+            second = word_hashes(data, starts[at], ends[at], 1)
+            again[codes[at]] = second
+            odd = (again[codes[at]] != second).any()
+    if odd:  # a collision: by bytes
         table: dict[bytes, int] = {}
         codes = np.array([table.setdefault(w, len(table)) for w in spans(data, starts, ends)])
         first = np.unique(codes, return_index=True)[1]
