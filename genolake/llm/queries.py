@@ -75,7 +75,7 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages without quotes, in reply order."""
     linked = quote_links.linked(table(spark, sf_dir, "conversations"))
     return linked.select(
-        F.col("thread.conv_id").alias("thread_conv"), F.col("thread.turn").alias("thread_turn"), F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["conv_id"], p["turn"])), "/").alias("path"),
+        F.col("thread.conv_id").alias("thread_conv"), F.col("thread.turn").alias("thread_turn"), "depth",
         "conv_id", "turn", "role", "body", "n_passages", F.col("max_level").cast("long").alias("max_level"), "n_linked", "reply_conv", "reply_turn")
 
 

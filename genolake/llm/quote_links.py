@@ -5,8 +5,8 @@ Passages are normalised and hashed and joined to the messages in which the
 passage is own text: the whole body, a paragraph or a line.  A passage that no
 message has as such is looked up by its paragraphs, and then by its lines.  The
 quoting message is a reply to the message that its first linked passage comes
-from, and a conversation is the tree of replies below a message without a link;
-of links in a circle, that of the smallest message is dropped.
+from, and a conversation is the tree of replies below a message without a link, with each
+message's depth in it; of links in a circle, that of the smallest message is dropped.
 """
 
 from __future__ import annotations
@@ -55,33 +55,56 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return base.withColumn("own", own)
 
 
+def rooted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root, depth) of the nodes of edges (node, parent), one parent a node; and the nodes whose link is dropped as the smallest of a circle.
+
+    A node knows its ancestor 1, 2, 4 .. steps above, and the smallest node on the way, so that rounds follow the
+    logarithm of the longest chain and no row holds a chain.  Who finds itself the smallest after as many steps as there are edges is on a circle.
+    """
+    cut = None
+    while True:
+        number = edges.count()
+        tree = edges.select("node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("parent").alias("low"), F.lit(True).alias("open"))
+        while True:
+            above = tree.select(F.col("node").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("low").alias("lower"))
+            uses = tree.groupBy("root").agg(F.count("*").alias("n"))
+            step = shared.spread_join(tree.drop("open"), above, ["root"], uses, ["node"], "left")
+            step = step.select("node", F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.least("low", "lower").alias("low"), F.col("top").isNotNull().alias("open"))
+            tree = shared.written(step, "ancestors")
+            longest = tree.where("open").agg(F.max("depth").alias("d")).first()["d"]
+            if longest is None or longest > number:
+                break
+        if longest is None:
+            return tree.select("node", "root", "depth"), cut if cut is not None else edges.select("node").limit(0)
+        found = shared.written(tree.where("open and node = low").select("node"), "circles")
+        cut = found if cut is None else cut.unionByName(found)
+        edges = shared.written(edges.join(found, "node", "left_anti"), "edges")
+
+
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Messages in reply order.
 
-    Columns: thread (the first message's conv_id and turn), path (turns from it to
+    Columns: thread (the first message's conv_id and turn), depth (replies from it to
     the message), conv_id, turn, role, body, n_passages, max_level, n_linked,
     reply_conv, reply_turn.  A passage links to the first message (by conv_id and
     turn) of the same conversation that has it as own text, if that is before the
     quoting message, else to that of the first other conversation that has it (the
     last one, where the quoting conversation is the first), whatever its order.  Null texts are empty; rows
-    that repeat (conv_id, turn) or lack one of them are kept without links of their own.
-    Order by thread and path gives each conversation depth first.
+    that repeat (conv_id, turn) share the links of the smallest of their quotes, and rows that lack one of the two have none.
+    Ordered by thread, depth, conv_id and turn, each message comes after the one that it replies to.
     """
     known = parsed(messages, conv_col, turn_col, role_col, text_col)
-    quotes = known.where((F.size("passages") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quotes = shared.written(quotes.dropDuplicates(["conv_id", "turn"]).select("conv_id", "turn", F.posexplode("passages").alias("k", "p")).select("conv_id", "turn", "k", F.col("p.level").alias("level"), F.posexplode("p.parts").alias("j", "part")).select("conv_id", "turn", "k", "level", "j", F.col("part.hash").alias("hash")), "quotes")
-    if not quotes.limit(1).count():
-        return known.select(
-            F.struct("conv_id", "turn").alias("thread"), F.array(F.struct("conv_id", "turn")).alias("path"), "conv_id", "turn", "role", "body", F.size("passages").cast("long").alias("n_passages"),
-            F.lit(0).alias("max_level"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast(known.schema["conv_id"].dataType).alias("reply_conv"), F.lit(None).cast(known.schema["turn"].dataType).alias("reply_turn"))
-    me = F.struct("conv_id", "turn")
-    # first message of each passage, in each conversation and in all: counted before the shuffle, a row for each hash
-    asked = quotes.select("hash").distinct()
-    sources = known.select("conv_id", "turn", F.explode("own").alias("hash")).where("conv_id is not null and turn is not null").join(asked, "hash")
-    near = sources.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
+    fine = known.where("conv_id is not null and turn is not null")
+    quotes = fine.where(F.size("passages") > 0).groupBy("conv_id", "turn").agg(F.min("passages").alias("passages"))
+    quotes = quotes.select("conv_id", "turn", F.posexplode("passages").alias("k", "p")).select("conv_id", "turn", "k", F.col("p.level").alias("level"), F.posexplode("p.parts").alias("j", "part"))
+    quotes = shared.written(quotes.select("conv_id", "turn", "k", "level", "j", F.col("part.hash").alias("hash")), "quotes")
+    # the first message of each piece of own text, in each conversation and in all: counted before the shuffle, and only what is asked for is kept
+    asked = quotes.groupBy("hash").agg(F.count("*").alias("n"))
+    near = fine.select("conv_id", "turn", F.explode("own").alias("hash")).groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
+    near = shared.written(near.join(asked.select("hash"), "hash", "left_semi"), "sources")
     other = F.struct("conv_id", F.col("near_turn").alias("turn"))
     far = near.groupBy("hash").agg(F.min(other).alias("first"), F.max(other).alias("last"))
-    found = quotes.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
+    found = shared.spread_join(quotes.join(near, ["hash", "conv_id"], "left"), far, ["hash"], asked, ["conv_id", "turn"], "left")
     far_origin = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("last.conv_id") != F.col("conv_id"), F.col("last"))
     origin = F.when(F.col("near_turn") < F.col("turn"), other).otherwise(far_origin)
     # parts of a passage go from the whole to its paragraphs and lines: the first with an origin counts
@@ -90,26 +113,12 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.count("*").alias("n_passages"), F.max("level").alias("max_level"), F.count("origin").alias("n_linked"),
         F.min_by("origin", F.when(F.col("origin").isNotNull(), F.struct("level", "k"))).alias("parent"))
     replies = shared.written(replies, "replies")
+    me = F.struct("conv_id", "turn")
     edges = replies.where("parent is not null").select(me.alias("node"), "parent")
-    start = lambda: edges.select("node", F.array("parent", "node").alias("path"))
-    tree, open_paths = start(), 1
-    back = F.reverse("path")
-    again = F.array_position(F.slice(back, 2, F.size("path") - 1), F.col("node")).cast("int")
-    while open_paths:  # paths double in each round; one that returns to its message is a circle
-        heads = tree.select(F.col("node").alias("head"), F.col("path").alias("before"))
-        tree = tree.withColumn("head", F.element_at("path", 1)).join(heads, "head", "left").select("node", F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", F.slice("path", 2, F.size("path")))).alias("path"), F.col("before").isNotNull().alias("grown"))
-        tree = shared.written(tree.withColumn("cut", F.when(again > 0, F.array_min(F.slice(back, 1, again)) == F.col("node")).otherwise(False)), "paths")
-        if tree.where("cut").limit(1).count():
-            edges = shared.written(edges.join(tree.where("cut").select("node"), "node", "left_anti"), "edges")
-            tree = start()
-            continue
-        open_paths = tree.where("grown").limit(1).count()
-        tree = tree.select("node", "path")
-    paths = tree.select("node.conv_id", "node.turn", "path")
-    replies = replies.drop("parent")
-    paths = paths.withColumn("parent", F.element_at("path", -2))
-    out = known.join(replies, ["conv_id", "turn"], "left").join(paths, ["conv_id", "turn"], "left")
-    path = F.coalesce("path", F.array(me))
+    tree, circles = rooted(edges)
+    links = replies.join(tree.select("node.conv_id", "node.turn", "root", "depth"), ["conv_id", "turn"], "left").join(circles.select("node.conv_id", "node.turn", F.lit(True).alias("circle")), ["conv_id", "turn"], "left")
+    links = links.select("conv_id", "turn", "n_passages", "max_level", "n_linked", "root", "depth", F.when(F.col("circle").isNull(), F.col("parent")).alias("parent"))
+    out = known.join(links, ["conv_id", "turn"], "left")
     return out.select(
-        F.element_at(path, 1).alias("thread"), path.alias("path"), "conv_id", "turn", "role", "body", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"),
+        F.coalesce("root", me).alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "conv_id", "turn", "role", "body", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"),
         F.coalesce("max_level", F.lit(0)).alias("max_level"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("parent.conv_id").alias("reply_conv"), F.col("parent.turn").alias("reply_turn"))

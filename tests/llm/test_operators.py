@@ -97,6 +97,40 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.rules(empty).count() == 0 and quality_rules.keep(docs).columns == docs.columns
 
 
+def test_cover_shares_by_force(spark):
+    def shares(t):
+        lines = (t or "").split("\n")
+        w = [x for x in (t or "").translate({k: " " for k in (*range(9, 14), 32)}).split(" ") if x]
+        total, out = max(1, sum(map(len, w))), {}
+        for n in quality_rules.NGRAM_LIMITS:
+            seen, covered = set(), set()
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in seen:
+                    covered |= set(range(i, i + n))
+                seen.add(tuple(w[i : i + n]))
+            out[f"cover_{n}"] = sum(len(w[i]) for i in covered) / total
+        solid = lambda x: sum(c not in " \t\n\x0b\x0c\r" for c in x)
+        seen, again = set(), 0
+        for line in lines:
+            if solid(line):
+                again += solid(line) * (line in seen)
+                seen.add(line)
+        return out | {"line_cover": again / total}
+
+    rnd = random.Random(23)
+    words = [f"é{k}" if k % 5 == 0 else f"w{k}" for k in range(40)]
+    texts = [*ODD]
+    for _ in range(120):
+        parts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 30))) for _ in range(4)]
+        texts.append("".join(rnd.choice(parts) + rnd.choice(["\n", " ", "\t", "\n\n", "\x0b"]) for _ in range(rnd.randrange(1, 12))))
+    for r in quality_rules.rules(frame(spark, texts)).collect():
+        expected = shares(texts[r["doc_id"]])
+        assert {c: r[c] for c in expected} == pytest.approx(expected), texts[r["doc_id"]]
+        fine = expected["line_cover"] <= quality_rules.LINE_LIMIT and all(expected[f"cover_{n}"] <= most for n, most in quality_rules.NGRAM_LIMITS.items())
+        assert r["kept"] == (fine and not r["base_failed"])
+    assert {True, False} == {r["kept"] for r in quality_rules.rules(frame(spark, texts)).collect()}
+
+
 def test_packing(spark, docs, empty):
     path = P.path("word_bpe_49k.json")
     texts = ODD + random_texts(60, 4)
@@ -257,10 +291,10 @@ def test_quotes(spark):
     assert len(got) == 8
     reply = {k: (r["reply_conv"], r["reply_turn"]) for k, r in got.items() if r["reply_conv"] is not None}
     assert reply == {(1, 1): (1, 0), (1, 2): (1, 1)} | ({(2, 0): (1, 0)})
-    assert [p["turn"] for p in got[1, 2]["path"]] == [0, 1, 2] and got[1, 2]["body"] == "no" and got[1, 2]["max_level"] == 2
+    assert (got[1, 2]["thread"]["turn"], got[1, 2]["depth"]) == (0, 2) and got[1, 2]["body"] == "no" and got[1, 2]["max_level"] == 2
     assert (got[2, 0]["thread"]["conv_id"], got[2, 0]["thread"]["turn"]) == (1, 0) and got[2, 2]["body"] == "" and got[2, 1]["n_passages"] == 1
     plain = quote_links.linked(spark.createDataFrame(rows[3:4], "conv_id long, turn int, role string, text string"))
-    assert plain.first()["path"][0]["turn"] == 3 and quote_links.linked(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+    assert (plain.first()["thread"]["turn"], plain.first()["depth"]) == (3, 0) and quote_links.linked(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
 def test_partial_quotes_and_later_conversations(spark):
@@ -270,10 +304,101 @@ def test_partial_quotes_and_later_conversations(spark):
     got = {(r["conv_id"], r["turn"]): r for r in quote_links.linked(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
     reply = {k: (r["reply_conv"], r["reply_turn"]) for k, r in got.items() if r["reply_conv"] is not None}
     assert reply == {(1, 1): (1, 0), (1, 2): (1, 0), (3, 0): (9, 0), (9, 1): (3, 0), (6, 0): (5, 0), (7, 0): (6, 0)}  # 5 and 6 quote each other
-    assert [p["conv_id"] for p in got[7, 0]["path"]] == [5, 6, 7] and [p["conv_id"] for p in got[9, 1]["path"]] == [9, 3, 9] and len(got) == 10
+    assert (got[7, 0]["thread"]["conv_id"], got[7, 0]["depth"]) == (5, 2) and (got[9, 1]["thread"]["conv_id"], got[9, 1]["depth"]) == (9, 2) and len(got) == 10
     assert got[1, 2]["n_passages"] == 1 and got[8, 0]["n_linked"] == 0
 
 
+def links_by_force(rows):
+    """(reply, thread, depth, n_passages, n_linked) of each (conv_id, turn) by looking through all messages; rows are distinct in both."""
+    import re
+
+    def normal(t):
+        return re.sub(r"[ \t\n\x0b\f\r]+", " ", t.lower()).strip(" ")
+
+    def units(t):
+        return [[t], re.split(r"\n[ \t]*\n", t), t.split("\n")]
+
+    own, passages = {}, {}
+    for conv, turn, _, text in rows:
+        lines = []
+        for line in (text or "").split("\n"):
+            mark = re.match(r"(?:[ \t]?>)+", line)
+            lines.append((mark.group().count(">") if mark else 0, re.sub(r"^(?:[ \t]?>)+[ \t]?", "", line)))
+        body = "\n".join(c for level, c in lines if not level)
+        own[conv, turn] = {normal(u) for us in units(body) for u in us} - {""}
+        groups, last = [], None
+        for level, content in lines:
+            if level == last:
+                groups[-1][1].append(content)
+            else:
+                groups.append((level, [content]))
+            last = level
+        quoted = [(level, [normal(u) for us in units("\n".join(part)) for u in us if normal(u)]) for level, part in groups if level]
+        passages[conv, turn] = [q for q in quoted if q[1]]
+
+    def origin(me, piece):
+        near = min((k for k in own if k[0] == me[0] and piece in own[k]), default=None)
+        if near and near < me:
+            return near
+        firsts = sorted(min(k for k in own if k[0] == c and piece in own[k]) for c in {k[0] for k in own if piece in own[k]})
+        return next((f for f in (firsts[:1] + firsts[-1:]) if f[0] != me[0]), None)
+
+    parent, counts = {}, {}
+    for me, quoted in passages.items():
+        found = [(level, k, next((o for piece in pieces if (o := origin(me, piece))), None)) for k, (level, pieces) in enumerate(quoted)]
+        counts[me] = (len(quoted), sum(o is not None for _, _, o in found))
+        linked = [f for f in found if f[2]]
+        if linked:
+            parent[me] = min(linked)[2]
+    for start in sorted(own):  # the smallest message of a circle loses its link
+        seen, at = [], start
+        while at in parent and at not in seen:
+            seen.append(at)
+            at = parent[at]
+        if at in seen:
+            parent.pop(min(seen[seen.index(at) :]))
+    out = {}
+    for me in own:
+        at, depth = me, 0
+        while at in parent:
+            at, depth = parent[at], depth + 1
+        out[me] = (parent.get(me), at, depth, *counts[me])
+    return out
+
+
+def test_quotes_by_force(spark):
+    rnd = random.Random(17)
+    words = "yes no maybe later the plan is fine we meet at noon tomorrow".split()
+    sentence = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 7)))
+    rows, texts = [], []
+    for conv in range(60):
+        for turn in range(rnd.randrange(1, 9)):
+            lines = []
+            for _ in range(rnd.randrange(3)):
+                mark = rnd.choice(["> ", ">", "> > ", ">>> "])
+                source = rnd.choice(texts).split("\n") if texts and rnd.random() < 0.8 else [sentence()]
+                at = rnd.randrange(len(source))
+                lines += [mark + x.upper() if rnd.random() < 0.3 else mark + x for x in source[at : at + rnd.randrange(1, 4)]]
+            lines += [rnd.choice([sentence(), "yes", "", "  "]) for _ in range(rnd.randrange(1, 5))]
+            texts.append("\n".join(lines))
+            rows.append((conv, turn, "u", rnd.choice([texts[-1]] * 9 + [None])))
+    rows += [(1000, k, "u", f"> step {k - 1} of the chain\nstep {k} of the chain") for k in range(70)]
+    rows += [(2000 + k, 0, "u", f"> ring {(k + 1) % 5} here\nring {k} here") for k in range(5)]
+    expected = links_by_force(rows)
+    frame_ = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "conv_id long, turn int, role string, text string, depth int, _salt int, hash string")
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.linked(frame_).collect()}
+    assert len(got) == len(rows) and sum(e[0] is not None for e in expected.values()) > 150 and max(e[2] for e in expected.values()) >= 69
+    for me, (reply, root, depth, n, linked) in expected.items():
+        r = got[me]
+        assert ((r["reply_conv"], r["reply_turn"]) == (reply or (None, None)), tuple(r["thread"]), r["depth"], r["n_passages"], r["n_linked"]) == (True, root, depth, n, linked), me
+
+
+def test_quotes_of_repeated_rows(spark):
+    rows = [(1, 0, "u", "a first message"), (1, 1, "u", "> a first message\nhm"), (1, 1, "u", "> a first message\nhm"), (None, 1, "u", "> a first message"), (1, None, "u", "> a first message")]
+    got = [(r["conv_id"], r["turn"], r["n_linked"], r["reply_turn"], r["depth"]) for r in quote_links.linked(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()]
+    assert Counter(got) == Counter([(1, 0, 0, None, 0), (1, 1, 1, 0, 1), (1, 1, 1, 0, 1), (None, 1, 0, None, 0), (1, None, 0, None, 0)])
+
+
 def test_topk(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(0, 1, (300, 8)).round(1)
@@ -355,6 +480,39 @@ def test_near_dedup(spark, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_near_dedup_of_a_large_bucket(spark, monkeypatch):
+    """More members than a leader's part holds, in one bucket with others that only share most of a template."""
+    monkeypatch.setattr(near_dedup, "SPLIT", 16)
+    rnd = random.Random(5)
+    template = [f"t{k}" for k in range(200)]
+    texts = []
+    for group in range(4):
+        base = template[: 150 + group] + [f"g{group}w{k}" for k in range(24)]
+        for _ in range(60):
+            copy = list(base)
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == classes_by_force(texts)
+
+
+def test_near_dedup_recall_of_pairs(spark):
+    """Of pairs just above the threshold, some with repeated shingles, nine in ten or more are found."""
+    rnd = random.Random(6)
+    texts, alike = [], []
+    for k in range(200):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        base += (base[:30] * 3 if k % 3 == 0 else [])
+        other = list(base)
+        for _ in range(2):
+            other[rnd.randrange(len(other))] = f"y{rnd.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    alike = [k for k in range(0, len(texts), 2) if 0.8 <= len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) < 0.95]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, texts)).collect()}
+    assert len(alike) > 100 and np.mean([got[k] == got[k + 1] for k in alike]) >= 0.9 and len({got[k] for k in range(0, len(texts), 2)}) == 200
+
+
 def test_probminhash_estimates():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 1 << 62, 300).astype(np.uint64), rng.integers(1, 1 << 62, 300).astype(np.uint64)
@@ -362,6 +520,11 @@ def test_probminhash_estimates():
     h, of = np.concatenate([a, b]), np.repeat([0, 1], 300)
     s = near_dedup.signatures(of, h, np.ones(600), 2, 2000)
     assert (s[0] == s[1]).mean() == pytest.approx(200 / 400, abs=0.05)
+    weight = np.concatenate([rng.uniform(0.5, 6, 300), rng.uniform(0.5, 6, 300)])
+    s = near_dedup.signatures(of, h, weight, 2, 4000)
+    x, y = (dict(zip(h[part].tolist(), (weight[part] / 1).tolist(), strict=True)) for part in (slice(0, 300), slice(300, 600)))
+    expected = sum(1 / sum(max(x.get(d, 0) / x[e], y.get(d, 0) / y[e]) for d in {*x, *y}) for e in x.keys() & y.keys())  # probability Jaccard
+    assert (s[0] == s[1]).mean() == pytest.approx(expected, abs=0.03)
 
 
 def test_quality_qda(spark, empty):
@@ -380,6 +543,37 @@ def test_quality_qda(spark, empty):
     assert (quality_qda.classify(frame(spark, texts[:5]), labels.limit(0)).toPandas()["score"] == 0.5).all() and quality_qda.classify(empty, labels).count() == 0
 
 
+def test_discriminant_is_the_density_ratio():
+    """Scores are those of two normal densities with shrunk covariances, written out."""
+    rng = np.random.default_rng(9)
+    d = len(quality_qda.FEATURES)
+    x = [rng.normal(size=(300, d)) @ rng.normal(size=(d, d)) + k for k in range(2)]
+    n, total, square = np.array([300.0, 300.0]), np.stack([v.sum(axis=0) for v in x]), np.stack([v.T @ v for v in x])
+    n[1], total[1], square[1] = 200, x[1][:200].sum(axis=0), x[1][:200].T @ x[1][:200]
+    model = quality_qda.solve(n, total, square, to_pooled=0.3, to_diagonal=0.1, floor=0.003)
+    parts = [x[0], x[1][:200]]
+    own = [np.cov(v.T, bias=True) for v in parts]
+    pooled = (300 * own[0] + 200 * own[1]) / 500
+    asked = rng.normal(size=(20, d))
+    log = []
+    for k in range(2):
+        c = 0.7 * own[k] + 0.3 * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 0.003 * np.eye(d)
+        z = asked - parts[k].mean(axis=0)
+        log.append(-0.5 * np.einsum("ni,ij,nj->n", z, np.linalg.inv(c), z) - 0.5 * np.linalg.slogdet(c)[1])
+    expected = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log(301) - np.log(201), -500, 500)))
+    assert np.allclose(model.scores(asked), expected, atol=1e-6)
+
+
+def test_quality_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality_qda.classify(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")).join(queries.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").where("held_out and quality is not null").toPandas()
+    rank = got["score"].rank()
+    one = got["quality"] == 1
+    auc = (rank[one].sum() - one.sum() * (one.sum() + 1) / 2) / (one.sum() * (~one).sum())
+    assert len(got) > 50 and auc > 0.9 and (got["predicted"] == got["quality"]).mean() > 0.9, (auc, len(got))
+
+
 def test_queries_match_sql(spark, sf_dir):
     import oracle
 
@@ -422,7 +616,7 @@ def test_long_words_merge_by_heap():
 def test_spans_that_share_a_hash(monkeypatch):
     """With a hash of three values, words still have ids of their own."""
     true = textbatch.word_hashes
-    weak = lambda data, starts, ends, salt=0: true(data, starts, ends, salt) % np.uint64(3) if salt == 0 else true(data, starts, ends, salt)
+    weak = lambda data, starts, ends, salt=0: np.where(ends - starts > 8, true(data, starts, ends, salt) % np.uint64(3), true(data, starts, ends, salt)) if salt == 0 else true(data, starts, ends, salt)
     monkeypatch.setattr(textbatch, "word_hashes", weak)
     words = [f"{k} some word of over sixteen bytes".encode() if k % 3 else str(k).encode() for k in range(50)] * 2
     data, offsets = textbatch.text_buffers(pa.array(words, pa.binary()))
