@@ -40,8 +40,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; each result is written to the shared folder and read again, and what it was made from is deleted."""
+    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared.mark()
     for name, stage in STAGES[:-1]:
         docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        shared.forget(begin, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
