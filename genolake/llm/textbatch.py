@@ -9,6 +9,7 @@ from __future__ import annotations
 import array
 import ctypes
 import functools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -348,6 +349,34 @@ def byte_level_encoding(path: str):
     return tiktoken.Encoding("spans", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
+BYTES, WORDS = "bytes", "words"
+#: Fixed value: the split of lower-case word vocabularies, as their files write it; see ``lower_case_tokens``.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@functools.cache
+def shape(path: str) -> str | None:
+    """How texts may be cut before a tokenizers file encodes them, as the file itself says.
+
+    BYTES: byte-level pairs merged in the order of their ids, split by
+    ``pattern_tokens``.  WORDS: pairs with word ends, split by ``lower_case_tokens``
+    after lower-casing.  None: anything else, which only the library itself encodes.
+    """
+    spec = json.loads(library_tokenizer(path).to_str())
+    model, normal, pre = spec["model"], spec["normalizer"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or any(model.get(c) for c in ("dropout", "unk_token", "byte_fallback", "ignore_merges", "continuing_subword_prefix")):
+        return None
+    byte_level = lambda p, regex: p.get("type") == "ByteLevel" and not p["add_prefix_space"] and p.get("use_regex", True) == regex
+    if normal is None and not model.get("end_of_word_suffix") and byte_level(pre, True):
+        merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        return BYTES if merged == sorted(merged) and -1 not in merged else None
+    steps = (normal or {}).get("normalizers", [])
+    split, *rest = pre.get("pretokenizers", [{}])
+    lowered = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    cut = split.get("pattern") == {"Regex": WORD_SPLIT} and split.get("behavior") == "Removed" and split.get("invert") and len(rest) == 1 and byte_level(rest[0], False)
+    return WORDS if lowered and cut and model.get("end_of_word_suffix") == "</w>" else None
+
+
 @functools.cache
 def span_encoder(path: str) -> SpanEncoder:
     """An encoder by the tokenizers library for spans that its pre-tokenizer doesn't cut, without special tokens."""
@@ -370,7 +399,7 @@ def span_encoder(path: str) -> SpanEncoder:
         piece = byte_level_encoding(path)._encode_single_piece
         return [array.array("i", piece(w)).tobytes() for w in words]
 
-    return SpanEncoder(joined if word_end.sum() > 1000 else single)
+    return SpanEncoder(joined if shape(path) == WORDS else single)
 
 
 def encode_chunk(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -378,11 +407,13 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.n
 
     The chunk is cut where the library's own pre-tokenizer cuts as well.
     Documents that hold the string of an added token, or, for a vocabulary with
-    normalised text, code points that normalisation may change, go to the library whole.
+    normalised text, code points that normalisation may change, go to the library
+    whole, and so does every document of a file of no known shape.
     """
     docs = len(offsets) - 1
-    normalised = library_tokenizer(path).normalizer is not None
-    odd = np.zeros(docs, bool)
+    how = shape(path)
+    normalised = how == WORDS
+    odd = np.full(docs, how is None)
     if normalised:
         high = np.flatnonzero(data >= 0xCC)  # U+0300 and above
         dotted = np.flatnonzero((data[:-1] == 0xC4) & (data[1:] == 0xB0)) if len(data) else high  # its lower case is two code points
@@ -397,7 +428,7 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.n
     plain = np.append(0, np.cumsum(np.where(odd, 0, size)))
     kept = data[np.repeat(~odd, size)] if odd.any() else data
     starts, ends, doc = (lower_case_tokens if normalised else pattern_tokens)(kept, plain)
-    ids, count = span_encoder(path).ids(kept, starts, ends)
+    ids, count = span_encoder(path).ids(kept, starts, ends) if len(starts) else (np.empty(0, np.int32), np.empty(0, np.int64))
     place = bounds(doc, count, docs)
     if odd.any():
         parts = np.split(ids, place[1:-1])

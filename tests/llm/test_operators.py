@@ -59,6 +59,20 @@ def test_encode_chunk_equals_library(name):
     assert [x.tolist() for x in np.split(ids, place[1:-1])] == [e.ids for e in expected]
 
 
+def test_unknown_tokenizers_go_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    assert textbatch.shape(P.path("byte_bpe_50k.json")) == textbatch.BYTES and textbatch.shape(P.path("word_bpe_49k.json")) == textbatch.WORDS
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    other.save(str(tmp_path / "t.json"))
+    texts = ["a 1234 b", "", *random_texts(50, 8)]
+    data, offsets = textbatch.text_buffers(pa.array(texts))
+    ids, place = textbatch.encode_chunk(data, offsets, str(tmp_path / "t.json"))
+    assert textbatch.shape(str(tmp_path / "t.json")) is None
+    assert [x.tolist() for x in np.split(ids, place[1:-1])] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_byte_bpe(spark, docs, empty):
     import tiktoken
 
