@@ -182,6 +182,11 @@ def correlation_by_distance(pairs: DataFrame, breaks: Sequence[float]) -> DataFr
     return got.withColumn("r", F.when(F.col("n_complete") >= 3, F.greatest(F.least(r, F.lit(0.99)), F.lit(-0.99))))
 
 
+def by_frequency(df: DataFrame, *columns: str) -> DataFrame:
+    """(columns, n) of distinct values, the most frequent first."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
+
+
 def transitions(calls: DataFrame) -> DataFrame:
     """(refnt, altnt, n, share): shares of each reference base."""
     got = calls.groupBy("refnt", "altnt").agg(F.count("*").alias("n"))

@@ -124,11 +124,26 @@ def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, Da
         "static_filters": called.groupBy("muttype", "static_filter").agg(F.count("*").alias("n")),
         "phase": called.groupBy("phased_gt").agg(F.count("*").alias("n")),
         "vaf": aggs.rounded_histogram(called.where("training_site"), "af"),
+        "tests": called.agg(*[F.struct(F.count_if(F.col(t)).alias("yes"), F.count_if(~F.col(t)).alias("no"), F.count_if(F.col(t).isNull()).alias("unknown")).alias(t) for t in filters.TESTS]),
+        "ab": aggs.rounded_histogram(called.where("training_site"), "ab") if "ab" in called.columns else called.select(F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n")).limit(0),
+        "changes": aggs.transitions(called.where(F.col("pass") & (F.col("muttype") == "snv"))),
         "reasons": called.groupBy(filters.first_reason().alias("reason")).agg(F.count("*").alias("n")),
     }
     if depth is not None:
         out["depth"] = aggs.depth_table(depth)
         out["coverage"] = aggs.mean_coverage(out["depth"])
+        out["analyzable"] = aggs.analyzable(out["depth"], {k: (v.min_sc_dp, v.min_bulk_dp) for k, v in filters.DEFAULTS.items()})
+    return out
+
+
+def all_calls(cells: dict[str, DataFrame], kind: str = "pass", muttypes: Sequence[str] = ("snv", "indel")) -> DataFrame:
+    """The passing rows (``filters.passing``) of several cells' tables, with their sample."""
+    out = None
+    for sample, df in sorted(cells.items()):
+        own = df.where(filters.passing(kind, muttypes)).withColumn("sample", F.lit(sample))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no cells")
     return out
 
 

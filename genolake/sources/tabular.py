@@ -52,6 +52,14 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of the rows of each key the first in the order, and of equal ones the smallest; all columns in place."""
+    own = F.struct(*order, *[c for c in df.columns if c not in order])
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.min(own).alias("_one"))
+    return one.select(*keys, *[F.col(f"_one.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
 def write(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """A Parquet table by chromosome, ranged and sorted by position; refuses to overwrite unless told."""
     df.repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("chr").parquet(path)

@@ -150,6 +150,9 @@ def test_text_sources(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         tabular.write(long, str(tmp_path / "out"))
     assert tabular.duplicates(long, ["chr", "pos"]).count() == 2
+    one = tabular.first_rows(long, ["chr", "pos"], ["alt_n"])
+    assert one.columns == long.columns and sorted((r["chr"], r["sample"], r["alt_n"]) for r in one.collect()) == [("22", "S2", 0), ("X", "S2", 0)]
+    assert [tuple(r) for r in aggs.by_frequency(long, "ref_n").collect()] == [(7, 2), (None, 1), (3, 1)]
 
 
 def site(**own):
