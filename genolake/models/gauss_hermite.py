@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.threads import one_thread
+
 
 @functools.cache
 def nodes(n: int = 128) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +62,7 @@ def models(sites: DataFrame) -> DataFrame:
     unique = sites.select(*keys).distinct().where("scalt is not null and dp is not null and mu is not null and sd is not null and scalt between 0 and dp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         for part in batches:
             alt, depth, mu, sd = (part[k].to_numpy() for k in keys)
             got = np.empty((len(part), len(COLUMNS)))
