@@ -32,7 +32,7 @@ from . import shared, textbatch
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 #: Members verified against one copy of their leader's shingles.
-SPLIT = 1024
+SPLIT = 128
 #: Size of the table of shingle frequencies.
 COUNTERS = 1 << 20
 #: Bits of a document's shingle parities.
