@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.threads import one_thread
 from . import shared, textbatch
 
 WINDOW = 2048
@@ -179,6 +180,7 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
     salted = ids.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), F.coalesce("doc_id", F.xxhash64("ids"))), F.lit(SALTS)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             found = term_vectors(batch.column("ids").to_pylist(), kind, projected.value).astype("<i2")
             yield pa.RecordBatch.from_arrays([batch.column("salt"), batch.column("n"), pa.array([v.tobytes() for v in found], pa.binary())], ["salt", "n", "vector"])
@@ -191,6 +193,7 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
     model = ids.sparkSession.sparkContext.broadcast((centres, tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             found = term_vectors(batch.column("ids").to_pylist(), kind, projected.value)
             centres, tree = model.value
@@ -305,6 +308,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW,
     shards = max(1, round(total / shard_ids))
 
     def shard(table: pa.Table) -> pa.Table:
+        one_thread()
         table = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
         number = int(table.column("shard")[0].as_py())
         names = table.column("doc_id").to_pandas(integer_object_nulls=True).tolist()

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.threads import one_thread
 from . import quality_rules, shared, textbatch
 
 FEATURES = (
@@ -124,6 +125,7 @@ def fit(features_: DataFrame, labels: DataFrame, *, to_pooled: float = 0.3, to_d
     d = len(FEATURES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         n, total, square = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
@@ -150,6 +152,7 @@ def score(features_: DataFrame, model: Discriminant) -> DataFrame:
     d = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             yield shared.rows(schema, batch.column(0), model.scores(np.asarray(batch.column(1).flatten(), float).reshape(-1, d)))
 
