@@ -28,8 +28,11 @@ def _training(spark, sf_dir):
 
 @query()
 def ab_fit(spark, sf_dir):
-    """Allele-balance parameters of each chromosome by a random search of 4 steps of 20,000 draws over up to 250 tiles of 100 sites."""
-    return allele_balance.fit(_training(spark, sf_dir))
+    """Allele-balance parameters of each chromosome over up to 250 tiles of 100 sites, by a search that narrows more often and draws less than the default.
+
+    Seven steps of 1,200 draws shrink the bounds as far as four of 20,000, at a tenth of the evaluations.
+    """
+    return allele_balance.fit(_training(spark, sf_dir), steps=7, samples=1200)
 
 
 def _fits(spark):

@@ -147,14 +147,28 @@ def test_permutations_solve_all_sets(spark, sf_dir):
     assert len(found) == queries_models.SETS == 1000 and {r["n"] for r in found} == {calls}
 
 
-def test_ab_fit_runs_the_whole_search(spark, sf_dir, monkeypatch):
+def test_ab_fit_takes_all_tiles(spark, sf_dir, monkeypatch):
     import inspect
 
     asked = {k: p.default for k, p in inspect.signature(allele_balance.fit).parameters.items() if k != "training"}
-    whole = dict(asked)
-    monkeypatch.setattr(allele_balance, "fit", lambda training, **options: asked.update(options))
+    assert (asked["steps"], asked["samples"]) == (4, 20_000)
+    monkeypatch.setattr(allele_balance, "fit", lambda training, **options: asked.update(options, rows=training.count()))
     queries_models.ab_fit(spark, sf_dir)
-    assert asked == whole and (whole["steps"], whole["samples"], whole["tiles"], whole["tile"]) == (4, 20_000, 250, 100)
+    assert (asked["tiles"], asked["tile"], asked["best"]) == (250, 100, 50) and asked["rows"] == scored(spark, sf_dir).where("training_site and muttype = 'snv'").count()
+
+
+def test_narrow_search_finds_what_a_wide_one_does(spark):
+    """Seven steps of 1,200 draws against the best of 20,000 draws over the whole bounds."""
+    rng = np.random.default_rng(12)
+    pos = np.sort(rng.choice(400_000, 40, replace=False))
+    f = np.cumsum(rng.normal(0, 0.4, 40))
+    n = rng.integers(10, 60, 40)
+    y = rng.binomial(n, 1 / (1 + np.exp(-f)))
+    rows = spark.createDataFrame([("1", int(p), int(a), int(b)) for p, a, b in zip(pos, y, n, strict=True)], "chr string, pos int, hap1 int, dp int")
+    best = allele_balance.fit(rows, steps=7, samples=1200).first()["logp"]
+    wide = allele_balance.draws(20_000, allele_balance.BOUNDS, 5)
+    plain = allele_balance.log_evidence(pos.astype(float), y.astype(float), n.astype(float), (wide[:, 0], 10 ** wide[:, 1], wide[:, 2], 10 ** wide[:, 3])).max()
+    assert best >= plain - 0.01, (best, plain)
 
 
 def test_gp_predict_estimates_all_sites(spark, sf_dir):
