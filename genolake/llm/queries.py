@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_reputation, line_dedup, near_dedup, packing, quality_qda, quality_rules, quote_links, shared, token_files, topk
+from . import byte_bpe, hard_negatives, host_reputation, line_dedup, near_dedup, packing, quality_qda, quality_rules, quote_links, shared, spelling, token_counts, token_files, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,5 +129,40 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_line_dedup, op5_token_files, op6_quote_links, op7_topk, op8_host_reputation, op9_near_dedup, op10_quality_qda)}
-SQL = {"op4_line_dedup": OP4_SQL, "op8_host_reputation": _op8_sql()}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as the positives of each hundredth vector; each seventh label is moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, vectors.where("vec_id % 100 = 0"), label_col=label)
+
+
+OP12_SQL = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM own a JOIN own b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER near AS rank, vec_id AS negative_id, positive_score, score AS negative_score,
+  dense_rank() OVER (PARTITION BY anchor_id ORDER BY positive_score DESC, positive_id) AS positive_rank
+FROM (SELECT * FROM positive JOIN pair USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words' number, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_line_dedup, op5_token_files, op6_quote_links, op7_topk, op8_host_reputation, op9_near_dedup, op10_quality_qda, op11_token_counts, op12_hard_negatives, op13_spelling)}
+SQL = {"op4_line_dedup": OP4_SQL, "op8_host_reputation": _op8_sql(), "op12_hard_negatives": OP12_SQL}
