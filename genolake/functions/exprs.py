@@ -61,9 +61,9 @@ def vaf_bin(af: Column, dp: Column, bins: int = 20) -> Column:
 
 
 def depth_index(dp: Column, max_dp: Column | int) -> Column:
-    """min(dp, max_dp + 1) + 1."""
+    """min(dp, max_dp + 1) + 1; NULL without a depth."""
     top = F.lit(max_dp) if isinstance(max_dp, int) else max_dp
-    return (F.least(dp, top + 1) + 1).cast("int")
+    return F.when(dp.isNotNull(), F.least(dp, top + 1) + 1).cast("int")
 
 
 def quantise(x: Column, low: float, high: float, levels: int = 254) -> Column:

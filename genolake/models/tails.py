@@ -1,18 +1,23 @@
-"""Empirical tails of two scores, without pairs of points."""
+"""Empirical tails of two scores, without pairs of points: a sweep by ranges of both coordinates."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs
 from ..operators import blocks
+from ..sources import stored
 
 #: Blocks of values, for each unit of a score.
 BANDS = 4096
+#: Ranges of a coordinate at most, and rows of a range that are worth a task.
+RANGES, ROWS = 64, 4096
 
 
 def running(points: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
@@ -21,43 +26,89 @@ def running(points: DataFrame, by: Sequence[str], value: str, weights: Sequence[
     Points are added up by value first; sums before a block of values come from a row for each block.
     """
     each = points.groupBy(*by, value).agg(*[F.sum(w).alias(w) for w in weights])
-    cut = each.withColumn(blocks.BLOCK, F.floor(F.col(value) * BANDS).cast("long"))
-    cut = blocks.carried(cut, list(by), before={f"{w}_done": (F.sum(w), "sum") for w in weights})
     before = blocks.inside(by, value).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.select(*by, value, *weights, *[(F.coalesce(f"{w}_done", F.lit(0)) + F.coalesce(F.sum(w).over(before), F.lit(0))).alias(f"{w}_below") for w in weights])
+    cut = blocks.passed(
+        each, list(by), [{f"{w}_inside": F.sum(w).over(before) for w in weights}], {f"{w}_all": F.sum(w) for w in weights},
+        lambda earlier, later: [{f"{w}_done": F.sum(f"{w}_all").over(earlier) for w in weights}], pos=value, width=1 / BANDS)
+    return cut.select(*by, value, *weights, *[(F.coalesce(f"{w}_done", F.lit(0)) + F.coalesce(f"{w}_inside", F.lit(0))).alias(f"{w}_below") for w in weights])
 
 
-def at_least(points: DataFrame, asked: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, x, y, n): for each distinct pair asked the number of points with both coordinates at least as large.
+def dominating(x: np.ndarray, y: np.ndarray, w: np.ndarray, asked_x: np.ndarray, asked_y: np.ndarray) -> np.ndarray:
+    """For each asked pair the weight of the points with both coordinates at least as large.
 
-    Values of x are ranked; a point belongs to one interval of 2^k ranks for each
-    k, and the ranks from a pair's own on are the union of its rank and of at most
-    one such interval for each k.  In an interval, points are counted by y in one
-    running sum.  So n points and m pairs make (n + m) log n rows, and no group is
-    larger than the number of distinct values of y.  NULL coordinates are left out.
+    All are laid out by falling x.  Blocks of two, four and so on are merged: what
+    a point in a left half adds to the pairs of the right half is a running sum by falling y.
+    """
+    n, m = len(x), len(asked_x)
+    order = np.lexsort((np.repeat([0, 1], [n, m]), -np.append(x, asked_x)))
+    high = np.unique(-np.append(y, asked_y), return_inverse=True)[1].ravel()[order].astype(np.int64)
+    weight = np.append(w, np.zeros(m))[order]
+    out, place, step = np.zeros(n + m), np.arange(n + m), 1
+    while step < n + m:
+        pair, right = place // (2 * step), (place // step) % 2
+        by = np.argsort((pair * (n + m) + high) * 2 + right, kind="stable")
+        run = np.cumsum(np.where(right[by] == 0, weight[by], 0.0))
+        before = np.append(0.0, run)[np.searchsorted(pair[by], pair[by])]
+        asked = right[by] == 1
+        out[by[asked]] += (run - before)[asked]
+        step *= 2
+    back = np.empty(n + m)
+    back[order] = out
+    return np.rint(back[n:]).astype(np.int64)
+
+
+def _swept(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, x, y, n) of the asked pairs of a written table (by, x, y, w, asked) of distinct pairs without NULLs.
+
+    Both coordinates are cut in ranges.  Points above a pair lie in ranges above
+    both of its own (sums of a table of cells), in its range of x (counted in a
+    task for each range of x), or else in its range of y (a task for each of those).
     """
     by = list(by)
-    fine = F.col(x).isNotNull() & F.col(y).isNotNull()
-    p = points.where(fine).groupBy(*by, x, y).agg(F.count("*").alias("w"))
-    q = asked.where(fine).select(*by, x, y).distinct()
-    values = p.select(*by, x).distinct().withColumn("one", F.lit(1))
-    ranks = running(values.unionByName(q.select(*by, x).distinct().withColumn("one", F.lit(0))), by, x, ["one"]).select(*by, x, F.col("one_below").alias("rank"))
-    most = values.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).scalar()
-    levels = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
-    up = lambda c: F.call_function("shiftright", F.col(c), F.col("k"))
-    of_points = p.join(ranks, [*by, x]).select(*by, "rank", y, "w", F.explode(levels).alias("k")).select(*by, "k", up("rank").alias("i"), (-F.col(y)).alias("v"), "w")
-    wide = q.join(ranks, [*by, x]).select(*by, x, y, "rank", F.explode(levels).alias("k"))
-    siblings = wide.where(up("rank").bitwiseAND(F.lit(1)) == 0).select(*by, x, y, "k", (up("rank") + 1).alias("i"), (-F.col(y)).alias("v"))
-    of_pairs = siblings.unionByName(wide.where("k = 0").select(*by, x, y, "k", F.col("rank").alias("i"), (-F.col(y)).alias("v")))
-    key = [*by, "k", "i"]
-    counted = running(of_points.unionByName(of_pairs.select(*key, "v", F.lit(0).cast("long").alias("w"))), key, "v", ["w"])
-    return of_pairs.join(counted, [*key, "v"]).groupBy(*by, x, y).agg(F.sum(F.col("w") + F.col("w_below")).alias("n"))
+    many = table.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, min(RANGES, -(-many // ROWS)))
+    cuts = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else None
+    edge = lambda c: (F.percentile_approx(c, cuts, 4096) if parts > 1 else F.first(F.array().cast("array<double>"))).alias(f"_{c}_edges")
+    edges = table.groupBy(*by).agg(edge("x"), edge("y"))
+    at = lambda c: F.size(F.filter(f"_{c}_edges", lambda e: e <= F.col(c))).alias(f"{c}r")
+    placed = stored.written(table.join(edges, by).select(*by, "x", "y", "w", "asked", at("x"), at("y")), "placed")
+    cells = placed.groupBy(*by, "xr", "yr").agg(F.sum("w").alias("w"))
+    range_ = F.sequence(F.lit(0), F.lit(parts - 1))
+    grid = edges.select(*by, F.explode(range_).alias("xr")).select(*by, "xr", F.explode(range_).alias("yr")).join(cells, [*by, "xr", "yr"], "left")
+    over = lambda along, down: Window.partitionBy(*by, along).orderBy(F.desc(down)).rowsBetween(Window.unboundedPreceding, -1)
+    above = grid.withColumn("_right", F.sum("w").over(over("xr", "yr"))).withColumn("_above", F.coalesce(F.sum("_right").over(over("yr", "xr")), F.lit(0)))
+    fields = placed.select(*by).schema.fields
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "x double, y double, n long"])
+
+    def counted(own: str):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            points, asked = part[part["w"] > 0], part[part["asked"]]
+            ax = asked["x"] if own == "xr" else asked["xr"] + 1
+            n = dominating(points["x" if own == "xr" else "xr"].to_numpy(float), points["y"].to_numpy(float), points["w"].to_numpy(float), ax.to_numpy(float), asked["y"].to_numpy(float))
+            return asked[[*by, "x", "y"]].assign(n=n)
+
+        return placed.groupBy(*by, own).applyInPandas(run, schema)
+
+    beyond = placed.where("asked").join(above, [*by, "xr", "yr"]).select(*by, "x", "y", F.col("_above").alias("n"))
+    return beyond.unionByName(counted("xr")).unionByName(counted("yr")).groupBy(*by, "x", "y").agg(F.sum("n").alias("n"))
+
+
+def at_least(points: DataFrame, asked: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, x, y, n): for each distinct pair asked the number of points with both coordinates at least as large; NULL coordinates are left out.
+
+    Without a pair of points: see ``_swept``.
+    """
+    keys = list(by) or ["_all"]
+    named = lambda df, w: df.withColumn("_all", F.lit(0)).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(w).alias("w"), F.lit(w == 0).alias("asked")).where("x is not null and y is not null")
+    table = named(points, 1).unionByName(named(asked, 0)).groupBy(*keys, "x", "y").agg(F.sum("w").alias("w"), F.max("asked").alias("asked"))
+    return _swept(stored.written(table, "pairs"), keys).select(*by, F.col("x").alias(x), F.col("y").alias(y), "n")
 
 
 def dominance(points: DataFrame, x: str, y: str) -> DataFrame:
     """(x, y, tail): for each distinct point the share of points with both coordinates at least as large; NULLs are left out."""
-    total = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("t")).scalar()
-    return at_least(points, points, x, y).select(x, y, (F.col("n") / total).alias("tail"))
+    own = stored.written(points.select(x, y), "points")
+    total = own.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("t")).scalar()
+    return at_least(own, own, x, y).select(x, y, (F.col("n") / total).alias("tail"))
 
 
 def cigar_rates(sites: DataFrame) -> DataFrame:
@@ -75,28 +126,33 @@ def excess_scores(sites: DataFrame, null: DataFrame, by: Sequence[str] = ("mutty
     other, and one that lacks both has NULL.  With ``zero_depth`` sites without
     reads of the cell or the bulk have 0.
     """
-    by, out = list(by), sites
+    by = list(by)
+    key = [*by, "kind"]
+
+    def long(df: DataFrame, w: int) -> DataFrame:
+        pair = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_x").cast("double").alias("x"), F.col(f"{kind}_y").cast("double").alias("y"))
+        return df.select(*by, F.inline(F.array(pair("id"), pair("hs")))).withColumns({"w": F.lit(w), "asked": F.lit(w == 0)})
+
+    # both scores' distinct pairs in one table: sites and null sites are read once each
+    pairs = stored.written(long(null, 1).unionByName(long(sites, 0)).groupBy(*key, "x", "y").agg(F.sum("w").alias("w"), F.max("asked").alias("asked")), "pairs")
+    fine = pairs.where("x is not null and y is not null")
+    # null sites by one rate alone: all that are smaller, and those of them that lack the other rate
+    one = lambda axis, own, other: F.struct(F.lit(axis).alias("axis"), F.col(own).alias("value"), F.when(F.col(other).isNull(), F.col("w")).otherwise(0).alias("lone"))
+    single = running(pairs.select(*key, "w", F.inline(F.array(one("x", "x", "y"), one("y", "y", "x")))).where("value is not null"), [*key, "axis"], "value", ["w", "lone"])
+    single = stored.written(single.select(*key, "axis", "value", "w_below", "lone_below"), "single-rates")
+    of = lambda axis: single.where(F.col("axis") == axis).select(*key, F.col("value").alias(axis), F.col("w_below").alias(f"_{axis}"), F.col("lone_below").alias(f"_{axis}_lone"))
+    total = fine.groupBy(*key).agg(F.sum("w").alias("_all"))
+    got = pairs.where("asked").join(_swept(fine, key), [*key, "x", "y"], "left").join(of("x"), [*key, "x"], "left").join(of("y"), [*key, "y"], "left").join(total, key, "left")
+    known = F.coalesce("_all", F.lit(0)) + F.coalesce("_x_lone", F.lit(0)) + F.coalesce("_y_lone", F.lit(0))
+    smaller = F.coalesce("_x", "_y", F.lit(0))
+    score = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), exprs.div(F.coalesce("n", F.lit(0)).cast("double"), known)).when(smaller > 0, F.lit(0.0))
+    scores, out = stored.written(got.select(*key, "x", "y", score.alias("score")), "scores"), sites
     for kind in ("id", "hs"):
-        x, y = f"{kind}_x", f"{kind}_y"
-        points, pairs = null.select(*by, x, y), sites.select(*by, x, y).distinct()
-        total = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("_all"))
-
-        def smaller(value: str, other: str) -> DataFrame:
-            """Null sites with a smaller value: all, and those without the other rate."""
-            own = points.where(F.col(value).isNotNull()).select(*by, value, F.lit(1).alias("_w"), F.col(other).isNull().cast("int").alias("_lone"))
-            asked = pairs.where(F.col(value).isNotNull()).select(*by, value, F.lit(0).alias("_w"), F.lit(0).alias("_lone"))
-            found = running(own.unionByName(asked), by, value, ["_w", "_lone"])
-            return found.select(*by, value, F.col("_w_below").alias(f"_{value}"), F.col("_lone_below").alias(f"_{value}_lone"))
-
-        got = pairs.join(at_least(points, pairs, x, y, by), [*by, x, y], "left").join(smaller(x, y), [*by, x], "left").join(smaller(y, x), [*by, y], "left").join(total, by, "left")
-        known = F.coalesce("_all", F.lit(0)) + F.coalesce(f"_{x}_lone", F.lit(0)) + F.coalesce(f"_{y}_lone", F.lit(0))
-        one = F.coalesce(f"_{x}", f"_{y}", F.lit(0))
-        score = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), exprs.div(F.coalesce("n", F.lit(0)).cast("double"), known)).when(one > 0, F.lit(0.0))
-        got = got.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, x, y)], score.alias(f"{kind}_score"))
-        same = F.lit(True)
-        for c in (*by, x, y):
+        own = scores.where(F.col("kind") == kind).select(*[F.col(c).alias(f"_k_{c}") for c in (*by, "x", "y")], F.col("score").alias(f"{kind}_score"))
+        same = F.col(f"{kind}_x").cast("double").eqNullSafe(F.col("_k_x")) & F.col(f"{kind}_y").cast("double").eqNullSafe(F.col("_k_y"))
+        for c in by:
             same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        out = out.join(got, same, "left").drop(*[f"_k_{c}" for c in (*by, x, y)])
+        out = out.join(own, same, "left").drop(*[f"_k_{c}" for c in (*by, "x", "y")])
     if zero_depth:
         none = (F.col("cigar_dp") == 0) | (F.col("cigar_dp_bulk") == 0)
         out = out.withColumns({f"{kind}_score": F.when(none, 0.0).otherwise(F.col(f"{kind}_score")) for kind in ("id", "hs")})

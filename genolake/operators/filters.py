@@ -40,7 +40,8 @@ class Params:
 DEFAULTS = {"snv": Params(), "indel": Params(use_panel=True)}
 
 
-def _by_type(params: dict[str, Params], value) -> Column:
+def by_type(params: dict[str, Params], value) -> Column:
+    """A threshold of the row's own type; NULL for other types."""
     out = F.lit(None)
     for muttype, p in params.items():
         out = F.when(F.col("muttype") == muttype, F.lit(value(p))).otherwise(out)
@@ -54,7 +55,7 @@ def training_site(phased: Column, bulk_gt: Column, haploid: Column) -> Column:
 
 def candidate(params: dict[str, Params] = DEFAULTS) -> Column:
     """Whether a row can be somatic, from muttype, bulk_dp, balt, bulk_af, bulk_binom_prob, balt_lowmq, bulk_gt, talt, dbsnp, training_site, phased_gt."""
-    p = lambda value: _by_type(params, value)
+    p = lambda value: by_type(params, value)
     no = F.lit(False)
     relaxed = p(lambda x: x.max_bulk_alt > 0 or 0 < x.max_bulk_af < 1 or 0 < x.max_bulk_binom_prob < 1)
     return F.coalesce(
@@ -69,7 +70,7 @@ def static_tests(df: DataFrame, params: dict[str, Params] = DEFAULTS, quantiles:
 
     ``quantiles`` are the least scores of each type; without them the two score tests hold.
     """
-    p = lambda value: _by_type(params, value)
+    p = lambda value: by_type(params, value)
     yes = F.lit(True)
     id_cut, hs_cut = F.lit(None).cast("double"), F.lit(None).cast("double")
     for muttype, (low_id, low_hs) in (quantiles or {}).items():

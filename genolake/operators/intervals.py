@@ -33,14 +33,20 @@ def equal_tiles(regions: DataFrame, width: int) -> DataFrame:
 
 
 def merge(intervals: DataFrame, width: int = blocks.WIDTH) -> DataFrame:
-    """The union of overlapping and adjacent intervals."""
-    df = blocks.blocked(intervals.select("chr", "start", "end_"), "start", width)
-    df = blocks.carried(df, ["chr"], before={"_reach": (F.max("end_"), "max")})
+    """The union of overlapping and adjacent intervals.
+
+    An interval that begins past all before it in its block begins an island, unless
+    an earlier block reaches it.  Of those of a block the last tells whether any does:
+    it is the furthest.  So an island is known by where it begins, over blocks as well.
+    """
     order = blocks.inside(["chr"], "start", "end_")
-    reach = F.greatest(F.max("end_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
-    df = df.withColumn("_new", F.when(reach >= F.col("start") - 1, 0).otherwise(1))
-    df = blocks.carried(df.drop("_reach"), ["chr"], before={"_done": (F.sum("_new"), "sum")})
-    island = F.coalesce("_done", F.lit(0)) + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.max("end_").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    df = blocks.passed(
+        intervals.select("chr", "start", "end_"), ["chr"], [{"_reach": reach}, {"_new": F.when(F.col("_reach").isNull() | (F.col("_reach") < F.col("start") - 1), F.col("start"))}],
+        {"_end": F.max("end_"), "_newest": F.max("_new")},
+        lambda earlier, later: [{"_before": F.max("_end").over(earlier)}, {"_begun": F.when(F.col("_before").isNull() | (F.col("_before") < F.col("_newest") - 1), F.col("_newest"))}, {"_open": blocks.last("_begun").over(earlier)}], pos="start", width=width)
+    begins = F.when(F.col("_new").isNotNull() & (F.col("_before").isNull() | (F.col("_before") < F.col("_new") - 1)), F.col("_new"))
+    island = F.coalesce(F.max(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
     return df.withColumn("_island", island).groupBy("chr", "_island").agg(F.min("start").alias("start"), F.max("end_").alias("end_")).drop("_island")
 
 

@@ -61,15 +61,16 @@ def nearest(left: DataFrame, right: DataFrame, *, by: str = "chr", pos: str = "p
     """
     points = right.select(by, pos).distinct().select(by, pos, F.col(pos).alias("_at"))
     rows = left.withColumn("_at", F.lit(None).cast(right.schema[pos].dataType)).withColumn("_row", F.lit(True))
-    both = blocks.blocked(rows.unionByName(points.withColumn("_row", F.lit(False)), allowMissingColumns=True), pos, width)
-    both = blocks.carried(both, [by], before={"_last": (F.max("_at"), "max")}, after={"_next": (F.min("_at"), "min")})
-    order = blocks.inside([by], pos)
-    upto = order.rangeBetween(Window.unboundedPreceding, 0)
-    above = order.rangeBetween(1, Window.unboundedFollowing)
-    both = both.withColumn("_l", F.coalesce(F.max("_at").over(upto), "_last")).withColumn("_r", F.coalesce(F.min("_at").over(above), "_next"))
+    both = rows.unionByName(points.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    upto = blocks.inside([by], pos).rangeBetween(Window.unboundedPreceding, 0)
+    above = blocks.inside([by], F.desc(pos)).rangeBetween(Window.unboundedPreceding, -1)  # from the far end: frames that grow, not frames that shrink
+    both = blocks.passed(
+        both, [by], [{"_l": F.max("_at").over(upto), "_r": F.min("_at").over(above)}], {"_least": F.min("_at"), "_most": F.max("_at")},
+        lambda earlier, later: [{"_last": F.max("_most").over(earlier), "_next": F.min("_least").over(later)}], pos=pos, width=width)
+    both = both.where("_row").withColumn("_l", F.coalesce("_l", "_last")).withColumn("_r", F.coalesce("_r", "_next"))
     at_edge = F.col("_l") if right_edge == "nearest" else F.lit(None)
     found = F.when(F.col("_r").isNull(), at_edge).when(F.col("_l").isNull(), F.col("_r")).when(F.col(pos) - F.col("_l") <= F.col("_r") - F.col(pos), F.col("_l")).otherwise(F.col("_r"))
-    return both.where("_row").withColumn("nearest", found).select(*left.columns, "nearest")
+    return both.withColumn("nearest", found).select(*left.columns, "nearest")
 
 
 def lookup(sites: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:

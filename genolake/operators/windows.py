@@ -13,10 +13,12 @@ from . import blocks
 
 def nearest_gap(sites: DataFrame, by: Sequence[str] = ("sample", "chr"), pos: str = "pos", tie: Sequence[str] = (), width: int = blocks.WIDTH) -> DataFrame:
     """Adds prev_gap, next_gap and nearest, the smaller; NULL where there is no neighbour."""
-    df = blocks.carried(blocks.blocked(sites, pos, width), list(by), before={"_before": (F.max(pos), "max")}, after={"_after": (F.min(pos), "min")})
     order = blocks.inside(by, pos, *tie)
-    df = df.withColumn("prev_gap", F.col(pos) - F.coalesce(F.lag(pos).over(order), "_before")).withColumn("next_gap", F.coalesce(F.lead(pos).over(order), "_after") - F.col(pos))
-    return df.withColumn("nearest", F.least("prev_gap", "next_gap")).drop("_before", "_after", blocks.BLOCK)
+    df = blocks.passed(
+        sites, list(by), [{"_prev": F.lag(pos).over(order), "_next": F.lead(pos).over(order)}], {"_least": F.min(pos), "_most": F.max(pos)},
+        lambda earlier, later: [{"_before": F.max("_most").over(earlier), "_after": F.min("_least").over(later)}], pos=pos, width=width)
+    df = df.withColumn("prev_gap", F.col(pos) - F.coalesce("_prev", "_before")).withColumn("next_gap", F.coalesce("_next", "_after") - F.col(pos))
+    return df.withColumn("nearest", F.least("prev_gap", "next_gap")).drop("_prev", "_next", "_before", "_after", blocks.BLOCK)
 
 
 def rolling_sum(tiles: DataFrame, column: str, n: int, by: Sequence[str] = ("chr",), order: Sequence[str] = ("start",), name: str = "nbhd") -> DataFrame:
@@ -27,9 +29,11 @@ def rolling_sum(tiles: DataFrame, column: str, n: int, by: Sequence[str] = ("chr
 
 def islands(df: DataFrame, starts: Column, by: Sequence[str], order: Sequence[str], pos: str = "pos", width: int = blocks.WIDTH) -> DataFrame:
     """Adds ``island``: the number of rows up to here, in order, for which ``starts`` holds."""
-    df = blocks.carried(blocks.blocked(df.withColumn("_starts", starts.cast("int")), pos, width), list(by), before={"_done": (F.sum("_starts"), "sum")})
-    inside = blocks.inside(by, *order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("island", F.coalesce("_done", F.lit(0)) + F.sum("_starts").over(inside)).drop("_done", "_starts", blocks.BLOCK)
+    upto = blocks.inside(by, *order).rowsBetween(Window.unboundedPreceding, 0)
+    df = blocks.passed(
+        df, list(by), [{"_starts": starts.cast("int")}, {"_upto": F.sum("_starts").over(upto)}], {"_all": F.sum("_starts")},
+        lambda earlier, later: [{"_done": F.sum("_all").over(earlier)}], pos=pos, width=width)
+    return df.withColumn("island", F.coalesce("_done", F.lit(0)) + F.col("_upto")).drop("_done", "_upto", "_starts", blocks.BLOCK)
 
 
 def merge_neighbours(calls: DataFrame, by: Sequence[str] = ("sample", "chr"), max_read_diff: int = 2) -> DataFrame:
@@ -44,34 +48,52 @@ def merge_neighbours(calls: DataFrame, by: Sequence[str] = ("sample", "chr"), ma
     return one.withColumn("muttype", F.when(F.col("n") == 2, "dnv").otherwise("mnv")).drop("island")
 
 
-def flip_phase(sites: DataFrame, cutoff: int = 10_000, by: Sequence[str] = ("chr",), tie: Sequence[str] = ()) -> DataFrame:
+def flip_phase(sites: DataFrame, cutoff: int = 10_000, by: Sequence[str] = ("chr",), tie: Sequence[str] = (), width: int = blocks.WIDTH) -> DataFrame:
     """Adds ``flipped_af``: af on the side of the run's first site.
 
     A run ends where the gap reaches the cutoff, or af here or before is NULL or
     a half; in a run, the recurrence "flip if that is nearer to the site before"
-    puts all sites on the first one's side.
+    puts all sites on the first one's side.  A block knows its runs but for the
+    one that its first row may go on with: that is told from the last row before.
     """
     order = ["pos", *tie]
     w = blocks.inside(by, *order)
-    df = blocks.carried(blocks.blocked(sites), list(by), before={"_last": (F.max_by(F.struct(F.col("pos").alias("pos"), F.col("af").alias("af")), F.struct(*order)), "last")})
-    before = F.coalesce(F.lag(F.struct(F.col("pos").alias("pos"), F.col("af").alias("af"))).over(w), "_last")
-    df = df.withColumn("_b", before).drop("_last", blocks.BLOCK)
-    joins = (F.col("pos") - F.col("_b.pos") < cutoff) & F.col("af").isNotNull() & F.col("_b.af").isNotNull() & (F.col("_b.af") != 0.5)
-    df = blocks.blocked(df.withColumn("_start", F.when(~F.coalesce(joins, F.lit(False)), F.struct("af"))).drop("_b"))
-    last = F.max_by("_start", F.when(F.col("_start").isNotNull(), F.struct(*order)))
-    df = blocks.carried(df, list(by), before={"_run": (last, "last")})
-    first = F.coalesce(F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_run")["af"]
+    here = F.struct(F.col("pos").alias("pos"), F.col("af").alias("af"))
+
+    def goes_on(site: Column, before: Column) -> Column:
+        return F.coalesce((site["pos"] - before["pos"] < cutoff) & site["af"].isNotNull() & before["af"].isNotNull() & (before["af"] != 0.5), F.lit(False))
+
+    start = F.when(F.col("_lag").isNotNull() & ~goes_on(here, F.col("_lag")), F.struct("af"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(*order)
+    df = blocks.passed(
+        sites, list(by), [{"_lag": F.lag(here).over(w)}, {"_start": start}, {"_run": blocks.last("_start").over(upto)}],
+        {"_head": F.min_by(here, place), "_tail": F.max_by(here, place), "_own": F.max_by("_run", place)},
+        lambda earlier, later: [
+            {"_before": blocks.last("_tail").over(earlier)},
+            {"_first": F.when(F.col("_before").isNull() | ~goes_on(F.col("_head"), F.col("_before")), F.struct(F.col("_head")["af"].alias("af")))},
+            {"_known": F.coalesce("_own", "_first")}, {"_carried": blocks.last("_known").over(earlier)}], width=width)
+    first = F.coalesce("_run", "_first", "_carried")["af"]
     flip = F.signum(F.col("af") - 0.5) * F.signum(first - 0.5) < 0
-    return df.withColumn("flipped_af", F.when(flip, 1 - F.col("af")).otherwise(F.col("af"))).drop("_run", "_start", blocks.BLOCK)
+    return df.withColumn("flipped_af", F.when(flip, 1 - F.col("af")).otherwise(F.col("af"))).drop("_lag", "_start", "_run", "_before", "_first", "_known", "_carried", blocks.BLOCK)
 
 
-def run_lengths(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ("chr",), pos: str = "pos") -> DataFrame:
-    """(by, island, value, n): runs of one value in order."""
+def run_lengths(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ("chr",), pos: str = "pos", width: int = blocks.WIDTH) -> DataFrame:
+    """(by, island, value, n): runs of one value in order.
+
+    Rows of a block's run are counted first; a run that goes on over blocks is put together from a row for each block.
+    """
     w = blocks.inside(by, *order)
-    df = blocks.carried(blocks.blocked(df, pos), list(by), before={"_last": (F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)), "last")})
-    before = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(w), "_last")
-    df = df.withColumn("_new", before.isNull() | ~F.col(value).eqNullSafe(before["v"])).drop("_last", blocks.BLOCK)
-    return islands(df, F.col("_new"), by, order, pos).groupBy(*by, "island", value).agg(F.count("*").alias("n"))
+    here, place = F.struct(F.col(value).alias("v")), F.struct(*order)
+    new = F.col("_lag").isNotNull() & ~F.col(value).eqNullSafe(F.col("_lag")["v"])
+    df = blocks.passed(
+        df, list(by), [{"_lag": F.lag(here).over(w)}, {"_new": new.cast("int")}, {"_upto": F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))}],
+        {"_head": F.min_by(here, place), "_tail": F.max_by(here, place), "_all": F.sum("_new")},
+        lambda earlier, later: [
+            {"_before": blocks.last("_tail").over(earlier)},
+            {"_first": (F.col("_before").isNull() | ~F.col("_head")["v"].eqNullSafe(F.col("_before")["v"])).cast("int")},
+            {"_done": F.coalesce(F.sum(F.col("_all") + F.col("_first")).over(earlier), F.lit(0)) + F.col("_first")}], pos=pos, width=width)
+    return df.withColumn("island", F.col("_done") + F.col("_upto")).groupBy(*by, "island", value).agg(F.count("*").alias("n"))
 
 
 def share_cutoff(histogram: DataFrame, value: str, count: str, share: float) -> DataFrame:
@@ -88,7 +110,8 @@ def adjust_p(tests: DataFrame, p: str = "p", by: Sequence[str] = ("muttype",), t
     df = tests.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(up))
     df = df.withColumn("bonferroni", F.least(F.lit(1.0), F.col("_n") * F.col(p)))
     df = df.withColumn("holm", F.least(F.lit(1.0), F.max((F.col("_n") - F.col("_i") + 1) * F.col(p)).over(up.rowsBetween(Window.unboundedPreceding, 0))))
-    df = df.withColumn("bh", F.least(F.lit(1.0), F.min(F.col("_n") / F.col("_i") * F.col(p)).over(up.rowsBetween(0, Window.unboundedFollowing))))
+    down = w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("bh", F.least(F.lit(1.0), F.min(F.col("_n") / F.col("_i") * F.col(p)).over(down)))
     return df.drop("_n", "_i")
 
 

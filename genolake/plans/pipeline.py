@@ -58,12 +58,13 @@ def for_cell(sites: DataFrame, counts: DataFrame, cell: str) -> DataFrame:
     return joined.withColumns({"dp": dp, "af": exprs.div(F.col("scalt").cast("double"), dp), "hap1": one, "hap2": two})
 
 
-def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, max_dp: int = 100, stages: Sequence[str] = ("ab", "models", "cigars", "filters", "fdr", "calls")) -> DataFrame:
+def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, stages: Sequence[str] = ("ab", "models", "cigars", "filters", "fdr", "calls")) -> DataFrame:
     """Allele balance, models, read-operation scores, filters, rates and calls of one cell's sites; ``stages`` may stop earlier.
 
     Scores need the columns of ``tails.cigar_rates``; their null sites are the
     training sites, resampled ones where the table tells (resampled_training_site),
-    and two cut-offs of each type come to the driver.
+    and two cut-offs of each type come to the driver.  Priors (``priors.assign``) need
+    all sites of a cell, so that a part of a genome can be taken up to "filters" only.
     """
     out, cutoffs = cell, None
     if "ab" in stages:
@@ -82,11 +83,7 @@ def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, max_dp: int = 1
         missing = {c: F.lit(None).cast(t) for c, t in (("id_score", "double"), ("hs_score", "double"), ("mutsig", "string")) if c not in out.columns}
         out = filters.static_tests(out.withColumns(missing), config.params, cutoffs)
     if "fdr" in stages:
-        keys = ["muttype", "dp_idx", "bin"]
-        out = out.withColumn("dp_idx", exprs.depth_index(F.col("dp"), max_dp)).withColumn("bin", exprs.vaf_bin(F.col("af"), F.col("dp")))
-        histograms = cell.withColumn("dp_idx", exprs.depth_index(F.col("dp"), max_dp)).withColumn("bin", exprs.vaf_bin(F.col("af"), F.col("dp")))
-        histograms = histograms.groupBy(*keys).agg(F.count_if("training_site").alias("g"), F.count_if("somatic_candidate").alias("s"))
-        out = joins.lookup(out, priors.priors(histograms).select(*keys, "nt", "na"), keys)
+        out = priors.assign(out, config.params)
         for kind in ("lysis", "mda"):
             out = out.withColumn(f"{kind}_fdr", filters.fdr(F.col(f"{kind}_pv"), F.col(f"{kind}_beta"), F.col("nt"), F.col("na")))
     return filters.call(out, config.target_fdr, panel=cell) if "calls" in stages else out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..models import allele_balance, tails
-from ..operators import aggs, filters, joins, windows
+from ..operators import aggs, blocks, filters, joins, windows
 from ..sources import stored, vcf
 from .adapters import duck, duck_scored, scored, table, view
 from .queries import _CALLED, _REASONS, SITE_KEY, called_sites, query, r6, tested
@@ -79,7 +79,7 @@ def rolling_nbhd(spark, sf_dir):
 SELECT chr, pos, refnt, altnt, round(CASE WHEN sign(af - 0.5) * sign(first_value(af) OVER (PARTITION BY chr, island ORDER BY pos, refnt, altnt) - 0.5) < 0 THEN 1 - af ELSE af END, 6) AS flipped_af FROM i""")
 def phase_flip(spark, sf_dir):
     """Allele fractions of each run on the side of its first site."""
-    t = stored.written(scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af"), "training")  # blocks read it again
+    t = scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af")
     return windows.flip_phase(t, tie=["refnt", "altnt"]).select(*SITE_KEY, r6("flipped_af"))
 
 
@@ -97,7 +97,6 @@ def mnv_islands(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("sample"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 3).cast("string")).alias("chr"), key.cast("int").alias("pos"),
         base("ACGT").alias("refnt"), base("CGTA").alias("altnt"), (key % 5).cast("int").alias("scalt"), (key % 3 + 10).cast("int").alias("scref")).distinct()
-    c = stored.written(c, "calls")  # blocks read it again
     return windows.merge_neighbours(c).select("sample", "chr", "pos", "refnt", "altnt", "n", "muttype")
 
 
@@ -139,15 +138,11 @@ def standardise(spark, sf_dir):
 SELECT chr, bin, count(*) AS n, round(avg(dist), 6) AS mean_dist, max(dist) AS max_dist, round(CASE WHEN count(*) FILTER (af IS NOT NULL AND af2 IS NOT NULL) >= 3 THEN greatest(least(CASE WHEN isnan(corr(af, af2)) THEN NULL ELSE corr(af, af2) END, 0.99), -0.99) END, 5) AS r, floor(avg((dp + dp2) / 2.0))::INT AS mean_dp FROM b WHERE bin IS NOT NULL GROUP BY chr, bin""")
 def adjacent_cor(spark, sf_dir):
     """Correlation of neighbouring allele fractions by distance."""
-    t = stored.written(scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af", "dp"), "training")
+    t = scored(spark, sf_dir).where("training_site").select(*SITE_KEY, "af", "dp")
     # the next site of a chromosome, through blocks
-    from ..operators import blocks
-
-    order = ["pos", "refnt", "altnt"]
     here = F.struct("pos", "refnt", "altnt", "af", "dp")
-    df = blocks.carried(blocks.blocked(t), ["chr"], after={"_after": (F.min(here), "first")})
-    nxt = F.coalesce(F.lead(here).over(blocks.inside(["chr"], *order)), "_after")
-    pairs = df.withColumn("_n", nxt).select("chr", (F.col("_n.pos") - F.col("pos")).alias("dist"), F.col("af").alias("af_1"), F.col("_n.af").alias("af_2"), F.col("dp").alias("dp_1"), F.col("_n.dp").alias("dp_2")).where("dist is not null")
+    df = blocks.passed(t, ["chr"], [{"_lead": F.lead(here).over(blocks.inside(["chr"], "pos", "refnt", "altnt"))}], {"_head": F.min(here)}, lambda earlier, later: [{"_after": blocks.first("_head").over(later)}])
+    pairs = df.withColumn("_n", F.coalesce("_lead", "_after")).select("chr", (F.col("_n.pos") - F.col("pos")).alias("dist"), F.col("af").alias("af_1"), F.col("_n.af").alias("af_2"), F.col("dp").alias("dp_1"), F.col("_n.dp").alias("dp_2")).where("dist is not null")
     return aggs.correlation_by_distance(pairs, [1, 100, 1000, 10000, 100000]).select("chr", "bin", "n", r6("mean_dist"), "max_dist", F.round("r", 5).alias("r"), "mean_dp")
 
 

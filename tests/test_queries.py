@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from genolake.plans import queries, queries_models, queries_more, queries_parts  # noqa: F401
+from genolake.plans import queries, queries_models, queries_more, queries_parts, queries_rates  # noqa: F401
 
 
 @pytest.fixture(scope="module")
