@@ -85,6 +85,14 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+OP7_SQL = """
+WITH own AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM own a JOIN own b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER best AS rank, vec_id, score FROM pair WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
+"""
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -165,4 +173,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_line_dedup, op5_token_files, op6_quote_links, op7_topk, op8_host_reputation, op9_near_dedup, op10_quality_qda, op11_token_counts, op12_hard_negatives, op13_spelling)}
-SQL = {"op4_line_dedup": OP4_SQL, "op8_host_reputation": _op8_sql(), "op12_hard_negatives": OP12_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op8_host_reputation": _op8_sql(), "op12_hard_negatives": OP12_SQL}

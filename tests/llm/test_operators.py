@@ -421,16 +421,17 @@ def test_topk(spark):
     rows = [(k, x.tolist(), 1, 2) for k, x in enumerate(v)] + [(*r, 1, 2) for r in odd] + [(30, v[30].tolist(), 3, 4)] * 7 + [(77, v[5].tolist(), 3, 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, _n int, _id int")
     got = topk.topk(df, df.where("vec_id % 10 = 0"), 5, block_rows=64, block_queries=8).toPandas()
-    q = np.vstack([np.floor(64 * v.astype(np.float32).astype(float)), np.zeros(8)]).astype(int)
-    ids, q = np.array([*range(300), 904, *[30] * 7, 77]), np.vstack([q, *[q[30]] * 7, q[5]])
+    q = np.vstack([np.floor(64 * v.astype(np.float32).astype(float)), np.zeros(8)]).astype(int).astype(object)
+    large = int(np.float32(1e30)) * 64
+    ids, q = np.array([*range(300), 904, *[30] * 7, 77, 905, 906]), np.vstack([q, *[q[30]] * 7, q[5], [large] * 8, [64] * 7 + [-large]])
     assert sorted(got["query_id"].unique()) == [*range(0, 300, 10), 910, 920]  # 900 and others take no part
     for name, part in got.sort_values("rank").groupby("query_id"):
         if name > 300:  # empty vectors score 0 with each other
             assert part["vec_id"].tolist() == [x for x in (907, 910, 920) if x != name] and not part["score"].any()
             continue
         s = q @ q[name]
-        best = [k for k in np.lexsort((ids, -s)) if ids[k] != name][:5]
-        assert part["vec_id"].tolist() == ids[best].tolist() and part["score"].tolist() == s[best].tolist()
+        best = [k for k in sorted(range(len(s)), key=lambda k: (-s[k], ids[k])) if ids[k] != name][:5]
+        assert part["vec_id"].tolist() == ids[best].tolist() and part["score"].tolist() == [min(2**63 - 1, max(-(2**63), x)) for x in s[best]]
     assert topk.topk(df.where("vec_id < 3"), df.where("vec_id = 0"), 20).count() == 2 and topk.topk(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -444,6 +445,19 @@ def test_topk_wide_values(spark):
         assert [got[a, k + 1] for k in range(4)] == [(b, -s) for s, b in scores]
 
 
+def test_topk_of_scores_beyond_a_long(spark):
+    """Queries and rows of all sizes up to 1e300: exact order, ties by id, the nearest long as the score."""
+    rows = [(k, [float(s) * 10.0**e, float(k % 3), -1.5]) for k, (s, e) in enumerate([(a, e) for e in (0, 12, 18, 19, 30, 150, 300) for a in (1, -1, 1)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [[int(x) * 64 if abs(x) >= 2**53 else int(np.floor(x * 64)) for x in r[1]] for r in rows]
+    got = {}
+    for r in topk.topk(df, df, 20, block_rows=7, block_queries=5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for a, q in enumerate(whole):
+        scores = sorted((-sum(x * y for x, y in zip(q, w, strict=True)), b) for b, w in enumerate(whole) if b != a)
+        assert [got[a][k + 1] for k in range(20)] == [(b, min(2**63 - 1, max(-(2**63), -s))) for s, b in scores]
+
+
 def test_hosts(spark):
     urls = [None, "no scheme", "HTTP://A.Example.ORG/es/1?x", "http://example.org/en/12", "x://example.org#f/en/1", "http://b.com/fr/", "http://b.com/de", "http://b.com/de/x", "http://spam.net/q", "http://notorg/", "s://good.net?://y/z"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + k, f"http://spam.net/{k}") for k in range(60)] + [(200 + k, f"http://h{k % 9}.net/") for k in range(90)], "page_id long, url string")
