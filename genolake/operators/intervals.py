@@ -88,6 +88,13 @@ def chunk_of(tiles: DataFrame, chunks: DataFrame, width: int = 1 << 20) -> DataF
     return a.join(b, (a.chr == b.c) & (a._bin == b.b) & (a.start >= b.chunk_start) & (a.start <= b.e), "left").select(*tiles.columns, "chunk_start")
 
 
+def within(sites: DataFrame, regions: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Sites (chr, pos) that lie in a region."""
+    a = sites.withColumn("_bin", F.floor(F.col("pos") / width).cast("long"))
+    b = regions.select(F.col("chr").alias("c"), F.col("start").alias("s"), F.col("end_").alias("e"), _bins(F.col("start"), F.col("end_"), width).alias("b"))
+    return a.join(b, (a.chr == b.c) & (a._bin == b.b) & (a.pos >= b.s) & (a.pos <= b.e), "left_semi").drop("_bin")
+
+
 def near(sites: DataFrame, anchors: DataFrame, flank: int) -> DataFrame:
     """Sites within [pos - flank, pos + flank - 1] of an anchor; bins of the flank's width, so that an anchor meets three at most."""
     width = max(1, flank)

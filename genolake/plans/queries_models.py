@@ -8,6 +8,7 @@ from ..functions import exprs
 from ..config import Config
 from ..models import allele_balance, gauss_hermite, offsets, priors, regression, sampling, segments
 from ..operators import filters, intervals
+from ..sources import stored
 from . import pipeline
 from .adapters import duck, scored, view
 from .queries import _MERGED, SITE_KEY, query, r6
@@ -92,9 +93,36 @@ def cbs_segments(spark, sf_dir):
 SETS = 1000  # as the reference's desired.perms
 
 
+CHUNK = 1 << 13
+
+
+def _sequence(spark, sf_dir):
+    """A sequence (chr, chunk_id, seq) as far as the callable intervals reach: 32 bases from a hash of each place, in chunks that overlap by 64."""
+    reach = view(spark, sf_dir, "interval").groupBy("chr").agg(F.max("end_").alias("end_"))
+    chunks = reach.select("chr", F.explode(F.sequence(F.lit(0), F.floor(F.col("end_") / CHUNK).cast("int"))).alias("chunk_id")).repartition("chr", "chunk_id")
+    bases = lambda k: F.translate(F.md5(F.concat_ws(":", "chr", (F.col("chunk_id") * (CHUNK // 32) + k).cast("string")).cast("binary")), "0123456789abcdef", "ACGT" * 4)
+    return chunks.select("chr", "chunk_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(CHUNK // 32 + 1)), bases), "").alias("seq"))
+
+
+def _real_calls(spark, sf_dir, sequence):
+    """Deep substitutions inside callable intervals, with the channel of their base between its neighbours in the sequence."""
+    calls = intervals.within(scored(spark, sf_dir).where("muttype = 'snv' and scalt >= 30 and pos > 1").select(*SITE_KEY), view(spark, sf_dir, "interval"))
+    own = calls.withColumn("chunk_id", F.floor((F.col("pos") - 2) / CHUNK).cast("int")).join(sequence, ["chr", "chunk_id"])
+    base = lambda k: F.substring("seq", (F.col("pos") - F.col("chunk_id") * CHUNK + k).cast("int"), F.lit(1))
+    return own.select(*SITE_KEY, exprs.substitution_channel(F.concat(base(-1), F.col("refnt"), base(1)), F.col("altnt")).alias("channel"))
+
+
 @query()
 def permuted_sites(spark, sf_dir):
-    """Sets of random sites inside callable intervals, with the spectrum of the real ones."""
+    """Sets of random substitutions inside callable intervals, made from the bases of a sequence, with the spectrum of the real ones."""
+    sequence = stored.written(_sequence(spark, sf_dir), "sequence")
+    calls = stored.written(_real_calls(spark, sf_dir, sequence), "calls")
+    return sampling.substitution_sets(view(spark, sf_dir, "interval"), sequence, calls, SETS, seed=8, chunk=CHUNK)
+
+
+@query()
+def placed_sites(spark, sf_dir):
+    """Sets of random positions inside callable intervals, each given a channel by the real spectrum alone."""
     calls = scored(spark, sf_dir).where("muttype = 'snv' and scalt >= 30")
     spectrum = calls.groupBy("channel").agg(F.count("*").alias("n"))
     counts = [(r["channel"], r["n"]) for r in spectrum.orderBy("channel").collect()]  # a row for each channel

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..models import priors
 from ..operators import filters
-from ..sources import stored
-from .adapters import duck_scored, scored
+from ..sources import indexed, stored
+from .adapters import duck, duck_scored, scored, view
 from .queries import _CANDIDATE, PARAMS, SITE_KEY, query, r6
 
 _HISTOGRAMS = f"""{duck_scored()},
@@ -44,3 +44,11 @@ def prior_rates(spark, sf_dir):
     known = counted.groupBy("muttype", "dp_idx").agg(F.floor(F.sum("s") / 3).cast("double").alias("high"))
     rated = priors.assign(s, PARAMS, known)
     return rated.select(*SITE_KEY, r6("nt"), r6("na"), r6(filters.fdr(F.col("lysis_pv"), F.col("lysis_beta"), F.col("nt"), F.col("na")), "lysis_fdr"))
+
+
+@query(f"WITH {duck('sample_counts')} SELECT chr, pos, sample, ref_n, alt_n FROM sample_counts_v WHERE chr = 'chr7' AND pos BETWEEN 1000 AND 40000")
+def region_scan(spark, sf_dir):
+    """All counts written as indexed, block-compressed text, and one region read back through the index."""
+    path = stored.new_path(spark, "indexed")
+    indexed.write(view(spark, sf_dir, "sample_counts"), path)
+    return indexed.read(spark, path, "chr string, pos int, sample string, ref_n int, alt_n int", "chr7:1000-40000")

@@ -37,7 +37,7 @@ def integrated(spark: SparkSession, path: str, sample: str, region: tuple[str, i
         raise ValueError(f"no sample {sample}; there are {', '.join(samples)}")
     wide = ", ".join([INTEGRATED] + [f"`gt_{k}` string, `ref_{k}` int, `alt_{k}` int" for k in range(len(samples))])
     k = samples.index(sample)
-    df = tabular.read(spark, path, wide, region).select(*fixed, F.col(f"gt_{k}").alias("gt"), F.col(f"ref_{k}").alias("scref"), F.col(f"alt_{k}").alias("scalt"))
+    df = tabular.read(spark, path, wide, region, [*fixed, f"gt_{k}", f"ref_{k}", f"alt_{k}"]).select(*fixed, F.col(f"gt_{k}").alias("gt"), F.col(f"ref_{k}").alias("scref"), F.col(f"alt_{k}").alias("scalt"))
     dp = F.col("scref") + F.col("scalt")
     one, two = exprs.haplotypes(F.col("phased_gt"), F.col("scref"), F.col("scalt"))
     return df.withColumns({"dp": dp, "af": exprs.div(F.col("scalt").cast("double"), dp), "hap1": one, "hap2": two})
@@ -55,7 +55,7 @@ def depths(spark: SparkSession, path: str, cell: str, bulk: str, coordinates: bo
         if name not in samples:
             raise ValueError(f"no sample {name}; there are {', '.join(samples)}")
     wide = ", ".join(["chr string, pos int", *(f"`dp_{k}` int" for k in range(len(samples)))])
-    df = tabular.read(spark, path, wide, region)
+    df = tabular.read(spark, path, wide, region, list(dict.fromkeys(["chr", "pos", f"dp_{samples.index(cell)}", f"dp_{samples.index(bulk)}"])))
     own = [F.col(f"dp_{samples.index(cell)}").alias("sc_dp"), F.col(f"dp_{samples.index(bulk)}").alias("bulk_dp")]
     return df.select(*(["chr", "pos"] if coordinates else []), *own)
 

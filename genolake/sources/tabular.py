@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import indexed
+
 META = "chr string, pos int, dbsnp string, refnt string, altnt string"
 CIGAR = "chr string, pos int, m int, id int, hs int, other int, dp int"
 BINS = "chr string, start int, end_ int, cnt long"
@@ -15,19 +17,29 @@ COVARIATES = "chr string, start int, end_ int, gp_mu double, gp_sd double"
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The column names: the last line that begins with #."""
+    """The column names: the last line that begins with #; of an indexed file its first block is read alone."""
+    if indexed.known(path):
+        return indexed.Reader.header(path)
     lines = spark.read.text(path).where(F.col("value").startswith("#")).select("value", F.monotonically_increasing_id().alias("k"))
     last = lines.orderBy(F.desc("k")).limit(1).collect()
     return last[0]["value"].lstrip("#").split("\t") if last else []
 
 
-def read(spark: SparkSession, path: str, schema: str | StructType, region: tuple[str, int, int] | None = None) -> DataFrame:
-    """A typed scan; NA is NULL.  A region keeps positions inside; one of an unknown chromosome has no rows."""
+def read(spark: SparkSession, path: str, schema: str | StructType, region: tuple[str, int, int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """A typed scan, of some columns if they are named; NA is NULL.  A region keeps positions inside; one of an unknown chromosome has no rows.
+
+    The schema names the columns in order.  A compressed file with an index is read
+    by its blocks: in many tasks, and only those of the region; without one it is a single task's.
+    """
+    if indexed.known(path):
+        full = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        wanted = full if columns is None else StructType([full[c] for c in columns])
+        return indexed.read(spark, path, wanted, region, names=full.names)
     df = spark.read.csv(path, sep="\t", comment="#", schema=schema, nullValue="NA")
     if region:
         chr_, start, end = region
         df = df.where((F.col("chr") == chr_) & F.col("pos" if "pos" in df.columns else "start").between(start, end))
-    return df
+    return df if columns is None else df.select(*columns)
 
 
 def read_wide(spark: SparkSession, path: str, meta: str = META, region=None) -> DataFrame:
