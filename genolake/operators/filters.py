@@ -154,28 +154,40 @@ def reduced(df: DataFrame, most: float = 0.5) -> DataFrame:
     return df.where(F.col("static_filter") & (F.col("lysis_fdr") <= most) & (F.col("mda_fdr") <= most))
 
 
-def rescue_weights(fractions: DataFrame) -> DataFrame:
-    """(channel, weight) from (channel, share, true_sig, artifact_sig) of all channels: non-negative least squares of two columns.
+def rescue_weights(fractions: DataFrame, by: Sequence[str] = (), eps: float = 0.001) -> DataFrame:
+    """(by, channel, weight) from (by, channel, share, true_sig, artifact_sig) of all channels: non-negative least squares of two columns in each group.
 
-    The closed form needs five sums: the free optimum, or the better edge if a weight would be negative.
+    The closed form needs five sums: the free optimum, or the better edge if a
+    weight would be negative.  Both weights are raised by ``eps``, so that neither
+    signature is ruled out.
     """
+    by = list(by)
     dot = lambda a, b: F.sum(F.col(a) * F.col(b))
-    s = fractions.agg(dot("true_sig", "true_sig").alias("tt"), dot("artifact_sig", "artifact_sig").alias("aa"), dot("true_sig", "artifact_sig").alias("ta"), dot("true_sig", "share").alias("ts"), dot("artifact_sig", "share").alias("as_"))
+    s = fractions.groupBy(*by).agg(dot("true_sig", "true_sig").alias("tt"), dot("artifact_sig", "artifact_sig").alias("aa"), dot("true_sig", "artifact_sig").alias("ta"), dot("true_sig", "share").alias("ts"), dot("artifact_sig", "share").alias("as_"))
     det = F.col("tt") * F.col("aa") - F.col("ta") * F.col("ta")
     w1, w2 = exprs.div(F.col("ts") * F.col("aa") - F.col("as_") * F.col("ta"), det), exprs.div(F.col("as_") * F.col("tt") - F.col("ts") * F.col("ta"), det)
     only_t, only_a = F.greatest(exprs.div(F.col("ts"), F.col("tt")), F.lit(0.0)), F.greatest(exprs.div(F.col("as_"), F.col("aa")), F.lit(0.0))
     t_better = only_t * F.col("ts") >= only_a * F.col("as_")
     inner = (w1 >= 0) & (w2 >= 0)
-    w = s.select(F.when(inner, w1).when(t_better, only_t).otherwise(0.0).alias("w1"), F.when(inner, w2).when(t_better, 0.0).otherwise(only_a).alias("w2"))
-    art, true = F.col("artifact_sig") * w.select("w2").scalar(), F.col("true_sig") * w.select("w1").scalar()
-    return fractions.select("channel", exprs.div(true, art).alias("weight"))
+    w = s.select(*by, F.when(inner, w1).when(t_better, only_t).otherwise(0.0).alias("w1"), F.when(inner, w2).when(t_better, 0.0).otherwise(only_a).alias("w2"))
+    one, two = F.col("w1"), F.col("w2")
+    if by:
+        fractions = fractions.join(w, by)
+    else:
+        one, two = w.select("w1").scalar(), w.select("w2").scalar()
+    return fractions.select(*by, "channel", exprs.div(F.col("true_sig") * (one + eps), F.col("artifact_sig") * (two + eps)).alias("weight"))
 
 
-def rescued(df: DataFrame, weights: DataFrame, target_fdr: float, rescue_fdr: float) -> DataFrame:
-    """Adds rescue_fdr and rescue to rows whose only fault is the first rate, by the weight of their channel (channels: a few hundred)."""
-    joined = df.join(F.broadcast(weights), "channel", "left")
+def only_early(target_fdr: float) -> Column:
+    """Rows whose only fault is the first rate."""
+    return F.coalesce((reasons(target_fdr) == "pre.amplification.artifact") & ~F.col("pass"), F.lit(False))
+
+
+def rescued(df: DataFrame, weights: DataFrame, target_fdr: float, rescue_fdr: float, by: Sequence[str] = ()) -> DataFrame:
+    """Adds weight, rescue_fdr and rescue to rows whose only fault is the first rate, by the weight of their channel (in their group)."""
+    joined = df.join(weights, [*by, "channel"], "left")
     rate = exprs.div(F.col("lysis_pv"), F.col("lysis_pv") + F.col("lysis_beta") * F.col("weight") * exprs.div(F.col("nt"), F.col("na")))
-    only = F.coalesce((reasons(target_fdr) == "pre.amplification.artifact") & ~F.col("pass"), F.lit(False))
+    only = only_early(target_fdr)
     return joined.withColumn("rescue_fdr", F.when(only, rate)).withColumn("rescue", F.coalesce(only & (rate <= rescue_fdr), F.lit(False)))
 
 

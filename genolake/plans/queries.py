@@ -406,7 +406,7 @@ _FRACTIONS = f"""{_CALLED}, {_CHANNEL_SQL}, c AS (SELECT channel, count(*) AS n
  s AS (SELECT sum(true_sig * true_sig) AS tt, sum(artifact_sig * artifact_sig) AS aa, sum(true_sig * artifact_sig) AS ta, sum(true_sig * share) AS ts, sum(artifact_sig * share) AS sa FROM f),
  o AS (SELECT *, (ts * aa - sa * ta) / nullif(tt * aa - ta * ta, 0) AS x, (sa * tt - ts * ta) / nullif(tt * aa - ta * ta, 0) AS y, greatest(ts / tt, 0) AS xo, greatest(sa / aa, 0) AS yo FROM s),
  w AS (SELECT CASE WHEN x >= 0 AND y >= 0 THEN x WHEN xo * ts >= yo * sa THEN xo ELSE 0 END AS w1, CASE WHEN x >= 0 AND y >= 0 THEN y WHEN xo * ts >= yo * sa THEN 0 ELSE yo END AS w2 FROM o),
- weights AS (SELECT channel, true_sig * w1 / nullif(artifact_sig * w2, 0) AS weight FROM f, w)"""
+ weights AS (SELECT channel, true_sig * (w1 + 0.001) / nullif(artifact_sig * (w2 + 0.001), 0) AS weight FROM f, w)"""
 
 
 def _weights(spark, calls: DataFrame) -> DataFrame:

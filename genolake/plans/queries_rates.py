@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import priors
+from ..models import priors, rescue, sensitivity
 from ..operators import filters
 from ..sources import indexed, stored
 from .adapters import duck, duck_scored, scored, view
-from .queries import _CANDIDATE, PARAMS, SITE_KEY, query, r6
+from .queries import _CALLED, _CANDIDATE, _CHANNEL_SQL, _REASONS, PARAMS, RESCUE_COLUMNS, SITE_KEY, _channels, called_sites, query, r6
 
 _HISTOGRAMS = f"""{duck_scored()},
  pop AS (SELECT *, coalesce(training_site AND scalt >= 2 AND dp >= 6 AND bulk_dp >= 11, false) AS germ, coalesce({_CANDIDATE} AND scalt >= 2 AND dp >= 6, false) AS cand,
@@ -52,3 +52,41 @@ def region_scan(spark, sf_dir):
     path = stored.new_path(spark, "indexed")
     indexed.write(view(spark, sf_dir, "sample_counts"), path)
     return indexed.read(spark, path, "chr string, pos int, sample string, ref_n int, alt_n int", "chr7:1000-40000")
+
+
+_RESCUE = f"""{_CALLED}, {_CHANNEL_SQL},
+ smp AS (SELECT *, 's' || pos % 6 AS sample, concat_ws(';', {_REASONS}) = 'pre.amplification.artifact' AND NOT pass AS only_pre FROM called WHERE static_filter AND lysis_fdr <= 0.5 AND mda_fdr <= 0.5),
+ ch AS (SELECT channel, CASE WHEN length(channel) = 3 THEN 'snv' ELSE 'indel' END AS muttype, (1 + ascii(right(channel, 1)) % 7)::DOUBLE / 60 AS artifact_sig FROM channels),
+ tr AS (SELECT *, n / nullif(sum(n) OVER (PARTITION BY muttype), 0)::DOUBLE AS true_sig FROM (SELECT ch.muttype, ch.channel, any_value(artifact_sig) AS artifact_sig, count(pos) AS n FROM ch LEFT JOIN (SELECT * FROM smp WHERE pass) p ON ch.muttype = p.muttype AND ch.channel = p.channel GROUP BY ALL)),
+ g AS (SELECT sample, muttype, channel, count(*) AS n FROM smp WHERE only_pre GROUP BY ALL),
+ f AS (SELECT *, m / sum(m) OVER (PARTITION BY sample, muttype)::DOUBLE AS share FROM (SELECT d.sample, tr.muttype, tr.channel, true_sig, artifact_sig, coalesce(g.n, 0) AS m FROM (SELECT DISTINCT sample, muttype FROM g) d JOIN tr ON d.muttype = tr.muttype AND true_sig IS NOT NULL LEFT JOIN g ON g.sample = d.sample AND g.muttype = tr.muttype AND g.channel = tr.channel)),
+ s AS (SELECT sample, muttype, sum(true_sig * true_sig) AS tt, sum(artifact_sig * artifact_sig) AS aa, sum(true_sig * artifact_sig) AS ta, sum(true_sig * share) AS ts, sum(artifact_sig * share) AS sa FROM f GROUP BY ALL),
+ o AS (SELECT *, (ts * aa - sa * ta) / nullif(tt * aa - ta * ta, 0) AS x, (sa * tt - ts * ta) / nullif(tt * aa - ta * ta, 0) AS y, greatest(ts / tt, 0) AS xo, greatest(sa / aa, 0) AS yo FROM s),
+ w AS (SELECT sample, muttype, CASE WHEN x >= 0 AND y >= 0 THEN x WHEN xo * ts >= yo * sa THEN xo ELSE 0 END AS w1, CASE WHEN x >= 0 AND y >= 0 THEN y WHEN xo * ts >= yo * sa THEN 0 ELSE yo END AS w2 FROM o),
+ weights AS (SELECT f.sample, f.muttype, channel, true_sig * (w1 + 0.001) / (artifact_sig * (w2 + 0.001)) AS weight FROM f JOIN w ON f.sample = w.sample AND f.muttype = w.muttype)"""
+
+
+@query(f"""WITH {_RESCUE} SELECT smp.sample, chr, pos, refnt, altnt, CASE WHEN only_pre THEN round(lysis_pv / nullif(lysis_pv + lysis_beta * weight * (nt / na), 0), 6) END AS rescue_fdr,
+  coalesce(only_pre AND lysis_pv / nullif(lysis_pv + lysis_beta * weight * (nt / na), 0) <= 0.05, false) AS rescue
+FROM smp LEFT JOIN weights w ON smp.sample = w.sample AND smp.muttype = w.muttype AND smp.channel = w.channel""")
+def rescue_batch(spark, sf_dir):
+    """Rescue over six cells: the spectrum of all cells' calls, each cell's own weights, and its rescued sites."""
+    cells = called_sites(spark, sf_dir).select(*RESCUE_COLUMNS, "muttype", F.concat(F.lit("s"), (F.col("pos") % 6).cast("string")).alias("sample"))
+    artifact = _channels(spark).select(F.when(F.length("channel") == 3, "snv").otherwise("indel").alias("muttype"), "channel", ((1 + F.ascii(F.expr("right(channel, 1)")) % 7) / F.lit(60.0)).alias("artifact_sig"))
+    return rescue.batch(cells, artifact, target_fdr=0.01, rescue_fdr=0.05)["sites"].select("sample", *SITE_KEY, r6("rescue_fdr"), "rescue")
+
+
+def _covariate_tiles(spark, sf_dir):
+    """The bins as tiles with the covariates of the four models and their training sites, by arithmetic."""
+    cnt, k = F.col("cnt"), F.floor(F.col("start") / 3600)
+    tiles = view(spark, sf_dir, "bins").select("chr", "start", "end_", ((k * 37 % 101 - 50) / 25.0).alias("gp_mu"), (0.3 + cnt * 17 % 23 / 20.0).alias("gp_sd"), (cnt * 1.7 + k % 13).alias("mean_sc_dp"), *[
+        c for t, m in (("snv", 3), ("indel", 5)) for c in ((k * m % 97 * 10).alias(f"bases_gt_{t}_sc_min_dp"), (cnt * m % 89 * 10).alias(f"bases_gt_{t}_bulk_min_dp"), (k * m * m % 31).alias(f"{t}_nbhd"),
+            *[e for a, j in (("maj", 2), ("min", 7)) for e in ((k * j % 5 + 1).alias(f"{t}_ntotal_{a}"), F.least(k * j % 5 + 1, (cnt * j + k) % 6).alias(f"{t}_npass_{a}"))])])
+    return sensitivity.prepared(tiles, ["view"])
+
+
+@query()
+def sensitivity_models(spark, sf_dir):
+    """Predicted sensitivity of tiles by type and allele: four models fitted in the same passes."""
+    tiles = stored.written(_covariate_tiles(spark, sf_dir), "tiles")
+    return sensitivity.models(tiles, ["view"])[0].select("chr", "start", "held_out", *[r6(f"pred_{g}") for g in sensitivity.GROUPS])
