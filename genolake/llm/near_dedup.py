@@ -168,16 +168,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of the threshold or more.
 
-    The sets go to their leader a, the leader's own first; a leader with many members is dealt out.
+    The sets go to their leader a, the leader's own first; a leader with many
+    members is dealt out in parts, each with a row for a copy of its set.
     """
     pairs = pairs.select("a", "b").distinct()
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
     dealt = pairs.join(size, "a")
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-    members = dealt.select(F.col("b").alias("_id"), F.struct("a", part.alias("part"), F.lit(1).alias("rank")).alias("to"))
-    leaders = size.select(F.col("a").alias("_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("_id", F.struct(F.col("_id").alias("a"), "part", F.lit(0).alias("rank")).alias("to"))
-    wanted = members.unionByName(leaders).groupBy("_id").agg(F.collect_list("to").alias("to"))
-    sent = sets.join(wanted, "_id").select("_id", "s", F.explode("to").alias("to")).select("to.*", F.col("_id").alias("b"), "s")
+    members = dealt.select(F.col("b").alias("_id"), "a", part.alias("part"), F.lit(1).alias("rank"))
+    leaders = size.select(F.col("a").alias("_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rank"))
+    sent = members.unionByName(leaders).join(sets, "_id").select("a", "part", "rank", F.col("_id").alias("b"), "s")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,13 +171,14 @@ def leaf_of(tree: tuple[np.ndarray, np.ndarray, np.ndarray], vectors: np.ndarray
 def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) -> DataFrame:
     """Adds the shard of each document: its cluster's leaf.
 
-    Clusters, four or more for a shard, and tree are fitted on a sample by
-    hashed doc_id, of some 20,000 documents or 32 a shard.
+    Clusters, four or more for a shard, and tree are fitted on a hashed sample
+    of some 20,000 documents or 32 a shard.  Rows are told apart by where they are
+    stored as well, so that rows that repeat an id and a text can be dealt over shards.
     """
     if shards == 1:
         return ids.withColumn("shard", F.lit(0).cast("long"))
     projected = ids.sparkSession.sparkContext.broadcast(projection(idf))
-    salted = ids.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), F.coalesce("doc_id", F.xxhash64("ids"))), F.lit(SALTS)))
+    salted = ids.withColumn("_row", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "doc_id", "_row"), F.lit(SALTS)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -186,7 +187,7 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("salt"), batch.column("n"), pa.array([v.tobytes() for v in found], pa.binary())], ["salt", "n", "vector"])
 
     share = max(SAMPLE, LEAF_SAMPLE * shards) / max(1, rows)
-    sample = salted.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SALTS)) < share * SALTS).mapInArrow(vectors, "salt long, n long, vector binary").toPandas().sort_values(["salt", "n", "vector"])
+    sample = salted.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "_row"), F.lit(SALTS)) < share * SALTS).mapInArrow(vectors, "salt long, n long, vector binary").toPandas().sort_values(["salt", "n", "vector"])
     fitted = np.frombuffer(b"".join(sample["vector"]), "<i2").reshape(-1, DIMENSIONS).astype(np.float32)
     centres = clustered(fitted, max(1, min(max(256, 4 * shards), len(fitted) // 8))) if len(fitted) else np.zeros((1, DIMENSIONS), np.float32)
     tree = grown(centres[nearest(fitted, centres)], sample["salt"].to_numpy(np.int64), sample["n"].to_numpy(float), shards)
@@ -204,7 +205,15 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
 
 
 def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms: int | None = None) -> list[int]:
-    """The order in which a shard's documents enter its stream; a seed asks with all its terms, or the strongest ``query_terms``."""
+    """The order in which a shard's documents enter its stream; a seed asks with all its terms, or the strongest ``query_terms``.
+
+    Documents of the end id alone have no term to ask with or to be found by: they come last, as they stand.
+    """
+    bare = [k for k, x in enumerate(lists) if len(x) <= 1]
+    if bare:
+        other = [k for k, x in enumerate(lists) if len(x) > 1]
+        found = ordered([lists[k] for k in other], idf, window, query_terms) if other else []
+        return [other[k] for k in found] + bare
     docs = len(lists)
     size = np.array([len(x) for x in lists])
     mean = max(1.0, size.mean())
@@ -252,12 +261,12 @@ def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms:
             spans = [slice(x, y) for x, y in zip(begins[at].tolist(), stops[at].tolist(), strict=True)]
             score += np.bincount(np.concatenate([post_doc[s] for s in spans]), np.concatenate([post_impact[s] for s in spans]), docs)
         score[~unused] = -1
-        near = 16
+        near = 16  # neighbours are sorted so many at a time, more each time: short documents need many
         chosen: list[int] = []
         left = int(unused.sum())
         while room > 0 and left:
             if not chosen:
-                k = min(near, docs)
+                k, near = min(near, docs), near * 4
                 top = np.argpartition(-score, k - 1)[:k]
                 chosen = [int(d) for d in top[np.lexsort((top, -score[top]))] if unused[d]][::-1]
             d = chosen.pop()

@@ -413,6 +413,32 @@ def test_quotes_of_repeated_rows(spark):
     assert Counter(got) == Counter([(1, 0, 0, None, 0), (1, 1, 1, 0, 1), (1, 1, 1, 0, 1), (None, 1, 0, None, 0), (1, None, 0, None, 0)])
 
 
+def test_packing_of_many_short_documents():
+    """Documents of the end id alone come last, in place; a shard of short ones is ordered in seconds."""
+    import time
+
+    rng = np.random.default_rng(3)
+    idf = rng.uniform(1, 5, 500)
+    lists = [np.array([1], np.int32)] * 200_000 + [np.append(rng.integers(2, 500, rng.integers(1, 4)), 1).astype(np.int32) for _ in range(30_000)]
+    rng.shuffle(lists := np.array(lists, object))
+    lists, began = list(lists), time.time()
+    order = packing.ordered(lists, idf, 2048)
+    assert time.time() - began < 60 and sorted(order) == list(range(len(lists)))
+    bare = [k for k, x in enumerate(lists) if len(x) == 1]
+    assert order[-len(bare) :] == bare
+
+
+def test_packing_deals_repeated_rows(spark):
+    """Equal rows of one id, and rows without an id, spread over shards; every id lies in one piece."""
+    text = "many words that all of these rows have in common and no other row has " * 3
+    rows = spark.createDataFrame([(1, text)] * 600 + [(None, text)] * 600, "doc_id long, text string").repartition(3)
+    got = packing.pack(rows, P.path("word_bpe_49k.json"), end_id=1, shard_ids=4096)
+    shards = got.groupBy(F.shiftright("sequence_id", 32).alias("shard")).agg(F.sum("length").alias("n")).collect()
+    total = sum(r["n"] for r in shards)
+    assert total == got.where("start = 0").agg(F.sum("doc_tokens")).first()[0] and got.where("start = 0").count() == 1200
+    assert len(shards) == round(total / 4096) and max(r["n"] for r in shards) < 4 * 4096
+
+
 def test_topk(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(0, 1, (300, 8)).round(1)
