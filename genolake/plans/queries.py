@@ -261,10 +261,11 @@ def nearest_both(spark, sf_dir):
 _TILES = f"{_CONTIG_SQL}, tile AS (SELECT chr, s::INT AS start, least(s + 99999, length)::INT AS end_ FROM (SELECT chr, length, unnest(range(1, length + 1, 100000)) AS s FROM contig) x)"
 
 
-@query(f"WITH {_TILES} SELECT * FROM tile")
+@query(f"WITH {duck('site')}, far AS (SELECT chr, max(pos) AS length FROM site_v GROUP BY chr) SELECT chr, s::INT AS start, least(s + 9999, length)::INT AS end_ FROM (SELECT chr, length, unnest(range(1, length + 1, 10000)) AS s FROM far) x")
 def fixed_tiles(spark, sf_dir):
-    """Tiles of 100 kb over the chromosomes."""
-    return intervals.fixed_tiles(intervals.contigs(spark, _CONTIGS), 100_000)
+    """Tiles of 10 kb over the chromosomes, as far as there are sites."""
+    reach = view(spark, sf_dir, "site").groupBy("chr").agg(F.max("pos").alias("length"))
+    return intervals.fixed_tiles(reach, 10_000)
 
 
 @query(f"WITH {duck('interval')} SELECT chr, (start + i * (end_ - start + 1) // n)::INT AS start, (start + (i + 1) * (end_ - start + 1) // n - 1)::INT AS end_ FROM (SELECT chr, start::BIGINT AS start, end_, ceil((end_ - start + 1) / 100.0)::BIGINT AS n, unnest(range(0, ceil((end_ - start + 1) / 100.0)::BIGINT)) AS i FROM interval_v) x")

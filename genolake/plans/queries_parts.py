@@ -31,19 +31,20 @@ def hash_seeds(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", exprs.hash_seed(F.col("s_suppkey").cast("string")).alias("seed"))
 
 
-@query("SELECT chr, CASE WHEN k <= 20 THEN 'auto' ELSE 'sex' END AS grp, length FROM (SELECT 'chr' || k AS chr, k, 7000000 - 100000 * k AS length FROM range(1, 23) t(k)) c")
+@query(f"WITH {duck('site')} SELECT chr, CASE WHEN chr IN ('chr21', 'chr22') THEN 'sex' ELSE 'auto' END AS grp, max(pos) AS length, count(*) AS sites FROM site_v GROUP BY chr")
 def chromosome_groups(spark, sf_dir):
-    """Chromosomes by group."""
+    """Chromosomes by group, with their last site and number of sites."""
     sex = ["chr21", "chr22"]
-    return intervals.contigs(spark, _CONTIGS).select("chr", F.when(F.col("chr").isin(sex), "sex").otherwise("auto").alias("grp"), F.col("length").cast("long").alias("length"))
+    return view(spark, sf_dir, "site").groupBy("chr").agg(F.when(F.col("chr").isin(sex), "sex").otherwise("auto").alias("grp"), F.max("pos").alias("length"), F.count("*").alias("sites"))
 
 
-@query("SELECT d::INT AS distance, round((exp(-1 - pow(d, 2) / 1e6) + exp(-2 - pow(d, 2) / 4e8)) / (exp(-1) + exp(-2)), 6) AS r FROM (SELECT unnest(range(0, 50001, 500)) AS d) x")
+@query(f"WITH {duck_scored()}, g AS (SELECT pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos, refnt, altnt) AS d FROM scored WHERE training_site) SELECT d AS distance, count(*) AS n, round((exp(-1 - pow(d, 2) / 1e6) + exp(-2 - pow(d, 2) / 4e8)) / (exp(-1) + exp(-2)), 6) AS r FROM g WHERE d IS NOT NULL GROUP BY d")
 def covariance_curve(spark, sf_dir):
-    """The fitted correlation by distance."""
-    d = spark.range(0, 50_001, 500).select(F.col("id").cast("int").alias("distance"))
+    """The fitted correlation at the distances between neighbouring training sites, and how many lie so far apart."""
+    t = scored(spark, sf_dir).where("training_site").select(*SITE_KEY)
+    d = windows.nearest_gap(t, ["chr"], tie=["refnt", "altnt"]).where("prev_gap is not null").groupBy(F.col("prev_gap").alias("distance")).agg(F.count("*").alias("n"))
     k = lambda x: exprs.kernel(x, F.lit(-1.0), F.lit(1000.0), F.lit(-2.0), F.lit(20000.0))
-    return d.select("distance", r6(k(F.col("distance").cast("double")) / k(F.lit(0.0)), "r"))
+    return d.select("distance", "n", r6(k(F.col("distance").cast("double")) / k(F.lit(0.0)), "r"))
 
 
 @query(f"WITH {duck_scored()}, f AS (SELECT chr, avg(af) AS a, avg(dp) AS b FROM scored WHERE training_site GROUP BY chr) SELECT round(avg(a), 6) AS a, round(avg(b), 6) AS b, count(*) AS n FROM f WHERE chr NOT IN ('chr21', 'chr22')")

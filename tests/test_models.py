@@ -60,17 +60,37 @@ def test_laplace_recovers_balance():
     low, high = allele_balance.window(at, pos, flank=4000, most=9)
     means, deviations = allele_balance.predictions(at, low, high, pos, y, d, fit)
     for j, x in enumerate(at.tolist()):
-        k = [i for i in range(120) if abs(pos[i] - x) <= 4000 and pos[i] != x]
-        k = [i for i in k if pos[i] < x][-9:] + [i for i in k if pos[i] > x][:9]
-        if not k:
-            assert math.isnan(means[j])
-            continue
+        k = [i for i in range(120) if abs(pos[i] - x) < 4000 and pos[i] != x or pos[i] == x + 4000]
+        k = [i for i in range(120) if pos[i] <= x - 4000][-1:] + k  # one more before the flank
+        k = [i for i in k if pos[i] < x][-10:] + [i for i in k if pos[i] > x][:9]
         assert (means[j], deviations[j]) == pytest.approx(one_prediction(x, pos[k], y[k], d[k], fit), rel=1e-4)
     many = allele_balance.log_evidence(pos, y, d, (np.array([0.0, -1.0]), np.array([3000.0, 500.0]), np.array([0.0, -2.0]), np.array([9000.0, 4000.0])))
     assert many[0] == pytest.approx(allele_balance.log_evidence(pos, y, d, fit)[0]) and many[1] == pytest.approx(allele_balance.log_evidence(pos, y, d, (-1.0, 500.0, -2.0, 4000.0))[0])
     assert allele_balance.log_evidence(pos, y, d, fit) > allele_balance.log_evidence(pos, y, d, (-7.0, 100.0, -7.0, 200.0))
 
 
+def test_estimates_in_bare_stretches(spark):
+    """Sites far from all training sites are judged by the last before them, or by the first of all; blocks agree with the whole chromosome."""
+    rng = np.random.default_rng(12)
+    pos = np.sort(rng.choice(60_000, 25, replace=False)) + 40_000
+    pos = np.append(pos[(pos < 60_000) | (pos > 85_000)], 180_000)
+    d = rng.integers(5, 30, len(pos))
+    y = rng.binomial(d, 0.4)
+    at = np.unique(np.concatenate([rng.choice(250_000, 60), pos[::4], [1, 70_000, 249_999]]))
+    fit = (0.0, 3000.0, -1.0, 60_000.0)
+    train = spark.createDataFrame([("1", int(p), int(a), int(b)) for p, a, b in zip(pos, y, d, strict=True)] + [("2", 50, 3, 9)], "chr string, pos int, hap1 int, dp int")
+    sites = spark.createDataFrame([("1", int(p)) for p in at] + [("2", 50), ("2", 99_999), ("3", 5)], "chr string, pos int")
+    fits = spark.createDataFrame([(c, *fit) for c in "123"], "chr string, a double, b double, c double, d double")
+    low, high = allele_balance.window(at.astype(float), pos.astype(float), 5000, 150)
+    assert ((high - low) >= 1).all()
+    mu, sd = allele_balance.predictions(at.astype(float), low, high, pos.astype(float), y.astype(float), d.astype(float), fit)
+    assert not np.isnan(mu).any()
+    got = {(r["chr"], r["pos"]): (r["gp_mu"], r["gp_sd"]) for r in allele_balance.estimates(sites, train, fits, flank=5000).collect()}
+    for p, m, s in zip(at.tolist(), mu, sd, strict=True):
+        assert got["1", p] == pytest.approx((m, s), rel=1e-6, abs=1e-9), p
+    assert got["2", 50] == (None, None) and got["2", 99_999][0] is not None and got["3", 5] == (None, None)
+
+
 def test_exact_multinomial():
     g, s = np.array([5.0, 3.0, 2.0]), np.array([3, 2, 2])
     rng = np.random.default_rng(1)
@@ -143,8 +163,11 @@ def test_permutations_solve_all_sets(spark, sf_dir):
     got = {r["channel"]: r["n"] for r in sampling.draws(spark, many, 3, 8).groupBy("channel").agg(F.count("*").alias("n")).collect()}
     assert all(got[c] >= 3 * n for c, n in many) and sampling.draws(spark, [], 3, 8).count() == 0
     calls = scored(spark, sf_dir).where("muttype = 'snv' and scalt >= 30").count()
-    found = queries_models.permuted_sites(spark, sf_dir).groupBy("perm_id").agg(F.count("*").alias("n")).collect()
+    found = queries_models.placed_sites(spark, sf_dir).groupBy("perm_id").agg(F.count("*").alias("n")).collect()
     assert len(found) == queries_models.SETS == 1000 and {r["n"] for r in found} == {calls}
+    inside = queries_models._real_calls(spark, sf_dir, queries_models._sequence(spark, sf_dir)).where("channel is not null").count()
+    found = queries_models.permuted_sites(spark, sf_dir).groupBy("perm_id").agg(F.count("*").alias("n")).collect()
+    assert len(found) == 1000 and {r["n"] for r in found} == {inside} and inside > 0
 
 
 def test_ab_fit_takes_all_tiles(spark, sf_dir, monkeypatch):
