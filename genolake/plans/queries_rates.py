@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..models import priors, rescue, sensitivity
 from ..operators import filters
-from ..sources import indexed, stored
+from ..sources import indexed, spatial, stored
 from .adapters import duck, duck_scored, scored, view
 from .queries import _CALLED, _CANDIDATE, _CHANNEL_SQL, _REASONS, PARAMS, RESCUE_COLUMNS, SITE_KEY, _channels, called_sites, query, r6
 
@@ -90,3 +90,14 @@ def sensitivity_models(spark, sf_dir):
     """Predicted sensitivity of tiles by type and allele: four models fitted in the same passes."""
     tiles = stored.written(_covariate_tiles(spark, sf_dir), "tiles")
     return sensitivity.models(tiles, ["view"])[0].select("chr", "start", "held_out", *[r6(f"pred_{g}") for g in sensitivity.GROUPS])
+
+
+_BACK = "CASE WHEN {c} IS NULL THEN NULL ELSE round(trunc(65534 * ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())) / 65534 * (max({c}) OVER () - min({c}) OVER ()) + min({c}) OVER (), 6) END AS {c}"
+
+
+@query(f"WITH {duck('bins')}, t AS (SELECT chr, start, end_, gc, CASE WHEN cnt % 5 > 0 THEN cnt / 7.0::DOUBLE END AS depth FROM bins_v), q AS (SELECT chr, start, end_, {_BACK.format(c='gc')}, {_BACK.format(c='depth')} FROM t) SELECT * FROM q WHERE start <= 900000 AND end_ >= 100000 AND chr = 'click'")
+def spatial_region(spark, sf_dir):
+    """Tiles written as compressed chunks, and those of one region read back, within a step of what they were."""
+    tiles = view(spark, sf_dir, "bins").select("chr", "start", "end_", "gc", F.when(F.col("cnt") % 5 > 0, F.col("cnt") / F.lit(7.0)).alias("depth"))
+    chunks = stored.written(spatial.compress(stored.written(tiles, "tiles"), ["gc", "depth"], 256), "chunks")
+    return spatial.decompress(chunks, ["gc", "depth"], ("click", 100_000, 900_000)).select("chr", "start", "end_", r6("gc"), r6("depth"))
