@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import exprs
 from ..operators import filters, windows
-from ..sources import stored
+from ..sources import inputs, stored
 from . import sampling
 
 GROUP = ["sample", "muttype"]
@@ -53,7 +53,7 @@ def batch(cells: DataFrame, artifact: DataFrame, *, true: DataFrame | None = Non
     """
     reduced = stored.written(filters.reduced(cells), "reduced")
     calls = reduced.where("pass")
-    signature = stored.written(true_spectrum(calls, artifact, extra) if true is None else true.select("muttype", "channel", "true_sig"), "true-signature")
+    signature = stored.written(true_spectrum(calls, artifact, extra) if true is None else inputs.signatures(true, artifact), "true-signature")
     counts = reduced.where(filters.only_early(target_fdr)).groupBy(*GROUP, "channel").agg(F.count("*").alias("n"))
     both = artifact.select("muttype", "channel", "artifact_sig").join(signature, ["muttype", "channel"])
     dense = counts.select(*GROUP).distinct().join(both, "muttype").join(counts, [*GROUP, "channel"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

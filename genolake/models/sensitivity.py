@@ -9,13 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import windows
+from ..operators import intervals, windows
 from ..sources import stored
 
 TYPES, ALLELES = ("snv", "indel"), ("maj", "min")
 GROUPS = [f"{t}_{a}" for t in TYPES for a in ALLELES]
 
 
+def covariates(tiles: DataFrame, called: DataFrame, neighbourhood: int = 10) -> DataFrame:
+    """The tiles with the counts that the models need, of each type: training sites (<type>_ntotal), those that would be called
+    (<type>_npass) and calls (<type>_ncalls), each also by allele (_maj from a fraction of a half, _min below), and training sites
+    and calls in the neighbourhood (<type>_nbhd, <type>_calls_nbhd).
+
+    called: chr, pos, muttype, af, training_site, training_pass, pass.  One join by
+    bins for all counts.  The neighbourhood is ``neighbourhood`` tiles on either side,
+    NULL near the ends of a chromosome.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    side = {"": F.lit(True), "_maj": F.coalesce(F.col("af") >= 0.5, F.lit(False)), "_min": F.coalesce(F.col("af") < 0.5, F.lit(False))}
+    kinds = {"ntotal": yes("training_site"), "npass": yes("training_site") & yes("training_pass"), "ncalls": yes("pass")}
+    counts = {f"{t}_{k}{a}": (F.col("muttype") == t) & has & on for t in TYPES for k, has in kinds.items() for a, on in side.items()}
+    found = intervals.overlap_counts(tiles, called.where(yes("training_site") | yes("pass")), counts)
+    out = tiles.join(found, ["chr", "start", "end_"])
+    for t in TYPES:
+        out = windows.rolling_sum(out, f"{t}_ntotal", neighbourhood, name=f"{t}_nbhd")
+        out = windows.rolling_sum(out, f"{t}_ncalls", neighbourhood, name=f"{t}_calls_nbhd")
+    return out
+
+
 def prepared(tiles: DataFrame, sex: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Tiles with held_out (a hashed half), norm_sc_dp (the standardised logarithm of mean_sc_dp, NULL for 0) and is_<chromosome> for each sex chromosome."""
     out = windows.standardise(tiles, "mean_sc_dp", "norm_sc_dp").withColumn("held_out", exprs.uniform(seed, F.col("chr"), F.col("start")) >= 0.5)
@@ -139,3 +160,11 @@ def models(tiles: DataFrame, sex: Sequence[str] = (), groups: Sequence[str] = GR
             estimable = estimable & (F.abs(z[j] - sum((float(c) * z[i] for c, i in zip(along, k, strict=True)), F.lit(0.0))) < 1e-6)
         out = out.withColumn(f"pred_{g}", F.when(estimable, exprs.logistic(score)))
     return out, spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, z double")
+
+
+def assessed(tiles: DataFrame, digits: int = 2) -> DataFrame:
+    """(model, stratum, hits, total, n, rate) over held-out tiles by rounded prediction: how well predictions tell the measured rates."""
+    row = lambda t, a: F.struct(F.lit(f"{t}_{a}").alias("model"), F.bround(f"pred_{t}_{a}", digits).alias("stratum"), F.col(f"{t}_npass_{a}").alias("hits"), F.col(f"{t}_ntotal_{a}").alias("total"))
+    each = tiles.where("held_out").select(F.inline(F.array(*[row(t, a) for t in TYPES for a in ALLELES]))).where("stratum is not null")
+    got = each.groupBy("model", "stratum").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"), F.count("*").alias("n"))
+    return got.withColumn("rate", exprs.div(F.col("hits").cast("double"), F.col("total")))

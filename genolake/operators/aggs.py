@@ -84,10 +84,10 @@ def mapd_curve(bins: DataFrame, widths: Sequence[int] = (1, 2, 4, 8, 16, 32, 64,
     return out
 
 
-def gc_groups(bins: DataFrame, value: str = "log_ratio", digits: int = 3, gap: float = 0.05) -> DataFrame:
-    """Mean value by rounded GC in order; groups whose next GC is ``gap`` or more away are left out.  At most 10^digits groups."""
-    got = bins.where(F.col("gc").isNotNull()).groupBy(F.bround("gc", digits).alias("gc")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    return got.withColumn("_next", F.lead("gc").over(Window.orderBy("gc"))).where((F.coalesce(F.col("_next") - F.col("gc"), F.lit(0.0))) < gap).drop("_next")
+def gc_groups(bins: DataFrame, value: str = "log_ratio", digits: int = 3, gap: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Mean value by rounded GC in order; groups whose next GC is ``gap`` or more away are left out.  At most 10^digits groups (in each of ``by``)."""
+    got = bins.where(F.col("gc").isNotNull()).groupBy(*by, F.bround("gc", digits).alias("gc")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    return got.withColumn("_next", F.lead("gc").over(Window.partitionBy(*by).orderBy("gc"))).where((F.coalesce(F.col("_next") - F.col("gc"), F.lit(0.0))) < gap).drop("_next")
 
 
 def strata(tiles: DataFrame, prediction: str = "pred", hits: str = "hits", total: str = "total", digits: int = 2) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import exprs
 from .. import __version__
-from ..models import allele_balance, gauss_hermite, priors, regression, segments, tails
+from ..models import allele_balance, gauss_hermite, priors, regression, segments, sensitivity, tails
 from ..operators import aggs, filters, joins
 from ..sources import stored
+from . import accessors
 
 KEY = ["chr", "pos", "refnt", "altnt"]
 
@@ -101,14 +102,20 @@ def burdens(called: DataFrame, depth: DataFrame, config: Config, gbp: float, cop
 
 def run_cell(cell: DataFrame, fits: DataFrame, depth: DataFrame, config: Config, gbp: float, *, bins: DataFrame | None = None, tiles: DataFrame | None = None, covariates: Sequence[str] = (), preset: str = "baslan") -> dict[str, DataFrame]:
     """All results of one cell by name: called sites (a written table, as the others read it), burden, depth, coverage and the
-    summaries; with bins also corrected bins, mapd and segments, and with tiles their predicted sensitivity."""
+    summaries; with bins also corrected bins, mapd and segments, and with tiles their predicted sensitivity: by the named
+    covariates, or without them by type and allele (``models.sensitivity``) from the tiles' balance and depth and the called sites."""
     called = stored.written(analyse(cell, fits, config), "called")
     table = aggs.depth_table(depth)
     out = {"called": called, "burden": burdens(called, table, config, gbp), **summaries(called, depth)}
     if bins is not None:
         corrected = regression.gc_correct(bins)
         out |= {"bins": corrected, "mapd": aggs.mapd(corrected, "ratio_gcnorm"), "segments": segments.segment(corrected.withColumn("lr", F.log2("ratio_gcnorm")).where("lr is not null"), "lr", preset)}
-    if tiles is not None:
+    if tiles is not None and not covariates:
+        haploid = config.haploid()
+        ready = stored.written(sensitivity.prepared(sensitivity.covariates(tiles, called), haploid), "tiles")
+        out["sensitivity"], out["sensitivity_models"] = sensitivity.models(ready, haploid)
+        out["sensitivity_strata"] = sensitivity.assessed(out["sensitivity"])
+    elif tiles is not None:
         out["sensitivity"] = regression.sensitivity_model(tiles, covariates)[0]
     return out
 
@@ -124,6 +131,9 @@ def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, Da
         "tests": called.agg(*[F.struct(F.count_if(F.col(t)).alias("yes"), F.count_if(~F.col(t)).alias("no"), F.count_if(F.col(t).isNull()).alias("unknown")).alias(t) for t in filters.TESTS]),
         "ab": aggs.rounded_histogram(called.where("training_site"), "ab") if "ab" in called.columns else called.select(F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n")).limit(0),
         "changes": aggs.transitions(called.where(F.col("pass") & (F.col("muttype") == "snv"))),
+        "models": _model_histograms(called),
+        "cigars": called.where("training_site").groupBy("muttype", F.bround("id_score", 3).alias("id_score"), F.bround("hs_score", 3).alias("hs_score")).agg(F.count("*").alias("n")) if {"id_score", "hs_score"} <= set(called.columns) else called.select("muttype", F.lit(None).cast("double").alias("id_score"), F.lit(None).cast("double").alias("hs_score"), F.lit(0).cast("long").alias("n")).limit(0),
+        "priors": called.where("nt is not null").groupBy("muttype", F.round("nt", 6).alias("nt"), F.round("na", 6).alias("na")).agg(F.count("*").alias("sites"), F.count_if("training_site").alias("training")),
         "reasons": called.groupBy(filters.first_reason().alias("reason")).agg(F.count("*").alias("n")),
     }
     if depth is not None:
@@ -133,15 +143,21 @@ def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, Da
     return out
 
 
-def all_calls(cells: dict[str, DataFrame], kind: str = "pass", muttypes: Sequence[str] = ("snv", "indel")) -> DataFrame:
-    """The passing rows (``filters.passing``) of several cells' tables, with their sample."""
+def _model_histograms(called: DataFrame) -> DataFrame:
+    """(muttype, test, value, n): rounded p-values of the three read-count models at training sites."""
+    each = F.array(*[F.struct(F.lit(c).alias("test"), F.bround(c, 3).alias("value")) for c in ("abc_pv", "lysis_pv", "mda_pv")])
+    return called.where("training_site").select("muttype", F.inline(each)).where("value is not null").groupBy("muttype", "test", "value").agg(F.count("*").alias("n"))
+
+
+def all_calls(cells: dict[str, DataFrame], kind: str = "pass", muttypes: Sequence[str] = ("snv", "indel"), combine: bool = False) -> DataFrame:
+    """The passing rows (``filters.passing``) of several cells' tables, with their sample; ``combine`` puts neighbouring substitutions together."""
     out = None
     for sample, df in sorted(cells.items()):
         own = df.where(filters.passing(kind, muttypes)).withColumn("sample", F.lit(sample))
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("no cells")
-    return out
+    return accessors.combined_neighbours(out) if combine else out
 
 
 def write_summaries(tables: dict[str, DataFrame], folder: str, sample: str) -> None:

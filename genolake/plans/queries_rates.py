@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import priors, rescue, sensitivity
-from ..operators import filters
+from ..operators import filters, intervals
 from ..sources import indexed, spatial, stored
+from . import accessors
 from .adapters import duck, duck_scored, scored, view
-from .queries import _CALLED, _CANDIDATE, _CHANNEL_SQL, _REASONS, PARAMS, RESCUE_COLUMNS, SITE_KEY, _channels, called_sites, query, r6
+from .queries import _CALLED, _CANDIDATE, _CHANNEL_SQL, _CONTIGS, _REASONS, _TILES, PARAMS, RESCUE_COLUMNS, SITE_KEY, _channels, called_sites, query, r6
+from .queries_more import _CALLS, adjacent_calls
 
 _HISTOGRAMS = f"""{duck_scored()},
  pop AS (SELECT *, coalesce(training_site AND scalt >= 2 AND dp >= 6 AND bulk_dp >= 11, false) AS germ, coalesce({_CANDIDATE} AND scalt >= 2 AND dp >= 6, false) AS cand,
@@ -101,3 +103,48 @@ def spatial_region(spark, sf_dir):
     tiles = view(spark, sf_dir, "bins").select("chr", "start", "end_", "gc", F.when(F.col("cnt") % 5 > 0, F.col("cnt") / F.lit(7.0)).alias("depth"))
     chunks = stored.written(spatial.compress(stored.written(tiles, "tiles"), ["gc", "depth"], 256), "chunks")
     return spatial.decompress(chunks, ["gc", "depth"], ("click", 100_000, 900_000)).select("chr", "start", "end_", r6("gc"), r6("depth"))
+
+
+_SITE_COUNTS = ", ".join(f"count(s.pos) FILTER (muttype = '{t}' AND {has}{on}) AS {t}_{k}{a}" for t in ("snv", "indel") for k, has in (("ntotal", "training_site"), ("npass", "training_site AND training_pass"), ("ncalls", "pass")) for a, on in (("", ""), ("_maj", " AND af >= 0.5"), ("_min", " AND af < 0.5")))
+_NEAR = "CASE WHEN count(*) OVER w = 4 THEN sum({c}) OVER w END::BIGINT AS {n}"
+
+
+@query(f"""WITH {_CALLED}, {_TILES}, c AS (SELECT t.chr, start, end_, {_SITE_COUNTS} FROM tile t LEFT JOIN called s ON t.chr = s.chr AND s.pos BETWEEN start AND end_ GROUP BY ALL)
+SELECT *, {', '.join(_NEAR.format(c=f'{t}_{c}', n=f'{t}_{n}') for t in ('snv', 'indel') for c, n in (('ntotal', 'nbhd'), ('ncalls', 'calls_nbhd')))} FROM c WINDOW w AS (PARTITION BY chr ORDER BY start ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)""")
+def sensitivity_covariates(spark, sf_dir):
+    """Training sites, those that would be called, and calls of each tile, by type and allele, and in its neighbourhood."""
+    called = called_sites(spark, sf_dir).select("chr", "pos", "muttype", "af", "training_site", "training_pass", "pass")
+    return sensitivity.covariates(intervals.fixed_tiles(intervals.contigs(spark, _CONTIGS), 100_000), called, 2)
+
+
+@query(f"""WITH {_CALLED} SELECT 's' || (pos % 3) AS sample, chr, pos, refnt, altnt, muttype, mutsig, round(af, 6) AS af, scalt, dp, round(abc_pv, 6) AS abc_pv, balt, bulk_dp,
+  CASE WHEN dp % 2 = 0 THEN training_site END AS resampled_training_site, pass, NULL::BOOLEAN AS rescue, training_pass FROM called WHERE pass OR dp % 2 = 0""")
+def shared_columns(spark, sf_dir):
+    """The columns that tables of several samples share, of calls and of another part of the sites that overlaps them."""
+    s = stored.written(called_sites(spark, sf_dir).withColumn("sample", F.concat(F.lit("s"), (F.col("pos") % 3).cast("string"))), "called")
+    even = s.where("dp % 2 = 0").withColumn("resampled_training_site", F.col("training_site"))
+    return accessors.shared_table([even, s.where("pass")], [f"chr{k}" for k in range(1, 23)]).withColumns({"af": F.round("af", 6), "abc_pv": F.round("abc_pv", 6)})
+
+
+@query(f"WITH {duck('bins')}, g AS (SELECT round_even(gc, 3) AS gc, avg(cnt) AS value FROM bins_v WHERE gc IS NOT NULL GROUP BY 1), n AS (SELECT *, lead(gc) OVER (ORDER BY gc) - gc AS gap FROM g) SELECT gc, round(value, 6) AS value FROM n WHERE coalesce(gap, 0) < 0.05")
+def coverage_along_gc(spark, sf_dir):
+    """Mean counts of bins along GC."""
+    return accessors.binned_along(view(spark, sf_dir, "bins"), "cnt", "gc").select("gc", r6("value"))
+
+
+@query(f"WITH {duck('bins')} SELECT chr, ((start::BIGINT + end_) // 2)::INT AS pos, cnt::DOUBLE AS value FROM bins_v")
+def coverage_along_positions(spark, sf_dir):
+    """Counts at the middle of each bin."""
+    return accessors.binned_along(view(spark, sf_dir, "bins"), "cnt")
+
+
+@query(f"""WITH {_CALLS}, t AS (SELECT *, CASE WHEN pos % 9 = 0 THEN 'indel' ELSE 'snv' END AS muttype FROM c), v AS (SELECT * FROM t WHERE muttype = 'snv'),
+ g AS (SELECT *, pos - lag(pos) OVER w AS a, lead(pos) OVER w - pos AS b FROM v WINDOW w AS (PARTITION BY sample, chr ORDER BY pos)),
+ n AS (SELECT *, sum(CASE WHEN a = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY sample, chr ORDER BY pos) AS island FROM g WHERE least(a, b) = 1),
+ m AS (SELECT sample, chr, island, min(pos) AS pos, string_agg(refnt, '' ORDER BY pos) AS refnt, string_agg(altnt, '' ORDER BY pos) AS altnt, count(*) AS n FROM n GROUP BY ALL HAVING max(scalt) - min(scalt) <= 2 AND max(scref) - min(scref) <= 2)
+SELECT sample, chr, pos, refnt, altnt, CASE WHEN n = 2 THEN 'dnv' ELSE 'mnv' END AS muttype, n::INT AS n_combined FROM m
+UNION ALL SELECT sample, chr, pos, refnt, altnt, muttype, 1 FROM t WHERE muttype = 'indel' OR NOT EXISTS (SELECT 1 FROM m WHERE m.sample = t.sample AND m.chr = t.chr AND t.pos BETWEEN m.pos AND m.pos + m.n - 1)""")
+def combined_calls(spark, sf_dir):
+    """All calls, substitutions at adjacent positions as one."""
+    calls = adjacent_calls(spark, sf_dir).withColumn("muttype", F.when(F.col("pos") % 9 == 0, "indel").otherwise("snv"))
+    return accessors.combined_neighbours(calls).select("sample", "chr", "pos", "refnt", "altnt", "muttype", "n_combined")

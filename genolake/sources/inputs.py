@@ -60,6 +60,64 @@ def depths(spark: SparkSession, path: str, cell: str, bulk: str, coordinates: bo
     return df.select(*(["chr", "pos"] if coordinates else []), *own)
 
 
+def phased_sites(hsnps: DataFrame, called: DataFrame) -> DataFrame:
+    """Phased sites (chr, pos, dbsnp, refnt, altnt, phasedgt) that the bulk's calls have as well, with the fields of a call left blank.
+
+    A site is looked up by all five of its fields; calls that repeat one don't
+    multiply it.  Without calls there are no rows.
+    """
+    key = ["chr", "pos", "dbsnp", "refnt", "altnt"]
+    for name, df in (("phased sites", hsnps), ("calls", called)):
+        if lost := [c for c in key if c not in df.columns]:
+            raise ValueError(f"{name} lack {', '.join(lost)}")
+    blank = {"qual": ".", "filter": ".", "info": ".", "format": "GT"}
+    return hsnps.join(called.select(*key), key, "left_semi").select(*key, *[F.lit(v).alias(c) for c, v in blank.items()], "phasedgt")
+
+
+def fits(spark: SparkSession, path: str) -> DataFrame:
+    """Parameters of the allele balance, a row for each chromosome: a Parquet table or text."""
+    df = _stored(spark, path, FITS, ("chr", "a", "b", "c", "d"))
+    return once(df, ["chr"])
+
+
+DEPTHS = "sc_dp int, bulk_dp int, n long, chr_group string"
+
+
+def depth_profile(spark: SparkSession, path: str, clamp: int = 500) -> DataFrame:
+    """(sc_dp, bulk_dp, n, chr_group) of a stored depth table; depths over ``clamp``, negative counts or repeated pairs are an error."""
+    df = _stored(spark, path, DEPTHS, ("sc_dp", "bulk_dp", "n"))
+    if odd := df.where(f"not (sc_dp between 0 and {clamp} and bulk_dp between 0 and {clamp} and n >= 0)").limit(1).collect():
+        raise ValueError(f"not a depth table: {odd[0]}")
+    return once(df, ["chr_group", "sc_dp", "bulk_dp"])
+
+
+def _stored(spark: SparkSession, path: str, schema: str, needed: Sequence[str]) -> DataFrame:
+    """A Parquet table in the schema's columns and types, or tab-separated text by its header; columns that it may lack are NULL."""
+    parts = [c.split() for c in schema.split(", ")]
+    if path.endswith((".tab", ".tsv", ".txt", ".gz")):
+        names = tabular.header(spark, path)
+        df = tabular.read(spark, path, ", ".join(f"`{n}` {dict(parts).get(n, 'string')}" for n in names)) if names else None
+    else:
+        df = spark.read.parquet(path)
+    if df is None or (lost := [c for c in needed if c not in df.columns]):
+        raise ValueError(f"{path} lacks {', '.join(lost) if df is not None else 'a header'}")
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in parts])
+
+
+def signatures(df: DataFrame, channels: DataFrame, name: str = "true_sig") -> DataFrame:
+    """A signature or spectrum given by the user, (muttype, channel, <name>) over all channels of its types, after checks: known channels, each once, numbers of 0 or more that don't add up to 0."""
+    if lost := [c for c in ("muttype", "channel", name) if c not in df.columns]:
+        raise ValueError(f"a signature needs {', '.join(lost)}")
+    once(df, ["muttype", "channel"])
+    unknown = df.join(channels, ["muttype", "channel"], "left_anti").select("channel").limit(1).collect()
+    low = df.where(f"{name} is null or {name} < 0 or isnan({name})").limit(1).collect()
+    empty = df.groupBy("muttype").agg(F.sum(name).alias("s")).where("s = 0").limit(1).collect()
+    if unknown or low or empty:
+        raise ValueError(f"channel {unknown[0][0]} is not known" if unknown else f"channel {low[0]['channel']} has no share" if low else f"the signature of {empty[0]['muttype']} is empty")
+    whole = channels.select("muttype", "channel").join(df.select("muttype").distinct(), "muttype", "left_semi")
+    return whole.join(df.select("muttype", "channel", name), ["muttype", "channel"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
 def with_cigars(sites: DataFrame, cell: DataFrame, bulk: DataFrame) -> DataFrame:
     """Adds id_n, hs_n and cigar_dp of the cell, and those of the bulk, from two tables of ``tabular.CIGAR``."""
     out = sites
