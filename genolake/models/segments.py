@@ -8,6 +8,9 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources import stored
 
 
 @dataclass(frozen=True)
@@ -67,27 +70,116 @@ def best_arc(x: np.ndarray, least: int = 1) -> tuple[float, int, int]:
     return best
 
 
-def split(x: np.ndarray, *, alpha: float = 0.05, permutations: int = 1000, least: int = 5, seed: int = 25) -> list[int]:
+def reaches(x: np.ndarray, z: float, least: int = 1) -> bool:
+    """Whether the best arc's statistic is z or more.
+
+    No arc's sum is more than the span of the running sums: lengths for which even
+    that falls short of z, most of the middle ones, aren't tried.
+    """
+    n = len(x)
+    total = np.append(0, np.cumsum(x - x.mean()))
+    sd = x.std() or 1.0
+    length = np.arange(least, n - least + 1)
+    needed = z * sd * np.sqrt(length * (n - length) / n)
+    for k, enough in zip(length[total.max() - total.min() >= needed].tolist(), needed[total.max() - total.min() >= needed].tolist(), strict=True):
+        s = np.abs(total[k:] - total[:-k])
+        if least > 1:
+            s[1:least] = 0
+            s[max(0, len(s) - least) : len(s) - 1] = 0
+        if s.max() >= enough:
+            return True
+    return False
+
+
+def shuffled(x: np.ndarray, seed: int, name: str, a: int, b: int, k: int) -> np.ndarray:
+    """The k-th permutation of bins a..b of a chromosome, the same in every task."""
+    return np.random.default_rng([seed, *name.encode(), a, b, k]).permutation(x)
+
+
+def pieces(a: int, b: int, i: int, j: int) -> list[tuple[int, int]]:
+    """What an arc i..j of bins a..b leaves: the parts before, in and after it."""
+    cuts = sorted({a, a + i, a + j, b})
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def split(x: np.ndarray, *, alpha: float = 0.05, permutations: int = 1000, least: int = 5, seed: int = 25, name: str = "") -> list[int]:
     """Starts of the segments of one chromosome: an arc is cut out if few permutations have one as good."""
-    rng, out, todo = np.random.default_rng(seed), {0}, [(0, len(x))]
+    out, todo = {0}, [(0, len(x))]
     while todo:
         a, b = todo.pop()
         if b - a < 2 * least:
             continue
         z, i, j = best_arc(x[a:b], least)
+        if z <= 0:
+            continue
         worse, limit = 0, alpha * permutations
-        for _ in range(permutations if z > 0 else 0):
-            worse += best_arc(rng.permutation(x[a:b]), least)[0] >= z
+        for k in range(permutations):
+            worse += reaches(shuffled(x[a:b], seed, name, a, b, k), z, least)
             if worse > limit:
                 break
-        if z <= 0 or worse > limit:
+        if worse > limit:
             continue
-        cuts = sorted({a, a + i, a + j, b})
-        out.update(cuts[:-1])
-        todo += list(zip(cuts, cuts[1:], strict=False))
+        todo += pieces(a, b, i, j)
+        out.update(start for start, _ in pieces(a, b, i, j))
     return sorted(out)
 
 
+def split_all(chromosomes: DataFrame, how: Preset, batch: int = 50) -> DataFrame:
+    """(chr, start) of the segments of all chromosomes, from (chr, y), the smoothed values in order: the cuts of ``split``.
+
+    Open segments of all chromosomes are a table.  A round finds each one's best
+    arc, and then tries permutations, ``batch`` to a task: first as many as could
+    rule an arc out, then the rest of those that are still in question.  Arcs that
+    stand are cut out, and what they leave is the next round's table.
+    """
+    least, limit = how.least, how.alpha * how.permutations
+    key = ["chr", "a", "b"]
+    size = F.size("y").cast("int")
+    first = chromosomes.where(size > 0).select("chr", F.lit(0).alias("a"), size.alias("b"))
+    open_, starts = stored.written(first, "open-segments"), [first.select("chr", F.col("a").alias("start"))]
+
+    def part(df: DataFrame) -> DataFrame:
+        return df.join(chromosomes, "chr").withColumn("x", F.slice("y", F.col("a") + 1, F.col("b") - F.col("a"))).drop("y")
+
+    def arcs(group: pd.DataFrame) -> pd.DataFrame:
+        z, i, j = best_arc(np.asarray(group["x"].iloc[0], float), least)
+        return group[key].assign(z=z, i=i, j=j)
+
+    def tried(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        x, worse = np.asarray(row["x"], float), 0
+        for k in range(int(row["k"]), int(row["k_end"])):
+            worse += reaches(shuffled(x, how.seed, row["chr"], int(row["a"]), int(row["b"]), k), float(row["z"]), least)
+        return group[key].assign(worse=worse)
+
+    def worse(df: DataFrame, low: int, high: int) -> DataFrame:
+        """How many permutations low..high of each segment have an arc as good."""
+        if low >= high:
+            return df.select(*key, F.lit(0).cast("long").alias("worse"))
+        tasks = df.select(*key, "z", F.explode(F.sequence(F.lit(low), F.lit(high - 1), F.lit(batch))).alias("k")).withColumn("k_end", F.least(F.col("k") + batch, F.lit(high)))
+        return part(tasks).groupBy(*key, "k").applyInPandas(tried, "chr string, a int, b int, worse long").groupBy(*key).agg(F.sum("worse").alias("worse"))
+
+    while True:
+        long = open_.where(F.col("b") - F.col("a") >= 2 * least)
+        found = stored.written(part(long).groupBy(*key).applyInPandas(arcs, "chr string, a int, b int, z double, i int, j int").where("z > 0"), "arcs")
+        if found.isEmpty():
+            break
+        enough = min(how.permutations, int(limit) + 1)
+        look = stored.written(found.join(worse(found, 0, enough), key).where(F.col("worse") <= limit), "arcs-in-question")
+        rest = worse(look.drop("worse"), enough, how.permutations).withColumnRenamed("worse", "more")
+        standing = stored.written(look.join(rest, key).where(F.col("worse") + F.col("more") <= limit).select(*key, "i", "j"), "standing-arcs")
+        if standing.isEmpty():
+            break
+        cuts = F.array_sort(F.array_distinct(F.array("a", F.col("a") + F.col("i"), F.col("a") + F.col("j"), "b")))
+        parts = F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda k: F.struct(F.get("_c", k - 1).alias("a"), F.get("_c", k).alias("b")))
+        open_ = stored.written(standing.select("chr", cuts.alias("_c")).select("chr", F.inline(parts)), "open-segments")
+        starts.append(open_.select("chr", F.col("a").alias("start")))
+    out = starts[0]
+    for more in starts[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
 def undone(x: np.ndarray, starts: list[int], deviations: float) -> list[int]:
     """Starts without the smallest steps between neighbours' means, one after the other, while they are below so many deviations of the noise."""
     starts, limit = list(starts), deviations * trimmed_sd(x)
@@ -101,23 +193,32 @@ def undone(x: np.ndarray, starts: list[int], deviations: float) -> list[int]:
 
 
 def segment(bins: DataFrame, value: str, preset: Preset | str = "baslan") -> DataFrame:
-    """Adds seg and seg_mean to (chr, start, end_, value): outliers are smoothed, chromosomes cut, and small steps undone.
+    """Adds seg and seg_mean to (chr, start, end_, value): outliers are smoothed, chromosomes cut (``split_all``), and small steps undone.
 
-    A chromosome is a task: its bins are a bounded group.  Bins without a finite value have neither.
+    Bins without a finite value have neither.  Smoothing and undoing are a task for
+    a chromosome, whose bins are a bounded group; the permutations of a segment are many tasks.
     """
     how = PRESETS[preset] if isinstance(preset, str) else preset
-    schema = f"chr string, start int, end_ int, {value} double, seg int, seg_mean double"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("start").reset_index(drop=True)
-        x = part[value].to_numpy(float)
-        fine = np.isfinite(x)
-        y = smooth(x[fine])
-        starts = undone(y, split(y, alpha=how.alpha, permutations=how.permutations, least=how.least, seed=how.seed), how.undo_sd) if len(y) else [0]
-        seg = np.searchsorted(starts, np.arange(len(y)), "right")
-        part["seg"], part["seg_mean"] = pd.array([None] * len(part), "Int32"), np.nan
-        part.loc[fine, "seg"] = seg
-        part.loc[fine, "seg_mean"] = pd.Series(y).groupby(seg).transform("mean").to_numpy()
-        return part[["chr", "start", "end_", value, "seg", "seg_mean"]].assign(seg_mean=part["seg_mean"].astype(object).where(part["seg_mean"].notna(), None))
-
-    return bins.select("chr", "start", "end_", value).groupBy("chr").applyInPandas(run, schema)
+    own = stored.written(bins.select("chr", "start", "end_", value), "bins")
+    fine = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    rows = own.where(fine).groupBy("chr").agg(F.array_sort(F.collect_list(F.struct("start", F.col(value).alias("v")))).alias("r"))
+
+    def smoothed(batches):
+        for part in batches:
+            yield pd.DataFrame({"chr": part["chr"], "places": [[r["start"] for r in rs] for rs in part["r"]], "y": [smooth(np.array([r["v"] for r in rs], float)).tolist() for rs in part["r"]]})
+
+    chromosomes = stored.written(rows.repartition("chr").mapInPandas(smoothed, "chr string, places array<int>, y array<double>"), "chromosomes")
+    starts = split_all(chromosomes.select("chr", "y"), how).groupBy("chr").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+
+    def numbered(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        y = np.asarray(row["y"], float)
+        cuts = undone(y, [int(k) for k in row["starts"]], how.undo_sd)
+        seg = np.searchsorted(cuts, np.arange(len(y)), "right")
+        return pd.DataFrame({"chr": row["chr"], "start": np.asarray(row["places"], np.int64), "seg": seg, "seg_mean": pd.Series(y).groupby(seg).transform("mean").to_numpy()})
+
+    found = chromosomes.join(starts, "chr").groupBy("chr").applyInPandas(numbered, "chr string, start int, seg int, seg_mean double")
+    # bins that repeat a start have one segment
+    found = found.groupBy("chr", "start").agg(F.min("seg").alias("seg"), F.min_by("seg_mean", "seg").alias("seg_mean"))
+    joined = own.withColumn("_fine", fine).join(found, ["chr", "start"], "left")
+    return joined.select("chr", "start", "end_", value, F.when(F.col("_fine"), F.col("seg")).alias("seg"), F.when(F.col("_fine"), F.col("seg_mean")).alias("seg_mean"))

@@ -130,6 +130,30 @@ def test_regressions(spark):
     assert coef["x"] == pytest.approx(1.2, abs=0.2) and pred.count() == 601 and pred.where("pred is null").count() == 1
 
 
+def test_segments_over_tasks_are_the_local_ones(spark):
+    """Cuts of several chromosomes by rounds of tasks, and whether an arc is reached, against the plain code; outliers, gaps and empty chromosomes."""
+    rng = np.random.default_rng(21)
+    how = segments.Preset(0.05, 120, 1.0, 7)
+    plans = {"1": [(70, 0.0), (30, 1.2), (50, 0.0), (12, -1.5), (40, 0.2)], "2": [(90, 0.3)], "3": [(7, 0.0)], "4": [(25, 0.0), (25, 2.0)]}
+    x = {c: np.concatenate([rng.normal(m, 0.3, n) for n, m in plan]) for c, plan in plans.items()}
+    for c in "14":
+        v = x[c]
+        z = segments.best_arc(v, 5)[0]
+        for near in (z * 0.999, z, z * 1.001, 0.1, 99.0):
+            assert segments.reaches(v, near, 5) == (segments.best_arc(v, 5)[0] >= near)
+    rows = [(c, 10 * k + 1, 10 * k + 10, float(v)) for c, y in x.items() for k, v in enumerate(y)] + [("1", 5001, 5010, None), ("2", 5001, 5010, float("nan")), ("5", 1, 10, float("inf"))]
+    got = {(r["chr"], r["start"]): r for r in segments.segment(spark.createDataFrame(rows, "chr string, start int, end_ int, v double").repartition(3), "v", how).collect()}
+    assert len(got) == len(rows) and all(got[k]["seg"] is None and got[k]["seg_mean"] is None for k in (("1", 5001), ("2", 5001), ("5", 1)))
+    for c, y in x.items():
+        y = segments.smooth(y)
+        cuts = segments.undone(y, segments.split(y, alpha=how.alpha, permutations=how.permutations, least=how.least, seed=how.seed, name=c), how.undo_sd)
+        seg = np.searchsorted(cuts, np.arange(len(y)), "right")
+        assert [got[c, 10 * k + 1]["seg"] for k in range(len(y))] == seg.tolist()
+        assert [got[c, 10 * k + 1]["seg_mean"] for k in range(len(y))] == pytest.approx([y[seg == s].mean() for s in seg])
+    assert {got["1", 10 * k + 1]["seg"] for k in (0, 80, 120, 155)} == {1, 2, 3, 4}
+    assert segments.segment(spark.createDataFrame([], "chr string, start int, end_ int, v double"), "v", how).count() == 0
+
+
 def test_segments():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 0.2, 60), rng.normal(2, 0.2, 40), rng.normal(0, 0.2, 60)])
