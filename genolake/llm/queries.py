@@ -172,5 +172,29 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+told AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS told, run, count(*) AS n FROM run GROUP BY ALL),
+octets AS (SELECT *, flatten(list_transform(string_split(told, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)]::BIGINT[] END)) AS o FROM told),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce([4294967295::BIGINT] || o, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM octets, crc),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+rep AS (SELECT word, n, left(word, (i - 1)::INT) || '*' || substr(word, (i + 1)::INT) AS key FROM place),
+del AS (SELECT DISTINCT word, n, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS key FROM place),
+pair AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM rep a JOIN rep b ON a.key = b.key AND a.word <> b.word
+  UNION ALL SELECT del.word, w.word, w.n FROM del JOIN w ON del.key = w.word UNION ALL SELECT w.word, del.word, del.n FROM del JOIN w ON del.key = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM pair GROUP BY word),
+formed AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+chain AS (SELECT word, word AS here, form AS onward FROM formed UNION ALL SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON chain.onward = formed.word)
+SELECT formed.word, form, here AS root, n, n_near, form_n FROM formed JOIN chain ON formed.word = chain.word AND chain.onward IS NULL
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_line_dedup, op5_token_files, op6_quote_links, op7_topk, op8_host_reputation, op9_near_dedup, op10_quality_qda, op11_token_counts, op12_hard_negatives, op13_spelling)}
-SQL = {"op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op8_host_reputation": _op8_sql(), "op12_hard_negatives": OP12_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op8_host_reputation": _op8_sql(), "op12_hard_negatives": OP12_SQL, "op13_spelling": OP13_SQL}
