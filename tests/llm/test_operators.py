@@ -712,7 +712,7 @@ def brute_lines_by_id(texts):
 def test_registered():
     import __spark_entry__ as e
 
-    assert {q.split("_")[0] for q in e.queries() if q.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in e.queries()
+    assert {q.split("_")[0] for q in e.queries() if q.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in e.queries()
 
 
 def test_frames_are_pandas_free():
