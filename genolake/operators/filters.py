@@ -103,6 +103,12 @@ TESTS = ("id_test", "hs_test", "lowmq_test", "dp_test", "abc_test", "sc_alt_test
 LABELS = {"abc_test": "abc", "id_test": "cigar.id", "hs_test": "cigar.hs", "lowmq_test": "bulk.lowmq", "dp_test": "min.dp", "sc_alt_test": "min.sc.alt", "bulk_alt_test": "max.bulk.alt", "bulk_af_test": "max.bulk.af", "bulk_binom_test": "max.bulk.binom.prob", "panel_test": "cross.sample.filter", "dbsnp_test": "dbsnp"}
 
 
+def supported(panel: DataFrame) -> Column:
+    """Whether the panel (unique_donors, unique_cells) lets a row's type be called: indels need more than two cells in all of it, and with one donor a site of one cell."""
+    limits = panel.agg(F.struct(F.coalesce(F.max("unique_donors") == 1, F.lit(False)).alias("one_donor"), F.coalesce(F.max("unique_cells") <= 2, F.lit(True)).alias("few_cells")).alias("x")).scalar()
+    return (F.col("muttype") == "snv") | (~limits["few_cells"] & (~limits["one_donor"] | (F.col("unique_cells") == 1)))
+
+
 def call(df: DataFrame, target_fdr: float | Column = 0.01, panel: DataFrame | None = None) -> DataFrame:
     """Adds pass and training_pass.
 
@@ -111,10 +117,8 @@ def call(df: DataFrame, target_fdr: float | Column = 0.01, panel: DataFrame | No
     called, and with one donor only those of one cell.  The two maxima are one row.
     """
     target = target_fdr if isinstance(target_fdr, Column) else F.lit(target_fdr)
-    limits = (df if panel is None else panel).agg(F.struct(F.coalesce(F.max("unique_donors") == 1, F.lit(False)).alias("one_donor"), F.coalesce(F.max("unique_cells") <= 2, F.lit(True)).alias("few_cells")).alias("x")).scalar()
     low = (F.col("lysis_fdr") <= target) & (F.col("mda_fdr") <= target)
-    supported = (F.col("muttype") == "snv") | (~limits["few_cells"] & (~limits["one_donor"] | (F.col("unique_cells") == 1)))
-    called = F.col("somatic_candidate") & F.col("static_filter") & supported & low
+    called = F.col("somatic_candidate") & F.col("static_filter") & supported(df if panel is None else panel) & low
     trained = F.col("training_site") & F.col("sc_alt_test") & F.col("dp_test") & F.col("id_test") & F.col("hs_test") & F.col("abc_test") & low
     return df.withColumn("pass", F.coalesce(called, F.lit(False))).withColumn("training_pass", F.when(F.col("training_site"), F.coalesce(trained, F.lit(False))))
 
@@ -219,6 +223,35 @@ def sweep(df: DataFrame, values: Sequence, change: Callable[[DataFrame, object],
     return out
 
 
+def call_sweep(df: DataFrame, min_sc_dps: Sequence[int], max_bulk_alts: Sequence[int], targets: Sequence[float], params: dict[str, Params] = DEFAULTS, panel: DataFrame | None = None) -> DataFrame:
+    """(muttype, min_sc_dp, max_bulk_alt, target_fdr, calls, training_passed) for all combinations of a few thresholds.
+
+    The table (with tests and rates) is read once: a row is counted at the strictest
+    combination that lets it pass, and a combination's numbers are sums over all at
+    least as strict; what is added up is as small as the grid.  A combination without calls has 0.
+    """
+    deep, loose, low = sorted(set(min_sc_dps)), sorted(set(max_bulk_alts)), sorted(set(map(float, targets)))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    every = F.lit(True)
+    for test in TESTS:
+        if test not in ("dp_test", "bulk_alt_test", "lowmq_test"):
+            every = every & F.col(test)
+    p = lambda value: by_type(params, value)
+    strict = ~p(lambda x: 0 < x.max_bulk_af < 1 or 0 < x.max_bulk_binom_prob < 1) & ~yes(F.col("bulk_gt") == "0/0")  # such a bulk genotype is let pass with the first read allowed
+    reads = F.greatest("balt", F.coalesce("balt_lowmq", F.lit(0)), F.when(strict, 1).otherwise(0))
+    rate = F.when(F.col("lysis_fdr").isNotNull() & F.col("mda_fdr").isNotNull(), F.greatest("lysis_fdr", "mda_fdr"))
+    shallow = F.col("bulk_dp") >= p(lambda x: x.min_bulk_dp)
+    code = lambda c, steps, up: F.array_min(F.filter(F.lit(steps), lambda s: s >= c)) if up else F.array_max(F.filter(F.lit(steps), lambda s: s <= c))
+    call_ = yes(candidate(changed(params, max_bulk_alt=1 << 30)) & every & supported(df if panel is None else panel) & shallow)
+    trained = yes(F.col("training_site") & F.col("sc_alt_test") & F.col("id_test") & F.col("hs_test") & F.col("abc_test") & shallow)
+    rows = df.select("muttype", call_.alias("_call"), trained.alias("_train"), code(F.col("dp"), deep, False).alias("_d"), code(reads, loose, True).alias("_a"), code(rate, low, True).alias("_t")).where("(_call or _train) and _d is not null and _t is not null")
+    coded = rows.groupBy("muttype", "_d", "_a", "_t").agg(F.count_if("_call").alias("c"), F.count_if("_train").alias("t"))
+    grid = df.sparkSession.createDataFrame([(m, d, a, t) for m in sorted(params) for d in deep for a in loose for t in low], "muttype string, min_sc_dp int, max_bulk_alt int, target_fdr double")
+    fits = (F.col("_d") >= F.col("min_sc_dp")) & (F.col("_t") <= F.col("target_fdr"))
+    joined = grid.join(coded, "muttype", "left")
+    return joined.groupBy(*grid.columns).agg(F.coalesce(F.sum(F.when(fits & (F.col("_a") <= F.col("max_bulk_alt")), F.col("c"))), F.lit(0)).alias("calls"), F.coalesce(F.sum(F.when(fits, F.col("t"))), F.lit(0)).alias("training_passed"))
+
+
 def by_type_and_allele(tiles: DataFrame, muttype: str, allele: str = "both") -> DataFrame:
     """(held_out, pred, npass, ntotal, ncalls) of tiles (.., pred_<type>_<allele>, <type>_npass_<allele>, ..); both alleles: the mean prediction and the sums."""
     if allele not in ("both", "maj", "min"):

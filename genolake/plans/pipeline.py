@@ -106,7 +106,7 @@ def run_cell(cell: DataFrame, fits: DataFrame, depth: DataFrame, config: Config,
     covariates, or without them by type and allele (``models.sensitivity``) from the tiles' balance and depth and the called sites."""
     called = stored.written(analyse(cell, fits, config), "called")
     table = aggs.depth_table(depth)
-    out = {"called": called, "burden": burdens(called, table, config, gbp), **summaries(called, depth)}
+    out = {"called": called, "burden": burdens(called, table, config, gbp), **summaries(called, depth, config.params)}
     if bins is not None:
         corrected = regression.gc_correct(bins)
         out |= {"bins": corrected, "mapd": aggs.mapd(corrected, "ratio_gcnorm"), "segments": segments.segment(corrected.withColumn("lr", F.log2("ratio_gcnorm")).where("lr is not null"), "lr", preset)}
@@ -120,7 +120,7 @@ def run_cell(cell: DataFrame, fits: DataFrame, depth: DataFrame, config: Config,
     return out
 
 
-def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, DataFrame]:
+def summaries(called: DataFrame, depth: DataFrame | None = None, params: dict[str, filters.Params] = filters.DEFAULTS) -> dict[str, DataFrame]:
     """The reduced tables of one analysis, by name."""
     out = {
         "calls": called.where(F.col("pass")),
@@ -134,6 +134,7 @@ def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, Da
         "models": _model_histograms(called),
         "cigars": called.where("training_site").groupBy("muttype", F.bround("id_score", 3).alias("id_score"), F.bround("hs_score", 3).alias("hs_score")).agg(F.count("*").alias("n")) if {"id_score", "hs_score"} <= set(called.columns) else called.select("muttype", F.lit(None).cast("double").alias("id_score"), F.lit(None).cast("double").alias("hs_score"), F.lit(0).cast("long").alias("n")).limit(0),
         "priors": called.where("nt is not null").groupBy("muttype", F.round("nt", 6).alias("nt"), F.round("na", 6).alias("na")).agg(F.count("*").alias("sites"), F.count_if("training_site").alias("training")),
+        "sweep": filters.call_sweep(called, *sweep_grid(called, params), params),
         "reasons": called.groupBy(filters.first_reason().alias("reason")).agg(F.count("*").alias("n")),
     }
     if depth is not None:
@@ -143,6 +144,14 @@ def summaries(called: DataFrame, depth: DataFrame | None = None) -> dict[str, Da
     return out
 
 
+def sweep_grid(called: DataFrame, params: dict[str, filters.Params]) -> tuple[list[int], list[int], list[float]]:
+    """Thresholds that a summary tries: up to five depths between the types' own and the upper quartile of the training sites' depth, 0 to 3 bulk reads, twenty rates."""
+    own = [p.min_sc_dp for p in params.values()]
+    top = called.where("training_site").agg(F.percentile("dp", 0.75)).first()[0]
+    low, high = min(own), max(min(own), int(top) if top is not None else 0)
+    return sorted({max(own), *(int(low + (high - low) * k / 3) for k in range(4))}), [0, 1, 2, 3], [10 ** (-5 + 5 * k / 19) for k in range(20)]
+
+
 def _model_histograms(called: DataFrame) -> DataFrame:
     """(muttype, test, value, n): rounded p-values of the three read-count models at training sites."""
     each = F.array(*[F.struct(F.lit(c).alias("test"), F.bround(c, 3).alias("value")) for c in ("abc_pv", "lysis_pv", "mda_pv")])

@@ -8,8 +8,8 @@ from ..models import priors, rescue, sensitivity
 from ..operators import filters, intervals
 from ..sources import indexed, spatial, stored
 from . import accessors
-from .adapters import duck, duck_scored, scored, view
-from .queries import _CALLED, _CANDIDATE, _CHANNEL_SQL, _CONTIGS, _REASONS, _TILES, PARAMS, RESCUE_COLUMNS, SITE_KEY, _channels, called_sites, query, r6
+from .adapters import duck, duck_scored, panel, scored, view
+from .queries import _CALLED, _CANDIDATE, _CHANNEL_SQL, _CONTIGS, _REASONS, _TILES, PARAMS, RESCUE_COLUMNS, SITE_KEY, _channels, called_sites, query, r6, tested
 from .queries_more import _CALLS, adjacent_calls
 
 _HISTOGRAMS = f"""{duck_scored()},
@@ -148,3 +148,20 @@ def combined_calls(spark, sf_dir):
     """All calls, substitutions at adjacent positions as one."""
     calls = adjacent_calls(spark, sf_dir).withColumn("muttype", F.when(F.col("pos") % 9 == 0, "indel").otherwise("snv"))
     return accessors.combined_neighbours(calls).select("sample", "chr", "pos", "refnt", "altnt", "muttype", "n_combined")
+
+
+_OTHER_TESTS = " AND ".join(t for t in filters.TESTS if t not in ("dp_test", "bulk_alt_test", "lowmq_test"))
+SWEEP = ([6, 10, 20, 30], [0, 1, 2, 3], [1e-5, 1e-3, 0.01, 0.1, 0.25, 0.5, 1.0])
+
+
+@query(f"""WITH {_CALLED}, grid AS (SELECT m AS muttype, d::INT AS min_sc_dp, a::INT AS max_bulk_alt, t AS target_fdr FROM (SELECT unnest(['snv', 'indel']) AS m) x1, (SELECT unnest({SWEEP[0]}) AS d) x2, (SELECT unnest({SWEEP[1]}) AS a) x3, (SELECT unnest({SWEEP[2]}::DOUBLE[]) AS t) x4),
+ rows AS (SELECT called.*, one_donor, few_cells FROM called, limits WHERE muttype = 'snv' OR (NOT few_cells AND (NOT one_donor OR unique_cells = 1)) OR training_site)
+SELECT grid.muttype, min_sc_dp, max_bulk_alt, target_fdr,
+  count(*) FILTER (bulk_dp >= 11 AND balt <= max_bulk_alt AND bulk_af <= 1 AND bulk_binom_prob <= 1 AND coalesce(balt_lowmq <= max_bulk_alt, true) AND (max_bulk_alt > 0 OR bulk_gt = '0/0') AND talt >= 2 AND dbsnp = '.' AND NOT training_site
+    AND coalesce(phased_gt, './.') = './.' AND {_OTHER_TESTS} AND dp >= min_sc_dp AND (grid.muttype = 'snv' OR (NOT few_cells AND (NOT one_donor OR unique_cells = 1)))) AS calls,
+  count(*) FILTER (training_site AND sc_alt_test AND id_test AND hs_test AND abc_test AND bulk_dp >= 11 AND dp >= min_sc_dp) AS training_passed
+FROM grid LEFT JOIN rows ON grid.muttype = rows.muttype AND lysis_fdr <= target_fdr AND mda_fdr <= target_fdr GROUP BY ALL""")
+def call_sweep(spark, sf_dir):
+    """Calls and training sites that would be called over depths, bulk reads and target rates, in one pass over the sites."""
+    s = tested(spark, sf_dir)
+    return filters.call_sweep(s, *SWEEP, PARAMS, panel(spark, sf_dir))
