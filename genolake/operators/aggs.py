@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs
+from ..sources import stored
 
 
 def rounded_histogram(df: DataFrame, column: str, digits: int = 3) -> DataFrame:
@@ -119,13 +120,13 @@ def mutation_burden(sites: DataFrame, depth: DataFrame, *, min_bulk_dp: int, gbp
     """Burden by strata 1, 2 (the middle half) and 4 of the training sites' depth quartiles.
 
     sites: dp, bulk_dp, training_site, training_pass, pass, read once for the
-    quartiles (one row) and once for the strata; depth: sc_dp, bulk_dp, n.  Fewer
+    quartiles (one row, written) and once for the strata; depth: sc_dp, bulk_dp, n.  Fewer
     than ``least`` training sites or quartiles that coincide give NULL and the reason.
     """
     edges = sites.where("training_site").agg(F.count("dp").alias("rows"), F.percentile("dp", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
     flat = F.exists(F.sequence(F.lit(1), F.lit(4)), lambda k: F.get("q", k - 1) >= F.get("q", k))
     reason = F.when(F.col("rows") < least, "few germline sites").when(flat, "quartiles coincide")
-    one = edges.agg(F.first(F.struct(reason.alias("reason"), "q")).alias("e")).scalar()
+    one = stored.written(edges.agg(F.first(F.struct(reason.alias("reason"), "q")).alias("e")), "quartiles").scalar()  # many expressions name it
 
     def strata_of(df: DataFrame, dp: str) -> DataFrame:
         d, q = F.col(dp), lambda k: F.get("_e.q", F.lit(k))

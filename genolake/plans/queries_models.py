@@ -134,7 +134,7 @@ def placed_sites(spark, sf_dir):
 @query()
 def resampled_training(spark, sf_dir):
     """Training sites resampled to the distances of other sites."""
-    s = scored(spark, sf_dir)
+    s = stored.written(scored(spark, sf_dir).select(*SITE_KEY, "training_site", "scalt"), "sites")
     return sampling.resample(s.where("training_site").select(*SITE_KEY), s.where("scalt >= 20 and not training_site").select(*SITE_KEY))
 
 

@@ -197,7 +197,7 @@ SELECT st.stratum, coalesce(ncalls, 0) AS ncalls, round(sens, 6) AS sens, coales
 FROM st LEFT JOIN gs ON gs.stratum = st.stratum LEFT JOIN cs ON cs.stratum = st.stratum LEFT JOIN bs ON bs.stratum = st.stratum""")
 def mutburden(spark, sf_dir):
     """Mutation burden by depth strata."""
-    called = called_sites(spark, sf_dir).select("dp", "bulk_dp", "training_site", "training_pass", "pass")
+    called = stored.written(called_sites(spark, sf_dir).select("dp", "bulk_dp", "training_site", "training_pass", "pass"), "called")  # for quartiles and strata
     depth = aggs.depth_table(view(spark, sf_dir, "depth"))
     out = aggs.mutation_burden(called, depth, min_bulk_dp=11, gbp=5.845001134)
     return out.select("stratum", "ncalls", r6("sens"), "callable_bp", F.round("burden", 4).alias("burden"))
