@@ -28,7 +28,9 @@ NO_RANK = 1 << ID_BITS
 #: Slots of the rank map, and groups of pairs that are moved together until all have a slot of their own.
 SLOTS, GROUPS = 98317, 16381
 #: Most frequent words that are encoded once and sent to every executor; the others are encoded in each batch.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
+#: Text of a chunk: a task has two workers with a copy of the frequent words each, so that what else they hold is kept small.
+CHUNK = 1 << 20
 #: Longer words (in bytes) are merged with a heap in Python: the fold takes the square of the length.
 LONG_WORD = 256
 
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, check = sent.value[:2]
-        for batch, data, offsets in textbatch.chunks(batches, "_text"):
+        for batch, data, offsets in textbatch.chunks(batches, "_text", CHUNK):
             starts, ends, doc = textbatch.pattern_tokens(data, offsets)
             codes, values, first = textbatch.distinct_spans(data, starts, ends)
             begin, end = starts[first], ends[first]
