@@ -69,6 +69,22 @@ def test_laplace_recovers_balance():
     assert allele_balance.log_evidence(pos, y, d, fit) > allele_balance.log_evidence(pos, y, d, (-7.0, 100.0, -7.0, 200.0))
 
 
+def test_positions_share_a_factored_matrix(monkeypatch):
+    """Positions with the same training sites are right sides of one matrix, and have what each has alone."""
+    rng = np.random.default_rng(4)
+    pos = np.append(np.sort(rng.choice(1000, 20, replace=False)), [9000]).astype(float)
+    d = rng.integers(5, 30, 21).astype(float)
+    y = rng.binomial(d.astype(int), 0.4).astype(float)
+    at, fit = np.arange(2000.0, 2300.0), (0.0, 3000.0, -1.0, 60_000.0)
+    low, high = allele_balance.window(at, pos)
+    alone = [allele_balance.predict(x, pos, y, d, fit) for x in at[::37]]
+    solved, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda b, x: solved.append(len(b)) or solve(b, x))
+    mu, sd = allele_balance.predictions(at, low, high, pos, y, d, fit)
+    assert sum(solved) < 100
+    assert np.stack([mu, sd], axis=1)[::37] == pytest.approx(np.array(alone))
+
+
 def test_estimates_in_bare_stretches(spark):
     """Sites far from all training sites are judged by the last before them, or by the first of all; blocks agree with the whole chromosome."""
     rng = np.random.default_rng(12)
