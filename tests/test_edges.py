@@ -236,3 +236,15 @@ def test_inputs(spark, tmp_path):
 def test_config():
     c = config.parse("bulk_sample: b\nsc_bams: {x: p}\nsex: male\ntarget_fdr: 0.05\nsnv_min_sc_dp: 9\n")
     assert c.params["snv"].min_sc_dp == 9 and c.params["indel"].min_sc_dp == 6 and c.haploid() == ["X", "Y"]
+
+
+def test_vcf_line_is_short_code(spark):
+    """Numbers of the cell are formatted by one piece of code, missing and infinite ones included."""
+    assert str(vcf.record()).count("format_string") <= 2
+    df = spark.createDataFrame([(0.5, None, float("nan"), 0.0, 1.0, None)], "af double, ab double, gp_sd double, abc_pv double, lysis_fdr double, mda_fdr double")
+    texts = {"chr": "1", "pos": "7", "dbsnp": ".", "refnt": "A", "altnt": "C", "mutsig": "x", "bulk_gt": "0/0"}
+    numbers = {c: F.lit(1) for c in ("dp", "scref", "scalt", "bulk_dp", "bref", "balt", "balt_lowmq")}
+    flags = {c: F.lit(True) for c in ("pass", "training_site", "somatic_candidate", *filters.TESTS)}
+    full = df.withColumns({c: F.lit(v) for c, v in texts.items()} | numbers | flags | {"phased_gt": F.lit(None).cast("string"), "bulk_af": F.lit(0.25)})
+    line = vcf.lines(full).first()["line"].split("\t")
+    assert line[9].split(":") == ["0/1", "1", "1,1", "0.5000", ".", ".", "Inf", "0.0000", ".", ".", "1"] and line[10].split(":")[3] == "0.2500"
