@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.threads import one_thread
 
 
+#: Up to this depth binomials are products of powers; probabilities below the second are worked out by logarithms.
+POWERS, TINY = 200, 1e-200
+
+
 @functools.cache
 def nodes(n: int = 128) -> tuple[np.ndarray, np.ndarray]:
     return np.polynomial.hermite.hermgauss(n)
@@ -30,9 +34,28 @@ def read_probabilities(d: int, mu, sd, factor: float = 1.0) -> np.ndarray:
     mu, sd = np.atleast_1d(np.asarray(mu, float)), np.atleast_1d(np.asarray(sd, float))
     b = math.sqrt(2) * sd[:, None] * x + mu[:, None]
     log_p = -np.logaddexp(0, -b) - math.log(factor)
-    log_q = np.log1p(-np.exp(np.minimum(log_p, -1e-300)))
+    with np.errstate(divide="ignore"):
+        log_q = np.maximum(np.log1p(-np.exp(np.minimum(log_p, -1e-300))), -1e300)  # finite, as none of it is 0
+    if d > POWERS:
+        return _by_logs(d, log_p, log_q)
+    # powers by products, a plane for each y: no exponential of a number apart
+    p, q = np.exp(log_p), np.exp(log_q)
+    planes, rest = np.ones((d + 1, *p.shape)), np.ones(p.shape)
+    for y in range(d):
+        np.multiply(planes[y], p, out=planes[y + 1])
+    for y in range(d - 1, -1, -1):
+        rest *= q
+        planes[y] *= rest
+    out = (planes @ w).T * (np.exp(_log_choose(d)) / math.sqrt(math.pi))
+    tiny = np.flatnonzero((out < TINY).any(axis=1))  # powers may have sunk below the least number
+    if len(tiny):
+        out[tiny] = _by_logs(d, log_p[tiny], log_q[tiny])
+    return out
+
+
+def _by_logs(d: int, log_p: np.ndarray, log_q: np.ndarray) -> np.ndarray:
     y = np.arange(d + 1)[None, :, None]
-    return (np.exp(_log_choose(d)[None, :, None] + y * log_p[:, None, :] + (d - y) * log_q[:, None, :]) @ w) / math.sqrt(math.pi)
+    return (np.exp(_log_choose(d)[None, :, None] + y * log_p[:, None, :] + (d - y) * log_q[:, None, :]) @ nodes()[1]) / math.sqrt(math.pi)
 
 
 def tables(d: int, mu, sd) -> dict[str, np.ndarray]:
@@ -68,7 +91,7 @@ def models(sites: DataFrame) -> DataFrame:
             got = np.empty((len(part), len(COLUMNS)))
             for d in np.unique(depth).tolist():
                 at = np.flatnonzero(depth == d)
-                step = max(1, (1 << 20) // (128 * (d + 1)))  # a few MB at a time
+                step = max(1, (1 << 17) // (128 * (d + 1)))  # as much as a core's cache holds
                 for k in range(0, len(at), step):
                     some = at[k : k + step]
                     got[some] = np.stack(list(tests(alt[some], int(d), mu[some], sd[some]).values()), axis=1)

@@ -66,15 +66,17 @@ def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, stages: Sequenc
     training sites, resampled ones where the table tells (resampled_training_site),
     and two cut-offs of each type come to the driver.  Priors (``priors.assign``) need
     all sites of a cell, so that a part of a genome can be taken up to "filters" only.
+    What later stages read several times is written: balance and models are worked out once.
     """
     out, cutoffs = cell, None
     if "ab" in stages:
         train = cell.where("training_site and muttype = 'snv'").select("chr", "pos", "hap1", "dp")
-        gp = allele_balance.estimates(cell, train, fits)
+        gp = stored.written(allele_balance.estimates(cell, train, fits), "balance")
         out = out.join(gp, ["chr", "pos"], "left").withColumn("ab", exprs.logistic(F.col("gp_mu")))
     if "models" in stages:
         mu = F.round(exprs.match_ab(F.col("af"), F.col("gp_mu")), 3)
         out = gauss_hermite.models(out.withColumn("mu", mu).withColumn("sd", F.round("gp_sd", 3))).drop("mu", "sd")
+        out = stored.written(out, "models")
     if "cigars" in stages and "cigar_dp" in cell.columns:
         null = tails.cigar_rates(cell.where("resampled_training_site" if "resampled_training_site" in cell.columns else "training_site"))
         null = stored.written(null.select("muttype", "id_x", "id_y", "hs_x", "hs_y"), "null-sites")
@@ -84,7 +86,7 @@ def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, stages: Sequenc
         missing = {c: F.lit(None).cast(t) for c, t in (("id_score", "double"), ("hs_score", "double"), ("mutsig", "string")) if c not in out.columns}
         out = filters.static_tests(out.withColumns(missing), config.params, cutoffs)
     if "fdr" in stages:
-        out = priors.assign(out, config.params)
+        out = priors.assign(stored.written(out, "tested"), config.params)
         for kind in ("lysis", "mda"):
             out = out.withColumn(f"{kind}_fdr", filters.fdr(F.col(f"{kind}_pv"), F.col(f"{kind}_beta"), F.col("nt"), F.col("na")))
     return filters.call(out, config.target_fdr, panel=cell) if "calls" in stages else out

@@ -50,7 +50,7 @@ def cell_sites(spark, sf_dir):
 @query()
 def cell_burden(spark, sf_dir):
     """One cell from counts to burden in a row: allele balance, models, read-operation scores, filters, priors, rates, calls and strata."""
-    results = pipeline.run_cell(cell_sites(spark, sf_dir), _fits(spark), view(spark, sf_dir, "depth"), Config("bulk", ("cell",)), 5.845001134)
+    results = pipeline.run_cell(stored.written(cell_sites(spark, sf_dir), "cell"), _fits(spark), view(spark, sf_dir, "depth"), Config("bulk", ("cell",)), 5.845001134)
     return results["burden"].select("muttype", "stratum", "reason", "ncalls", r6("sens"), "callable_bp", F.round("burden", 4).alias("burden"))
 
 

@@ -355,3 +355,26 @@ def test_pipeline(spark):
     assert "snv: 150 sites" in pipeline.report(called)
     with pytest.raises(ValueError, match="missing"):
         pipeline.require(sites, ["nothing"])
+
+
+def test_models_are_worked_out_once(spark, sf_dir):
+    """What comes after the models reads a table: their Python tasks aren't in its plan."""
+    from genolake.config import Config
+    from genolake.plans import pipeline
+
+    cell = queries_models.cell_sites(spark, sf_dir).where("chr = 'chr1'")
+    plan = pipeline.analyse(cell, queries_models._fits(spark), Config("bulk", ("cell",)), stages=("ab", "models"))._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "FlatMapGroupsInPandas" not in plan
+
+
+@pytest.mark.parametrize("d", [0, 1, 7, 60, 250])
+def test_read_probabilities_by_powers(d):
+    """Powers give what logarithms do, far out as well, where a fraction is 1 to the last digit."""
+    mu, sd = np.array([0.0, -3.1, 2.4, 40.0, -30.0]), np.array([0.0, 1.5, 0.2, 1.0, 0.5])
+    got = gauss_hermite.read_probabilities(d, mu, sd)
+    assert np.isfinite(got).all() and got.sum(axis=1) == pytest.approx(np.ones(5))
+    x, w = gauss_hermite.nodes()
+    for k in range(5):
+        b = math.sqrt(2) * sd[k] * x + mu[k]
+        each = [sum(wi * math.exp(math.lgamma(d + 1) - math.lgamma(y + 1) - math.lgamma(d - y + 1) - y * np.logaddexp(0, -bi) - (d - y) * np.logaddexp(0, bi)) for bi, wi in zip(b, w, strict=True)) / math.sqrt(math.pi) for y in range(d + 1)]
+        assert got[k] == pytest.approx(np.array(each), rel=1e-6, abs=1e-12)
