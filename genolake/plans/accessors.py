@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import aggs, windows
 from ..sources import stored
@@ -28,9 +29,10 @@ def shared_table(parts: Sequence[DataFrame], contigs: Sequence[str] = ()) -> Dat
     if out is None:
         raise ValueError("no tables")
     rest = [c for c in SHARED if c not in KEY]
-    # of rows that a table repeats the smallest
-    one = out.groupBy(*KEY).agg(F.min(F.struct("_part", *rest)).alias("_r")).select(*KEY, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    return one.select(*SHARED).orderBy(ordinal(F.col("chr"), contigs), "chr", "pos", "refnt", "altnt", "sample")
+    # of rows that a table repeats the smallest; rows are sorted once, and written, as an order over them looks at them twice
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("_part", *rest))
+    one = stored.written(out.withColumn("_k", first).where("_k = 1").select(*SHARED), "shared")
+    return one.orderBy(ordinal(F.col("chr"), contigs), "chr", "pos", "refnt", "altnt", "sample")
 
 
 def ordinal(chromosome: Column, contigs: Sequence[str]) -> Column:

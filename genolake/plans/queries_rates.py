@@ -121,7 +121,8 @@ def sensitivity_covariates(spark, sf_dir):
   CASE WHEN dp % 2 = 0 THEN training_site END AS resampled_training_site, pass, NULL::BOOLEAN AS rescue, training_pass FROM called WHERE pass OR dp % 2 = 0""")
 def shared_columns(spark, sf_dir):
     """The columns that tables of several samples share, of calls and of another part of the sites that overlaps them."""
-    s = stored.written(called_sites(spark, sf_dir).withColumn("sample", F.concat(F.lit("s"), (F.col("pos") % 3).cast("string"))), "called")
+    called = called_sites(spark, sf_dir).withColumn("sample", F.concat(F.lit("s"), (F.col("pos") % 3).cast("string"))).where("pass or dp % 2 = 0")
+    s = stored.written(called.select("training_site", *[c for c in accessors.SHARED if c in called.columns]), "called")
     even = s.where("dp % 2 = 0").withColumn("resampled_training_site", F.col("training_site"))
     return accessors.shared_table([even, s.where("pass")], [f"chr{k}" for k in range(1, 23)]).withColumns({"af": F.round("af", 6), "abc_pv": F.round("abc_pv", 6)})
 

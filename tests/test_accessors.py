@@ -63,3 +63,14 @@ def test_signatures_are_checked(spark):
     for rows, why in (([("snv", "z", 1.0)], "z is not known"), ([("snv", "a", -1.0)], "no share"), ([("snv", "a", 0.0)], "empty"), ([("snv", "a", 1.0), ("snv", "a", 2.0)], "repeated")):
         with pytest.raises(ValueError, match=why):
             inputs.signatures(make(rows), channels)
+
+
+def test_shared_table_sorts_rows_once(spark):
+    """The first table's row, of several the smallest with NULLs first; no aggregate that sorts, and the order is over a written table."""
+    schema = "sample string, chr string, pos int, refnt string, altnt string, muttype string, af double, dp int"
+    one = spark.createDataFrame([("s", "1", 5, "A", "C", "snv", 0.5, 9), ("s", "1", 5, "A", "C", "snv", None, 30), ("s", "2", 1, "A", "C", "snv", 0.1, 8)], schema)
+    two = spark.createDataFrame([("s", "1", 5, "A", "C", "indel", None, 1), ("s", "1", 7, "A", "C", "indel", 0.2, 3)], schema)
+    got = accessors.shared_table([one, two], ["2", "1"])
+    assert [(r["chr"], r["pos"], r["muttype"], r["af"], r["dp"]) for r in got.collect()] == [("2", 1, "snv", 0.1, 8), ("1", 5, "snv", None, 30), ("1", 7, "indel", 0.2, 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "parquet" in plan.lower()
