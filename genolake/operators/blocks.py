@@ -33,7 +33,7 @@ def passed(df: DataFrame, by: Sequence[str], local: Sequence[Columns], summary:
     and of all later blocks, columns from the summaries, each step from those before.
     Rows without a position or a key have no place in the order and are left out.
     """
-    out = blocked(df, pos, width)
+    out = stored.dealt(blocked(df, pos, width), *by, BLOCK)
     for columns in local:
         out = out.withColumns(columns)
     rows = stored.written(out, "blocks")

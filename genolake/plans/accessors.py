@@ -67,5 +67,6 @@ def combined_neighbours(calls: DataFrame, by: Sequence[str] = ("sample", "chr"),
     merged = windows.merge_neighbours(single, by, max_read_diff).select(*by, "pos", "refnt", "altnt", "muttype", F.col("n").cast("int").alias("n_combined"))
     merged = stored.written(merged, "neighbours")
     members = merged.select(*by, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n_combined") - 1)).alias("pos"))
-    rest = single.join(members, [*by, "pos"], "left_anti").unionByName(calls.where("muttype <> 'snv'")).withColumn("n_combined", F.lit(1))
+    # merged: the neighbours' files may be so small that they would be sent whole to every task, where they take a hundred times as much
+    rest = single.join(stored.dealt(members, *by, "pos", of=calls).hint("merge"), [*by, "pos"], "left_anti").unionByName(calls.where("muttype <> 'snv'")).withColumn("n_combined", F.lit(1))
     return rest.unionByName(merged, allowMissingColumns=True)

@@ -99,9 +99,10 @@ def adjacent_calls(spark, sf_dir):
     """Calls of four samples, many at adjacent positions."""
     key = F.col("l_orderkey")
     base = lambda s: F.substring(F.lit(s), (key % 4 + 1).cast("int"), F.lit(1))
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("sample"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 3).cast("string")).alias("chr"), key.cast("int").alias("pos"),
-        base("ACGT").alias("refnt"), base("CGTA").alias("altnt"), (key % 5).cast("int").alias("scalt"), (key % 3 + 10).cast("int").alias("scref")).distinct()
+        base("ACGT").alias("refnt"), base("CGTA").alias("altnt"), (key % 5).cast("int").alias("scalt"), (key % 3 + 10).cast("int").alias("scref"))
+    return stored.dealt(rows, "sample", "chr", "pos").distinct()
 
 
 @query(f"WITH {duck('track')}, f AS (SELECT chr, pos, event_id, user_id % 2 AS v FROM track_v), n AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS s FROM f WINDOW w AS (PARTITION BY chr ORDER BY pos, event_id)), i AS (SELECT chr, v, sum(s) OVER (PARTITION BY chr ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT chr, island::BIGINT AS island, v, count(*) AS n FROM i GROUP BY chr, island, v")

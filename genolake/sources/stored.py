@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Tables that are still there, oldest first: their session and folder.
 _TABLES: list[tuple[SparkSession, str]] = []
+#: Rows of the tables read that ``dealt`` gives a task.
+ROWS = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,3 +71,15 @@ def drop(df: DataFrame) -> None:
             _TABLES.append(_TABLES.pop(k))
             forget(len(_TABLES) - 1)
             return
+
+
+def rows_read(df: DataFrame) -> int:
+    """The rows of all Parquet files that a DataFrame reads, from their footers; 0 if it reads none."""
+    files = [unquote(f) for f in df.inputFiles() if f.endswith(".parquet")]
+    return df.sparkSession.read.schema("_ int").parquet(*files).count() if files else 0
+
+
+def dealt(df: DataFrame, *keys: str | Column, of: DataFrame | None = None) -> DataFrame:
+    """The same rows, by keys in as many partitions as the tables read (by ``of``, if given) ask for, so that a task's part doesn't grow with them; small ones as Spark deals them."""
+    n = -(-rows_read(df if of is None else of) // ROWS)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
