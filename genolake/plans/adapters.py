@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import stored
+
 SPARK_SECS = "timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)"
 DUCK_SECS = "date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts)"
 
-SITE = """
-SELECT chr, pos, refnt, altnt, max(dp) AS dp, least(max(scalt), max(dp)) AS scalt, max(bulk_dp) AS bulk_dp,
-       least(max(balt), max(bulk_dp)) AS balt, min(dbsnp) AS dbsnp, max(phased_gt) AS phased_gt,
-       max(unique_donors) AS unique_donors, max(unique_cells) AS unique_cells, max(max_out) AS max_out
-FROM (SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr,
+SITE_ROWS = """SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr,
          CAST(l_orderkey*100 + l_linenumber*10 + l_partkey % 10 AS INT) AS pos,
          substr('ACGT', CAST(l_partkey % 4 + 1 AS INT), 1) AS refnt,
          CASE WHEN l_linestatus='F' THEN substr('ACGT', CAST((l_partkey + 1 + l_linenumber % 3) % 4 + 1 AS INT), 1)
@@ -29,7 +27,12 @@ FROM (SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr,
               WHEN l_returnflag='A' THEN './.' END AS phased_gt,
          nullif(CAST(l_suppkey % 4 AS INT), 0) AS unique_donors, CAST(l_linenumber % 4 AS INT) AS unique_cells,
          CAST(l_linenumber AS INT) AS max_out
-  FROM lineitem) b
+  FROM lineitem"""
+SITE = f"""
+SELECT chr, pos, refnt, altnt, max(dp) AS dp, least(max(scalt), max(dp)) AS scalt, max(bulk_dp) AS bulk_dp,
+       least(max(balt), max(bulk_dp)) AS balt, min(dbsnp) AS dbsnp, max(phased_gt) AS phased_gt,
+       max(unique_donors) AS unique_donors, max(unique_cells) AS unique_cells, max(max_out) AS max_out
+FROM ({SITE_ROWS}) b
 GROUP BY chr, pos, refnt, altnt"""
 SAMPLE_COUNTS = """
 SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr, CAST(l_orderkey AS INT) AS pos,
@@ -47,9 +50,21 @@ SELECT concat('chr', CAST(o_custkey % 22 + 1 AS STRING)) AS chr, CAST(o_orderkey
        CAST(o_orderkey*10 + 2 + o_custkey % 400 AS INT) AS end_ FROM orders"""
 VIEWS = {"site": (SITE, "lineitem"), "sample_counts": (SAMPLE_COUNTS, "lineitem"), "depth": (DEPTH, "lineitem"), "track": (TRACK, "events"), "bins": (BINS, "events"), "interval": (INTERVAL, "orders")}
 
+#: Of views that group rows by place: the rows, and the groups.
+_ROWS = {"site": SITE_ROWS, "sample_counts": "SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr, CAST(l_orderkey AS INT) AS pos, concat(l_returnflag, l_linestatus) AS sample, l_quantity, l_discount FROM lineitem"}
+_GROUPS = {"site": SITE.replace(SITE_ROWS, "SELECT * FROM {rows}"), "sample_counts": SAMPLE_COUNTS.replace("concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr, CAST(l_orderkey AS INT) AS pos", "chr, pos").replace("concat(l_returnflag, l_linestatus) AS sample", "sample").replace("FROM lineitem GROUP BY 1, 2, 3", "FROM {rows} GROUP BY chr, pos, sample")}
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view's rows.
+
+    Those of a place are grouped where they have been dealt to: before, next to none
+    have one in common.  Groups are sorted by position first, which tells most apart.
+    """
     text, base = VIEWS[name]
+    if name in _ROWS:
+        rows = spark.sql(_ROWS[name].replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+        return spark.sql(_GROUPS[name].replace("GROUP BY chr, pos", "GROUP BY pos, chr"), rows=stored.dealt(rows, "chr", "pos"))
     text = text.replace("{SECS}", SPARK_SECS).replace(f"FROM {base}", "FROM {base}")
     return spark.sql(text, base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
 
