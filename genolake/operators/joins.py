@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import stored
 from . import blocks
 
 
@@ -59,7 +60,7 @@ def nearest(left: DataFrame, right: DataFrame, *, by: str = "chr", pos: str = "p
     Rows at or after the last position of right get NULL, or with
     ``right_edge="nearest"`` that position; rows before the first get the first.
     """
-    points = right.select(by, pos).distinct().select(by, pos, F.col(pos).alias("_at"))
+    points = stored.dealt(right.select(by, pos), by, pos).distinct().select(by, pos, F.col(pos).alias("_at"))
     rows = left.withColumn("_at", F.lit(None).cast(right.schema[pos].dataType)).withColumn("_row", F.lit(True))
     both = rows.unionByName(points.withColumn("_row", F.lit(False)), allowMissingColumns=True)
     upto = blocks.inside([by], pos).rangeBetween(Window.unboundedPreceding, 0)
