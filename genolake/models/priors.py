@@ -32,17 +32,22 @@ def fits_under(n: int, g: np.ndarray, s: np.ndarray) -> float:
     """
     if n <= 0:
         return 1.0
-    at, total = 0, np.ones(1)
+    parts = []
     for mean, most in zip((g / g.sum() * n).tolist(), s.astype(int).tolist(), strict=True):
         reach = 12 * math.sqrt(mean) + 30
         low, high = max(0, int(mean - reach)), min(most, n, int(mean + reach))
         if high < low:
             return 0.0
+        parts.append((mean, low, high))
+    least, greatest = sum(low for _, low, _ in parts), sum(high for _, _, high in parts)
+    at, total = 0, np.ones(1)
+    for mean, low, high in parts:
         k = np.arange(low, high + 1)
         first = low * math.log(mean) - mean - math.lgamma(low + 1) if mean > 0 else 0.0
         log = first + np.append(0.0, np.cumsum(np.log(mean / k[1:]))) if mean > 0 else np.where(k == 0, 0.0, -np.inf)
-        total, at = np.convolve(total, np.exp(log)), at + low
-        total = total[: n - at + 1] if at <= n else total[:0]
+        total, at, least, greatest = np.convolve(total, np.exp(log)), at + low, least - low, greatest - high
+        skip = max(0, n - greatest - at)  # sums that the bins to come can still bring to n
+        total, at = total[skip : max(skip, n - least - at + 1)], at + skip
         if not len(total):
             return 0.0
     if n - at >= len(total):
@@ -91,7 +96,7 @@ def depth_bounds(sites: DataFrame, params: dict[str, Params], share: float = 0.8
 def histograms(sites: DataFrame, bounds: DataFrame, params: dict[str, Params], bins: int = 20) -> DataFrame:
     """(muttype, dp_idx, bin, g, s): germline sites with reads of the allele and candidates, by depth and allele fraction."""
     germline, candidate = populations(params)
-    rows = sites.select("muttype", "dp", "af", (germline & (F.col("af") > 0)).alias("_g"), (candidate & F.col("af").isNotNull()).alias("_s")).where("_g or _s").join(bounds, "muttype")
+    rows = sites.select("muttype", "dp", "af", (germline & (F.col("af") > 0)).alias("_g"), (candidate & F.col("af").isNotNull()).alias("_s")).where("_g or _s").join(F.broadcast(bounds), "muttype")  # a row for each type: else all rows of a type meet in one task
     return rows.groupBy("muttype", exprs.depth_index(F.col("dp"), F.col("max_dp")).alias("dp_idx"), exprs.vaf_bin(F.col("af"), F.col("dp"), bins).alias("bin")).agg(F.count_if("_g").alias("g"), F.count_if("_s").alias("s"))
 
 
@@ -102,7 +107,8 @@ def burdens(histograms_: DataFrame) -> DataFrame:
         low, high = burden(part["g"].to_numpy(float), part["s"].to_numpy(float))
         return pd.DataFrame({"muttype": [part["muttype"].iloc[0]], "dp_idx": [part["dp_idx"].iloc[0]], "low": [low], "high": [high]})
 
-    return histograms_.select(*KEY, "g", "s").groupBy(*KEY).applyInPandas(run, "muttype string, dp_idx int, low double, high double")
+    # small rows, much work: by a number, so that they aren't put together
+    return histograms_.select(*KEY, "g", "s").repartition(4 * histograms_.sparkSession.sparkContext.defaultParallelism, *KEY).groupBy(*KEY).applyInPandas(run, "muttype string, dp_idx int, low double, high double")
 
 
 def tables(histograms_: DataFrame, burdens_: DataFrame, bins: int = 20, eps: float = EPS) -> DataFrame:
@@ -126,23 +132,29 @@ def tables(histograms_: DataFrame, burdens_: DataFrame, bins: int = 20, eps: flo
 
 
 def priors(histograms_: DataFrame, eps: float = EPS) -> DataFrame:
-    """``tables`` of histograms with their own burdens; a few hundred depths of 20 bins."""
-    return tables(histograms_, burdens(histograms_), eps=eps)
+    """``tables`` of histograms with their own burdens; a few hundred depths of 20 bins, written as they are read four times."""
+    counted = stored.written(histograms_, "histograms")
+    return tables(counted, burdens(counted), eps=eps)
+
+
+def counts(sites: DataFrame, params: dict[str, Params], bins: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``depth_bounds`` and ``histograms`` of the sites, written."""
+    bounds = stored.written(depth_bounds(sites, params), "depth-bounds")
+    return bounds, stored.written(histograms(sites, bounds, params, bins), "prior-histograms")
 
 
-def assign(sites: DataFrame, params: dict[str, Params], known: DataFrame | None = None, bins: int = 20, eps: float = EPS) -> DataFrame:
+def assign(sites: DataFrame, params: dict[str, Params], known: DataFrame | None = None, bins: int = 20, eps: float = EPS, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Adds nt and na by depth and allele fraction; training sites with enough reads of the allele have those of a site left out.
 
     ``known`` are burdens (muttype, dp_idx, high) of a run before, instead of those
-    of the sites.  The sites' type, dp, af, scalt, bulk_dp, training_site and
+    of the sites, ``counted`` what ``counts`` gives for the sites, if it is there already.  The sites' type, dp, af, scalt, bulk_dp, training_site and
     somatic_candidate are read; a depth or bin that no population has gets ``eps``
     (bins of a depth that has germline sites: as ``tables`` says), a site without
     a depth NULL.
     """
-    bounds = stored.written(depth_bounds(sites, params), "depth-bounds")
-    counted = stored.written(histograms(sites, bounds, params, bins), "prior-histograms")
-    table = stored.written(tables(counted, burdens(counted) if known is None else known, bins, eps).select(*KEY, F.col("bin").alias("_bin"), "nt", "na", "loo_nt", "loo_na"), "priors")
-    at = sites.drop("nt", "na").join(bounds, "muttype", "left").withColumns({"dp_idx": exprs.depth_index(F.col("dp"), F.col("max_dp")), "_bin": exprs.vaf_bin(F.col("af"), F.col("dp"), bins)})
+    bounds, histograms_ = counts(sites, params, bins) if counted is None else counted
+    table = stored.written(tables(histograms_, burdens(histograms_) if known is None else known, bins, eps).select(*KEY, F.col("bin").alias("_bin"), "nt", "na", "loo_nt", "loo_na"), "priors")
+    at = sites.drop("nt", "na").join(F.broadcast(bounds), "muttype", "left").withColumns({"dp_idx": exprs.depth_index(F.col("dp"), F.col("max_dp")), "_bin": exprs.vaf_bin(F.col("af"), F.col("dp"), bins)})
     left_out = F.coalesce(F.col("training_site") & (F.col("scalt") >= by_type(params, lambda x: x.min_sc_alt)), F.lit(False))
     pick = lambda c: F.when(F.col("dp_idx").isNotNull(), F.coalesce(F.when(left_out, F.col(f"loo_{c}")).otherwise(F.col(c)), F.lit(eps)))
     got = at.join(table, [*KEY, "_bin"], "left")
