@@ -41,10 +41,10 @@ FROM (SELECT p.* EXCLUDE (nt, na), coalesce(CASE WHEN training_site AND scalt >=
   FROM placed p LEFT JOIN full_tab t ON p.muttype = t.muttype AND p.dp_idx = t.dp_idx AND p.bin = t.bin) x""")
 def prior_rates(spark, sf_dir):
     """Prior counts and rates of all sites for burdens known before (a third of the candidates of a depth); training sites as left out."""
-    s = stored.written(_candidates(spark, sf_dir), "sites")
-    counted = stored.written(priors.histograms(s, priors.depth_bounds(s, PARAMS), PARAMS), "prior-histograms")
-    known = counted.groupBy("muttype", "dp_idx").agg(F.floor(F.sum("s") / 3).cast("double").alias("high"))
-    rated = priors.assign(s, PARAMS, known)
+    s = stored.written(_candidates(spark, sf_dir).select(*SITE_KEY, "muttype", "dp", "af", "scalt", "bulk_dp", "training_site", "somatic_candidate", "lysis_pv", "lysis_beta"), "sites")
+    counted = priors.counts(s, PARAMS)
+    known = counted[1].groupBy("muttype", "dp_idx").agg(F.floor(F.sum("s") / 3).cast("double").alias("high"))
+    rated = priors.assign(s, PARAMS, known, counted=counted)
     return rated.select(*SITE_KEY, r6("nt"), r6("na"), r6(filters.fdr(F.col("lysis_pv"), F.col("lysis_beta"), F.col("nt"), F.col("na")), "lysis_fdr"))
 
 
