@@ -42,9 +42,12 @@ DEFAULTS = {"snv": Params(), "indel": Params(use_panel=True)}
 
 def by_type(params: dict[str, Params], value) -> Column:
     """A threshold of the row's own type; NULL for other types."""
+    values = {muttype: value(p) for muttype, p in params.items()}
+    if len(set(values.values())) == 1:  # the most: one branch, as long code is not compiled
+        return F.when(F.col("muttype").isin(*values), F.lit(next(iter(values.values()))))
     out = F.lit(None)
-    for muttype, p in params.items():
-        out = F.when(F.col("muttype") == muttype, F.lit(value(p))).otherwise(out)
+    for muttype, v in values.items():
+        out = F.when(F.col("muttype") == muttype, F.lit(v)).otherwise(out)
     return out
 
 
