@@ -114,6 +114,7 @@ SELECT *, {', '.join(_NEAR.format(c=f'{t}_{c}', n=f'{t}_{n}') for t in ('snv', '
 def sensitivity_covariates(spark, sf_dir):
     """Training sites, those that would be called, and calls of each tile, by type and allele, and in its neighbourhood."""
     called = called_sites(spark, sf_dir).select("chr", "pos", "muttype", "af", "training_site", "training_pass", "pass")
+    called = stored.written(called, "called")  # a filter and eighteen counts name what many tests tell
     return sensitivity.covariates(intervals.fixed_tiles(intervals.contigs(spark, _CONTIGS), 100_000), called, 2)
 
 
