@@ -48,14 +48,30 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if textbatch.library_tokenizer(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def flat_ids(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a chunk's documents and how many each has, from its bytes."""
+    return data.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def distinct(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of documents that lie one after the other, ascending in each, how often each is, and how many a document has: by one sort."""
+    kind, shift = (np.uint32, 16) if ids.itemsize == 2 and len(size) <= 1 << 16 else (np.uint64, 32)
+    key = np.repeat(np.arange(len(size), dtype=kind), size) << kind(shift) | ids.astype(kind)
+    key.sort()
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    key = key[at]
+    return (key & kind((1 << shift) - 1)).astype(np.int64), np.diff(np.append(at, len(ids))), np.bincount((key >> kind(shift)).astype(np.int64), minlength=len(size))
+
+
 def document_frequencies(ids: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     """In how many documents each id is; a row for each id of the vocabulary at most comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for row in batch.column(0).to_pylist():
-                seen[np.unique(np.frombuffer(row, kind))] += 1
+        for _, data, offsets in textbatch.chunks(batches, "ids"):
+            seen += np.bincount(distinct(*flat_ids(data, offsets, kind))[0], minlength=vocabulary)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
 
@@ -74,12 +90,13 @@ def projection(idf: np.ndarray) -> np.ndarray:
     return (2 * signs.astype(np.float32) - 1) * idf.astype(np.float32)[:, None]
 
 
-def term_vectors(rows: list, kind: str, projected: np.ndarray) -> np.ndarray:
+def term_vectors(ids: np.ndarray, size: np.ndarray, projected: np.ndarray) -> np.ndarray:
     """The projected term vector of each document, of length 256, in whole numbers: products of them are exact in any order."""
-    out = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for k, row in enumerate(rows):
-        terms, counts = np.unique(np.frombuffer(row, kind), return_counts=True)
-        out[k] = (counts / (counts + K1)).astype(np.float32) @ projected[terms]
+    out = np.zeros((len(size), DIMENSIONS), np.float32)
+    terms, counts, length = distinct(ids, size)
+    weights, ends = (counts / (counts + K1)).astype(np.float32), np.cumsum(length)
+    for k, (a, b) in enumerate(zip((ends - length).tolist(), ends.tolist(), strict=True)):
+        out[k] = weights[a:b] @ projected[terms[a:b]]
     return np.rint(256 * out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -182,8 +199,8 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        for batch in batches:
-            found = term_vectors(batch.column("ids").to_pylist(), kind, projected.value).astype("<i2")
+        for batch, data, offsets in textbatch.chunks(batches, "ids"):
+            found = term_vectors(*flat_ids(data, offsets, kind), projected.value).astype("<i2")
             yield pa.RecordBatch.from_arrays([batch.column("salt"), batch.column("n"), pa.array([v.tobytes() for v in found], pa.binary())], ["salt", "n", "vector"])
 
     share = max(SAMPLE, LEAF_SAMPLE * shards) / max(1, rows)
@@ -195,8 +212,8 @@ def dealt(ids: DataFrame, kind: str, idf: np.ndarray, rows: int, shards: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        for batch in batches:
-            found = term_vectors(batch.column("ids").to_pylist(), kind, projected.value)
+        for batch, data, offsets in textbatch.chunks(batches, "ids"):
+            found = term_vectors(*flat_ids(data, offsets, kind), projected.value)
             centres, tree = model.value
             leaf = leaf_of(tree, centres[nearest(found, centres)], batch.column("salt").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n", "ids")] + [pa.array(leaf)], ["doc_id", "n", "ids", "shard"])
@@ -217,13 +234,11 @@ def ordered(lists: list[np.ndarray], idf: np.ndarray, window: int, query_terms:
     docs = len(lists)
     size = np.array([len(x) for x in lists])
     mean = max(1.0, size.mean())
-    terms, counts = zip(*(np.unique(x, return_counts=True) for x in lists), strict=True)
-    length = np.array([len(t) for t in terms])
+    term_of, counts, length = distinct(np.concatenate(lists), size)
     doc_of = np.repeat(np.arange(docs), length)
-    term_of = np.concatenate(terms).astype(np.int64)
-    tf = np.concatenate(counts).astype(np.float64)
+    tf = counts.astype(np.float64)
     impact = idf[term_of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc_of] / mean))
-    by_term = np.argsort(term_of, kind="stable")
+    by_term = np.argsort(term_of.astype(lists[0].dtype), kind="stable")  # 16-bit numbers are sorted by their digits
     post_doc, post_impact = doc_of[by_term], impact[by_term]
     values, begins = np.unique(term_of[by_term], return_index=True)
     stops = np.append(begins[1:], len(by_term))

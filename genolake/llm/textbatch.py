@@ -156,23 +156,37 @@ def lower_case_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
 
     in the lower-case form of documents of code points below U+0300, in bytes of the texts as they are.
+    Such code points have two bytes at most, so that classes are those of bytes.
     """
-    if not len(data):
+    n = len(data)
+    if not n:
         return (np.empty(0, np.int64),) * 3
-    points, at = _points(data)
-    run, stop, what, followed = _runs(points, at, offsets)
-    mark = np.zeros(len(points) + 1, bool)
-    mark[run] = True
-    number = np.flatnonzero(what == NUMBER)
-    for k in number[(stop - run)[number] > 1].tolist():
-        mark[run[k] : stop[k]] = True
-    capital = (points >= 0x41) & (points <= 0x5A)
-    _contractions(mark, points + np.uint32(32) * capital, run, stop - run, what, followed)
-    begins = np.flatnonzero(mark[:-1])
-    ends = np.append(begins[1:], len(points))
-    solid = code_point_classes()[points[begins]] != SPACE
-    starts, ends = at[begins[solid]], np.append(at, len(data))[ends[solid]]
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    classes = code_point_classes()[:0x300]
+    kind = np.frombuffer(bytearray(data.tobytes().translate(classes[:256].tobytes())), np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    kind[lead] = kind[lead + 1] = classes[((data[lead].astype(np.int64) & 0x1F) << 6) | (data[lead + 1] & 0x3F)]
+    fresh = np.zeros(n + 4, bool)
+    fresh[offsets] = True
+    fresh[n:] = True
+    mark = fresh.copy()
+    mark[1:n] |= kind[1:] != kind[:-1]
+    # a lone apostrophe takes s, t, m, d, re, ve or ll from the letters after it
+    quote = np.flatnonzero(data == 0x27)
+    quote = quote[mark[quote] & mark[quote + 1] & ~fresh[quote + 1]]
+    quote = quote[kind[quote + 1] == LETTER]
+    one, two = (data[np.minimum(quote + k, n - 1)] | 0x20 for k in (1, 2))
+    single = ~mark[quote + 2]
+    pair = single & np.isin(one.astype(np.int64) << 8 | two, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")])
+    alone = np.isin(one, [ord(c) for c in "stmd"])
+    longer = quote[pair & ~mark[quote + 3]] + 3, quote[alone & single] + 2
+    mark[quote[alone | pair] + 1] = False
+    for at in longer:
+        mark[at] = True
+    mark[:n] |= (kind == NUMBER) & ((data & 0xC0) != 0x80)
+    begins = np.flatnonzero(mark[: n + 1])
+    solid = np.flatnonzero(kind[begins[:-1]] != SPACE)
+    starts, ends = begins[solid], begins[solid + 1]
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -253,8 +267,14 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]
 
 def ragged_places(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of spans of an array, one after the other."""
+    if (size == 0).any():
+        starts, size = starts[size > 0], size[size > 0]
     ends = np.cumsum(size)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - size), size)
+    steps = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(ends):
+        steps[0] = starts[0]
+        steps[ends[:-1]] = starts[1:] - (starts[:-1] + size[:-1] - 1)
+    return np.cumsum(steps)
 
 
 def ragged_spans(values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -297,7 +317,9 @@ class SpanEncoder:
 
     def place(self, hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where spans are in the table, by two hashes, and whether they are there."""
-        at = np.searchsorted(self.hashes, hashes)
+        order = np.argsort(hashes)  # neighbours are looked up one after the other
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
         if not len(self.hashes):
             return at, np.zeros(len(hashes), bool)
         at = np.minimum(at, len(self.hashes) - 1)
@@ -349,6 +371,11 @@ def byte_level_encoding(path: str):
     return tiktoken.Encoding("spans", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def specification(path: str) -> dict:
+    return json.loads(library_tokenizer(path).to_str())
+
+
 BYTES, WORDS = "bytes", "words"
 #: Fixed value: the split of lower-case word vocabularies, as their files write it; see ``lower_case_tokens``.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -362,7 +389,7 @@ def shape(path: str) -> str | None:
     ``pattern_tokens``.  WORDS: pairs with word ends, split by ``lower_case_tokens``
     after lower-casing.  None: anything else, which only the library itself encodes.
     """
-    spec = json.loads(library_tokenizer(path).to_str())
+    spec = specification(path)
     model, normal, pre = spec["model"], spec["normalizer"], spec["pre_tokenizer"] or {}
     if model["type"] != "BPE" or any(model.get(c) for c in ("dropout", "unk_token", "byte_fallback", "ignore_merges", "continuing_subword_prefix")):
         return None
@@ -377,23 +404,74 @@ def shape(path: str) -> str | None:
     return WORDS if lowered and cut and model.get("end_of_word_suffix") == "</w>" else None
 
 
+@functools.cache
+def letter_word_encoding(path: str):
+    """A vocabulary of word ends (WORDS) for tiktoken, of words a to z alone: the last letter of a word is written as a capital.
+
+    None, if tiktoken might give other ids than the library.  It merges two pieces
+    wherever the vocabulary has them joined, in the order of the ids; the library
+    goes by its list of pairs.  Both are the same if the list is in the order of the
+    ids and the library encodes each piece as that piece: two pieces that come
+    to stand side by side do so in their joined string alone as well.
+    """
+    import tiktoken
+
+    tokenizer = library_tokenizer(path)
+    model = specification(path)["model"]
+    kept = {t: k for t, k in model["vocab"].items() if (w := t.removesuffix("</w>")).isascii() and w.isalpha() and w.islower()}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    merged = [k for m in model["merges"] if (k := kept.get("".join(m.split(" ") if isinstance(m, str) else m))) is not None]
+    if merged != sorted(set(merged)) or len(merged) + 52 != len(kept) or not {*letters, *(f"{c}</w>" for c in letters)} <= kept.keys():
+        return None
+    after = "\u01bf"  # a letter that no piece of a to z goes on with
+    tail = tokenizer.encode(after, add_special_tokens=False).ids
+    whole, parts = ([t for t in kept if t.endswith("</w>") == end] for end in (True, False))
+    for some, end, rest in ((whole, "\n", []), (parts, after + "\n", tail)):
+        got = tokenizer.encode("".join(t.removesuffix("</w>") + end for t in some), add_special_tokens=False).ids
+        if got != [k for t in some for k in (kept[t], *rest)]:
+            return None
+    ranks = {(w[:-1] + w[-1].upper() if (w := t.removesuffix("</w>")) != t else t).encode(): k for t, k in kept.items()}
+    return tiktoken.Encoding("words", pat_str="[a-z]*[A-Z]", mergeable_ranks=ranks, special_tokens={})
+
+
+#: Bytes of a word that tiktoken takes; longer ones go to the library, whose time grows with the length.
+LETTER_WORD = 256
+
+
 @functools.cache
 def span_encoder(path: str) -> SpanEncoder:
-    """An encoder by the tokenizers library for spans that its pre-tokenizer doesn't cut, without special tokens."""
+    """An encoder for spans that a file's pre-tokenizer doesn't cut, by the tokenizers library or with equal ids, without special tokens."""
     tokenizer = library_tokenizer(path)
     word_end = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, k in tokenizer.get_vocab().items():
         word_end[k] = token.endswith("</w>")
 
-    def joined(words: list[bytes]) -> list[bytes]:
-        """White space is dropped and each span ends in a token with a word end: many spans go as one text."""
+    def cut(ids: list[int]) -> list[bytes]:
+        """Each span ends in a token with a word end."""
+        ids = np.asarray(ids, np.int32)
+        ends, packed = ((np.flatnonzero(word_end[ids]) + 1) * 4).tolist(), ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def by_library(words: list[bytes]) -> list[bytes]:
+        """White space is dropped: many spans go as one text."""
+        return [x for k in range(0, len(words), 200) for x in cut(tokenizer.encode_batch_fast([b"\n".join(words[k : k + 200]).decode("utf-8")], add_special_tokens=False)[0].ids)]
+
+    def of_letters(words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(words), 2000):
-            ids = np.asarray(tokenizer.encode(b"\n".join(words[k : k + 2000]).decode("utf-8"), add_special_tokens=False).ids, np.int32)
-            ends, packed = ((np.flatnonzero(word_end[ids]) + 1) * 4).tolist(), ids.tobytes()
-            out += [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            text = np.frombuffer(b"".join(some).lower(), np.uint8).copy()
+            text[np.cumsum(np.fromiter(map(len, some), np.int64, len(some))) - 1] -= 32
+            out += cut(letter_word_encoding(path).encode_ordinary(text.tobytes().decode()))
         return out
 
+    def joined(words: list[bytes]) -> list[bytes]:
+        if letter_word_encoding(path) is None:
+            return by_library(words)
+        plain = [w.isalpha() and len(w) <= LETTER_WORD for w in words]
+        letters, others = (iter(encode([w for w, p in zip(words, plain, strict=True) if p == kind])) for kind, encode in ((True, of_letters), (False, by_library)))
+        return [next(letters) if p else next(others) for p in plain]
+
     def single(words: list[bytes]) -> list[bytes]:
         """A byte-level vocabulary in the order of its merges: tiktoken gives the same ids for a span, in a third of the time."""
         piece = byte_level_encoding(path)._encode_single_piece

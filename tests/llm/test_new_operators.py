@@ -1,4 +1,4 @@
-"""Operators 11 to 13 against the library, against every pair of rows and against every pair of words."""
+"""Operators 11 to 13 against the library, against every pair of rows and against every pair of words; steps of operator 3."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from genolake.llm import hard_negatives, queries, spelling, textbatch, token_counts
+from genolake.llm import hard_negatives, packing, queries, spelling, textbatch, token_counts
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def library_counts(texts):
@@ -195,3 +196,40 @@ def test_roots_follow_long_chains(spark):
 def test_variants_of_documents(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, sf_dir, "documents").collect()]
     assert sorted(map(tuple, queries.op13_spelling(spark, sf_dir).collect())) == brute_variants(slipped_words(docs))
+
+
+def test_letter_words_are_encoded_as_the_library_does():
+    """Words of a to z don't go through the library; all others and long ones do."""
+    rng = random.Random(2)
+    assert textbatch.letter_word_encoding(WORDS) is not None
+    vocabulary = [t.removesuffix("</w>") for t in textbatch.library_tokenizer(WORDS).get_vocab()]
+    words = [t for t in vocabulary if t.isascii() and t.isalpha()]
+    words += ["".join(rng.choice("etaoinshrdlucmfwypvbgkjqxzETAéß") for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    words += ["x" * 5000, "aB" * 200, "a", "Z", "é", "1", "!?"]
+    got = textbatch.span_encoder(WORDS).encode([w.encode() for w in words])
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [e.ids for e in textbatch.library_tokenizer(WORDS).encode_batch(words, add_special_tokens=False)]
+
+
+def test_lower_case_tokens_follow_the_pattern():
+    import regex
+
+    rng = random.Random(4)
+    pattern = regex.compile(textbatch.WORD_SPLIT)
+    pieces = ["'", "'", "s", "T", "re", "VE", "ll", "L", "d", "m", "é", "ÿ", "Ñ", "²", "½", " ", "\n", "\u0085", "1", "23", "!", "ʰ", "˙", "ª", "\x00"]
+    for _ in range(500):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(12)]
+        raw = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw]))
+        starts, ends, doc = textbatch.lower_case_tokens(data, offsets)
+        want = [(k, t[m.start() : m.end()].encode()) for k, t in enumerate(texts) for m in pattern.finditer(t.lower())]
+        assert list(zip(doc.tolist(), textbatch.spans(data, starts, ends), strict=True)) == want
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4", "<i8"])
+def test_distinct_ids_by_one_sort(kind):
+    rng = np.random.default_rng(6)
+    lists = [rng.integers(0, 60_000 if k % 3 else 20, k % 50).astype(kind) for k in range(300)]
+    terms, counts, length = packing.distinct(np.concatenate(lists), np.array([len(x) for x in lists]))
+    want = [np.unique(x, return_counts=True) for x in lists]
+    assert length.tolist() == [len(t) for t, _ in want]
+    assert terms.tolist() == [v for t, _ in want for v in t.tolist()] and counts.tolist() == [v for _, c in want for v in c.tolist()]
