@@ -58,10 +58,24 @@ def _by_logs(d: int, log_p: np.ndarray, log_q: np.ndarray) -> np.ndarray:
     return (np.exp(_log_choose(d)[None, :, None] + y * log_p[:, None, :] + (d - y) * log_q[:, None, :]) @ nodes()[1]) / math.sqrt(math.pi)
 
 
+@functools.lru_cache(maxsize=4)
+def thinned(d: int, factor: float) -> np.ndarray:
+    """P(Y = y) for Y ~ Bin(x, 1 / factor), a row for each x = 0..d: of x reads each is kept by itself."""
+    x, y = np.arange(d + 1)[:, None], np.arange(d + 1)
+    log = np.append(0.0, np.cumsum(np.log(np.arange(1.0, d + 1))))
+    log = log[x] - log[y] - log[np.maximum(x - y, 0)] - y * math.log(factor) + (x - y) * math.log1p(-1 / factor)
+    return np.where(y <= x, np.exp(np.where(y <= x, log, 0.0)), 0.0)
+
+
 def tables(d: int, mu, sd) -> dict[str, np.ndarray]:
-    """Of a mutation, of a change before amplification (half the reads) and of one in amplification (a quarter)."""
-    half = lambda factor: (read_probabilities(d, mu, sd, factor) + read_probabilities(d, -np.asarray(mu, float), sd, factor)) / 2
-    return {"mut": read_probabilities(d, mu, sd), "lysis": half(2.0), "mda": half(4.0)}
+    """Of a mutation, of a change before amplification (half the reads) and of one in amplification (a quarter).
+
+    A read of those two is a read of a mutation that is kept with a half or a quarter,
+    and what -mu gives is what mu gives with alleles changed: one table makes all.
+    """
+    one = read_probabilities(d, mu, sd)
+    both = (one + one[:, ::-1]) / 2
+    return {"mut": one, "lysis": both @ thinned(d, 2.0), "mda": both @ thinned(d, 4.0)}
 
 
 def tests(alt, d: int, mu, sd) -> dict[str, np.ndarray]:

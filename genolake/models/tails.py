@@ -117,14 +117,15 @@ def cigar_rates(sites: DataFrame) -> DataFrame:
     return sites.withColumns({f"{kind}_{axis}": rate(f"{kind}_n{of}", f"cigar_dp{of}") for kind in ("id", "hs") for axis, of in (("x", "_bulk"), ("y", ""))})
 
 
-def excess_scores(sites: DataFrame, null: DataFrame, by: Sequence[str] = ("muttype",), *, zero_depth: bool = False) -> DataFrame:
+def excess_scores(sites: DataFrame, null: DataFrame, by: Sequence[str] = ("muttype",), *, zero_depth: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """Adds id_score and hs_score to sites with the rates: the share of the null sites of their type with both rates at least as large.
 
     A comparison with a NULL rate is unknown unless the other rate decides it: a
     null site counts if its known rate is smaller, else it is left out; so a site
     that lacks one rate has the score 0, or NULL if no null site is smaller in the
     other, and one that lacks both has NULL.  With ``zero_depth`` sites without
-    reads of the cell or the bulk have 0.
+    reads of the cell or the bulk have 0.  ``asked`` has the sites' rates and ``by``
+    where that is less to read than the sites.
     """
     by = list(by)
     key = [*by, "kind"]
@@ -134,7 +135,7 @@ def excess_scores(sites: DataFrame, null: DataFrame, by: Sequence[str] = ("mutty
         return df.select(*by, F.inline(F.array(pair("id"), pair("hs")))).withColumns({"w": F.lit(w), "asked": F.lit(w == 0)})
 
     # both scores' distinct pairs in one table: sites and null sites are read once each
-    pairs = stored.written(long(null, 1).unionByName(long(sites, 0)).groupBy(*key, "x", "y").agg(F.sum("w").alias("w"), F.max("asked").alias("asked")), "pairs")
+    pairs = stored.written(long(null, 1).unionByName(long(sites if asked is None else asked, 0)).groupBy(*key, "x", "y").agg(F.sum("w").alias("w"), F.max("asked").alias("asked")), "pairs")
     fine = pairs.where("x is not null and y is not null")
     # null sites by one rate alone: all that are smaller, and those of them that lack the other rate
     one = lambda axis, own, other: F.struct(F.lit(axis).alias("axis"), F.col(own).alias("value"), F.when(F.col(other).isNull(), F.col("w")).otherwise(0).alias("lone"))

@@ -66,22 +66,29 @@ def analyse(cell: DataFrame, fits: DataFrame, config: Config, *, stages: Sequenc
     training sites, resampled ones where the table tells (resampled_training_site),
     and two cut-offs of each type come to the driver.  Priors (``priors.assign``) need
     all sites of a cell, so that a part of a genome can be taken up to "filters" only.
-    What later stages read several times is written: balance and models are worked out once.
+    What later stages read several times is written: balance, models and tested sites are worked out once.
     """
     out, cutoffs = cell, None
     if "ab" in stages:
         train = cell.where("training_site and muttype = 'snv'").select("chr", "pos", "hap1", "dp")
-        gp = stored.written(allele_balance.estimates(cell, train, fits), "balance")
-        out = out.join(gp, ["chr", "pos"], "left").withColumn("ab", exprs.logistic(F.col("gp_mu")))
+        out = out.join(stored.written(allele_balance.estimates(cell, train, fits), "balance"), ["chr", "pos"], "left").withColumn("ab", exprs.logistic(F.col("gp_mu")))
     if "models" in stages:
-        mu = F.round(exprs.match_ab(F.col("af"), F.col("gp_mu")), 3)
-        out = gauss_hermite.models(out.withColumn("mu", mu).withColumn("sd", F.round("gp_sd", 3))).drop("mu", "sd")
-        out = stored.written(out, "models")
+        # what the models read is few columns: sites are moved whole once, when they are given what these come to
+        few, own = ["chr", "pos", "scalt", "dp", "af"], [c for c in out.columns if c not in cell.columns] if "ab" in stages else ["gp_mu", "gp_sd"]
+        read = out.select(*few, *own).distinct()
+        found = gauss_hermite.models(read.withColumn("mu", F.round(exprs.match_ab(F.col("af"), F.col("gp_mu")), 3)).withColumn("sd", F.round("gp_sd", 3)))
+        if "ab" not in stages:
+            few, own = [*few, *own], []
+        found = stored.written(found.select(*[F.col(c).alias(f"_m_{c}") for c in few], *own, *gauss_hermite.COLUMNS), "models")
+        same = F.lit(True)
+        for c in few:
+            same = same & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+        out = cell.join(found, same, "left").drop(*[f"_m_{c}" for c in few])
     if "cigars" in stages and "cigar_dp" in cell.columns:
         null = tails.cigar_rates(cell.where("resampled_training_site" if "resampled_training_site" in cell.columns else "training_site"))
         null = stored.written(null.select("muttype", "id_x", "id_y", "hs_x", "hs_y"), "null-sites")
         cutoffs = tails.score_cutoffs(tails.excess_scores(null, null), {k: (v.cigar_id_quantile, v.cigar_hs_quantile) for k, v in config.params.items()})
-        out = tails.excess_scores(tails.cigar_rates(out), null)
+        out = tails.excess_scores(tails.cigar_rates(out), null, asked=tails.cigar_rates(cell))
     if "filters" in stages:
         missing = {c: F.lit(None).cast(t) for c, t in (("id_score", "double"), ("hs_score", "double"), ("mutsig", "string")) if c not in out.columns}
         out = filters.static_tests(out.withColumns(missing), config.params, cutoffs)
